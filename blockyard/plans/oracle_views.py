@@ -133,13 +133,16 @@ SELECT l_orderkey AS order_key,
                              ELSE 'Activity_0ezfqp2' END AS activity_id,
        l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'R' AS success
 FROM lineitem"""),
-    "ledger": ([], """
+    "ledger0": ([], """
 SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS seq,
        l_partkey AS cell, l_partkey // 4 AS x, l_partkey % 4 AS y,
        CASE l_partkey % 4 WHEN 0 THEN 'RED' WHEN 1 THEN 'GREEN' WHEN 2 THEN 'BLUE' ELSE 'YELLOW' END AS color,
        CASE l_linenumber % 3 WHEN 0 THEN 'reserve' WHEN 1 THEN 'fetch' ELSE 'restore' END AS action,
        CAST(l_suppkey % 3 AS VARCHAR) AS order_id
 FROM lineitem"""),
+    "ledger": (["ledger0"], """
+SELECT * FROM ledger0
+UNION ALL SELECT max(seq) // 2, NULL, NULL, NULL, NULL, 'restore_all', NULL FROM ledger0"""),
 }
 
 
@@ -158,14 +161,14 @@ def _closure(names) -> list[str]:
     return out
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """``WITH <views...> <sql>``; a query may add its own CTEs after a
     comma by starting ``sql`` with ``, name AS (...)``."""
     parts = [f"{n} AS ({VIEWS[n][1].strip()})" for n in _closure(names)]
     sql = sql.strip()
     if not parts:
         return sql
-    head = "WITH " + ",\n".join(parts)
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
     if sql.startswith(","):
         return head + sql
     return head + "\n" + sql

@@ -12,12 +12,12 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its
     oracle SQL (prefixed by the view CTEs it names)."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, with_views(sql, *views) if sql is not None else None)
+        REGISTRY[name] = (fn, with_views(sql, *views, recursive=recursive) if sql is not None else None)
         return fn
     return deco

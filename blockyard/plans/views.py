@@ -271,8 +271,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = row_number(li, [], _l4(li), "seq", chunk_of("l_orderkey", SEQ_CHUNK))
     n = F.col("l_linenumber") % 3
     pk = F.col("l_partkey")
-    return li.select(
+    acts = li.select(
         "seq", pk.alias("cell"), F.expr("l_partkey div 4").alias("x"), (pk % 4).alias("y"),
         _case(pk % 4, list(enumerate(K.ORDER_COLOURS))).alias("color"),
         _case(n, [(0, "reserve"), (1, "fetch"), (2, "restore")]).alias("action"),
         (F.col("l_suppkey") % 3).cast("string").alias("order_id"))
+    reset = acts.agg(F.floor(F.max("seq") / 2).cast("long").alias("seq")).select(
+        "seq", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("x"),
+        F.lit(None).cast("long").alias("y"), F.lit(None).cast("string").alias("color"),
+        F.lit("restore_all").alias("action"), F.lit(None).cast("string").alias("order_id"))
+    return acts.unionByName(reset)

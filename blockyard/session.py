@@ -70,3 +70,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; parquet scan with pushdown and pruning."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint
+    folder and read it back (one computation; the read-back has file
+    statistics for AQE and column pruning). Survives executor loss, unlike
+    cached or locally checkpointed data."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

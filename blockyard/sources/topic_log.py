@@ -52,19 +52,22 @@ def read_kafka(spark: SparkSession, bootstrap: str, topics: Sequence[str],
         F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts"))
 
 
-def log_start_policy(log: DataFrame, committed: DataFrame, policy: str = "latest") -> DataFrame:
+def log_start_policy(log: DataFrame, committed: DataFrame, policy: str = "latest",
+                     by: tuple[str, ...] = ("partition",)) -> DataFrame:
     """Rows a consumer group reads: from its committed offset, or — with no
     committed offset — from the ``earliest`` retained offset or from the
     ``latest`` end (nothing old is read).
 
     ``committed``: (partition, committed). The per-partition ends are a
     partial aggregation (one row per partition); joined back on partition."""
-    ends = log.groupBy("topic", "partition").agg(
+    by = list(by)
+    ends = log.groupBy(*by).agg(
         F.min("offset").alias("_earliest"), (F.max("offset") + 1).alias("_latest"))
     default = F.col("_earliest") if policy == "earliest" else F.col("_latest")
-    starts = (ends.join(committed.select("partition", "committed"), "partition", "left")
-              .select("topic", "partition", F.coalesce("committed", default).alias("start_offset")))
-    return (log.join(starts, ["topic", "partition"], "inner")
+    # one row per topic-partition on the small side
+    starts = (ends.join(committed.select(*by, "committed"), by, "left")
+              .select(*by, F.coalesce("committed", default).alias("start_offset")))
+    return (log.join(F.broadcast(starts), by, "inner")
             .filter(F.col("offset") >= F.col("start_offset")))
 
 
