@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import assembly_plan
-from blockyard.operators.sequencing import chunk_of, last_value, row_number, running
+from blockyard.operators.sequencing import (chunk_of, last_spec, last_value, row_number, running_many,
+                                            unpack_last)
 
 SEQ_CHUNK = 1 << 20
 
@@ -39,15 +40,15 @@ def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     k = F.col("kind")
     absolute = k.isin("MovementCommand", "HomeCommand")
     rel = k == "RelativeMovementCommand"
-    d = commands
     axes = ["x", "y", "z", "r"]
-    for a in axes:
-        d = running(d, ["robot"], ["seq"], F.when(rel, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.lit(0.0)),
-                    f"_s{a}", "sum", ch)
+    sums = [(F.when(rel, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.lit(0.0)), f"_s{a}", "sum")
+            for a in axes]
+    d = running_many(commands, ["robot"], ["seq"], sums, ch)
     anchor = F.struct(*[(F.when(k == "HomeCommand", F.lit(0.0)).otherwise(F.coalesce(F.col(a), F.lit(0.0)))
                          - F.col(f"_s{a}")).alias(a) for a in axes])
-    d = last_value(d, ["robot"], ["seq"], F.col("seq"), F.when(absolute, anchor), "_anc", ch)
-    d = last_value(d, ["robot"], ["seq"], F.col("seq"), F.col("suck"), "suction", ch)
+    d = running_many(d, ["robot"], ["seq"], [last_spec(F.col("seq"), F.when(absolute, anchor), "_anc"),
+                                             last_spec(F.col("seq"), F.col("suck"), "suction")], ch)
+    d = unpack_last(d, "_anc", "suction")
     pos = [(F.coalesce(F.col(f"_anc.{a}"), F.lit(0.0)) + F.col(f"_s{a}")).alias(f"p{a}") for a in axes]
     return d.select("robot", "seq", "kind", *pos, "suction")
 

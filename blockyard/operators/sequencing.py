@@ -42,6 +42,46 @@ def chunk_of(col: str | Column, width: int = DEFAULT_WIDTH) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
+def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
+                 specs: Sequence[tuple], chunk: Column | None = None) -> DataFrame:
+    """Several running aggregates over the same key and order in one pass:
+    one chunk-totals aggregation, one join, one window operator.
+
+    ``specs``: ``(value, out, how)`` or ``(value, out, how, inclusive)`` with
+    ``how`` in sum / max / min."""
+    aggs = {"sum": F.sum, "max": F.max, "min": F.min}
+    by = list(by)
+    order_cols = _as_cols(order)
+    if chunk is None:
+        chunk = F.lit(0).cast("long")
+    d = df.withColumn(_CHUNK, chunk)
+    keys = by + [_CHUNK]
+    norm = [(v, o, h, (rest[0] if rest else True)) for v, o, h, *rest in specs]
+
+    totals = d.groupBy(*keys).agg(*[aggs[h](v).alias(f"{_TOT}{i}") for i, (v, _, h, _) in enumerate(norm)])
+    wb = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, *[aggs[h](F.col(f"{_TOT}{i}")).over(wb).alias(f"{_BASE}{i}")
+                                   for i, (_, _, h, _) in enumerate(norm)])
+    d = d.join(bases, keys, "left")
+    outs = []
+    for i, (v, out, how, inclusive) in enumerate(norm):
+        hi = Window.currentRow if inclusive else -1
+        wi = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
+        within = aggs[how](v).over(wi)
+        base = F.col(f"{_BASE}{i}")
+        if how == "sum":
+            combined = F.coalesce(base, F.lit(0)) + F.coalesce(within, F.lit(0))
+            if not inclusive:
+                combined = F.when(base.isNull() & within.isNull(), F.lit(None)).otherwise(combined)
+        elif how == "max":
+            combined = F.greatest(base, within)
+        else:
+            combined = F.least(base, within)
+        outs.append(combined.alias(out))
+    drop = [f"{_BASE}{i}" for i in range(len(norm))] + [_CHUNK]
+    return d.select("*", *outs).drop(*drop)
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
             value: Column, out: str, how: str = "sum",
             chunk: Column | None = None, inclusive: bool = True) -> DataFrame:
@@ -51,33 +91,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     ``how``: ``sum``, ``max``, ``min``. ``inclusive=False`` excludes the
     current row. ``chunk`` must be non-decreasing in ``order`` (defaults to
     one chunk per key, i.e. a plain window)."""
-    agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    by = list(by)
-    order_cols = _as_cols(order)
-    if chunk is None:
-        chunk = F.lit(0).cast("long")
-    d = df.withColumn(_CHUNK, chunk)
-    keys = by + [_CHUNK]
-
-    totals = d.groupBy(*keys).agg(agg(value).alias(_TOT))
-    wb = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, agg(F.col(_TOT)).over(wb).alias(_BASE))
-
-    hi = Window.currentRow if inclusive else -1
-    wi = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
-    within = agg(value).over(wi)
-    base = F.col(_BASE)
-    if how == "sum":
-        combined = F.coalesce(base, F.lit(0)) + F.coalesce(within, F.lit(0))
-        if not inclusive:
-            combined = F.when(base.isNull() & within.isNull(), F.lit(None)).otherwise(combined)
-    elif how == "max":
-        combined = F.greatest(base, within)
-    else:
-        combined = F.least(base, within)
-    return (d.join(bases, keys, "left")
-            .withColumn(out, combined)
-            .drop(_CHUNK, _BASE))
+    return running_many(df, by, order, [(value, out, how, inclusive)], chunk)
 
 
 def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
@@ -86,14 +100,26 @@ def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     return running(df, by, order, F.lit(1).cast("long"), out, "sum", chunk)
 
 
+def last_spec(rank: Column, value: Column, out: str, inclusive: bool = True) -> tuple:
+    """Spec for :func:`running_many`: running "last non-null" of ``value``
+    as a running max of ``struct(rank, value)`` (``rank`` a unique,
+    non-decreasing numeric form of the order). Read it back with
+    :func:`unpack_last`."""
+    packed = F.when(value.isNotNull(), F.struct(rank.alias("r"), value.alias("v")))
+    return (packed, f"_lv_{out}", "max", inclusive)
+
+
+def unpack_last(df: DataFrame, *outs: str) -> DataFrame:
+    for out in outs:
+        df = df.withColumn(out, F.col(f"_lv_{out}.v")).drop(f"_lv_{out}")
+    return df
+
+
 def last_value(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                rank: Column, value: Column, out: str, chunk: Column | None = None,
                inclusive: bool = True) -> DataFrame:
     """Running "last non-null" of ``value``: the value of the latest row (by
-    ``rank``, a non-decreasing numeric form of ``order``) where it is not
-    null. Expressed as a running max of ``struct(rank, value)``, so it has
-    the same chunked plan as the other running aggregates."""
-    packed = F.when(value.isNotNull(), F.struct(rank.alias("r"), value.alias("v")))
-    tmp = f"_lv_{out}"
-    d = running(df, by, order, packed, tmp, "max", chunk, inclusive)
-    return d.withColumn(out, F.col(f"{tmp}.v")).drop(tmp)
+    ``rank``) where it is not null. Same chunked plan as the other running
+    aggregates."""
+    d = running_many(df, by, order, [last_spec(rank, value, out, inclusive)], chunk)
+    return unpack_last(d, out)
