@@ -70,9 +70,9 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
         within = aggs[how](v).over(wi)
         base = F.col(f"{_BASE}{i}")
         if how == "sum":
-            combined = F.coalesce(base, F.lit(0)) + F.coalesce(within, F.lit(0))
-            if not inclusive:
-                combined = F.when(base.isNull() & within.isNull(), F.lit(None)).otherwise(combined)
+            # SQL semantics: a sum over no non-null value is null
+            combined = F.when(base.isNull() & within.isNull(), F.lit(None)).otherwise(
+                F.coalesce(base, F.lit(0)) + F.coalesce(within, F.lit(0)))
         elif how == "max":
             combined = F.greatest(base, within)
         else:

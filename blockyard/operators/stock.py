@@ -103,7 +103,6 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                .withColumn("_held", F.lit(True)))
     r = r.join(holders, "order_id", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
     ok = r.filter(valid)
-    ok = _first_of_key(ok, "order_id", "seq", "_first")
     # Free cells per colour: one row per colour (bounded by the colour enum).
     free = (available_cells(cells).groupBy("color").agg(F.count(F.lit(1)).alias("free")))
     ok = ok.join(F.broadcast(free), "color", "left").withColumn("free", F.coalesce("free", F.lit(0)))
@@ -113,33 +112,43 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
     ok = materialize(ok, "reserve-requests")
     chunk = chunk_of("seq", chunk_width)
 
-    elig = ok.filter(F.col("_first") & ~F.col("_held"))
+    # Rounds of "grant the prefix that fits". A request competes until its
+    # order is granted; within a round only the earliest remaining request of
+    # an order counts (a later one in the granted prefix is a duplicate).
+    # After each round the remainder is below the first refused count, so
+    # the largest competing count drops every round: rounds <= max count.
+    max_count = ok.agg(F.max("count")).first()[0] or 0
     granted = None
-    cur = elig.select("seq", "color", "count", F.col("free").cast("long").alias("_rem"))
-    for _ in range(3):
-        cs = running(cur, ["color"], ["seq"], F.col("count").cast("long"), "_cs", "sum", chunk)
-        cs = materialize(cs.withColumn("_g", F.col("_cs") <= F.col("_rem")), "reserve-round")
-        g = cs.filter("_g").select("seq")
-        granted = g if granted is None else granted.unionByName(g)
+    cur = ok.filter(~F.col("_held")).select("seq", "order_id", "color", "count",
+                                            F.col("free").cast("long").alias("_rem"))
+    for _ in range(int(max_count)):
+        firsts = cur.groupBy("order_id").agg(F.min("seq").alias("_f"))
+        c = cur.join(firsts, "order_id", "inner")
+        eff = F.when(F.col("seq") == F.col("_f"), F.col("count")).otherwise(F.lit(0)).cast("long")
+        cs = running(c, ["color"], ["seq"], eff, "_cs", "sum", chunk)
+        cs = materialize(cs.withColumn("_over", F.col("_cs") > F.col("_rem")), "reserve-round")
         stats = cs.groupBy("color").agg(
-            F.min(F.when(~F.col("_g"), F.col("seq"))).alias("_k"),
-            F.coalesce(F.max(F.when(F.col("_g"), F.col("_cs"))), F.lit(0)).alias("_used"))
+            F.min(F.when(F.col("_over"), F.col("seq"))).alias("_k"),
+            F.coalesce(F.max(F.when(~F.col("_over"), F.col("_cs"))), F.lit(0)).alias("_used"))
         # one row per colour (enum-bounded): broadcast
-        cur = (cs.filter(~F.col("_g")).drop("_cs", "_g")
-               .join(F.broadcast(stats), "color", "inner")
-               .withColumn("_rem", F.col("_rem") - F.col("_used"))
-               .filter((F.col("seq") > F.col("_k")) & (F.col("count") <= F.col("_rem")))
-               .drop("_k", "_used"))
-    granted = granted.withColumn("_granted", F.lit(True))
+        cs = cs.join(F.broadcast(stats), "color", "inner")
+        in_prefix = F.col("_k").isNull() | (F.col("seq") < F.col("_k"))
+        g = cs.filter(in_prefix & (F.col("seq") == F.col("_f"))).select("seq", "order_id")
+        granted = g if granted is None else granted.unionByName(g)
+        cur = (cs.filter((F.col("seq") > F.col("_k")) & (F.col("count") <= F.col("_rem") - F.col("_used")))
+               .join(g.select("order_id"), "order_id", "left_anti")
+               .select("seq", "order_id", "color", "count", (F.col("_rem") - F.col("_used")).alias("_rem")))
+    if granted is None:
+        granted = ok.limit(0).select("seq", "order_id")
+    granted = granted.select("seq").withColumn("_granted", F.lit(True))
 
     d = ok.join(granted, "seq", "left").withColumn("_granted", F.coalesce("_granted", F.lit(False)))
     gcount = F.when(F.col("_granted"), F.col("count")).otherwise(F.lit(0)).cast("long")
     d = materialize(running(d, ["color"], ["seq"], gcount, "_used_before", "sum", chunk, inclusive=False),
                     "reserve-decided")
     d = d.withColumn("avail", F.col("free") - F.coalesce("_used_before", F.lit(0)))
-    # A repeat of an order is a duplicate once any earlier request of the
-    # order was granted (then it holds cells); otherwise it is decided like
-    # the first (availability only shrinks within a batch -> refused too).
+    # A request is a duplicate once an earlier request of its order was
+    # granted (the order then holds cells).
     order_granted = d.filter("_granted").groupBy("order_id").agg(F.min("seq").alias("_gseq"))
     d = d.join(order_granted, "order_id", "left")
     kind = (F.when(F.col("_held"), F.lit("duplicate"))
