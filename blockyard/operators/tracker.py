@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockyard import constants as K
-from blockyard.functions import event_step, is_json_object, item_type_from_text
+from blockyard.functions import event_step, item_type_from_text
 from blockyard.operators.sequencing import chunk_of, running
 
 SEQ_CHUNK = 1 << 20
@@ -18,20 +18,28 @@ def ms_to_ts(ms) -> F.Column:
     return F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+DASHBOARD_FIELDS = "orderId STRING, message STRING, infoTitle STRING, infoText STRING, timestamp STRING"
+
+
 def dashboard_events(log: DataFrame) -> DataFrame:
     """Topic log -> decoded dashboard events (seq, ts, topic, order_id,
     message, is_error, info_title, info_text, timestamp_ms). Payloads that
-    are not JSON objects become ``{message: raw}`` (no order id)."""
+    are not JSON objects become ``{message: raw}`` (no order id).
+
+    The payload is parsed once per row (``from_json`` into the fields the
+    dashboard reads; a malformed text parses to null)."""
     v = F.col("value")
-    obj = is_json_object(v)
+    p = F.from_json(v, DASHBOARD_FIELDS)
+    d = log.select("seq", "ts", "topic", "value", p.alias("_p"))
+    obj = F.coalesce(F.col("_p").isNotNull() & v.rlike(r"^\s*\{"), F.lit(False))
 
     def field(name):
-        return F.when(obj, F.get_json_object(v, f"$.{name}"))
+        return F.when(obj, F.col(f"_p.{name}"))
 
-    return log.select(
+    return d.select(
         "seq", "ts", "topic",
         field("orderId").alias("order_id"),
-        F.when(obj, F.get_json_object(v, "$.message")).otherwise(v).alias("message"),
+        F.when(obj, F.col("_p.message")).otherwise(v).alias("message"),
         F.coalesce(F.col("topic").startswith("error"), F.lit(False)).alias("is_error"),
         field("infoTitle").alias("info_title"),
         field("infoText").alias("info_text"),
@@ -50,8 +58,12 @@ def order_tracker(events: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     aggregation per order. No per-order collect."""
     e = events.filter(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
     det = event_step("message", "is_error", "info_title")
+    # item type as a small int code: fixed-width aggregation buffers keep the
+    # final aggregation a hash aggregation (a string buffer forces a sort)
+    item = item_type_from_text("message", "info_text")
+    code = F.array_position(F.array(*[F.lit(t) for t in K.ITEM_TYPES]), item)
     e = e.select("*", det["step"].alias("step_d"), det["failed"].alias("failed_d"),
-                 item_type_from_text("message", "info_text").alias("item"))
+                 F.when(code > 0, code).cast("int").alias("item"))
     e = running(e, ["order_id"], ["seq"], F.col("step_d"), "prev_max", "max",
                 chunk_of("seq", chunk_width), inclusive=False)
     cur = F.greatest(F.lit(0), F.coalesce("prev_max", F.lit(0)))
@@ -63,13 +75,18 @@ def order_tracker(events: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     def rise_time(s):
         return F.min(F.when(rise & (F.col("step_d") == s), step_time)).alias(f"t{s}")
 
-    return e.groupBy("order_id").agg(
+    g = e.groupBy("order_id").agg(
         F.greatest(F.lit(0), F.coalesce(F.max("step_d"), F.lit(0))).cast("int").alias("step"),
         F.coalesce(F.max_by("failed_d", F.when(accepted, F.col("seq"))), F.lit(False)).alias("failed"),
-        F.max_by("item", F.when(F.col("item").isNotNull(), F.col("seq"))).alias("item_type"),
+        F.max_by("item", F.when(F.col("item").isNotNull(), F.col("seq"))).alias("item_code"),
         F.min("ts").alias("t0"), rise_time(1), rise_time(2), rise_time(3),
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("n_events"))
+    names = F.array(*[F.lit(t) for t in K.ITEM_TYPES])
+    # guard the lookup: element_at with a NULL index does not reliably give NULL
+    item_type = F.when(F.col("item_code").isNotNull(), F.element_at(names, F.col("item_code")))
+    return g.select("order_id", "step", "failed", item_type.alias("item_type"),
+                    "t0", "t1", "t2", "t3", "last_ts", "n_events")
 
 
 def tracker_steps(tracker: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ SERIES_SQL = """
 
 
 def _series(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return B.latency_series(v, epoch_ms("ts") + F.col("latency_ms"))
 
 

@@ -112,7 +112,7 @@ SELECT seq, topic, '0' AS key,
        CAST(NULL AS VARCHAR) AS error
 FROM event_log WHERE topic IN ('info.v1', 'error.v1')""", ("event_log",))
 def q_publish_notifications(spark, sf):
-    v = V.event_log(spark, sf).filter(F.col("topic").isin("info.v1", "error.v1"))
+    v = V.event_log(spark, sf, offsets=False).filter(F.col("topic").isin("info.v1", "error.v1"))
     out = publish_notifications(v, F.col("topic"), F.col("message"), nonblank_text_field("value", "orderId"),
                                 nonblank_text_field("value", "correlationId"), F.col("seq"))
     return out.select("seq", "topic", "key", "value", "error")
@@ -145,7 +145,7 @@ def q_publish_complete(spark, sf):
 SELECT 'audit' AS sink, seq, topic FROM event_log UNION ALL SELECT 'dashboard', seq, topic FROM event_log""",
        ("event_log",))
 def q_fan_out(spark, sf):
-    batch = V.event_log(spark, sf).select("seq", "topic")
+    batch = V.event_log(spark, sf, offsets=False).select("seq", "topic")
     base = _fresh(spark, "fan-out")
 
     def to(name):

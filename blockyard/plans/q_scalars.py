@@ -26,7 +26,7 @@ SELECT seq, json_valid(value) AS decoded,
        CASE WHEN {OBJ_SQL} THEN json_extract_string(value, '$.orderId') END AS order_id
 FROM event_log""", ("event_log",))
 def q_json_decode(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     j = P.json_decode("value")
     return v.select("seq", j.isNotNull().alias("decoded"),
                     F.try_variant_get(j, "$.orderId", "string").alias("order_id"))
@@ -36,7 +36,7 @@ def q_json_decode(spark, sf):
 SELECT seq, json_object('message', message, 'orderId', order_id, 'correlationId', correlation_id)::VARCHAR AS json
 FROM event_log""", ("event_log",))
 def q_json_encode(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     s = F.struct(F.col("message").alias("message"), F.col("order_id").alias("orderId"),
                  F.col("correlation_id").alias("correlationId"))
     return v.select("seq", F.to_json(s, {"ignoreNullFields": "false"}).alias("json"))
@@ -48,7 +48,7 @@ SELECT seq,
             ELSE json_object('message', value, '_topic', topic)::VARCHAR END AS tagged
 FROM event_log""", ("event_log",))
 def q_topic_tag(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return v.select("seq", P.topic_tag_with_fallback("value", "topic").alias("tagged"))
 
 
@@ -57,7 +57,7 @@ SELECT seq, CASE WHEN trim({_jfield('orderId')}) <> '' THEN {_jfield('orderId')}
        CASE WHEN trim({_jfield('message')}) <> '' THEN {_jfield('message')} END AS message
 FROM event_log""", ("event_log",))
 def q_nonblank(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return v.select("seq", P.nonblank_text_field("value", "orderId").alias("order_id"),
                     P.nonblank_text_field("value", "message").alias("message"))
 
@@ -65,7 +65,7 @@ def q_nonblank(spark, sf):
 @query("safe_epoch", f"""
 SELECT seq, TRY_CAST({_jfield('timestamp')} AS BIGINT) AS produced_ms FROM event_log""", ("event_log",))
 def q_safe_epoch(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return v.select("seq", P.safe_epoch("value").alias("produced_ms"))
 
 
@@ -187,14 +187,14 @@ SELECT seq, uuid_text, coalesce(regexp_matches(uuid_text,
   '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$'), false) AS valid
 FROM event_log""", ("event_log",))
 def q_uuid_valid(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return v.select("seq", "uuid_text", P.uuid_valid("uuid_text").alias("valid"))
 
 
 @query("time_label", """
 SELECT seq, coalesce(strftime(ts, '%H:%M:%S.%g'), '') AS label FROM event_log""", ("event_log",))
 def q_time_label(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     return v.select("seq", P.time_label("ts").alias("label"))
 
 
@@ -206,7 +206,7 @@ SELECT seq, key_raw, TRY_CAST(key_raw AS INTEGER) AS target_partition,
        TRY_CAST(key_raw AS INTEGER) IS NOT NULL AS valid
 FROM (SELECT seq, {KEY_RAW_SQL} AS key_raw FROM event_log)""", ("event_log",))
 def q_key_partition(spark, sf):
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     s = F.col("seq")
     raw = (F.when(s % 13 == 0, F.lit(None).cast("string"))
            .when(s % 13 == 1, F.concat(F.lit("p"), F.col("key"))).otherwise(F.col("key")))
@@ -297,7 +297,7 @@ SELECT seq FROM event_log
 WHERE trim({_jfield('orderId')}) <> '' AND trim({_jfield('correlationId')}) <> ''""", ("event_log",))
 def q_keys_present(spark, sf):
     from blockyard.operators.correlate import keys_present
-    v = V.event_log(spark, sf)
+    v = V.event_log(spark, sf, offsets=False)
     e = v.select("seq", P.nonblank_text_field("value", "orderId").alias("order_id"),
                  P.nonblank_text_field("value", "correlationId").alias("correlation_id"))
     return keys_present(e).select("seq")

@@ -56,7 +56,7 @@ tracker AS (
 
 
 def _events(spark, sf):
-    return T.dashboard_events(V.event_log(spark, sf))
+    return T.dashboard_events(V.event_log(spark, sf, offsets=False))
 
 
 def _tracker(spark, sf):

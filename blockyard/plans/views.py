@@ -32,58 +32,50 @@ SIGNUP_ITEMS = ["CHAIR", "TABLE", "Shelf", "closet"]
 ERROR_TEXTS = ["Inventory service unavailable", "Manufacturing failed", "Factory reported an error"]
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, offsets: bool = True) -> DataFrame:
     """V1: the events table as a topic log (seq, ts, partition, offset, key,
-    topic, value JSON, ...)."""
+    topic, value JSON, ...). ``offsets=False`` leaves out the per-partition
+    offset (a running count) for queries that do not read it."""
     e = table(spark, sf_dir, "events")
-    uid, eid, et = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    uid, seq, et, ts = F.col("user_id"), F.col("event_id"), F.col("event_type"), F.col("ts")
+    order_id = F.concat(uid.cast("string"), F.lit("-"), F.date_format(ts, "yyyyMMdd"))
+    h = F.md5(order_id)
+    signup_item = _case(uid % 4, list(enumerate(SIGNUP_ITEMS)))
+    message = (F.when(et == "signup", F.concat(F.lit("Order received: "), signup_item))
+               .when(et == "view", F.lit("Inventory reserved"))
+               .when(et == "click", F.when(seq % 4 == 0, F.lit("Manufacturing succeeded via feedback"))
+                     .otherwise(F.lit("Manufacturing started")))
+               .when(et == "purchase", F.when(seq % 2 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.lit("Order complete")))
+               .when(et == "error", _case(seq % 3, list(enumerate(ERROR_TEXTS)))))
+    topic = _case(et, [("signup", K.INFO_TOPIC), ("view", K.INFO_TOPIC), ("click", K.INFO_TOPIC),
+                       ("purchase", K.COMPLETE_TOPIC), ("error", K.ERROR_TOPIC)])
     d = e.select(
-        eid.alias("seq"), F.col("ts"), uid, et,
-        (uid % 4).cast("int").alias("partition"),
-        F.concat(uid.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("order_id"),
-        F.round(F.col("value") * 100).cast("long").alias("latency_ms"),
-        F.col("value"),
-    )
-    d = d.withColumn("correlation_id", F.md5("order_id"))
-    h = F.col("correlation_id")
-    d = d.withColumn(
-        "uuid_text",
-        F.when(F.col("seq") % 5 == 0, F.col("order_id")).otherwise(
+        seq.alias("seq"), ts, uid, et, (uid % 4).cast("int").alias("partition"),
+        order_id.alias("order_id"), F.round(F.col("value") * 100).cast("long").alias("latency_ms"),
+        h.alias("correlation_id"),
+        F.when(seq % 5 == 0, order_id).otherwise(
             F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-                        F.substring(h, 17, 4), F.substring(h, 21, 12))))
-    seq = F.col("seq")
-    d = d.withColumn("topic", _case(et, [("signup", K.INFO_TOPIC), ("view", K.INFO_TOPIC),
-                                         ("click", K.INFO_TOPIC), ("purchase", K.COMPLETE_TOPIC),
-                                         ("error", K.ERROR_TOPIC)]))
-    signup_item = _case(uid % 4, list(enumerate(SIGNUP_ITEMS)))
-    d = d.withColumn(
-        "message",
-        F.when(et == "signup", F.concat(F.lit("Order received: "), signup_item))
-        .when(et == "view", F.lit("Inventory reserved"))
-        .when(et == "click", F.when(seq % 4 == 0, F.lit("Manufacturing succeeded via feedback"))
-              .otherwise(F.lit("Manufacturing started")))
-        .when(et == "purchase", F.when(seq % 2 == 0, F.lit(None).cast("string"))
-              .otherwise(F.lit("Order complete")))
-        .when(et == "error", _case(seq % 3, list(enumerate(ERROR_TEXTS)))))
-    msg_json = F.when(F.col("message").isNull(), F.lit("null")).otherwise(
-        F.concat(F.lit('"'), F.col("message"), F.lit('"')))
-    oid = F.when(seq % 50 == 2, F.lit("")).otherwise(F.col("order_id"))
-    d = d.withColumn(
-        "value",
-        F.when(seq % 50 == 0, F.concat(F.lit("oops "), seq.cast("string")))
-        .when(seq % 50 == 1, F.lit("[1]"))
-        .otherwise(F.concat(F.lit('{"message":'), msg_json, F.lit(',"orderId":"'), oid,
-                            F.lit('","correlationId":"'), F.col("correlation_id"),
-                            F.lit('","timestamp":'), epoch_ms("ts").cast("string"), F.lit("}"))))
-    d = row_number(d, ["partition"], ["seq"], "offset1", chunk_of("seq", SEQ_CHUNK))
-    d = (d.withColumn("offset", F.col("offset1") - 1).drop("offset1")
-         .withColumn("key", F.col("partition").cast("string")))
+                        F.substring(h, 17, 4), F.substring(h, 21, 12))).alias("uuid_text"),
+        topic.alias("topic"), message.alias("message"))
+    m, s = F.col("message"), F.col("seq")
+    msg_json = F.when(m.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), m, F.lit('"')))
+    oid = F.when(s % 50 == 2, F.lit("")).otherwise(F.col("order_id"))
+    value = (F.when(s % 50 == 0, F.concat(F.lit("oops "), s.cast("string")))
+             .when(s % 50 == 1, F.lit("[1]"))
+             .otherwise(F.concat(F.lit('{"message":'), msg_json, F.lit(',"orderId":"'), oid,
+                                 F.lit('","correlationId":"'), F.col("correlation_id"),
+                                 F.lit('","timestamp":'), epoch_ms("ts").cast("string"), F.lit("}"))))
+    d = d.select("*", value.alias("value"), F.col("partition").cast("string").alias("key"))
+    if offsets:
+        d = row_number(d, ["partition"], ["seq"], "offset1", chunk_of("seq", SEQ_CHUNK))
+        d = d.select(*[c for c in d.columns if c != "offset1"], (F.col("offset1") - 1).alias("offset"))
     return d
 
 
 def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 waiting: first signup per order (partial aggregation)."""
-    v1 = event_log(spark, sf_dir)
+    v1 = event_log(spark, sf_dir, offsets=False)
     return (v1.filter(F.col("event_type") == "signup")
             .groupBy("order_id", "correlation_id").agg(F.min("ts").alias("start_ts")))
 
@@ -91,7 +83,7 @@ def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 outcomes: purchase -> complete, error -> error; every 7th carries a
     wrong correlation id."""
-    v1 = event_log(spark, sf_dir)
+    v1 = event_log(spark, sf_dir, offsets=False)
     o = v1.filter(F.col("event_type").isin("purchase", "error"))
     return o.select(
         F.col("seq").alias("event_id"), "order_id",

@@ -67,9 +67,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; parquet scan with pushdown and pruning."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; parquet scan with pushdown and pruning.
+
+    Input-parallelism guard: a scan that yields fewer splits than the
+    cluster has cores (e.g. one large file with a single row group) would
+    run all per-row work before the first shuffle in that many tasks. Such
+    an input (above 1 MB) gets a round-robin spread to the default
+    parallelism right after the scan; filters and column pruning still reach
+    the scan. Inputs with enough splits (the normal large-scale case) are
+    left alone."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    target = spark.sparkContext.defaultParallelism
+    try:
+        if df.rdd.getNumPartitions() < target and _input_bytes(spark, path) > SPREAD_MIN_BYTES:
+            df = df.repartition(target)
+    except Exception:  # noqa: BLE001 - the guard is an optimisation only
+        pass
+    return df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
