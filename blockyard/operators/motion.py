@@ -43,11 +43,11 @@ def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     axes = ["x", "y", "z", "r"]
     sums = [(F.when(rel, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.lit(0.0)), f"_s{a}", "sum")
             for a in axes]
-    d = running_many(commands, ["robot"], ["seq"], sums, ch)
+    d = running_many(commands, ["robot"], ["seq"], sums, ch, stage=True)
     anchor = F.struct(*[(F.when(k == "HomeCommand", F.lit(0.0)).otherwise(F.coalesce(F.col(a), F.lit(0.0)))
                          - F.col(f"_s{a}")).alias(a) for a in axes])
     d = running_many(d, ["robot"], ["seq"], [last_spec(F.col("seq"), F.when(absolute, anchor), "_anc"),
-                                             last_spec(F.col("seq"), F.col("suck"), "suction")], ch)
+                                             last_spec(F.col("seq"), F.col("suck"), "suction")], ch, stage=True)
     d = unpack_last(d, "_anc", "suction")
     pos = [(F.coalesce(F.col(f"_anc.{a}"), F.lit(0.0)) + F.col(f"_s{a}")).alias(f"p{a}") for a in axes]
     return d.select("robot", "seq", "kind", *pos, "suction")

@@ -46,7 +46,7 @@ def chunk_of(col: str | Column, width: int = DEFAULT_WIDTH) -> Column:
 
 
 def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-                 specs: Sequence[tuple], chunk: Column | None = None) -> DataFrame:
+                 specs: Sequence[tuple], chunk: Column | None = None, stage: bool = False) -> DataFrame:
     """Several running aggregates over the same key and order in one pass.
 
     ``specs``: ``(value, out, how)`` or ``(value, out, how, inclusive)`` with
@@ -57,8 +57,16 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     value at each chunk's last row), so both branches share the identical
     scan -> shuffle -> window subtree and Spark reuses the shuffle: the input
     is computed and shuffled once. When none of the outputs is used,
-    Catalyst prunes the window and eliminates the join."""
+    Catalyst prunes the window and eliminates the join.
+
+    ``stage=True`` first writes the input to the shared checkpoint folder
+    (a lineage cut): use it when the input is itself the output of earlier
+    passes, so the two branches scan a file instead of recomputing (and
+    compounding) the upstream plan."""
     aggs = {"sum": F.sum, "max": F.max, "min": F.min}
+    if stage:
+        from blockyard.session import materialize
+        df = materialize(df, "running-input")
     by = list(by)
     order_cols = _as_cols(order)
     if chunk is None:
