@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import epoch_ms, safe_epoch
-from blockyard.operators.sequencing import chunk_of, row_number
+from blockyard.operators.sequencing import chunk_of, last_spec, row_number, running_many, unpack_last
 
 SEQ_CHUNK = 1 << 20
 
@@ -89,18 +89,24 @@ def partition_lag(log: DataFrame, commits: DataFrame, log_start: DataFrame | Non
 
 def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int) -> DataFrame:
     """Lag per partition at each poll tick (tumbling window of ``tick_s``)
-    and its growth since the previous tick. The per-tick table is
-    (partitions x ticks) rows, so its window is small."""
+    and its growth since the previous tick. The log end is a running max
+    over ticks and the previous lag a running "last" - both chunked, so a
+    topic partition with a long history is not one task."""
     ticks = (log.groupBy("partition", F.window(F.col("ts").cast("timestamp"), f"{tick_s} seconds").alias("w"))
              .agg((F.max("offset") + 1).alias("end_in_tick")))
-    w = Window.partitionBy("partition").orderBy("tick_start")
-    d = (ticks.select("partition", F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
-         .withColumn("log_end", F.max("end_in_tick").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .join(F.broadcast(commits.select("partition", "committed")), "partition", "left"))
+    d = ticks.select("partition", F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
+    d = d.withColumn("tick_no", F.floor(epoch_ms("tick_start") / (tick_s * 1000)).cast("long"))
+    d = d.join(F.broadcast(commits.select("partition", "committed")), "partition", "left")
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
+    ch = chunk_of("tick_no", 1 << 16)
+    d = running_many(d, ["partition"], ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch)
     lag = F.when(c >= 0, F.col("log_end") - c)
-    d = d.select("partition", "tick_start", "log_end", c.alias("committed"), lag.alias("lag"))
-    return d.withColumn("growth", F.col("lag") - F.lag("lag").over(w))
+    d = d.select("partition", "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
+    d = running_many(d, ["partition"], ["tick_no"],
+                     [last_spec(F.col("tick_no"), F.struct(F.col("lag").alias("v")), "_prev", inclusive=False)], ch)
+    d = unpack_last(d, "_prev")
+    return d.select("partition", "tick_start", "log_end", "committed", "lag",
+                    (F.col("lag") - F.col("_prev.v")).alias("growth"))
 
 
 def redeliveries(deliveries: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ Requests: ``seq, order_id, count, color_raw`` in arrival order ``seq``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,72 +236,117 @@ def restore_all(cells: DataFrame) -> DataFrame:
 
 
 # --- ledger replay ---------------------------------------------------------
-
-LEDGER_OUT = ("cell long, x long, y long, color string, filled boolean, reserved boolean, "
-              "order_id string, logged_by string")
-
-
-def _fold_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per-cell state machine over rows sorted by (cell, seq) within a
-    partition; O(1) state per cell, streamed batch by batch (a cell's rows
-    are never gathered in one place)."""
-    out_rows: list[tuple] = []
-    cur = None
-    state = None
-
-    def emit():
-        if cur is not None:
-            out_rows.append(state)
-
-    for pdf in batches:
-        for cell, x, y, colour, action, order in zip(pdf["cell"], pdf["x"], pdf["y"], pdf["color"],
-                                                     pdf["action"], pdf["order_id"]):
-            if cell != cur:
-                emit()
-                cur = cell
-                # default cell after restore_all: filled, free, no log
-                state = (cell, x, y, colour, True, False, None, None)
-            c, xx, yy, col, filled, reserved, holder, logged = state
-            if action == "reserve":
-                if filled and holder is None:
-                    state = (c, xx, yy, col, True, True, order, logged)
-            elif action == "fetch":
-                if filled and holder == order:
-                    state = (c, xx, yy, col, False, False, None, order)
-            elif action == "restore":
-                if (filled and holder == order) or (logged is not None and logged == order):
-                    state = (c, xx, yy, col, True, False, None, None)
-        if len(out_rows) >= 4096:
-            yield pd.DataFrame(out_rows, columns=["cell", "x", "y", "color", "filled", "reserved",
-                                                  "order_id", "logged_by"])
-            out_rows = []
-    emit()
-    if out_rows:
-        yield pd.DataFrame(out_rows, columns=["cell", "x", "y", "color", "filled", "reserved",
-                                              "order_id", "logged_by"])
-
-
-def ledger_replay(ledger: DataFrame) -> DataFrame:
+#
+# Per cell the ledger is a state machine over three kinds of state:
+#   F      filled and free (no holder, no fetch-log entry)
+#   H(o)   filled and held by order o
+#   X(o)   emptied by a fetch of order o (in the fetch log)
+# reserve(o): F -> H(o);  fetch(o): H(o) -> X(o);  restore(o): H(o) | X(o) -> F;
+# anything else leaves the state unchanged.
+#
+# Transition functions compose associatively, so a cell's actions are cut into
+# chunks of seq, each chunk is summarised as a transition table (start state ->
+# end state for F and for H(o), X(o) of every order o acting in the chunk; any
+# other state is unchanged), and the tables are composed in a tree of bounded
+# fan-in. A hot cell is spread over many chunks; no group grows with the data.
+
+SUMMARY = "cell long, idx long, s_kind string, s_order string, e_kind string, e_order string"
+LEDGER_CHUNK = 1 << 16
+LEDGER_FANIN = 256
+
+
+def _summarise_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
+    acts, ords = pdf["action"].tolist(), pdf["order_id"].tolist()
+    n = len(acts)
+    free_end = [None] * (n + 1)
+    free_end[n] = ("F", None)
+    next_fr: dict = {}       # order -> (pos, action) of the nearest fetch/restore after p
+    next_r: dict = {}        # order -> pos of the nearest restore after p
+    restore_after: dict = {}  # fetch pos -> pos of the next restore of that order (or None)
+
+    def from_fetched(o, q):  # X(o) just after fetch position q
+        r = restore_after.get(q)
+        return ("X", o) if r is None else free_end[r + 1]
+
+    def from_held(o, nfr):   # H(o) given the nearest fetch/restore of o
+        if nfr is None:
+            return ("H", o)
+        q, a = nfr
+        return from_fetched(o, q) if a == "fetch" else free_end[q + 1]
+
+    for p in range(n - 1, -1, -1):
+        a, o = acts[p], ords[p]
+        free_end[p] = from_held(o, next_fr.get(o)) if a == "reserve" else free_end[p + 1]
+        if a == "fetch":
+            restore_after[p] = next_r.get(o)
+            next_fr[o] = (p, a)
+        elif a == "restore":
+            next_fr[o] = (p, a)
+            next_r[o] = p
+    cell, idx = int(pdf["cell"].iloc[0]), int(pdf["idx"].iloc[0])
+    rows = [(cell, idx, "F", None, *free_end[0])]
+    for o in {x for x in ords if x is not None}:
+        rows.append((cell, idx, "H", o, *from_held(o, next_fr.get(o))))
+        r = next_r.get(o)
+        rows.append((cell, idx, "X", o, *(("X", o) if r is None else free_end[r + 1])))
+    return pd.DataFrame(rows, columns=["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"])
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Compose the transition tables of consecutive ``idx`` (in order) into
+    one table for ``idx div fan-in``."""
+    pdf = pdf.sort_values("idx")
+    tables = []
+    for _, t in pdf.groupby("idx", sort=True):
+        tables.append({(k, o): (ek, eo) for k, o, ek, eo in
+                       zip(t["s_kind"], t["s_order"].where(t["s_order"].notna(), None),
+                           t["e_kind"], t["e_order"].where(t["e_order"].notna(), None))})
+    orders = {o for tb in tables for (_, o) in tb if o is not None}
+    starts = [("F", None)] + [(k, o) for o in orders for k in ("H", "X")]
+    cell, idx = int(pdf["cell"].iloc[0]), int(pdf["idx"].iloc[0]) // LEDGER_FANIN
+    rows = []
+    for st in starts:
+        cur = st
+        for tb in tables:
+            cur = tb.get(cur, cur)
+        rows.append((cell, idx, st[0], st[1], cur[0], cur[1]))
+    return pd.DataFrame(rows, columns=["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"])
+
+
+def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFrame:
     """Cell state from an action log ``(seq, cell, x, y, color, action,
     order_id)``; ``action = 'restore_all'`` rows (cell null) reset the grid.
 
-    Only actions after the last ``restore_all`` matter. The cut is one
-    global max (a one-row aggregate, broadcast). The per-cell fold is a
-    state machine whose next state depends on the current one, so it runs
-    as a streamed pass over rows hash-partitioned by cell and sorted by
-    (cell, seq) - Spark does the partitioning and sorting, a small Python
-    step walks the sorted rows with O(1) memory per cell."""
+    Only actions after the last ``restore_all`` matter (a one-row global
+    max, broadcast). Then: chunk summaries per ``(cell, seq div width)``
+    (applyInPandas over at most one chunk of rows), a tree of compositions
+    with bounded fan-in, and the final state of each cell applied to F.
+    Cells without live actions keep the default state."""
+    spark = ledger.sparkSession
     cut = (ledger.filter(F.col("action") == "restore_all")
            .agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cut"))
            .withColumn("_k", F.lit(0)))
     acts = ledger.filter(F.col("action") != "restore_all").withColumn("_k", F.lit(0))
     acts = acts.join(F.broadcast(cut), "_k", "inner").drop("_k")
     cells = acts.select("cell", "x", "y", "color").distinct()
-    live = acts.filter(F.col("seq") > F.col("_cut")).drop("_cut")
-    untouched = (cells.join(live.select("cell").distinct(), "cell", "left_anti")
-                 .select("cell", "x", "y", "color", F.lit(True).alias("filled"), F.lit(False).alias("reserved"),
-                         F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("string").alias("logged_by")))
-    folded = (live.select("cell", "x", "y", "color", "action", "order_id", "seq")
-              .repartition("cell").sortWithinPartitions("cell", "seq")
-              .mapInPandas(_fold_cells, LEDGER_OUT))
-    return folded.unionByName(untouched)
+    live = acts.filter(F.col("seq") > F.col("_cut")).select(
+        "cell", F.floor(F.col("seq") / chunk_width).cast("long").alias("idx"), "seq", "action", "order_id")
+    summ = live.groupBy("cell", "idx").applyInPandas(_summarise_chunk, SUMMARY)
+    summ = materialize(summ, "ledger-summaries")
+    span = summ.agg(F.max("idx")).first()[0]
+    level_span = int(span or 0)
+    while level_span > 0:
+        summ = summ.groupBy("cell", F.floor(F.col("idx") / LEDGER_FANIN).alias("_grp")) \
+            .applyInPandas(_compose, SUMMARY)
+        summ = materialize(summ, "ledger-level")
+        level_span //= LEDGER_FANIN
+    final = summ.filter(F.col("s_kind") == "F").select("cell", "e_kind", "e_order")
+    k, o = F.col("e_kind"), F.col("e_order")
+    out = cells.join(final, "cell", "left")
+    return out.select(
+        "cell", "x", "y", "color",
+        F.coalesce(k != "X", F.lit(True)).alias("filled"),
+        F.coalesce(k == "H", F.lit(False)).alias("reserved"),
+        F.when(k == "H", o).alias("order_id"),
+        F.when(k == "X", o).alias("logged_by"))

@@ -158,7 +158,7 @@ def test_trajectory_matches_simulation(spark):
 def test_ledger_matches_fold(spark):
     rng = random.Random(11)
     acts = []
-    for seq in range(1, 800):
+    for seq in range(1, 3000):
         cell = 0 if rng.random() < 0.4 else rng.randrange(1, 12)   # one hot cell
         acts.append((seq, cell, cell // 4, cell % 4, K.ORDER_COLOURS[cell % 4],
                      rng.choice(["reserve", "fetch", "restore"]), str(rng.randrange(3))))
@@ -175,6 +175,6 @@ def test_ledger_matches_fold(spark):
     df = spark.createDataFrame(acts, "seq long, cell long, x long, y long, color string, action string, "
                                      "order_id string")
     got = {r.cell: dict(filled=r.filled, holder=r.order_id, logged=r.logged_by)
-           for r in S.ledger_replay(df).collect()}
+           for r in S.ledger_replay(df, chunk_width=3).collect()}
     for cell, st in want.items():
         assert got[cell] == st, cell
