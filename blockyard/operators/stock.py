@@ -7,6 +7,8 @@ Requests: ``seq, order_id, count, color_raw`` in arrival order ``seq``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -255,21 +257,21 @@ LEDGER_CHUNK = 1 << 16
 LEDGER_FANIN = 256
 
 
-def _summarise_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    acts, ords = pdf["action"].tolist(), pdf["order_id"].tolist()
+def _summarise(cell: int, idx: int, acts: list, ords: list) -> list[tuple]:
+    """Transition table of one chunk (actions in seq order): a backward pass
+    with "next fetch/restore of this order" pointers, O(rows)."""
     n = len(acts)
     free_end = [None] * (n + 1)
     free_end[n] = ("F", None)
-    next_fr: dict = {}       # order -> (pos, action) of the nearest fetch/restore after p
-    next_r: dict = {}        # order -> pos of the nearest restore after p
+    next_fr: dict = {}        # order -> (pos, action) of the nearest fetch/restore after p
+    next_r: dict = {}         # order -> pos of the nearest restore after p
     restore_after: dict = {}  # fetch pos -> pos of the next restore of that order (or None)
 
-    def from_fetched(o, q):  # X(o) just after fetch position q
+    def from_fetched(o, q):   # X(o) just after fetch position q
         r = restore_after.get(q)
         return ("X", o) if r is None else free_end[r + 1]
 
-    def from_held(o, nfr):   # H(o) given the nearest fetch/restore of o
+    def from_held(o, nfr):    # H(o) given the nearest fetch/restore of o
         if nfr is None:
             return ("H", o)
         q, a = nfr
@@ -284,34 +286,79 @@ def _summarise_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         elif a == "restore":
             next_fr[o] = (p, a)
             next_r[o] = p
-    cell, idx = int(pdf["cell"].iloc[0]), int(pdf["idx"].iloc[0])
     rows = [(cell, idx, "F", None, *free_end[0])]
     for o in {x for x in ords if x is not None}:
         rows.append((cell, idx, "H", o, *from_held(o, next_fr.get(o))))
         r = next_r.get(o)
         rows.append((cell, idx, "X", o, *(("X", o) if r is None else free_end[r + 1])))
-    return pd.DataFrame(rows, columns=["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"])
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Compose the transition tables of consecutive ``idx`` (in order) into
-    one table for ``idx div fan-in``."""
-    pdf = pdf.sort_values("idx")
-    tables = []
-    for _, t in pdf.groupby("idx", sort=True):
-        tables.append({(k, o): (ek, eo) for k, o, ek, eo in
-                       zip(t["s_kind"], t["s_order"].where(t["s_order"].notna(), None),
-                           t["e_kind"], t["e_order"].where(t["e_order"].notna(), None))})
+    return rows
+
+
+def _compose(cell: int, idx: int, tables: list[dict]) -> list[tuple]:
+    """One table for a run of consecutive tables (applied in order)."""
     orders = {o for tb in tables for (_, o) in tb if o is not None}
-    starts = [("F", None)] + [(k, o) for o in orders for k in ("H", "X")]
-    cell, idx = int(pdf["cell"].iloc[0]), int(pdf["idx"].iloc[0]) // LEDGER_FANIN
     rows = []
-    for st in starts:
+    for st in [("F", None)] + [(k, o) for o in orders for k in ("H", "X")]:
         cur = st
         for tb in tables:
             cur = tb.get(cur, cur)
         rows.append((cell, idx, st[0], st[1], cur[0], cur[1]))
-    return pd.DataFrame(rows, columns=["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"])
+    return rows
+
+
+_SUMMARY_COLS = ["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"]
+
+
+def _none(v):
+    return None if v is None or (isinstance(v, float) and v != v) else v
+
+
+def _grouped(batches: Iterator[pd.DataFrame], key_cols: list[str], cols: list[str]):
+    """Walk rows sorted by ``key_cols`` across Arrow batches and yield
+    ``(key, {col: values})`` per group; only one group is buffered."""
+    cur, buf = None, None
+    for pdf in batches:
+        keys = list(zip(*[pdf[k].tolist() for k in key_cols]))
+        vals = [pdf[c].tolist() for c in cols]
+        for i, key in enumerate(keys):
+            if key != cur:
+                if cur is not None:
+                    yield cur, buf
+                cur, buf = key, {c: [] for c in cols}
+            for c, v in zip(cols, vals):
+                buf[c].append(v[i])
+    if cur is not None:
+        yield cur, buf
+
+
+def _summarise_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for (cell, idx), g in _grouped(batches, ["cell", "idx"], ["action", "order_id"]):
+        out += _summarise(int(cell), int(idx), g["action"], [_none(o) for o in g["order_id"]])
+        if len(out) >= 8192:
+            yield pd.DataFrame(out, columns=_SUMMARY_COLS)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=_SUMMARY_COLS)
+
+
+def _compose_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    cols = ["idx", "s_kind", "s_order", "e_kind", "e_order"]
+    for (cell, grp), g in _grouped(batches, ["cell", "_grp"], cols):
+        tables: list[dict] = []
+        last = None
+        for i, sk, so, ek, eo in zip(*[g[c] for c in cols]):
+            if i != last:
+                tables.append({})
+                last = i
+            tables[-1][(sk, _none(so))] = (ek, _none(eo))
+        out += _compose(int(cell), int(grp), tables)
+        if len(out) >= 8192:
+            yield pd.DataFrame(out, columns=_SUMMARY_COLS)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=_SUMMARY_COLS)
 
 
 def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFrame:
@@ -320,8 +367,9 @@ def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFra
 
     Only actions after the last ``restore_all`` matter (a one-row global
     max, broadcast). Then: chunk summaries per ``(cell, seq div width)``
-    (applyInPandas over at most one chunk of rows), a tree of compositions
-    with bounded fan-in, and the final state of each cell applied to F.
+    (a streamed pass over rows Spark partitions and sorts; one chunk buffered
+    at a time), a tree of compositions with bounded fan-in, and the final
+    state of each cell applied to F.
     Cells without live actions keep the default state."""
     spark = ledger.sparkSession
     cut = (ledger.filter(F.col("action") == "restore_all")
@@ -332,13 +380,17 @@ def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFra
     cells = acts.select("cell", "x", "y", "color").distinct()
     live = acts.filter(F.col("seq") > F.col("_cut")).select(
         "cell", F.floor(F.col("seq") / chunk_width).cast("long").alias("idx"), "seq", "action", "order_id")
-    summ = live.groupBy("cell", "idx").applyInPandas(_summarise_chunk, SUMMARY)
+    # Spark hash-partitions by (cell, chunk) and sorts; the summary step walks
+    # the sorted rows chunk by chunk (one chunk buffered at a time).
+    summ = (live.repartition("cell", "idx").sortWithinPartitions("cell", "idx", "seq")
+            .mapInPandas(_summarise_sorted, SUMMARY))
     summ = materialize(summ, "ledger-summaries")
     span = summ.agg(F.max("idx")).first()[0]
     level_span = int(span or 0)
     while level_span > 0:
-        summ = summ.groupBy("cell", F.floor(F.col("idx") / LEDGER_FANIN).alias("_grp")) \
-            .applyInPandas(_compose, SUMMARY)
+        grp = summ.withColumn("_grp", F.floor(F.col("idx") / LEDGER_FANIN).cast("long"))
+        summ = (grp.repartition("cell", "_grp").sortWithinPartitions("cell", "_grp", "idx")
+                .mapInPandas(_compose_sorted, SUMMARY))
         summ = materialize(summ, "ledger-level")
         level_span //= LEDGER_FANIN
     final = summ.filter(F.col("s_kind") == "F").select("cell", "e_kind", "e_order")

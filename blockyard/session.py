@@ -45,9 +45,42 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``blockyard`` importable in the Python workers (the state
+    machines run there): zip the package into the shared checkpoint folder
+    and ``addPyFile`` it, once per SparkContext."""
+    import io
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_blockyard_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("blockyard", os.path.relpath(full, pkg_dir)))
+    target = f"{checkpoint_dir(spark).rstrip('/')}/pyfiles-{uuid.uuid4().hex}/blockyard.zip"
+    jvm = sc._jvm
+    p = jvm.org.apache.hadoop.fs.Path(target)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(p).toString()))
+    sc._blockyard_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; set one only when
     it is unset (local mode)."""
