@@ -14,10 +14,10 @@ cut each key into ordered *chunks* (a monotone bucket of the ordering, e.g.
    ``(key, chunk)``, so one hot key is spread over many tasks,
 4. combine: ``prefix (+ or max) within``.
 
-Step 3 runs first and step 1 reads its output, so both share one hash
-shuffle of the input on ``(key, chunk)`` (exchange reuse): the input is
-computed once. The join in 4 is an equi-join on ``(key, chunk)`` against
-the small table;
+Steps 1 and 3 each read the input (1 only its key, chunk and value
+columns, pre-aggregated map-side); for an expensive input, pass
+``stage=True`` to write it once to the checkpoint folder. The join in 4 is
+an equi-join on ``(key, chunk)`` against the small table;
 AQE turns it into a broadcast at run time when the measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and keeps the shuffle join beyond.
 """
@@ -52,12 +52,11 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     ``specs``: ``(value, out, how)`` or ``(value, out, how, inclusive)`` with
     ``how`` in sum / max / min.
 
-    Plan: the within-chunk window (partitioned by ``(key, chunk)``) runs
-    first; the chunk totals are read off its output (the inclusive running
-    value at each chunk's last row), so both branches share the identical
-    scan -> shuffle -> window subtree and Spark reuses the shuffle: the input
-    is computed and shuffled once. When none of the outputs is used,
-    Catalyst prunes the window and eliminates the join.
+    Plan: chunk totals by a partial (map-side) hash aggregation of the
+    input; an exclusive prefix over the small totals table; the within-chunk
+    running values by a window partitioned by ``(key, chunk)``; an
+    equi-join on ``(key, chunk)`` adds the prefix. When none of the outputs
+    is used, Catalyst prunes the window and eliminates the join.
 
     ``stage=True`` first writes the input to the shared checkpoint folder
     (a lineage cut): use it when the input is itself the output of earlier
@@ -75,28 +74,22 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     d = df.withColumn(_CHUNK, chunk)
     norm = [(v, o, h, (rest[0] if rest else True)) for v, o, h, *rest in specs]
 
+    # chunk totals: a partial (map-side) hash aggregation of the input
+    totals = d.groupBy(*keys).agg(*[aggs[h](v).alias(f"{_TOT}{i}") for i, (v, _, h, _) in enumerate(norm)])
+    wb = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, *[aggs[h](F.col(f"{_TOT}{i}")).over(wb).alias(f"{_BASE}{i}")
+                                   for i, (_, _, h, _) in enumerate(norm)])
+    # within-chunk running values: a window partitioned by (key, chunk)
     wi_in = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     wi_ex = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     wcols = []
     for i, (v, _, how, inclusive) in enumerate(norm):
-        wcols.append(aggs[how](v).over(wi_in).alias(f"_wi{i}"))
-        if not inclusive:
-            wcols.append(aggs[how](v).over(wi_ex).alias(f"_we{i}"))
+        wcols.append(aggs[how](v).over(wi_in if inclusive else wi_ex).alias(f"_wi{i}"))
     w = d.select("*", *wcols)
-
-    last = F.struct(*order_cols)
-    tots = []
-    for i, (_, _, how, _) in enumerate(norm):
-        wi = F.col(f"_wi{i}")
-        tots.append((F.max_by(wi, last) if how == "sum" else aggs[how](wi)).alias(f"{_TOT}{i}"))
-    totals = w.groupBy(*keys).agg(*tots)
-    wb = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, *[aggs[h](F.col(f"{_TOT}{i}")).over(wb).alias(f"{_BASE}{i}")
-                                   for i, (_, _, h, _) in enumerate(norm)])
     j = w.join(bases, keys, "left")
     outs = []
     for i, (v, out, how, inclusive) in enumerate(norm):
-        within = F.col(f"_wi{i}") if inclusive else F.col(f"_we{i}")
+        within = F.col(f"_wi{i}")
         base = F.col(f"{_BASE}{i}")
         if how == "sum":
             # SQL semantics: a sum over no non-null value is null
@@ -107,8 +100,7 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
         else:
             combined = F.least(base, within)
         outs.append(combined.alias(out))
-    drop = ([f"{_BASE}{i}" for i in range(len(norm))] + [f"_wi{i}" for i in range(len(norm))]
-            + [f"_we{i}" for i, s in enumerate(norm) if not s[3]] + [_CHUNK])
+    drop = [f"{_BASE}{i}" for i in range(len(norm))] + [f"_wi{i}" for i in range(len(norm))] + [_CHUNK]
     return j.select("*", *outs).drop(*drop)
 
 
