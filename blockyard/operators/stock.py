@@ -122,6 +122,8 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
     cur = ok.filter(~F.col("_held")).select("seq", "order_id", "color", "count",
                                             F.col("free").cast("long").alias("_rem"))
     for _ in range(int(max_count)):
+        if cur.isEmpty():  # later rounds are usually small or empty
+            break
         firsts = cur.groupBy("order_id").agg(F.min("seq").alias("_f"))
         c = cur.join(firsts, "order_id", "inner")
         eff = F.when(F.col("seq") == F.col("_f"), F.col("count")).otherwise(F.lit(0)).cast("long")
@@ -253,7 +255,7 @@ def restore_all(cells: DataFrame) -> DataFrame:
 # fan-in. A hot cell is spread over many chunks; no group grows with the data.
 
 SUMMARY = "cell long, idx long, s_kind string, s_order string, e_kind string, e_order string"
-LEDGER_CHUNK = 1 << 16
+LEDGER_CHUNK = 1 << 20
 LEDGER_FANIN = 256
 
 

@@ -17,6 +17,9 @@ from blockyard.session import table
 
 # Chunk widths for the skew-safe row numbers (units of the ordering key).
 SEQ_CHUNK = 1 << 20
+# The global numbering (no key) uses narrower chunks so it spreads over
+# tasks; its prefix table stays small (rows / width).
+GLOBAL_CHUNK = 1 << 16
 
 
 def _case(col: F.Column, mapping: list, default=None) -> F.Column:
@@ -260,7 +263,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V11 cell action log: global seq in L4 order, one restore_all at half
     of the highest seq (marked by ``restore_all_after``)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    li = row_number(li, [], _l4(li), "seq", chunk_of("l_orderkey", SEQ_CHUNK))
+    li = row_number(li, [], _l4(li), "seq", chunk_of("l_orderkey", GLOBAL_CHUNK))
     n = F.col("l_linenumber") % 3
     pk = F.col("l_partkey")
     acts = li.select(
