@@ -64,8 +64,8 @@ def target_reached(series: DataFrame, topics: Sequence[str], target: int, by: st
     d = (F.broadcast(wanted).join(counts, by, "left")
          .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
          .withColumn("reached", F.col("n") >= target))
-    allr = d.agg(F.bool_and("reached").alias("all_reached")).withColumn("_k", F.lit(0))
-    return d.withColumn("_k", F.lit(0)).join(F.broadcast(allr), "_k").drop("_k")
+    # every-topic flag as a scalar subquery (evaluated once, no join)
+    return d.withColumn("all_reached", d.agg(F.bool_and("reached")).scalar())
 
 
 def partition_lag(log: DataFrame, commits: DataFrame, log_start: DataFrame | None = None) -> DataFrame:
@@ -99,11 +99,14 @@ def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int) -> DataFrame:
     d = d.join(F.broadcast(commits.select("partition", "committed")), "partition", "left")
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
     ch = chunk_of("tick_no", 1 << 16)
-    d = running_many(d, ["partition"], ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch)
+    # the tick table has (partitions x ticks) rows: staging it is cheap and
+    # keeps the two running passes from re-expanding the log plan
+    d = running_many(d, ["partition"], ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch, stage=True)
     lag = F.when(c >= 0, F.col("log_end") - c)
     d = d.select("partition", "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
     d = running_many(d, ["partition"], ["tick_no"],
-                     [last_spec(F.col("tick_no"), F.struct(F.col("lag").alias("v")), "_prev", inclusive=False)], ch)
+                     [last_spec(F.col("tick_no"), F.struct(F.col("lag").alias("v")), "_prev", inclusive=False)], ch,
+                     stage=True)
     d = unpack_last(d, "_prev")
     return d.select("partition", "tick_start", "log_end", "committed", "lag",
                     (F.col("lag") - F.col("_prev.v")).alias("growth"))

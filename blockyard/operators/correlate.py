@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["order_id", "correlation_id"]
+# outcome kinds as codes: fixed-width aggregation buffers (hash aggregation)
+KINDS = ["complete", "error"]
+
+
+def _first_outcome(j: DataFrame) -> DataFrame:
+    """Earliest outcome per waiting order: min_by per column (ts unique).
+    Orders without an in-window outcome (left join) keep null columns."""
+    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
+    g = j.withColumn("_kind", code).groupBy(*KEYS, "start_ts").agg(
+        F.min_by("event_id", F.col("ts")).alias("event_id"),
+        F.min_by("_kind", F.col("ts")).alias("_kind"),
+        F.min("ts").alias("ts"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return g.withColumn("kind", F.when(F.col("_kind") > 0, F.element_at(names, F.col("_kind")))).drop("_kind")
 
 
 def keys_present(events: DataFrame) -> DataFrame:
@@ -35,9 +49,7 @@ def correlate_outcomes(waiting: DataFrame, outcomes: DataFrame, timeout_s: int)
     outcome in its window (an order stops waiting at the first one).
     ``min_by`` is a partial aggregation - no per-order sort."""
     j = _in_window(waiting, outcomes, timeout_s, "inner")
-    first = F.min_by(F.struct("event_id", "kind", "ts"), F.col("ts"))
-    return (j.groupBy(*KEYS, "start_ts").agg(first.alias("o"))
-            .select(*KEYS, "start_ts", "o.event_id", "o.kind", "o.ts"))
+    return _first_outcome(j).select(*KEYS, "start_ts", "event_id", "kind", "ts")
 
 
 def duplicate_waiting(waiting: DataFrame) -> DataFrame:
@@ -55,13 +67,12 @@ def order_race(waiting: DataFrame, outcomes: DataFrame, timeout_s: int) -> DataF
     """Per waiting order the earliest of complete / error / timeout wins.
     ``winner`` in (complete, error, timeout); ``decided_ts`` its time."""
     j = _in_window(waiting, outcomes, timeout_s, "left")
-    first = F.min_by(F.struct("event_id", "kind", "ts"), F.col("ts"))
-    g = j.groupBy(*KEYS, "start_ts").agg(first.alias("o"))
+    g = _first_outcome(j)
     return g.select(
         *KEYS, "start_ts",
-        F.coalesce(F.col("o.kind"), F.lit("timeout")).alias("winner"),
-        F.col("o.event_id").alias("event_id"),
-        F.coalesce(F.col("o.ts"), _deadline("start_ts", timeout_s)).alias("decided_ts"))
+        F.coalesce(F.col("kind"), F.lit("timeout")).alias("winner"),
+        "event_id",
+        F.coalesce(F.col("ts"), _deadline("start_ts", timeout_s)).alias("decided_ts"))
 
 
 def assembly_timeout(waiting: DataFrame, outcomes: DataFrame, timeout_s: int) -> DataFrame:

@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import assembly_plan
-from blockyard.operators.sequencing import (chunk_of, last_spec, last_value, row_number, running_many,
+from blockyard.operators.sequencing import (chunk_of, last_spec, row_number, running_many,
                                             unpack_last)
 
 SEQ_CHUNK = 1 << 20
 
 
 def state_change_only(df: DataFrame, by: Sequence[str], order: str, state: Sequence[str],
-                      chunk: F.Column | None = None) -> DataFrame:
+                      chunk: F.Column | None = None, stage: bool = False) -> DataFrame:
     """Keep the first row of each key and then only rows whose state
-    differs (null-safe) from the previous row's state."""
+    differs (null-safe) from the previous row's state. ``stage`` writes the
+    input once first (use it when the input is itself a running pass)."""
     packed = F.struct(*[F.col(s) for s in state])
-    d = last_value(df, list(by), [order], F.col(order), packed, "_prev",
-                   chunk if chunk is not None else chunk_of(order, SEQ_CHUNK), inclusive=False)
+    ch = chunk if chunk is not None else chunk_of(order, SEQ_CHUNK)
+    d = running_many(df, list(by), [order], [last_spec(F.col(order), packed, "_prev", inclusive=False)], ch,
+                     stage=stage)
+    d = unpack_last(d, "_prev")
     same = F.lit(True)
     for s in state:
         same = same & F.col(f"_prev.{s}").eqNullSafe(F.col(s))
@@ -55,9 +58,11 @@ def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
 
 def final_position(traj: DataFrame) -> DataFrame:
     """Last position per robot (partial aggregation with max_by)."""
-    last = F.max_by(F.struct("px", "py", "pz", "pr", "suction"), F.col("seq"))
-    return (traj.groupBy("robot").agg(last.alias("l"), F.max("seq").alias("n_commands"))
-            .select("robot", "n_commands", "l.px", "l.py", "l.pz", "l.pr", "l.suction"))
+    # one max_by per column: fixed-width buffers keep it a hash aggregation
+    seq = F.col("seq")
+    return traj.groupBy("robot").agg(
+        F.max("seq").alias("n_commands"),
+        *[F.max_by(c, seq).alias(c) for c in ("px", "py", "pz", "pr", "suction")])
 
 
 def assembly_zip(positions: DataFrame, orders: DataFrame) -> DataFrame:

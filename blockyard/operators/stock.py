@@ -201,10 +201,13 @@ def fetch(requests: DataFrame, cells: DataFrame) -> DataFrame:
     cell); a request finding nothing gets one 404 row."""
     r = _first_of_key(requests.select("seq", "order_id"), "order_id", "seq", "_first")
     held = cells.filter(F.col("filled") & F.col("order_id").isNotNull()).select("order_id", "x", "y", "color")
-    hit = r.filter("_first").join(held, "order_id", "inner").select(
+    holders = held.groupBy("order_id").agg(F.lit(True).alias("_holds"))
+    r = r.join(holders, "order_id", "left")
+    found = F.col("_first") & F.coalesce(F.col("_holds"), F.lit(False))
+    hit = r.filter(found).join(held, "order_id", "inner").select(
         "seq", "order_id", F.lit(200).alias("status"), "x", "y", "color",
         F.lit(None).cast("string").alias("message"))
-    miss = r.join(hit.select("seq").distinct(), "seq", "left_anti").select(
+    miss = r.filter(~found).select(
         "seq", "order_id", F.lit(404).alias("status"), F.lit(None).cast("long").alias("x"),
         F.lit(None).cast("long").alias("y"), F.lit(None).cast("string").alias("color"),
         F.concat(F.lit("No reserved blocks found for order '"), F.col("order_id"), F.lit("'")).alias("message"))
@@ -367,20 +370,19 @@ def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFra
     """Cell state from an action log ``(seq, cell, x, y, color, action,
     order_id)``; ``action = 'restore_all'`` rows (cell null) reset the grid.
 
-    Only actions after the last ``restore_all`` matter (a one-row global
-    max, broadcast). Then: chunk summaries per ``(cell, seq div width)``
+    Only actions after the last ``restore_all`` matter (a global max as a
+    scalar subquery). Then: chunk summaries per ``(cell, seq div width)``
     (a streamed pass over rows Spark partitions and sorts; one chunk buffered
     at a time), a tree of compositions with bounded fan-in, and the final
     state of each cell applied to F.
     Cells without live actions keep the default state."""
     spark = ledger.sparkSession
+    # the cut is a scalar subquery: computed once, inlined as a value (no join)
     cut = (ledger.filter(F.col("action") == "restore_all")
-           .agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cut"))
-           .withColumn("_k", F.lit(0)))
-    acts = ledger.filter(F.col("action") != "restore_all").withColumn("_k", F.lit(0))
-    acts = acts.join(F.broadcast(cut), "_k", "inner").drop("_k")
+           .agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cut")).scalar())
+    acts = ledger.filter(F.col("action") != "restore_all")
     cells = acts.select("cell", "x", "y", "color").distinct()
-    live = acts.filter(F.col("seq") > F.col("_cut")).select(
+    live = acts.filter(F.col("seq") > cut).select(
         "cell", F.floor(F.col("seq") / chunk_width).cast("long").alias("idx"), "seq", "action", "order_id")
     # Spark hash-partitions by (cell, chunk) and sorts; the summary step walks
     # the sorted rows chunk by chunk (one chunk buffered at a time).

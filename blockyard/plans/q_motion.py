@@ -57,7 +57,7 @@ SELECT robot, seq, suck FROM (
 WHERE rn = 1 OR prev IS DISTINCT FROM suck""", ("commands",))
 def q_state_change(spark, sf):
     c = V.commands(spark, sf).filter(F.col("kind") == "SuctionCupCommand").select("robot", "seq", "suck")
-    return M.state_change_only(c, ["robot"], "seq", ["suck"])
+    return M.state_change_only(c, ["robot"], "seq", ["suck"], stage=True)
 
 
 RETRY_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -177,13 +177,14 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_ends(v1: DataFrame) -> DataFrame:
-    """Highest offset per partition (partial aggregation; one row each)."""
-    return v1.groupBy("partition").agg(F.max("offset").alias("m"))
+    """Highest offset per partition. Offsets are dense from 0, so it is the
+    partition's row count - 1: a partial count, no offset numbering."""
+    return v1.groupBy("partition").agg((F.count(F.lit(1)) - 1).alias("m"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 committed and processed offsets per partition (p3 has none)."""
-    m = partition_ends(event_log(spark, sf_dir))
+    m = partition_ends(event_log(spark, sf_dir, offsets=False))
     p, mm = F.col("partition"), F.col("m")
     committed = (F.when(p == 0, F.floor(mm * 0.6)).when(p == 1, F.floor(mm * 0.9))
                  .when(p == 2, F.floor(mm * 0.2))).cast("long")
@@ -195,7 +196,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 log start per partition (retention moved p2 to half way)."""
-    m = partition_ends(event_log(spark, sf_dir))
+    m = partition_ends(event_log(spark, sf_dir, offsets=False))
     return m.select("partition", F.when(F.col("partition") == 2, F.floor(F.col("m") * 0.5))
                     .otherwise(F.lit(0)).cast("long").alias("log_start"))
 
