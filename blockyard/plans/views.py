@@ -138,15 +138,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 reservation requests from orders, with repeats and HTTP status."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    base = o.select(
-        k.alias("seq"), k.cast("string").alias("order_id"),
+    # one scan: every 10th order also arrives again as a repeat (seq + 10^7)
+    shift = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(10000000))).otherwise(F.array(F.lit(0))))
+    o = o.select("o_orderkey", shift.alias("_shift"))
+    r = o.select(
+        (k + F.col("_shift")).alias("seq"), k.cast("string").alias("order_id"),
         F.when(k % 97 == 0, F.lit("sofa")).otherwise(_case(k % 4, list(enumerate(RAW_ITEMS)))).alias("item_raw"),
         F.when(k % 89 == 0, F.lit("purple"))
          .otherwise(_case(F.expr("(o_orderkey div 4) % 4"), list(enumerate(RAW_COLOURS)))).alias("color_raw"),
         _case(k % 7, [(5, 409), (6, 503)], 200).alias("status"))
-    repeat = (base.filter(F.col("seq") % 10 == 0)
-              .withColumn("seq", F.col("seq") + 10000000))
-    r = base.unionByName(repeat)
     item = enum_normalise("item_raw", K.ITEM_TYPES)
     return r.withColumn("item", item).withColumn("count", block_count("item"))
 
