@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from blockyard import constants as K
 from blockyard.functions import event_step, item_type_from_text
-from blockyard.operators.sequencing import chunk_of, running
-
-SEQ_CHUNK = 1 << 20
-
 
 def ms_to_ts(ms) -> F.Column:
     """Epoch ms -> TIMESTAMP_NTZ (UTC wall clock), no session zone."""
@@ -46,47 +42,59 @@ def dashboard_events(log: DataFrame) -> DataFrame:
         field("timestamp").try_cast("bigint").alias("timestamp_ms"))
 
 
-def order_tracker(events: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
+def order_tracker(events: DataFrame, chunk_width: int | None = None) -> DataFrame:
     """Fold events (arrival order = ``seq``) into one status row per order.
 
     Start at step 0 on the first event; a detected step is accepted when it
-    is >= the current step (= running max of earlier detected steps), sets
-    the step and overwrites ``failed``; a step time is recorded on a rise
-    only; item type = last non-null; ``last_ts`` = last event.
-
-    Plan: one skew-safe running max (chunked by seq) + one partial
-    aggregation per order. No per-order collect."""
+    is >= the current step (= max of earlier detected steps), sets the step
+    and overwrites ``failed``; a step time is recorded on a rise only; item
+    type = last non-null; ``last_ts`` = last event.
+
+    The fold reduces to order-free facts, so the whole tracker is ONE
+    partial (map-side) aggregation per order - no window, no per-order sort,
+    so a hot order is pre-aggregated on every task:
+      * step = max detected step (floored at 0);
+      * the last accepted event is the last event carrying that max step, so
+        ``failed`` = max_by over the packed key (step, seq);
+      * step s rises (and records its time) iff the first event with step s
+        comes before the first event with any higher step.
+    ``chunk_width`` is accepted for API compatibility and unused."""
     e = events.filter(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
     det = event_step("message", "is_error", "info_title")
     # item type as a small int code: fixed-width aggregation buffers keep the
-    # final aggregation a hash aggregation (a string buffer forces a sort)
+    # aggregation a hash aggregation (a string buffer forces a sort)
     item = item_type_from_text("message", "info_text")
     code = F.array_position(F.array(*[F.lit(t) for t in K.ITEM_TYPES]), item)
-    e = e.select("*", det["step"].alias("step_d"), det["failed"].alias("failed_d"),
-                 F.when(code > 0, code).cast("int").alias("item"))
-    e = running(e, ["order_id"], ["seq"], F.col("step_d"), "prev_max", "max",
-                chunk_of("seq", chunk_width), inclusive=False)
-    cur = F.greatest(F.lit(0), F.coalesce("prev_max", F.lit(0)))
-    accepted = F.col("step_d") >= cur
-    rise = accepted & (F.col("step_d") > cur)
-    ts_ms = F.col("timestamp_ms")
+    e = e.select("order_id", "seq", "ts", "timestamp_ms", det["step"].alias("step_d"),
+                 det["failed"].alias("failed_d"), F.when(code > 0, code).cast("int").alias("item"))
+    ts_ms, seq, step_d = F.col("timestamp_ms"), F.col("seq"), F.col("step_d")
     step_time = F.when(ts_ms.isNotNull() & (ts_ms != 0), ms_to_ts(ts_ms)).otherwise(F.col("ts"))
+    # (step, seq) packed into one long: step in the top bits (seq < 2^44)
+    step_then_seq = F.when(step_d.isNotNull(), F.shiftleft(step_d.cast("long"), 44) + seq)
+    aggs = [
+        F.max(step_d).alias("_max_step"),
+        F.max_by("failed_d", step_then_seq).alias("_failed"),
+        F.max_by("item", F.when(F.col("item").isNotNull(), seq)).alias("item_code"),
+        F.min("ts").alias("t0"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"),
+    ]
+    for s_ in (1, 2, 3):
+        aggs += [F.min(F.when(step_d == s_, seq)).alias(f"_first{s_}"),
+                 F.min_by(step_time, F.when(step_d == s_, seq)).alias(f"_time{s_}"),
+                 F.min(F.when(step_d > s_, seq)).alias(f"_above{s_}")]
+    g = e.groupBy("order_id").agg(*aggs)
+
+    def rise(s_):
+        above = F.col(f"_above{s_}")
+        return F.when(F.col(f"_first{s_}").isNotNull() & (above.isNull() | (F.col(f"_first{s_}") < above)),
+                      F.col(f"_time{s_}")).alias(f"t{s_}")
 
-    def rise_time(s):
-        return F.min(F.when(rise & (F.col("step_d") == s), step_time)).alias(f"t{s}")
-
-    g = e.groupBy("order_id").agg(
-        F.greatest(F.lit(0), F.coalesce(F.max("step_d"), F.lit(0))).cast("int").alias("step"),
-        F.coalesce(F.max_by("failed_d", F.when(accepted, F.col("seq"))), F.lit(False)).alias("failed"),
-        F.max_by("item", F.when(F.col("item").isNotNull(), F.col("seq"))).alias("item_code"),
-        F.min("ts").alias("t0"), rise_time(1), rise_time(2), rise_time(3),
-        F.max("ts").alias("last_ts"),
-        F.count(F.lit(1)).alias("n_events"))
     names = F.array(*[F.lit(t) for t in K.ITEM_TYPES])
     # guard the lookup: element_at with a NULL index does not reliably give NULL
     item_type = F.when(F.col("item_code").isNotNull(), F.element_at(names, F.col("item_code")))
-    return g.select("order_id", "step", "failed", item_type.alias("item_type"),
-                    "t0", "t1", "t2", "t3", "last_ts", "n_events")
+    return g.select(
+        "order_id", F.greatest(F.lit(0), F.coalesce("_max_step", F.lit(0))).cast("int").alias("step"),
+        F.coalesce("_failed", F.lit(False)).alias("failed"), item_type.alias("item_type"),
+        "t0", rise(1), rise(2), rise(3), "last_ts", "n_events")
 
 
 def tracker_steps(tracker: DataFrame) -> DataFrame:
