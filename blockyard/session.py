@@ -101,6 +101,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MAX_BYTES = 1 << 30
 
 
 def _input_bytes(spark: SparkSession, path: str) -> int:
@@ -113,18 +114,20 @@ def _input_bytes(spark: SparkSession, path: str) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; parquet scan with pushdown and pruning.
 
-    Input-parallelism guard: a scan that yields fewer splits than the
-    cluster has cores (e.g. one large file with a single row group) would
-    run all per-row work before the first shuffle in that many tasks. Such
-    an input (above 1 MB) gets a round-robin spread to the default
-    parallelism right after the scan; filters and column pruning still reach
-    the scan. Inputs with enough splits (the normal large-scale case) are
-    left alone."""
+    Input-parallelism guard: a scan with very few splits (at most a quarter
+    of the cores, e.g. a file with a single row group) would run all per-row
+    work before the first shuffle in those few tasks. Such an input (1 MB -
+    1 GB) gets a round-robin spread to the default parallelism right after
+    the scan; column pruning and parquet-pushable filters still reach the
+    scan (so do other deterministic filters, which then run before the
+    spread). Inputs with enough splits - the normal large-scale case - and
+    large inputs are read as is, so the guard never reshuffles big tables."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     target = spark.sparkContext.defaultParallelism
     try:
-        if df.rdd.getNumPartitions() < target and _input_bytes(spark, path) > SPREAD_MIN_BYTES:
+        if df.rdd.getNumPartitions() * 4 <= target and \
+                SPREAD_MIN_BYTES < _input_bytes(spark, path) <= SPREAD_MAX_BYTES:
             df = df.repartition(target)
     except Exception:  # noqa: BLE001 - the guard is an optimisation only
         pass
