@@ -146,8 +146,9 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
 
     d = ok.join(granted, "seq", "left").withColumn("_granted", F.coalesce("_granted", F.lit(False)))
     gcount = F.when(F.col("_granted"), F.col("count")).otherwise(F.lit(0)).cast("long")
-    d = materialize(running(d, ["color"], ["seq"], gcount, "_used_before", "sum", chunk, inclusive=False),
-                    "reserve-decided")
+    # inputs here are the written request table and the small round tables,
+    # so this last pass needs no lineage cut of its own
+    d = running(d, ["color"], ["seq"], gcount, "_used_before", "sum", chunk, inclusive=False)
     d = d.withColumn("avail", F.col("free") - F.coalesce("_used_before", F.lit(0)))
     # A request is a duplicate once an earlier request of its order was
     # granted (the order then holds cells).
