@@ -42,7 +42,8 @@ def topic_tag_with_fallback(value, topic) -> Column:
     kept = F.map_filter(fields, lambda k, _: k != F.lit("_topic"))
     topic_v = F.variant_get(F.parse_json(F.to_json(F.array(t))), "$[0]", "variant")
     tagged = F.to_json(F.map_concat(kept, F.create_map(F.lit("_topic"), topic_v)))
-    fallback = F.to_json(F.struct(v.alias("message"), t.alias("_topic")))
+    # the raw text is kept even when null: {"message": null, "_topic": ...}
+    fallback = F.to_json(F.struct(v.alias("message"), t.alias("_topic")), {"ignoreNullFields": "false"})
     return F.when(is_json_object(v), tagged).otherwise(fallback)
 
 
