@@ -25,6 +25,17 @@ HEADLINE = [
 ]
 
 
+# input table of each headline query (for input rows per second)
+INPUT = {
+    "events": ["order_tracker", "recent_orders", "tracker_steps", "topic_tag_with_fallback", "latency_summary",
+               "throughput", "progress_ticks", "partition_lag", "lag_growth", "redeliveries",
+               "correlate_outcomes", "order_race", "uncorrelated_events", "next_reading"],
+    "lineitem": ["colour_mismatch", "lux_cct", "trajectory", "final_position", "retry_attempts", "ledger_replay"],
+    "orders": ["reserve_results", "reserve", "fetch", "restore_order"],
+    "part": ["stock_by_colour"],
+}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,7 +57,9 @@ def main() -> None:
     times = {}
     for n in chosen:
         times[n] = round(run(n), 3)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    sizes = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in INPUT}
+    events = sizes["events"]
+    rate = {q: round(sizes[t] / times[q]) for t, qs in INPUT.items() for q in qs if q in times and times[q] > 0}
     total = round(sum(times.values()), 3)
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
@@ -54,6 +67,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "events": events,
         "tracker_events_per_sec": round(events / times["order_tracker"], 1) if "order_tracker" in times else None,
+        "input_rows_per_sec": rate,
     }))
     spark.stop()
 
