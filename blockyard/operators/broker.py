@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import epoch_ms, safe_epoch
-from blockyard.operators.sequencing import chunk_of, last_spec, row_number, running_many, unpack_last
+from blockyard.operators.sequencing import chunk_of, row_number, running_many
 
 SEQ_CHUNK = 1 << 20
 
@@ -104,12 +104,9 @@ def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int) -> DataFrame:
     d = running_many(d, ["partition"], ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch, stage=True)
     lag = F.when(c >= 0, F.col("log_end") - c)
     d = d.select("partition", "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
-    d = running_many(d, ["partition"], ["tick_no"],
-                     [last_spec(F.col("tick_no"), F.struct(F.col("lag").alias("v")), "_prev", inclusive=False)], ch,
-                     stage=True)
-    d = unpack_last(d, "_prev")
+    d = running_many(d, ["partition"], ["tick_no"], [(F.col("lag"), "_prev_lag", "prev")], ch, stage=True)
     return d.select("partition", "tick_start", "log_end", "committed", "lag",
-                    (F.col("lag") - F.col("_prev.v")).alias("growth"))
+                    (F.col("lag") - F.col("_prev_lag")).alias("growth"))
 
 
 def redeliveries(deliveries: DataFrame) -> DataFrame:

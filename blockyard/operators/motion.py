@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import assembly_plan
-from blockyard.operators.sequencing import (chunk_of, last_spec, row_number, running_many,
-                                            unpack_last)
+from blockyard.operators.sequencing import chunk_of, row_number, running_many
 
 SEQ_CHUNK = 1 << 20
 
@@ -20,15 +19,13 @@ def state_change_only(df: DataFrame, by: Sequence[str], order: str, state: Seque
     """Keep the first row of each key and then only rows whose state
     differs (null-safe) from the previous row's state. ``stage`` writes the
     input once first (use it when the input is itself a running pass)."""
-    packed = F.struct(*[F.col(s) for s in state])
     ch = chunk if chunk is not None else chunk_of(order, SEQ_CHUNK)
-    d = running_many(df, list(by), [order], [last_spec(F.col(order), packed, "_prev", inclusive=False)], ch,
-                     stage=stage)
-    d = unpack_last(d, "_prev")
+    specs = [(F.col(order), "_prev_rank", "prev")] + [(F.col(s), f"_prev_{s}", "prev") for s in state]
+    d = running_many(df, list(by), [order], specs, ch, stage=stage)
     same = F.lit(True)
     for s in state:
-        same = same & F.col(f"_prev.{s}").eqNullSafe(F.col(s))
-    return d.filter(F.col("_prev").isNull() | ~same).drop("_prev")
+        same = same & F.col(f"_prev_{s}").eqNullSafe(F.col(s))
+    return d.filter(F.col("_prev_rank").isNull() | ~same).drop("_prev_rank", *[f"_prev_{s}" for s in state])
 
 
 def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
@@ -47,12 +44,14 @@ def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     sums = [(F.when(rel, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.lit(0.0)), f"_s{a}", "sum")
             for a in axes]
     d = running_many(commands, ["robot"], ["seq"], sums, ch, stage=True)
-    anchor = F.struct(*[(F.when(k == "HomeCommand", F.lit(0.0)).otherwise(F.coalesce(F.col(a), F.lit(0.0)))
-                         - F.col(f"_s{a}")).alias(a) for a in axes])
-    d = running_many(d, ["robot"], ["seq"], [last_spec(F.col("seq"), F.when(absolute, anchor), "_anc"),
-                                             last_spec(F.col("seq"), F.col("suck"), "suction")], ch, stage=True)
-    d = unpack_last(d, "_anc", "suction")
-    pos = [(F.coalesce(F.col(f"_anc.{a}"), F.lit(0.0)) + F.col(f"_s{a}")).alias(f"p{a}") for a in axes]
+    def anchor(a):
+        at = F.when(k == "HomeCommand", F.lit(0.0)).otherwise(F.coalesce(F.col(a), F.lit(0.0)))
+        return F.when(absolute, at - F.col(f"_s{a}"))
+
+    # one "last" per axis: plain double columns, fixed-width aggregation buffers
+    d = running_many(d, ["robot"], ["seq"], [(anchor(a), f"_anc{a}", "last") for a in axes]
+                     + [(F.col("suck"), "suction", "last")], ch, stage=True)
+    pos = [(F.coalesce(F.col(f"_anc{a}"), F.lit(0.0)) + F.col(f"_s{a}")).alias(f"p{a}") for a in axes]
     return d.select("robot", "seq", "kind", *pos, "suction")
 
 

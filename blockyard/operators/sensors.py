@@ -52,9 +52,15 @@ def next_reading(probes: DataFrame, readings: DataFrame, tolerance_s: int = K.SE
          .rowsBetween(Window.unboundedPreceding, -1))
     u = u.withColumn("nxt", F.last("rd", ignorenulls=True).over(w))
     probed = u.filter(F.col("kind") == 0)
-    firsts = (rd.withColumn("chunk", F.floor(epoch_ms("ts") / width).cast("long"))
-              .groupBy("sensor", "chunk").agg(F.min_by("rd", F.col("ts")).alias("first_next"))
-              .withColumn("chunk", F.col("chunk") - 1))
+    # first reading per (sensor, chunk): one min_by per column (fixed-width
+    # buffers -> hash aggregation), re-packed afterwards
+    firsts = (readings.withColumn("chunk", F.floor(epoch_ms("ts") / width).cast("long"))
+              .groupBy("sensor", "chunk")
+              .agg(F.min_by("id", F.col("ts")).alias("_id"), F.min("ts").alias("_ts"),
+                   F.min_by("distance", F.col("ts")).alias("_d"))
+              .select("sensor", (F.col("chunk") - 1).alias("chunk"),
+                      F.struct(F.col("_id").alias("reading_id"), F.col("_ts").alias("reading_ts"),
+                               F.col("_d").alias("distance")).alias("first_next")))
     j = probed.join(firsts, ["sensor", "chunk"], "left")
     cand = F.coalesce(F.col("nxt"), F.col("first_next"))
     ok = cand.isNotNull() & (cand["reading_ts"] <= F.timestamp_add("SECOND", F.lit(tolerance_s), F.col("ts")))

@@ -49,14 +49,18 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
                  specs: Sequence[tuple], chunk: Column | None = None, stage: bool = False) -> DataFrame:
     """Several running aggregates over the same key and order in one pass.
 
-    ``specs``: ``(value, out, how)`` or ``(value, out, how, inclusive)`` with
-    ``how`` in sum / max / min.
+    ``specs``: ``(value, out, how)`` or ``(value, out, how, inclusive)``;
+    ``how`` is ``sum`` / ``max`` / ``min``, ``last`` (latest non-null value)
+    or ``prev`` (the previous row's value, nulls included; ``inclusive`` is
+    ignored). ``last`` and ``prev`` rank rows by the first ``order`` column,
+    which must be numeric and unique within the key.
 
     Plan: chunk totals by a partial (map-side) hash aggregation of the
-    input; an exclusive prefix over the small totals table; the within-chunk
-    running values by a window partitioned by ``(key, chunk)``; an
-    equi-join on ``(key, chunk)`` adds the prefix. When none of the outputs
-    is used, Catalyst prunes the window and eliminates the join.
+    input (fixed-width buffers only: ``max_by`` for last/prev); an
+    exclusive prefix over the small totals table; the within-chunk running
+    values by a window partitioned by ``(key, chunk)``; an equi-join on
+    ``(key, chunk)`` adds the prefix. When none of the outputs is used,
+    Catalyst prunes the window and eliminates the join.
 
     ``stage=True`` first writes the input to the shared checkpoint folder
     (a lineage cut): use it when the input is itself the output of earlier
@@ -68,39 +72,71 @@ def running_many(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
         df = materialize(df, "running-input")
     by = list(by)
     order_cols = _as_cols(order)
+    rank = order_cols[0]
     if chunk is None:
         chunk = F.lit(0).cast("long")
     keys = by + [_CHUNK]
     d = df.withColumn(_CHUNK, chunk)
     norm = [(v, o, h, (rest[0] if rest else True)) for v, o, h, *rest in specs]
 
-    # chunk totals: a partial (map-side) hash aggregation of the input
-    totals = d.groupBy(*keys).agg(*[aggs[h](v).alias(f"{_TOT}{i}") for i, (v, _, h, _) in enumerate(norm)])
-    wb = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, *[aggs[h](F.col(f"{_TOT}{i}")).over(wb).alias(f"{_BASE}{i}")
-                                   for i, (_, _, h, _) in enumerate(norm)])
-    # within-chunk running values: a window partitioned by (key, chunk)
-    wi_in = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    wi_ex = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    def total(v, how):
+        if how == "last":
+            return F.max_by(v, F.when(v.isNotNull(), rank))
+        if how == "prev":
+            return F.max_by(v, rank)
+        return aggs[how](v)
+
+    totals = d.groupBy(*keys).agg(*[total(v, h).alias(f"{_TOT}{i}") for i, (v, _, h, _) in enumerate(norm)])
+    wb = Window.partitionBy(*by).orderBy(_CHUNK)
+    wb_ex = wb.rowsBetween(Window.unboundedPreceding, -1)
+
+    def base(i, how):
+        t = F.col(f"{_TOT}{i}")
+        if how == "last":
+            return F.last(t, ignorenulls=True).over(wb_ex)
+        if how == "prev":
+            return F.lag(t, 1).over(wb)
+        return aggs[how](t).over(wb_ex)
+
+    bases = totals.select(*keys, *[base(i, h).alias(f"{_BASE}{i}") for i, (_, _, h, _) in enumerate(norm)])
+
+    wo = Window.partitionBy(*keys).orderBy(*order_cols)
+    wi_in = wo.rowsBetween(Window.unboundedPreceding, 0)
+    wi_ex = wo.rowsBetween(Window.unboundedPreceding, -1)
     wcols = []
+    need_first = any(h == "prev" for _, _, h, _ in norm)
     for i, (v, _, how, inclusive) in enumerate(norm):
-        wcols.append(aggs[how](v).over(wi_in if inclusive else wi_ex).alias(f"_wi{i}"))
+        frame = wi_in if inclusive else wi_ex
+        if how == "last":
+            wcols.append(F.last(v, ignorenulls=True).over(frame).alias(f"_wi{i}"))
+        elif how == "prev":
+            wcols.append(F.lag(v, 1).over(wo).alias(f"_wi{i}"))
+        else:
+            wcols.append(aggs[how](v).over(frame).alias(f"_wi{i}"))
+    if need_first:
+        wcols.append(F.lag(rank, 1).over(wo).isNull().alias("_chunk_first"))
     w = d.select("*", *wcols)
     j = w.join(bases, keys, "left")
     outs = []
     for i, (v, out, how, inclusive) in enumerate(norm):
         within = F.col(f"_wi{i}")
-        base = F.col(f"{_BASE}{i}")
+        b = F.col(f"{_BASE}{i}")
         if how == "sum":
             # SQL semantics: a sum over no non-null value is null
-            combined = F.when(base.isNull() & within.isNull(), F.lit(None)).otherwise(
-                F.coalesce(base, F.lit(0)) + F.coalesce(within, F.lit(0)))
+            combined = F.when(b.isNull() & within.isNull(), F.lit(None)).otherwise(
+                F.coalesce(b, F.lit(0)) + F.coalesce(within, F.lit(0)))
         elif how == "max":
-            combined = F.greatest(base, within)
+            combined = F.greatest(b, within)
+        elif how == "min":
+            combined = F.least(b, within)
+        elif how == "last":
+            combined = F.coalesce(within, b)
         else:
-            combined = F.least(base, within)
+            combined = F.when(F.col("_chunk_first"), b).otherwise(within)
         outs.append(combined.alias(out))
     drop = [f"{_BASE}{i}" for i in range(len(norm))] + [f"_wi{i}" for i in range(len(norm))] + [_CHUNK]
+    if need_first:
+        drop.append("_chunk_first")
     return j.select("*", *outs).drop(*drop)
 
 
@@ -124,24 +160,20 @@ def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 
 def last_spec(rank: Column, value: Column, out: str, inclusive: bool = True) -> tuple:
     """Spec for :func:`running_many`: running "last non-null" of ``value``
-    as a running max of ``struct(rank, value)`` (``rank`` a unique,
-    non-decreasing numeric form of the order). Read it back with
-    :func:`unpack_last`."""
-    packed = F.when(value.isNotNull(), F.struct(rank.alias("r"), value.alias("v")))
-    return (packed, f"_lv_{out}", "max", inclusive)
+    (rows ranked by the first order column; ``rank`` is kept for callers
+    and must be that column)."""
+    return (value, out, "last", inclusive)
 
 
 def unpack_last(df: DataFrame, *outs: str) -> DataFrame:
-    for out in outs:
-        df = df.withColumn(out, F.col(f"_lv_{out}.v")).drop(f"_lv_{out}")
+    """Kept for callers: ``last`` outputs are plain columns already."""
     return df
 
 
 def last_value(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                rank: Column, value: Column, out: str, chunk: Column | None = None,
                inclusive: bool = True) -> DataFrame:
-    """Running "last non-null" of ``value``: the value of the latest row (by
-    ``rank``) where it is not null. Same chunked plan as the other running
+    """Running "last non-null" of ``value``: the value of the latest row
+    where it is not null. Same chunked plan as the other running
     aggregates."""
-    d = running_many(df, by, order, [last_spec(rank, value, out, inclusive)], chunk)
-    return unpack_last(d, out)
+    return running_many(df, by, order, [last_spec(rank, value, out, inclusive)], chunk)

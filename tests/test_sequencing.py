@@ -41,3 +41,12 @@ def test_global_row_number_without_key(spark):
     df = _data(spark)
     a = row_number(df, [], ["o"], "rn", chunk_of("o", 64)).filter("rn <> o + 1")
     assert a.count() == 0
+
+
+def test_prev_matches_lag(spark):
+    df = _data(spark)
+    ch = chunk_of("o", 7)
+    a = running_many(df, ["k"], ["o"], [(F.col("v"), "pv", "prev"), (F.col("o"), "po", "prev")], ch)
+    w = Window.partitionBy("k").orderBy("o")
+    b = a.withColumn("pv2", F.lag("v").over(w)).withColumn("po2", F.lag("o").over(w))
+    assert b.filter("NOT (pv <=> pv2) OR NOT (po <=> po2)").count() == 0
