@@ -194,62 +194,81 @@ def late_outcomes_stream(outcomes: DataFrame, waiting: DataFrame, timeout_s: int
 # --- reserve_stream -------------------------------------------------------------
 
 RESERVE_OUT = "seq long, order_id string, color string, count int, status int, message string"
-RESERVE_STATE = "free string, holders string"
+RESERVE_STATE = "free string, held string, fetched string, holders string"
 VALID_COLOURS_TEXT = "['RED', 'GREEN', 'BLUE', 'YELLOW']"
 
 
 def _reserve_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Stock of one colour as state: free cells (row-major), cells held per
+    order, cells fetched per order (the fetch log), and the orders that hold
+    or logged blocks anywhere (for the duplicate check)."""
     colour = key[0]
     if state.exists:
-        free_s, holders_s = state.get
+        free_s, held_s, fetched_s, holders_s = state.get
         free = [tuple(c) for c in json.loads(free_s)]
+        held = {o: [tuple(c) for c in cs] for o, cs in json.loads(held_s).items()}
+        fetched = {o: [tuple(c) for c in cs] for o, cs in json.loads(fetched_s).items()}
         holders = set(json.loads(holders_s))
     else:
-        free, holders = [], set()
+        free, held, fetched, holders = [], {}, {}, set()
     rows = pd.concat(list(pdfs)).sort_values("seq")
     out = []
-    dirty = False
     for r in rows.itertuples(index=False):
-        if r.kind == "cell":
+        kind, oid = r.kind, r.order_id
+        if kind == "cell":                  # initial free cell
             free.append((int(r.x), int(r.y)))
-            dirty = True
-        elif r.kind == "holder":
-            holders.add(r.order_id)
-        elif r.kind == "fetch" or r.kind == "restore":
-            # cells come back free on restore; fetch only changes the log
-            if r.kind == "restore" and r.order_id in holders:
-                holders.discard(r.order_id)
-        elif r.kind == "reserve":
+        elif kind == "held":                # initial cell held by an order
+            held.setdefault(oid, []).append((int(r.x), int(r.y)))
+        elif kind == "logged":              # initial fetch-log entry
+            fetched.setdefault(oid, []).append((int(r.x), int(r.y)))
+        elif kind == "holder":              # order holding blocks of any colour
+            holders.add(oid)
+        elif kind == "reserve":
             cnt = int(r.count)
             if colour not in K.ORDER_COLOURS:
-                out.append((int(r.seq), r.order_id, colour, cnt, 400,
+                out.append((int(r.seq), oid, colour, cnt, 400,
                             f"Unknown color: {r.color_raw}. Valid colors: {VALID_COLOURS_TEXT}"))
-            elif r.order_id in holders:
-                out.append((int(r.seq), r.order_id, colour, cnt, 409,
-                            f"Order '{r.order_id}' already has reserved blocks"))
+            elif oid in holders or oid in held or oid in fetched:
+                out.append((int(r.seq), oid, colour, cnt, 409, f"Order '{oid}' already has reserved blocks"))
             else:
-                if dirty:
-                    free.sort()
-                    dirty = False
+                free.sort()
                 if len(free) < cnt:
-                    out.append((int(r.seq), r.order_id, colour, cnt, 409,
+                    out.append((int(r.seq), oid, colour, cnt, 409,
                                 f"Not enough {colour} blocks. Requested: {cnt}, available: {len(free)}"))
                 else:
-                    del free[:cnt]
-                    holders.add(r.order_id)
-                    out.append((int(r.seq), r.order_id, colour, cnt, 200, None))
-    if dirty:
-        free.sort()
-    state.update((json.dumps(free), json.dumps(sorted(holders))))
+                    held[oid], free = free[:cnt], free[cnt:]
+                    holders.add(oid)
+                    out.append((int(r.seq), oid, colour, cnt, 200, None))
+        elif kind == "fetch":               # this colour's part of the answer
+            cells = held.pop(oid, [])
+            if cells:
+                fetched.setdefault(oid, []).extend(cells)
+            out.append((int(r.seq), oid, colour, len(cells), 200 if cells else 404, None))
+        elif kind == "restore":
+            cells = held.pop(oid, []) + fetched.pop(oid, [])
+            free.extend(cells)
+            holders.discard(oid)
+            out.append((int(r.seq), oid, colour, len(cells), 200 if cells else 404, None))
+    free.sort()
+    state.update((json.dumps(free), json.dumps(held), json.dumps(fetched), json.dumps(sorted(holders))))
     yield pd.DataFrame(out, columns=["seq", "order_id", "color", "count", "status", "message"])
 
 
 def reserve_stream(messages: DataFrame) -> DataFrame:
-    """Stock kept as state per colour: ``cell`` messages fill the free list
-    (row-major), ``holder`` messages mark orders that already hold blocks
-    (sent to every colour key, since an order is checked against the whole
-    grid), ``reserve`` requests are decided all-or-nothing in ``seq`` order.
-    State per key is bounded by the physical grid of that colour."""
+    """Stock kept as state per colour key. Messages ``kind, seq, order_id,
+    color, color_raw, count, x, y``:
+
+    * ``cell`` / ``held`` / ``logged`` load the initial grid, the cells held
+      per order and the fetch log; ``holder`` marks an order that holds
+      blocks (sent to every colour key: the duplicate check covers the
+      whole grid);
+    * ``reserve`` is decided all-or-nothing in ``seq`` order;
+    * ``fetch`` / ``restore`` (sent to every colour key) answer with this
+      colour's part - one row per key with the number of cells moved; the
+      order's answer is 404 only when no key had cells.
+
+    State per key is bounded by the physical grid of that colour; within a
+    micro-batch a key's messages are decided in one task, in order."""
     return messages.groupBy("color").applyInPandasWithState(
         _reserve_fold, RESERVE_OUT, RESERVE_STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -49,3 +49,32 @@ def test_dedup_stream_drops_cross_batch_redeliveries(spark):
     got = spark.read.parquet(out)
     assert got.count() == v1.count()
     assert got.select("partition", "offset").distinct().count() == v1.count()
+
+
+def test_reserve_stream_fetch_and_restore(spark):
+    """Reserve, fetch and restore mixed in one stream: restored cells are
+    free again and the order may reserve again."""
+    cols = "kind string, seq long, order_id string, color string, color_raw string, count int, x long, y long"
+    msgs = [("cell", -9, None, "RED", None, None, 0, 0), ("cell", -8, None, "RED", None, None, 1, 0),
+            ("cell", -7, None, "RED", None, None, 2, 0)]
+    for c in ("RED", "GREEN", "BLUE", "YELLOW"):
+        msgs += [("fetch", 3, "a", c, None, None, None, None), ("restore", 5, "a", c, None, None, None, None)]
+    msgs += [("reserve", 1, "a", "RED", "Red", 2, None, None), ("reserve", 2, "b", "RED", "red", 2, None, None),
+             ("reserve", 4, "b", "RED", "RED", 2, None, None), ("reserve", 6, "b", "RED", "RED", 2, None, None),
+             ("reserve", 7, "a", "RED", "RED", 1, None, None)]
+    df = spark.createDataFrame(msgs, cols)
+    path = fresh_path(spark, "stock")
+    write_ordered_log(df, path, "seq", 1)
+    out, ckpt = fresh_path(spark, "out"), fresh_path(spark, "ckpt")
+    q = (SO.reserve_stream(read_log_stream(spark, path, df.schema, 1)).writeStream
+         .option("checkpointLocation", ckpt).foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.seq, r.color): (r.status, r["count"]) for r in spark.read.parquet(out).collect()}
+    assert got[(1, "RED")] == (200, 2)            # a takes (0,0), (1,0)
+    assert got[(2, "RED")][0] == 409              # only one left
+    assert got[(3, "RED")] == (200, 2)            # a fetches its two cells
+    assert got[(3, "GREEN")] == (404, 0)          # nothing of a's in green
+    assert got[(4, "RED")][0] == 409              # still one free
+    assert got[(5, "RED")] == (200, 2)            # a restores: cells come back
+    assert got[(6, "RED")] == (200, 2)            # now b fits
+    assert got[(7, "RED")] == (200, 1)            # a holds nothing now; one cell left fits
