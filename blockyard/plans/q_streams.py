@@ -131,12 +131,19 @@ def q_reserve_stream(spark, sf):
                        F.explode(F.array(*[F.lit(c) for c in K.ORDER_COLOURS])).alias("color"),
                        F.lit(None).cast("string").alias("color_raw"), F.lit(None).cast("int").alias("count"),
                        F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y")))
+    def placed(df, kind):
+        return df.select(F.lit(kind).alias("kind"), (F.lit(-(1 << 40)) + F.col("x") * 4 + F.col("y")).alias("seq"),
+                         "order_id", "color", F.lit(None).cast("string").alias("color_raw"),
+                         F.lit(None).cast("int").alias("count"), "x", "y")
+
+    held = placed(cells.filter(F.col("filled") & F.col("order_id").isNotNull()), "held")
+    logged = placed(flog, "logged")
     reqs = V.requests(spark, sf).filter(F.col("count").isNotNull()).select(
         F.lit("reserve").alias("kind"), "seq", "order_id", F.upper("color_raw").alias("color"), "color_raw",
         F.col("count").cast("int").alias("count"), F.lit(None).cast("long").alias("x"),
         F.lit(None).cast("long").alias("y"))
     path = fresh_path(spark, "stock-log")
-    init = free.unionByName(holders).select(*cols)
+    init = free.unionByName(held).unionByName(logged).unionByName(holders).select(*cols)
     write_ordered_log(init, path, "seq", 1)
     write_ordered_log(reqs.select(*cols), path, "seq", N_FILES)
     s = read_log_stream(spark, path, init.schema, 1)
