@@ -63,6 +63,18 @@ def publish_complete(df: DataFrame, order_id: F.Column, correlation_id: F.Column
                      _json(("orderId", order_id), ("correlationId", correlation_id)).alias("value"))
 
 
+def partition_by_key(df: DataFrame, num_partitions: int, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """The producer's key partitioner: the partition number is the integer
+    value of the text key. Valid rows are placed in exactly that output
+    partition (``repartitionById``); rows with a null, non-numeric or
+    out-of-range key are returned separately as rejected."""
+    from blockyard.functions import key_partition
+    d = df.withColumn("_partition", key_partition(key, num_partitions))
+    valid = d.filter(F.col("_partition").isNotNull()).repartitionById(num_partitions, "_partition")
+    rejected = d.filter(F.col("_partition").isNull()).drop("_partition")
+    return valid.drop("_partition"), rejected
+
+
 def write_messages(df: DataFrame, path: str | None = None, kafka_bootstrap: str | None = None) -> None:
     """Write ``topic, key, value`` rows to Kafka (connector installed) or
     append them to a parquet topic log."""
@@ -73,6 +85,17 @@ def write_messages(df: DataFrame, path: str | None = None, kafka_bootstrap: str
         out.write.mode("append").partitionBy("topic").parquet(path)
 
 
+def fan_out_batches(sinks: dict[str, Callable[[DataFrame], None]], on_status=None):
+    """``foreachBatch`` body for a stream: every micro-batch goes to all
+    remaining sinks; a sink that fails is dropped for later batches and
+    reported through ``on_status(batch_id, status)``."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        status = fan_out(batch, sinks, batch_id)
+        if on_status is not None:
+            on_status(batch_id, status)
+    return body
+
+
 def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], batch_id: int | None = None
             ) -> list[tuple[str, bool, str | None]]:
     """Send one (micro-)batch to every sink; a failing sink is reported and

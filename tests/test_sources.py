@@ -41,3 +41,31 @@ def test_sensor_csv_layout(spark):
     r = sensor_csv_source(spark, d).collect()[0]
     assert (r.ts_ms, r.type, r.uid, r.location, r.message_id, r.properties) == (
         1700000000123, "distance_IR_short", "TG2", "HumanWS", 4, None)
+
+
+def test_partition_by_key_places_rows(spark):
+    from blockyard.sinks.publish import partition_by_key
+    df = spark.createDataFrame([(str(i % 3), i) for i in range(30)] + [("x", 99), (None, 98), ("7", 97)],
+                               "key string, v int")
+    valid, rejected = partition_by_key(df, 3)
+    placed = valid.select("key", F.spark_partition_id().alias("p")).distinct().collect()
+    assert all(int(r.key) == r.p for r in placed) and valid.count() == 30
+    assert sorted(r.v for r in rejected.collect()) == [97, 98, 99]
+
+
+def test_fan_out_drops_failing_sink(spark):
+    from blockyard.sinks.publish import fan_out_batches
+    seen, statuses = {}, []
+
+    def ok(name):
+        return lambda df: seen.setdefault(name, []).append(df.count())
+
+    def broken(df):
+        raise RuntimeError("closed")
+
+    sinks = {"a": ok("a"), "bad": broken, "b": ok("b")}
+    body = fan_out_batches(sinks, lambda i, st: statuses.append((i, st)))
+    body(spark.range(5), 0)
+    body(spark.range(3), 1)
+    assert seen == {"a": [5, 3], "b": [5, 3]}
+    assert [s[1] for s in statuses[0][1]] == [True, False, True] and "bad" not in sinks
