@@ -49,7 +49,8 @@ def q_latency_summary(spark, sf):
 
 @query("throughput", SERIES_SQL + """
 SELECT topic, count(*) AS n, max(produced_ms) - min(produced_ms) AS elapsed_ms,
-       count(*) * 1000.0 / greatest(1, max(produced_ms) - min(produced_ms)) AS per_second
+       CAST(count(*) AS DOUBLE) * CAST(1000.0 AS DOUBLE)
+         / CAST(greatest(1, max(produced_ms) - min(produced_ms)) AS DOUBLE) AS per_second
 FROM ser GROUP BY topic""", ("event_log",))
 def q_throughput(spark, sf):
     return B.throughput(_series(spark, sf))
