@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from blockyard import constants as K
 from blockyard.operators import tracker as T
