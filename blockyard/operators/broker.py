@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import epoch_ms, safe_epoch
-from blockyard.operators.sequencing import chunk_of, row_number, running_many
+from blockyard.operators.sequencing import chunk_of, running_many
 
 SEQ_CHUNK = 1 << 20
 
 
-def latency_series(log: DataFrame, arrival_ms: F.Column) -> DataFrame:
+def latency_series(log: DataFrame, arrival_ms: F.Column, skip: bool = True) -> DataFrame:
     """Per message: latency = arrival - produced time (payload
-    ``timestamp``); messages without a numeric timestamp are skipped."""
-    d = log.withColumn("produced_ms", safe_epoch("value")).filter(F.col("produced_ms").isNotNull())
+    ``timestamp``); messages without a numeric timestamp are skipped.
+
+    ``skip=False`` keeps them with null ``produced_ms`` / ``latency``: the
+    aggregations below ignore nulls, so they need no filter before the
+    aggregation (a filter there would be pushed, with the payload decoding,
+    into the scan)."""
+    d = log.withColumn("produced_ms", safe_epoch("value"))
+    if skip:
+        d = d.filter(F.col("produced_ms").isNotNull())
     return d.withColumn("latency", arrival_ms - F.col("produced_ms"))
 
 
@@ -35,29 +42,32 @@ def latency_summary(series: DataFrame, by: Sequence[str] = ("topic",), approx: b
             return F.percentile_approx("latency", p, 10000)
         return _nearest_rank(p).cast("long")
     return series.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("latency").alias("min"),
+        F.count("latency").alias("n"), F.min("latency").alias("min"),
         pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"),
-        F.max("latency").alias("max"), F.avg("latency").alias("avg"))
+        F.max("latency").alias("max"), F.avg("latency").alias("avg")).filter(F.col("n") > 0)
 
 
 def throughput(series: DataFrame, by: Sequence[str] = ("topic",), time_ms: str = "produced_ms") -> DataFrame:
     """Messages per second per scenario: ``count * 1000 / max(1, elapsed)``."""
     t = F.col(time_ms)
-    g = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("elapsed_ms"))
+    g = series.groupBy(*by).agg(F.count(t).alias("n"), (F.max(t) - F.min(t)).alias("elapsed_ms")) \
+        .filter(F.col("n") > 0)
     return g.withColumn("per_second", F.col("n") * 1000.0 / F.greatest(F.lit(1), F.col("elapsed_ms")))
 
 
 def progress_ticks(series: DataFrame, every: int, by: str = "topic", order: str = "seq") -> DataFrame:
-    """A row each ``every`` messages per topic (running count, chunked so a
-    topic is not one task)."""
-    d = row_number(series, [by], [order], "collected", chunk_of(order, SEQ_CHUNK))
-    return d.filter(F.col("collected") % every == 0)
+    """A row each ``every`` collected messages per topic (running count of
+    messages with a latency, chunked so a topic is not one task)."""
+    ok = F.col("latency").isNotNull()
+    d = running_many(series, [by], [order], [(F.when(ok, F.lit(1)).otherwise(F.lit(0)).cast("long"),
+                                              "collected", "sum")], chunk_of(order, SEQ_CHUNK))
+    return d.filter(ok & (F.col("collected") % every == 0))
 
 
 def target_reached(series: DataFrame, topics: Sequence[str], target: int, by: str = "topic") -> DataFrame:
     """Per topic of the list: count and whether it reached ``target``;
     ``all_reached`` = every topic did (topics without rows count as 0)."""
-    counts = series.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    counts = series.groupBy(by).agg(F.count("latency").alias("n"))
     spark = series.sparkSession
     # the topic list is the caller's literal list: bounded by construction
     wanted = spark.createDataFrame([(t,) for t in topics], f"{by} string")

@@ -23,9 +23,9 @@ SERIES_SQL = """
   WHERE produced_ms IS NOT NULL)"""
 
 
-def _series(spark, sf):
+def _series(spark, sf, skip: bool = True):
     v = V.event_log(spark, sf, offsets=False)
-    return B.latency_series(v, epoch_ms("ts") + F.col("latency_ms"))
+    return B.latency_series(v, epoch_ms("ts") + F.col("latency_ms"), skip)
 
 
 @query("latency_series", SERIES_SQL + "\nSELECT topic, seq, latency FROM ser", ("event_log",))
@@ -44,7 +44,7 @@ SELECT topic, count(*) AS n, min(latency) AS min, {_rank_sql(0.5)}, {_rank_sql(0
        max(latency) AS max, avg(latency) AS avg
 FROM rk GROUP BY topic""", ("event_log",))
 def q_latency_summary(spark, sf):
-    return B.latency_summary(_series(spark, sf))
+    return B.latency_summary(_series(spark, sf, skip=False))
 
 
 @query("throughput", SERIES_SQL + """
@@ -53,7 +53,7 @@ SELECT topic, count(*) AS n, max(produced_ms) - min(produced_ms) AS elapsed_ms,
          / CAST(greatest(1, max(produced_ms) - min(produced_ms)) AS DOUBLE) AS per_second
 FROM ser GROUP BY topic""", ("event_log",))
 def q_throughput(spark, sf):
-    return B.throughput(_series(spark, sf))
+    return B.throughput(_series(spark, sf, skip=False))
 
 
 @query("progress_ticks", SERIES_SQL + f"""
@@ -61,7 +61,7 @@ SELECT topic, seq, collected FROM (
   SELECT topic, seq, row_number() OVER (PARTITION BY topic ORDER BY seq) AS collected FROM ser)
 WHERE collected % {K.LATENCY_PROGRESS_EVERY} = 0""", ("event_log",))
 def q_progress_ticks(spark, sf):
-    return B.progress_ticks(_series(spark, sf), K.LATENCY_PROGRESS_EVERY).select("topic", "seq", "collected")
+    return B.progress_ticks(_series(spark, sf, skip=False), K.LATENCY_PROGRESS_EVERY).select("topic", "seq", "collected")
 
 
 @query("target_reached", SERIES_SQL + f"""
@@ -71,7 +71,7 @@ cnt AS (SELECT w.topic, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 SELECT topic, n, n >= {TARGET} AS reached, (SELECT bool_and(n >= {TARGET}) FROM cnt) AS all_reached FROM cnt""",
        ("event_log",))
 def q_target_reached(spark, sf):
-    return B.target_reached(_series(spark, sf), TARGET_TOPICS, TARGET)
+    return B.target_reached(_series(spark, sf, skip=False), TARGET_TOPICS, TARGET)
 
 
 @query("partition_lag", """
