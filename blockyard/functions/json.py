@@ -38,13 +38,16 @@ def topic_tag_with_fallback(value, topic) -> Column:
     (overwriting a field of that name), or ``{message: raw, _topic}`` when
     the text is not a JSON object (malformed, null, array, scalar)."""
     v, t = _c(value), _c(topic)
+    # one parse per row: the map form is null for malformed text; the
+    # leading-brace test separates objects from arrays and scalars
     fields = F.from_json(v, "map<string,variant>")
+    obj = F.coalesce(fields.isNotNull() & v.rlike(r"^\s*\{"), F.lit(False))
     kept = F.map_filter(fields, lambda k, _: k != F.lit("_topic"))
     topic_v = F.variant_get(F.parse_json(F.to_json(F.array(t))), "$[0]", "variant")
     tagged = F.to_json(F.map_concat(kept, F.create_map(F.lit("_topic"), topic_v)))
     # the raw text is kept even when null: {"message": null, "_topic": ...}
     fallback = F.to_json(F.struct(v.alias("message"), t.alias("_topic")), {"ignoreNullFields": "false"})
-    return F.when(is_json_object(v), tagged).otherwise(fallback)
+    return F.when(obj, tagged).otherwise(fallback)
 
 
 def nonblank_text_field(value, field: str) -> Column:
