@@ -82,15 +82,22 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; set one only when
-    it is unset (local mode)."""
+    """The shared checkpoint folder named by the cluster
+    (``spark.checkpoint.dir``). Only when none is configured (local runs,
+    tests) a local folder is chosen, via ``setCheckpointDir`` -
+    ``spark.checkpoint.dir`` itself is a core setting that cannot be changed
+    at run time."""
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="blockyard-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="blockyard-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
