@@ -162,3 +162,20 @@ def q_fan_out(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query("publish_notifications_factory", f"""
+SELECT seq, topic, '0' AS key,
+       CASE WHEN {NB.format(f='orderId')} IS NOT NULL AND {NB.format(f='correlationId')} IS NOT NULL
+            THEN json_object('message', message, 'orderId', json_extract_string(value, '$.orderId'),
+                             'correlationId', json_extract_string(value, '$.correlationId'))::VARCHAR END AS value,
+       CASE WHEN {NB.format(f='orderId')} IS NULL OR {NB.format(f='correlationId')} IS NULL
+            THEN 'orderId and correlationId are required' END AS error
+FROM event_log WHERE topic IN ('info.v1', 'error.v1')""", ("event_log",))
+def q_publish_notifications_factory(spark, sf):
+    """Factory-side notifications: both ids are required, otherwise the row
+    carries an error instead of a message."""
+    v = V.event_log(spark, sf, offsets=False).filter(F.col("topic").isin("info.v1", "error.v1"))
+    out = publish_notifications(v, F.col("topic"), F.col("message"), nonblank_text_field("value", "orderId"),
+                                nonblank_text_field("value", "correlationId"), F.col("seq"), side="factory")
+    return out.select("seq", "topic", "key", "value", "error")
