@@ -76,3 +76,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = materialize(assign_shards(slim, "doc_id", 8), "sharding")
     placed = assign_shards(number_slots(slim, "doc_id"), "doc_id", 9, "grown_shard")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
