@@ -15,7 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one window task numbers on average (see running_totals).
-ROWS_PER_CHUNK = 1 << 15
+ROWS_PER_CHUNK = 1 << 13
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,31 +43,37 @@ def null_safe(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col.cast("string")))
 
 
+def chunk_bits(rows: int) -> int:
+    return max(1, math.ceil(math.log2(max(2, rows / ROWS_PER_CHUNK))))
+
+
+def chunk_starts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, _chunk, _n0, _s0, _s): rows and sum of `value` in the group's earlier chunks, and the chunk's own sum."""
+    totals = df.groupBy(*group, "_chunk").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*group, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
+                         F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), "_s")
+
+
 def running_totals(df: DataFrame, group: Sequence[str], hash_col: str, order: Sequence[str], value: str,
-                   rows: int, stats: DataFrame | None = None) -> DataFrame:
+                   rows: int) -> DataFrame:
     """Adds `_rank` (0, 1, ... within the group) and `_before` (sum of `value` over the group's earlier rows), in
     the order of (hash_col unsigned, order).
 
     A group may hold any share of the rows: the top bits of the 64-bit hash cut it into chunks of about
     ROWS_PER_CHUNK rows. Chunk totals are a partial aggregation, their running sums a window over the small chunk
-    table, and rows are numbered inside their chunk only. `stats` is a narrower table with the same rows to
-    aggregate (df by default)."""
-    bits = max(1, math.ceil(math.log2(max(2, rows / ROWS_PER_CHUNK))))
-    chunk = F.shiftrightunsigned(F.col(hash_col), 64 - bits)
+    table, and rows are numbered inside their chunk only."""
+    chunk = F.shiftrightunsigned(F.col(hash_col), 64 - chunk_bits(rows))
     # the sign bit is flipped, so that the signed order of `_u` is the unsigned order of the hash
     df = df.withColumn("_chunk", chunk).withColumn("_u", F.col(hash_col).bitwiseXOR(F.lit(-(1 << 63))))
-    totals = (stats if stats is not None else df).withColumn("_chunk", chunk).groupBy(*group, "_chunk") \
-        .agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-                           F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"))
+    starts = chunk_starts(df, group, value)
     inside = Window.partitionBy(*group, "_chunk").orderBy("_u", *order)
     numbered = df.withColumn("_i", F.row_number().over(inside) - 1) \
         .withColumn("_p", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(starts, [*group, "_chunk"]) \
         .withColumn("_rank", (F.col("_n0") + F.col("_i")).cast("long")) \
         .withColumn("_before", F.col("_s0") + F.col("_p")) \
-        .drop("_chunk", "_u", "_i", "_p", "_n0", "_s0")
+        .drop("_chunk", "_u", "_i", "_p", "_n0", "_s0", "_s")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

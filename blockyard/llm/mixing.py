@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockyard.llm.common import null_safe, running_totals, words
+from blockyard.llm.common import chunk_bits, chunk_starts, null_safe, running_totals, words
 from blockyard.session import materialize
 
 #: Weight schedules over training time 0 to 1 as (time, weight) knots, linear in between. Their integrals are the
@@ -76,60 +76,72 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
     where a source is small or a row is large. A reading that starts after a share u of its source's target is
     placed where the integrated weight schedule reaches u.
 
-    Null or empty texts have size 0 and are read without effect; null is a source of its own, last; repeated rows count
-    one by one; a source or table without words gets target 0; columns of df named like a result are replaced. A
-    source may hold any share of the rows: sums are partial aggregations and running totals go by chunks."""
+    Null or empty texts have size 0 and are read without effect; null is a source of its own, last; rows that are equal
+    in key and text are read alike; a source or table without words gets target 0; columns of df named like a result
+    are replaced. A source may hold any share of the rows: sums are partial aggregations, and running totals go by
+    chunks of the order. Texts are not shuffled: the decisions are made on a narrow table, and reach the rows as one
+    cut in the order and a few switched rows per source."""
     made = ["size", "source_size", "target", "taken", "positions"]
     keep = [c for c in df.columns if c not in made]
     # the order of a pass: by hash, then by key and content, so reruns agree
     base = df.select(*keep).withColumn("size", F.size(words(F.col(text))).cast("long")) \
         .withColumn("_t", F.xxhash64(F.col(text))).withColumn("_g", null_safe(F.col(source))) \
-        .withColumn("_h", F.xxhash64(F.col(key), F.col("_t")))
-    slim = materialize(base.select("_g", F.col(source).alias("source"), F.col(key).alias("key"), "_t", "_h", "size"), "mix")
-    return _plan(base, slim, key, schedules, budget, most, rounds).select(*keep, *made)
+        .withColumn("_h", F.xxhash64(F.col(key), F.col("_t"))) \
+        .withColumn("_id", F.struct(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col(key).alias("k"), F.col("_t").alias("t")))
+    slim = materialize(base.select("_g", F.col(source).alias("source"), "_id", "_h", "size"), "mix")
+    rows = slim.count()
+    state = _decide(slim, rows, schedules, budget, most, rounds)
+
+    bits = chunk_bits(rows)
+    chunk = F.shiftrightunsigned(F.col("_h"), 64 - bits)
+    starts = materialize(chunk_starts(slim.withColumn("_chunk", chunk), ["_g"], "size"), "mix-chunks")
+    at = base.withColumn("_chunk", chunk).join(starts, ["_g", "_chunk"]).join(state, "_g")
+    # words before the row in a pass: those of earlier chunks, and the hash's share of its own
+    inner = F.shiftrightunsigned(F.shiftleft("_h", bits), 11) / F.lit(float(1 << 53))
+    at = at.withColumn("_before", F.col("_s0") + inner * F.col("_s"))
+    size, total, target, rest = (F.col(c) for c in ("size", "source_size", "target", "rest"))
+    copies = F.col("whole") + F.when(_chosen(), F.lit(1)).otherwise(F.lit(0))
+    inside = F.when(F.col("_before") < rest, F.col("_before")).otherwise(F.pmod(F.col("_before"), rest))
 
+    def place(j):
+        begun = j * total + F.when(j < F.col("whole"), F.col("_before")).otherwise(inside)
+        share = F.when(target > 0, F.least(begun / target, F.lit(1.0))).otherwise(F.lit(0.0))
+        return time_of(share, F.col("turn"), schedules)
 
-def _plan(base: DataFrame, slim: DataFrame, key: str, schedules, budget, most, rounds) -> DataFrame:
-    rows = slim.count()
+    readings = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return at.withColumn("taken", (copies * size).cast("long")).withColumn("positions", F.transform(readings, place)) \
+        .select(*keep, *made)
+
+
+def _chosen() -> Column:
+    """Whether a row is in the last, partial pass of its source."""
+    return F.coalesce(F.col("_id") <= F.col("cut"), F.lit(False)) != F.array_contains("switched", F.col("_id"))
+
+
+def _decide(slim: DataFrame, rows: int, schedules, budget: float, most: float, rounds: int) -> DataFrame:
+    """Per source: `whole` passes, `rest` (words asked of the partial pass), `cut` (its last row) and `switched` rows."""
     targets = source_targets(slim, schedules, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    state = materialize(
-        targets.withColumn("whole", whole.cast("int"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("switched", F.expr("cast(array() as array<bigint>)")), "mix-state")
-    order = ["_t"]
-    places = materialize(running_totals(slim, ["_g"], "_h", ["key", *order], "size", rows)
-                         .select("_g", "_rank", "_before", "size"), "mix-places")
-    extra = (F.col("rest") > 0) & (F.col("_before") + F.col("size") / 2 <= F.col("rest"))
+    state = materialize(targets.withColumn("whole", whole.cast("int"))
+                        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+                        .drop("source", "weight"), "mix-state")
+    middle = F.col("_before") + F.col("size") / 2
+    cuts = running_totals(slim, ["_g"], "_h", ["_id"], "size", rows).join(state.select("_g", "rest"), "_g") \
+        .where((F.col("rest") > 0) & (middle <= F.col("rest"))).groupBy("_g").agg(F.max("_id").alias("cut"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    state = materialize(state.join(cuts, "_g", "left").withColumn("switched", F.expr(f"cast(array() as array<{kind}>)")), "mix-state")
     for _ in range(rounds):
-        joined = places.join(state.select("_g", "rest", "switched"), "_g") \
-            .withColumn("in", extra != F.array_contains("switched", F.col("_rank")))
-        gaps = state.join(joined.groupBy("_g").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("_got")), "_g") \
-            .withColumn("gap", F.col("rest") - F.col("_got")).drop("_got")
-        gaps = materialize(gaps, "mix-gap")
+        now = slim.join(state.select("_g", "rest", "cut", "switched"), "_g").withColumn("in", _chosen())
+        got = now.groupBy("_g").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("_got"))
+        gaps = materialize(state.join(got, "_g").withColumn("gap", F.col("rest") - F.col("_got")).drop("_got"), "mix-gaps")
         after = F.abs(F.col("gap") - F.when(F.col("in"), -F.col("size")).otherwise(F.col("size")))
-        best = places.join(gaps.select("_g", "rest", "switched", "gap"), "_g") \
-            .withColumn("in", extra != F.array_contains("switched", F.col("_rank"))) \
+        best = slim.join(gaps.select("_g", "rest", "cut", "switched", "gap"), "_g").withColumn("in", _chosen()) \
             .where((F.col("rest") > 0) & (F.col("size") > 0) & (after < F.abs(F.col("gap")))) \
-            .groupBy("_g").agg(F.min(F.struct(after.alias("d"), F.col("_rank").alias("r")))["r"].alias("_pick"))
-        state = materialize(
-            gaps.join(best, "_g", "left")
-            .withColumn("switched", F.when(F.col("_pick").isNull(), F.col("switched"))
-                        .otherwise(F.array_union("switched", F.array("_pick")))).drop("_pick", "gap"), "mix-state")
-
-    at = running_totals(base, ["_g"], "_h", [key, *order], "size", rows, stats=slim) \
-        .join(state.drop("source", "weight"), "_g")
-    size, total, target, rest = (F.col(c) for c in ("size", "source_size", "target", "rest"))
-    chosen = extra != F.array_contains("switched", F.col("_rank"))
-    copies = F.col("whole") + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
-    inside = F.when(F.col("_before") < rest, F.col("_before").cast("double")).otherwise(F.pmod(F.col("_before").cast("double"), rest))
-    def place(j):
-        begun = j * total + F.when(j < F.col("whole"), F.col("_before").cast("double")).otherwise(inside)
-        share = F.when(target > 0, F.least((begun + size / 2) / target, F.lit(1.0))).otherwise(F.lit(0.0))
-        return time_of(share, F.col("turn"), schedules)
-    readings = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return at.withColumn("_copies", copies).withColumn("taken", (F.col("_copies") * size).cast("long")) \
-        .withColumn("positions", F.transform(readings, place))
+            .groupBy("_g").agg(F.min(F.struct(after.alias("d"), F.col("_id").alias("i")))["i"].alias("_pick"))
+        state = materialize(gaps.join(best, "_g", "left").withColumn(
+            "switched", F.when(F.col("_pick").isNull(), F.col("switched"))
+            .otherwise(F.array_union("switched", F.array("_pick")))).drop("_pick", "gap"), "mix-state")
+    return state
 
 
 def in_training_order(plan: DataFrame, tie: str = "doc_id") -> DataFrame:
