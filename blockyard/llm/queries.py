@@ -82,3 +82,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockyard.llm.toxicity import toxicity
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.warc import read_archives, write_pages
+    folder = write_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
+    # responses are read with their payloads, which are checked against their digests; revisits by their headers
+    whole = read_archives(spark, folder).where("record_type = 'response'")
+    heads = read_archives(spark, folder, payload=False).where("record_type = 'revisit'")
+    cols = [page(F.col("record_id")).alias("page_id"), "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")]
+    return whole.select(F.octet_length("payload").cast("long").alias("payload_bytes"), *cols) \
+        .unionByName(heads.select("payload_bytes", *cols))
+
+
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {0}, 5))::INT >> {1}) % 32 + 1, 1)"
+ORACLES["op5_warc"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, {' || '.join(_LETTER.format(i // 4 * 5 + 1, 5 * (3 - i % 4)) for i in range(32))} AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM m
+"""
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.token_counts import section_tokens
+    return section_tokens(read_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.token_files import ids_crc32, read_documents, write_token_files
+    manifest = write_token_files(read_table(spark, sf_dir, "documents"), _tokenizer())
+    return read_documents(manifest, ids_crc32, "ids_crc32 bigint")
