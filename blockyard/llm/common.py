@@ -29,8 +29,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    """Lower-case A-Z only (a text without other than ASCII characters may take the faster lower())."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def words(text: Column, pattern: str = WORD) -> Column:

@@ -9,7 +9,9 @@ from blockyard.llm.common import ascii_lower, words
 from blockyard.session import materialize
 
 #: Words are runs of digits, a-z and non-ASCII characters, after lower-casing A-Z.
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The class [^\x00-\x2F\x3A-\x60\x7B-\x7F] with each character listed: Java looks single characters up in a table, but
+#: tests the ranges of a negated class one by one, which takes ten times as long.
+ALNUM = "[^" + "".join(f"\\x{c:02x}" for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A)) + "]+"
 #: Words of a shingle; items shorter than that are searched by single words.
 SHINGLE = 5
 
