@@ -124,3 +124,30 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockyard.llm.token_files import ids_crc32, read_documents, write_token_files
     manifest = write_token_files(read_table(spark, sf_dir, "documents"), _tokenizer())
     return read_documents(manifest, ids_crc32, "ids_crc32 bigint")
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.embeddings import near_vectors
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+ORACLES["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings LEFT JOIN degree d ON d.x = vec_id JOIN roots r ON r.x = vec_id
+"""
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.substrings import repeated_spans
+    found = repeated_spans(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
