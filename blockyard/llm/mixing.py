@@ -84,11 +84,12 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
     made = ["size", "source_size", "target", "taken", "positions"]
     keep = [c for c in df.columns if c not in made]
     # the order of a pass: by hash, then by key and content, so reruns agree
-    base = df.select(*keep).withColumn("size", F.size(words(F.col(text))).cast("long")) \
-        .withColumn("_t", F.xxhash64(F.col(text))).withColumn("_g", null_safe(F.col(source))) \
-        .withColumn("_h", F.xxhash64(F.col(key), F.col("_t"))) \
-        .withColumn("_id", F.struct(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col(key).alias("k"), F.col("_t").alias("t")))
-    slim = materialize(base.select("_g", F.col(source).alias("source"), "_id", "_h", "size"), "mix")
+    base = df.select(F.struct(*[df[c] for c in keep]).alias("_row")) \
+        .withColumn("size", F.size(words(F.col("_row")[text])).cast("long")) \
+        .withColumn("_t", F.xxhash64(F.col("_row")[text])).withColumn("_g", null_safe(F.col("_row")[source])) \
+        .withColumn("_h", F.xxhash64(F.col("_row")[key], F.col("_t"))) \
+        .withColumn("_id", F.struct(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col("_row")[key].alias("k"), F.col("_t").alias("t")))
+    slim = materialize(base.select("_g", F.col("_row")[source].alias("source"), "_id", "_h", "size"), "mix")
     rows = slim.count()
     state = _decide(slim, rows, schedules, budget, most, rounds)
 
@@ -110,7 +111,7 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
 
     readings = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     return at.withColumn("taken", (copies * size).cast("long")).withColumn("positions", F.transform(readings, place)) \
-        .select(*keep, *made)
+        .select(*[F.col("_row")[c].alias(c) for c in keep], *made)
 
 
 def _chosen() -> Column:
@@ -145,5 +146,7 @@ def _decide(slim: DataFrame, rows: int, schedules, budget: float, most: float, r
 
 
 def in_training_order(plan: DataFrame, tie: str = "doc_id") -> DataFrame:
-    """One row per reading, with its `position`, range-sorted by it."""
-    return plan.withColumn("position", F.explode("positions")).orderBy("position", tie)
+    """One row per reading: plan's columns but positions, and its `position`; range-sorted by it."""
+    keep = [c for c in plan.columns if c not in ("position", "positions")]
+    readings = plan.select(F.struct(*[plan[c] for c in keep]).alias("_row"), F.explode("positions").alias("position"))
+    return readings.orderBy("position", F.col("_row")[tie]).select(*[F.col("_row")[c].alias(c) for c in keep], "position")

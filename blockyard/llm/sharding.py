@@ -64,7 +64,9 @@ def number_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slo
     """Adds the row's place in its shard: 0, 1, ... without gaps, in a fixed pseudo-random order of the keys (repeated
     keys next to each other). Shards are numbered in chunks, so a shard needs no task of its own."""
     keep = [c for c in df.columns if c != slot]
-    df = df.withColumn("_h", F.xxhash64(key)).withColumn("_one", F.lit(1).cast("long"))
-    rows = df.count()
-    out = running_totals(df, [shard], "_h", [key, *[c for c in keep if c not in (key, shard)]], "_one", rows)
-    return out.select(*keep, F.col("_rank").alias(slot))
+    rest = [c for c in keep if c not in (key, shard)]
+    packed = df.select(F.col(shard).alias("_shard"), F.col(key).alias("_key"), F.struct(*[df[c] for c in rest]).alias("_row"),
+                       F.xxhash64(key).alias("_h"), F.lit(1).cast("long").alias("_one"))
+    out = running_totals(packed, ["_shard"], "_h", ["_key", "_row"], "_one", df.count())
+    return out.select(F.col("_key").alias(key), *[F.col("_row")[c].alias(c) for c in rest], F.col("_shard").alias(shard),
+                      F.col("_rank").alias(slot))

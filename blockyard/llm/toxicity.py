@@ -205,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, options: Option
         return None
     some = [usable.where(F.col("toxic") == y).orderBy("_h", key).limit(o.rows_per_label) for y in (0, 1)]
     some = materialize(some[0].unionByName(some[1]).select(F.col(key).alias("_key"), "toxic"), "toxicity-sample")
-    rows = docs.join(some, docs[key] == some["_key"]).select("_key", "toxic", word_ids(F.col(text)).alias("ids")) \
+    given = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    rows = given.join(some, F.col("_k") == F.col("_key")).select("_key", "toxic", word_ids(F.col("_text")).alias("ids")) \
         .where(F.size("ids") <= 2 * o.words_per_row)
     got = rows.toArrow().sort_by([("_key", "ascending"), ("toxic", "ascending")])
     y = got["toxic"].to_numpy().astype(np.float32)

@@ -8,6 +8,7 @@ empty texts are kept unless they form a group (empty texts share a fingerprint);
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockyard.llm.common import read_table
 from blockyard.llm.decontaminate import drop_contaminated
@@ -41,7 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per reading of a document, range-sorted by its place in training; documents read twice come twice."""
     prepare(spark)
-    return in_training_order(mixing_plan(docs)).select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("document")
+    plan = mixing_plan(docs.select("doc_id", "text", "source", row))
+    return in_training_order(plan.select("doc_id", "document", "positions")).select("document.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
