@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     order = ["key", "text"]
     slim = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     files = max(1, -(-slim.select("key").count() // rows_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = slim.repartitionByRange(files, *[F.col(c).asc_nulls_first() for c in order]) \
+    parts = slim.repartitionByRange(files, F.col("key").asc_nulls_first()) \
         .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
