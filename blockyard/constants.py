@@ -6,7 +6,6 @@ All values below are stated as plain text in their natural order.
 # --- fixed values: domain enums -------------------------------------------
 ITEM_TYPES = ["CHAIR", "TABLE", "SHELF", "CLOSET"]
 ORDER_COLOURS = ["RED", "GREEN", "BLUE", "YELLOW"]  # one per grid column y=0..3
-FACTORY_COLOURS = ["RED", "GREEN", "BLUE", "YELLOW", "UNKNOWN"]
 
 # --- fixed values: blocks per item ----------------------------------------
 BLOCK_COUNT = {"CHAIR": 1, "TABLE": 2, "SHELF": 2, "CLOSET": 3}
@@ -27,7 +26,6 @@ ASSEMBLY_Z_INITIAL = 85
 ASSEMBLY_CUBE_SIZE = 26
 
 # --- fixed values: stock grid ---------------------------------------------
-GRID_ROWS = 5
 GRID_COLS = 4
 
 # --- fixed values: tracker ------------------------------------------------
@@ -63,8 +61,3 @@ LUX_G_COEF = 1.0
 LUX_B_COEF = -0.444
 CCT_COEF = 3810
 CCT_OFFSET = 1391
-
-# --- fixed values: timers (ISO-8601 in the process models) ----------------
-ORDER_TIMEOUT = "10 minutes"      # PT10M
-ASSEMBLY_TIMEOUT = "5 minutes"    # PT5M
-RESERVE_RETRIES = 3               # R3/PT10S

@@ -5,7 +5,7 @@ from blockyard.functions.colour import (flag_colour, lux_cct, rgb_classify,
                                         rgb_normalise, rgb_pack)
 from blockyard.functions.geometry import (assembly_offset, assembly_plan,
                                           block_count, stock_to_robot_offset)
-from blockyard.functions.json import (is_json_object, json_decode, json_encode,
+from blockyard.functions.json import (json_decode, json_encode,
                                       nonblank_text_field, safe_epoch,
                                       topic_tag_with_fallback)
 from blockyard.functions.text import (enum_normalise, epoch_ms, event_step,

@@ -26,13 +26,6 @@ def json_encode(*cols) -> Column:
     return F.to_json(F.struct(*[_c(c) for c in cols]))
 
 
-def is_json_object(value) -> Column:
-    """True when the text parses as JSON and is an object (an array or a
-    scalar parses but is not an object). Null text -> false."""
-    v = _c(value)
-    return (F.coalesce(F.try_parse_json(v).isNotNull() & v.rlike(r"^\s*\{"), F.lit(False)))
-
-
 def topic_tag_with_fallback(value, topic) -> Column:
     """The dashboard payload: the JSON object with ``_topic`` set
     (overwriting a field of that name), or ``{message: raw, _topic}`` when

@@ -12,6 +12,8 @@ from blockyard.functions import epoch_ms, safe_epoch
 from blockyard.operators.sequencing import chunk_of, running_many
 
 SEQ_CHUNK = 1 << 20
+#: What identifies a partition of a log; a log of one topic may go by "partition" alone.
+PARTITION = ("topic", "partition")
 
 
 def latency_series(log: DataFrame, arrival_ms: F.Column, skip: bool = True) -> DataFrame:
@@ -71,68 +73,72 @@ def target_reached(series: DataFrame, topics: Sequence[str], target: int, by: st
     spark = series.sparkSession
     # the topic list is the caller's literal list: bounded by construction
     wanted = spark.createDataFrame([(t,) for t in topics], f"{by} string")
-    d = (F.broadcast(wanted).join(counts, by, "left")
+    d = (wanted.join(counts, by, "left")
          .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
          .withColumn("reached", F.col("n") >= target))
     # every-topic flag as a scalar subquery (evaluated once, no join)
     return d.withColumn("all_reached", d.agg(F.bool_and("reached")).scalar())
 
 
-def partition_lag(log: DataFrame, commits: DataFrame, log_start: DataFrame | None = None) -> DataFrame:
+def partition_lag(log: DataFrame, commits: DataFrame, log_start: DataFrame | None = None,
+                  by: Sequence[str] = PARTITION) -> DataFrame:
     """Per partition: log start, committed (-1 unknown), log end, lag =
     end - committed (null when unknown), lost = start - committed when
     retention passed the consumer. Retention drops offsets below
-    ``log_start``. One partial aggregation; the joined tables have one row
-    per partition."""
+    ``log_start``; a partition that it emptied starts and ends there, and
+    stays in the result. One partial aggregation; the joined tables have one
+    row per partition."""
+    by = list(by)
+    start = F.min("offset")
     if log_start is not None:
-        log = (log.join(F.broadcast(log_start), "partition", "left")
-               .filter(F.col("offset") >= F.coalesce("log_start", F.lit(0))).drop("log_start"))
-    ends = log.groupBy("partition").agg(F.min("offset").alias("log_start"),
-                                        (F.max("offset") + 1).alias("log_end"))
-    d = ends.join(F.broadcast(commits.select("partition", "committed")), "partition", "left")
+        known = log_start.select(*by, F.col("log_start").alias("_from"))
+        ends = log.groupBy(*by).agg((F.max("offset") + 1).alias("_end"), start.alias("_least")).join(known, by, "full")
+        first = F.greatest(F.coalesce("_least", F.lit(0)), F.coalesce("_from", F.lit(0)))
+        ends = ends.select(*by, F.when(F.col("_end") > first, first).otherwise(F.coalesce("_from", first)).cast("long").alias("log_start"),
+                           F.greatest(F.col("_end"), F.col("_from")).cast("long").alias("log_end"))
+    else:
+        ends = log.groupBy(*by).agg(start.alias("log_start"), (F.max("offset") + 1).alias("log_end"))
+    d = ends.join(commits.select(*by, "committed"), by, "left")
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
     return d.select(
-        "partition", "log_start", c.alias("committed"), "log_end",
+        *by, "log_start", c.alias("committed"), "log_end",
         F.when((c >= 0) & (F.col("log_end") >= 0), F.col("log_end") - c).alias("lag"),
         F.when((F.col("log_start") > c) & (c >= 0), F.col("log_start") - c).otherwise(F.lit(0)).cast("long").alias("lost"))
 
 
-def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int) -> DataFrame:
+def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
     """Lag per partition at each poll tick (tumbling window of ``tick_s``)
     and its growth since the previous tick. The log end is a running max
     over ticks and the previous lag a running "last" - both chunked, so a
     topic partition with a long history is not one task."""
-    ticks = (log.groupBy("partition", F.window(F.col("ts").cast("timestamp"), f"{tick_s} seconds").alias("w"))
+    by = list(by)
+    ticks = (log.groupBy(*by, F.window(F.col("ts").cast("timestamp"), f"{tick_s} seconds").alias("w"))
              .agg((F.max("offset") + 1).alias("end_in_tick")))
-    d = ticks.select("partition", F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
+    d = ticks.select(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
     d = d.withColumn("tick_no", F.floor(epoch_ms("tick_start") / (tick_s * 1000)).cast("long"))
-    d = d.join(F.broadcast(commits.select("partition", "committed")), "partition", "left")
+    d = d.join(commits.select(*by, "committed"), by, "left")
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
     ch = chunk_of("tick_no", 1 << 16)
     # the tick table has (partitions x ticks) rows: staging it is cheap and
     # keeps the two running passes from re-expanding the log plan
-    d = running_many(d, ["partition"], ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch, stage=True)
+    d = running_many(d, by, ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch, stage=True)
     lag = F.when(c >= 0, F.col("log_end") - c)
-    d = d.select("partition", "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
-    d = running_many(d, ["partition"], ["tick_no"], [(F.col("lag"), "_prev_lag", "prev")], ch, stage=True)
-    return d.select("partition", "tick_start", "log_end", "committed", "lag",
+    d = d.select(*by, "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
+    d = running_many(d, by, ["tick_no"], [(F.col("lag"), "_prev_lag", "prev")], ch, stage=True)
+    return d.select(*by, "tick_start", "log_end", "committed", "lag",
                     (F.col("lag") - F.col("_prev_lag")).alias("growth"))
 
 
-def redeliveries(deliveries: DataFrame) -> DataFrame:
+def redeliveries(deliveries: DataFrame, by: Sequence[str] = PARTITION) -> DataFrame:
     """Same partition and offset delivered more than once."""
-    return (deliveries.groupBy("partition", "offset").agg(F.count(F.lit(1)).alias("n"))
+    return (deliveries.groupBy(*by, "offset").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > 1))
 
 
-def skipped_offsets(log: DataFrame, commits: DataFrame) -> DataFrame:
+def skipped_offsets(log: DataFrame, commits: DataFrame, by: Sequence[str] = PARTITION) -> DataFrame:
     """Rows a restarted consumer never processes because it committed ahead
     of what it processed: ``processed < offset < committed``. One row per
-    partition on the small side (broadcast), then a range filter."""
-    c = commits.select("partition", "processed", "committed")
-    d = log.join(F.broadcast(c), "partition", "inner")
+    partition on the small side, then a range filter."""
+    by = list(by)
+    d = log.join(commits.select(*by, "processed", "committed"), by, "inner")
     return d.filter((F.col("offset") > F.col("processed")) & (F.col("offset") < F.col("committed")))
-
-
-def time_ms(ts: str = "ts") -> F.Column:
-    return epoch_ms(ts)

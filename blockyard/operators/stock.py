@@ -65,8 +65,8 @@ def reserved_positions(cells: DataFrame) -> DataFrame:
     ``(order_id, pos, x, y, color)`` (the list of the reference, one element
     per row; no per-order collect). Orders holding nothing have no row."""
     held = cells.filter(F.col("filled") & F.col("order_id").isNotNull()).select("order_id", "x", "y", "color")
-    rank = F.col("x") * F.lit(K.GRID_COLS) + F.col("y")
-    return row_number(held, ["order_id"], ["x", "y"], "pos", chunk_of(rank, CELL_CHUNK))
+    # chunks by x are in row-major order whatever the grid's width
+    return row_number(held, ["order_id"], ["x", "y"], "pos", chunk_of("x", CELL_CHUNK))
 
 
 def order_positions(orders: DataFrame, cells: DataFrame) -> DataFrame:
@@ -87,14 +87,14 @@ def duplicate_reservations(requests: DataFrame, cells: DataFrame, fetch_log: Dat
 def _free_ranked(cells: DataFrame) -> DataFrame:
     """Free cells numbered 1.. per colour in row-major order."""
     free = available_cells(cells).select("color", "x", "y")
-    rank = F.col("x") * F.lit(K.GRID_COLS) + F.col("y")
-    return row_number(free, ["color"], ["x", "y"], "rank", chunk_of(rank, CELL_CHUNK))
+    return row_number(free, ["color"], ["x", "y"], "rank", chunk_of("x", CELL_CHUNK))
 
 
 def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                 chunk_width: int = SEQ_CHUNK) -> DataFrame:
     """Decide every request: ``seq, order_id, color, count, status, kind,
-    avail`` where kind in (bad_colour, duplicate, granted, insufficient)."""
+    avail`` where kind in (bad_colour, duplicate, granted, insufficient,
+    second_colour)."""
     r = requests.select("seq", "order_id", "count", "color_raw",
                         F.upper(F.col("color_raw")).alias("color"))
     valid = F.coalesce(F.col("color").isin(*K.ORDER_COLOURS), F.lit(False))
@@ -103,9 +103,16 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                .withColumn("_held", F.lit(True)))
     r = r.join(holders, "order_id", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
     ok = r.filter(valid)
+    # An order's colour is that of its first request; requests for another
+    # colour are turned down, so that colours are allocated independently.
+    code = F.array_position(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), F.col("color"))
+    own = ok.groupBy("order_id").agg(F.min_by(code, F.col("seq")).alias("_own"))
+    ok = ok.join(own, "order_id")
+    other = ok.filter(~F.col("_held") & (code != F.col("_own"))).drop("_own")
+    ok = ok.filter(F.col("_held") | (code == F.col("_own"))).drop("_own")
     # Free cells per colour: one row per colour (bounded by the colour enum).
     free = (available_cells(cells).groupBy("color").agg(F.count(F.lit(1)).alias("free")))
-    ok = ok.join(F.broadcast(free), "color", "left").withColumn("free", F.coalesce("free", F.lit(0)))
+    ok = ok.join(free, "color", "left").withColumn("free", F.coalesce("free", F.lit(0)))
     # Iterative plan: cut the lineage of each round (a table written to the
     # shared checkpoint folder) so plans stay small and a lost executor only
     # recomputes one round.
@@ -132,8 +139,7 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
         stats = cs.groupBy("color").agg(
             F.min(F.when(F.col("_over"), F.col("seq"))).alias("_k"),
             F.coalesce(F.max(F.when(~F.col("_over"), F.col("_cs"))), F.lit(0)).alias("_used"))
-        # one row per colour (enum-bounded): broadcast
-        cs = cs.join(F.broadcast(stats), "color", "inner")
+        cs = cs.join(stats, "color", "inner")
         in_prefix = F.col("_k").isNull() | (F.col("seq") < F.col("_k"))
         g = cs.filter(in_prefix & (F.col("seq") == F.col("_f"))).select("seq", "order_id")
         granted = g if granted is None else granted.unionByName(g)
@@ -164,7 +170,9 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                                    F.lit("bad_colour").alias("kind"),
                                    F.lit(None).cast("long").alias("avail"),
                                    F.lit(None).cast("long").alias("_used_before")))
-    return d.unionByName(bad)
+    other = other.select("seq", "order_id", "color", "color_raw", "count", F.lit("second_colour").alias("kind"),
+                         F.lit(None).cast("long").alias("avail"), F.lit(None).cast("long").alias("_used_before"))
+    return d.unionByName(bad).unionByName(other)
 
 
 def reserve_results(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
@@ -177,6 +185,8 @@ def reserve_results(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame)
                                              F.lit(". Valid colors: " + VALID_COLOURS_TEXT)))
            .when(k == "duplicate", F.concat(F.lit("Order '"), F.col("order_id"),
                                             F.lit("' already has reserved blocks")))
+           .when(k == "second_colour", F.concat(F.lit("Order '"), F.col("order_id"),
+                                                F.lit("' already asked for another color")))
            .otherwise(F.concat(F.lit("Not enough "), F.col("color"), F.lit(" blocks. Requested: "),
                                F.col("count").cast("string"), F.lit(", available: "),
                                F.col("avail").cast("string"))))

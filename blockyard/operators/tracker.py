@@ -42,7 +42,7 @@ def dashboard_events(log: DataFrame) -> DataFrame:
         field("timestamp").try_cast("bigint").alias("timestamp_ms"))
 
 
-def order_tracker(events: DataFrame, chunk_width: int | None = None) -> DataFrame:
+def order_tracker(events: DataFrame) -> DataFrame:
     """Fold events (arrival order = ``seq``) into one status row per order.
 
     Start at step 0 on the first event; a detected step is accepted when it
@@ -57,38 +57,29 @@ def order_tracker(events: DataFrame, chunk_width: int | None = None) -> DataFram
       * the last accepted event is the last event carrying that max step, so
         ``failed`` = max_by over the packed key (step, seq);
       * step s rises (and records its time) iff the first event with step s
-        comes before the first event with any higher step.
-    ``chunk_width`` is accepted for API compatibility and unused."""
-    # Rows without an order id are dropped AFTER the aggregation (their key
-    # is null or blank, so each group is all valid or all invalid, and the
-    # invalid rows collapse map-side). A filter before it would be pushed,
-    # with the whole payload decoding, into the scan; on an input with few
-    # splits that decoding would then run in those few tasks.
-    e = events
+        comes before the first event with any higher step."""
+    e = events.filter(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
     det = event_step("message", "is_error", "info_title")
     # item type as a small int code: fixed-width aggregation buffers keep the
     # aggregation a hash aggregation (a string buffer forces a sort)
     item = item_type_from_text("message", "info_text")
     code = F.array_position(F.array(*[F.lit(t) for t in K.ITEM_TYPES]), item)
     e = e.select("order_id", "seq", "ts", "timestamp_ms", det["step"].alias("step_d"),
-                 (F.col("order_id").isNotNull() & (F.col("order_id") != "")).alias("_valid"),
                  det["failed"].alias("failed_d"), F.when(code > 0, code).cast("int").alias("item"))
     ts_ms, seq, step_d = F.col("timestamp_ms"), F.col("seq"), F.col("step_d")
     step_time = F.when(ts_ms.isNotNull() & (ts_ms != 0), ms_to_ts(ts_ms)).otherwise(F.col("ts"))
-    # (step, seq) packed into one long: step in the top bits (seq < 2^44)
-    step_then_seq = F.when(step_d.isNotNull(), F.shiftleft(step_d.cast("long"), 44) + seq)
     aggs = [
-        F.max("_valid").alias("_valid"),
         F.max(step_d).alias("_max_step"),
-        F.max_by("failed_d", step_then_seq).alias("_failed"),
         F.max_by("item", F.when(F.col("item").isNotNull(), seq)).alias("item_code"),
         F.min("ts").alias("t0"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"),
     ]
+    # the last event of each step; the highest step's says whether the order failed
+    aggs += [F.max_by("failed_d", F.when(step_d == s_, seq)).alias(f"_failed{s_}") for s_ in range(4)]
     for s_ in (1, 2, 3):
         aggs += [F.min(F.when(step_d == s_, seq)).alias(f"_first{s_}"),
                  F.min_by(step_time, F.when(step_d == s_, seq)).alias(f"_time{s_}"),
                  F.min(F.when(step_d > s_, seq)).alias(f"_above{s_}")]
-    g = e.groupBy("order_id").agg(*aggs).filter(F.col("_valid"))
+    g = e.groupBy("order_id").agg(*aggs)
 
     def rise(s_):
         above = F.col(f"_above{s_}")
@@ -100,7 +91,8 @@ def order_tracker(events: DataFrame, chunk_width: int | None = None) -> DataFram
     item_type = F.when(F.col("item_code").isNotNull(), F.element_at(names, F.col("item_code")))
     return g.select(
         "order_id", F.greatest(F.lit(0), F.coalesce("_max_step", F.lit(0))).cast("int").alias("step"),
-        F.coalesce("_failed", F.lit(False)).alias("failed"), item_type.alias("item_type"),
+        F.coalesce(F.coalesce(*[F.when(F.col("_max_step") == s_, F.col(f"_failed{s_}")) for s_ in range(4)]),
+                   F.lit(False)).alias("failed"), item_type.alias("item_type"),
         "t0", rise(1), rise(2), rise(3), "last_ts", "n_events")
 
 

@@ -66,7 +66,7 @@ SELECT CAST(p_partkey % 300 AS VARCHAR) AS order_id, p_partkey // 4 AS x, p_part
 FROM part WHERE p_partkey % 11 = 0"""),
     "requests": ([], """
 WITH base AS (
-  SELECT o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS order_id,
+  SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS order_id,
          CASE WHEN o_orderkey % 97 = 0 THEN 'sofa'
               ELSE CASE o_orderkey % 4 WHEN 0 THEN 'Chair' WHEN 1 THEN ' table ' WHEN 2 THEN 'SHELF' ELSE 'closet' END
          END AS item_raw,
@@ -75,8 +75,8 @@ WITH base AS (
          END AS color_raw,
          CASE o_orderkey % 7 WHEN 5 THEN 409 WHEN 6 THEN 503 ELSE 200 END AS status
   FROM orders),
-r AS (SELECT * FROM base UNION ALL
-      SELECT seq + 10000000, order_id, item_raw, color_raw, status FROM base WHERE seq % 10 = 0),
+r AS (SELECT 2 * k AS seq, false AS is_repeat, order_id, item_raw, color_raw, status FROM base UNION ALL
+      SELECT 2 * k + 1, true, order_id, item_raw, color_raw, status FROM base WHERE k % 10 = 0),
 n AS (SELECT *, CASE WHEN item_raw IN ('CHAIR','TABLE','SHELF','CLOSET') THEN item_raw
                      WHEN upper(trim(item_raw)) IN ('CHAIR','TABLE','SHELF','CLOSET') THEN upper(trim(item_raw))
                 END AS item FROM r)

@@ -84,7 +84,7 @@ SELECT e.partition, e.log_start, CAST(coalesce(c.committed, -1) AS BIGINT) AS co
                  THEN e.log_start - coalesce(c.committed, -1) ELSE 0 END AS BIGINT) AS lost
 FROM ends e LEFT JOIN commits c ON e.partition = c.partition""", ("event_log", "commits", "log_start"))
 def q_partition_lag(spark, sf):
-    return B.partition_lag(V.event_log(spark, sf), V.commits(spark, sf), V.log_start(spark, sf))
+    return B.partition_lag(V.event_log(spark, sf), V.commits(spark, sf), V.log_start(spark, sf), by=["partition"])
 
 
 @query("lag_growth", f"""
@@ -100,21 +100,21 @@ t3 AS (SELECT *, CASE WHEN committed >= 0 THEN log_end - committed END AS lag FR
 SELECT *, lag - lag(lag) OVER (PARTITION BY partition ORDER BY tick_start) AS growth FROM t3""",
        ("event_log", "commits"))
 def q_lag_growth(spark, sf):
-    return B.lag_growth(V.event_log(spark, sf), V.commits(spark, sf), TICK_S)
+    return B.lag_growth(V.event_log(spark, sf), V.commits(spark, sf), TICK_S, by=["partition"])
 
 
 @query("redeliveries", """
 SELECT partition, "offset", count(*) AS n FROM deliveries GROUP BY partition, "offset" HAVING count(*) > 1""",
        ("deliveries",))
 def q_redeliveries(spark, sf):
-    return B.redeliveries(V.deliveries(spark, sf))
+    return B.redeliveries(V.deliveries(spark, sf), by=["partition"])
 
 
 @query("skipped_offsets", """
 SELECT l.partition, l."offset", l.seq FROM event_log l JOIN commits c ON l.partition = c.partition
 WHERE l."offset" > c.processed AND l."offset" < c.committed""", ("event_log", "commits"))
 def q_skipped(spark, sf):
-    return B.skipped_offsets(V.event_log(spark, sf), V.commits(spark, sf)).select("partition", "offset", "seq")
+    return B.skipped_offsets(V.event_log(spark, sf), V.commits(spark, sf), by=["partition"]).select("partition", "offset", "seq")
 
 
 @query("log_start_policy", """
@@ -124,7 +124,7 @@ st AS (SELECT ends.partition, coalesce(c.committed, ends.e) AS start_offset
 SELECT l.seq, l.partition, l."offset" FROM event_log l JOIN st ON l.partition = st.partition
 WHERE l."offset" >= st.start_offset""", ("event_log", "commits"))
 def q_log_start_policy(spark, sf):
-    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "earliest")
+    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "earliest", by=("partition",))
     return d.select("seq", "partition", "offset")
 
 
@@ -135,7 +135,7 @@ st AS (SELECT ends.partition, coalesce(c.committed, ends.l) AS start_offset
 SELECT l.seq, l.partition, l."offset" FROM event_log l JOIN st ON l.partition = st.partition
 WHERE l."offset" >= st.start_offset""", ("event_log", "commits"))
 def q_log_start_policy_latest(spark, sf):
-    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "latest")
+    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "latest", by=("partition",))
     return d.select("seq", "partition", "offset")
 
 

@@ -124,9 +124,9 @@ SELECT seq, 'order.manufacture.v1' AS topic, '0' AS key,
             THEN json_object('order', json_object('orderId', order_id, 'itemType', it), 'correlationId', {HASH_ID})::VARCHAR
        END AS value,
        CASE WHEN it NOT IN ('CHAIR', 'TABLE', 'SHELF', 'CLOSET') THEN 'Invalid item type: ' || it END AS error
-FROM (SELECT seq, order_id, coalesce(item, item_raw) AS it FROM requests WHERE seq < 10000000)""", ("requests",))
+FROM (SELECT seq, order_id, coalesce(item, item_raw) AS it FROM requests WHERE NOT is_repeat)""", ("requests",))
 def q_publish_manufacture(spark, sf):
-    r = V.requests(spark, sf).filter(F.col("seq") < 10000000)
+    r = V.requests(spark, sf).filter(~F.col("is_repeat"))
     out = publish_manufacture(r, F.col("order_id"), F.coalesce("item", "item_raw"), F.lit(None).cast("string"),
                               F.col("seq"))
     return out.select("seq", "topic", "key", "value", "error")

@@ -74,14 +74,14 @@ POS_SQL = """
 , plan AS (SELECT * FROM (VALUES ('CHAIR', 1, 0, 0, 0), ('TABLE', 1, 0, 0, 0), ('TABLE', 2, 1, 0, 0),
                                  ('SHELF', 1, 0, 0, 0), ('SHELF', 2, 0, 0, 1), ('CLOSET', 1, 0, 0, 0),
                                  ('CLOSET', 2, 0, 0, 1), ('CLOSET', 3, 0, 0, 2)) t(item, pos, ax, ay, az)),
-ords AS (SELECT order_id, item FROM requests WHERE seq < 10000000 AND item IS NOT NULL)
+ords AS (SELECT order_id, item FROM requests WHERE NOT is_repeat AND item IS NOT NULL)
 SELECT p.order_id, p.pos, p.x, p.y, p.color, o.item, CAST(pl.ax AS INTEGER) AS ax, CAST(pl.ay AS INTEGER) AS ay,
        CAST(pl.az AS INTEGER) AS az, CAST(pl.ax * 26 AS INTEGER) AS move_dx, CAST(-85 + pl.az * 26 AS INTEGER) AS move_dz
 FROM pos p JOIN ords o ON p.order_id = o.order_id JOIN plan pl ON pl.item = o.item AND pl.pos = p.pos""",
        ("cells", "requests"))
 def q_assembly_zip(spark, sf):
     pos = S.reserved_positions(V.cells(spark, sf))
-    ords = V.requests(spark, sf).filter((F.col("seq") < 10000000) & F.col("item").isNotNull()).select("order_id", "item")
+    ords = V.requests(spark, sf).filter(~F.col("is_repeat") & F.col("item").isNotNull()).select("order_id", "item")
     from blockyard.functions import assembly_offset
     z = M.assembly_zip(pos, ords)
     move = assembly_offset("ax", "az")

@@ -138,11 +138,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 reservation requests from orders, with repeats and HTTP status."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    # one scan: every 10th order also arrives again as a repeat (seq + 10^7)
-    shift = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(10000000))).otherwise(F.array(F.lit(0))))
-    o = o.select("o_orderkey", shift.alias("_shift"))
+    # one scan: every 10th order arrives again; seq = 2 * key + repeat, so no two requests share a seq
+    again = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    o = o.select("o_orderkey", again.alias("_again"))
     r = o.select(
-        (k + F.col("_shift")).alias("seq"), k.cast("string").alias("order_id"),
+        (k * 2 + F.col("_again")).alias("seq"), (F.col("_again") == 1).alias("is_repeat"), k.cast("string").alias("order_id"),
         F.when(k % 97 == 0, F.lit("sofa")).otherwise(_case(k % 4, list(enumerate(RAW_ITEMS)))).alias("item_raw"),
         F.when(k % 89 == 0, F.lit("purple"))
          .otherwise(_case(F.expr("(o_orderkey div 4) % 4"), list(enumerate(RAW_COLOURS)))).alias("color_raw"),

@@ -41,7 +41,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on: UTC session clock (stream watermarks
     and epoch conversions) and a checkpoint folder. The checkpoint folder set
     by the cluster (``spark.checkpoint.dir``) is always kept; a local temp
-    folder is only chosen when none is configured (tests, local runs)."""
+    folder is only chosen by a local master that has none (tests)."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
@@ -96,6 +96,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="blockyard-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -107,38 +109,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-SPREAD_MIN_BYTES = 1 << 20
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table: a parquet scan with pushdown and pruning. It has the
+    splits of its files; a plan is the same at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; parquet scan with pushdown and pruning.
-
-    Input-parallelism guard: a scan with very few splits (at most a quarter
-    of the cores, e.g. a file with a single row group) would run all per-row
-    work before the first shuffle in those few tasks. Such an input (1 MB -
-    1 GB) gets a round-robin spread to the default parallelism right after
-    the scan; column pruning and parquet-pushable filters still reach the
-    scan (so do other deterministic filters, which then run before the
-    spread). Inputs with enough splits - the normal large-scale case - and
-    large inputs are read as is, so the guard never reshuffles big tables."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    target = spark.sparkContext.defaultParallelism
-    try:
-        if df.rdd.getNumPartitions() * 4 <= target and \
-                SPREAD_MIN_BYTES < _input_bytes(spark, path) <= SPREAD_MAX_BYTES:
-            df = df.repartition(target)
-    except Exception:  # noqa: BLE001 - the guard is an optimisation only
-        pass
-    return df
+def discard(df: DataFrame) -> None:
+    """Delete the folder that :func:`materialize` wrote for ``df``, once all
+    that reads it is done."""
+    spark = df.sparkSession
+    jvm, base = spark.sparkContext._jvm, checkpoint_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(base):
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockyard.session import discard, materialize
 from blockyard import constants as K
 from blockyard.functions import nonblank, uuid_from_hash
 
@@ -100,17 +101,18 @@ def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], batch_
             ) -> list[tuple[str, bool, str | None]]:
     """Send one (micro-)batch to every sink; a failing sink is reported and
     dropped, the rest still receive the batch. Use as the body of a
-    ``foreachBatch``. The batch is persisted once for the several writes."""
+    ``foreachBatch``. The batch is written once to the shared checkpoint
+    folder for the several writes, and deleted after them."""
     status = []
-    df.persist()
+    df = materialize(df, "fan-out")
     try:
         for name, write in list(sinks.items()):
             try:
                 write(df)
                 status.append((name, True, None))
             except Exception as e:  # noqa: BLE001 - a subscriber failure must not stop the others
-                status.append((name, False, str(e)[:200]))
+                status.append((name, False, str(e)))
                 sinks.pop(name, None)
     finally:
-        df.unpersist()
+        discard(df)
     return status

@@ -24,15 +24,18 @@ def _item(xml: Column, tag: str) -> Column:
 
 
 def robot_flow_source(spark: SparkSession, path: str) -> DataFrame:
-    """Load XML flow files (one per robot folder ``robot=<id>``): keep the
+    """Load XML flow files (one per robot folder ``robot=<id>``, or plain
+    files named after the robot; line breaks are allowed anywhere): keep the
     elements named ``row<digits>`` in document order, a move per row, and a
     suction command when ``item_12`` is first given or changes.
 
     Output ``robot, row, sub, kind, x, y, z, r, suck`` with ``(row, sub)``
     the command order (sub 0 = move, 1 = suction)."""
     files = spark.read.text(path, wholetext=True)
+    if "robot" not in files.columns:  # a plain file or folder: the robot is the file's name
+        files = files.withColumn("robot", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
     rows = files.select("robot", F.posexplode(
-        F.regexp_extract_all("value", F.lit(r"<(row\d+)>(.*?)</\1>"), F.lit(0))).alias("row", "xml"))
+        F.regexp_extract_all("value", F.lit(r"(?s)<(row\d+)>(.*?)</\1>"), F.lit(0))).alias("row", "xml"))
     x = F.col("xml")
     rows = rows.select(
         "robot", F.col("row").cast("long").alias("row"),
@@ -62,6 +65,7 @@ def write_robot_flows(rows: DataFrame, path: str) -> None:
         F.when(F.col("suck").isNotNull(), F.concat(F.lit("<item_12>"), F.col("suck").cast("int").cast("string"),
                                                    F.lit(".0</item_12>"))).otherwise(F.lit("")),
         F.lit("</row"), F.col("row").cast("string"), F.lit(">"))
+    line = F.regexp_replace(line, "><(/row|item_)", ">\n  <$1")
     body = rows.select("robot", F.col("row").cast("long").alias("k"), line.alias("value"))
     robots = rows.select("robot").distinct()
     head = robots.select("robot", F.lit(-1).cast("long").alias("k"), F.lit("<root>").alias("value"))

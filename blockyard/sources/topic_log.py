@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_COLUMNS = ["topic", "partition", "offset", "key", "value", "ts"]
 LOG_SCHEMA = ("topic STRING, partition INT, offset BIGINT, key STRING, value STRING, "
               "ts TIMESTAMP")
 
@@ -53,12 +52,12 @@ def read_kafka(spark: SparkSession, bootstrap: str, topics: Sequence[str],
 
 
 def log_start_policy(log: DataFrame, committed: DataFrame, policy: str = "latest",
-                     by: tuple[str, ...] = ("partition",)) -> DataFrame:
+                     by: tuple[str, ...] = ("topic", "partition")) -> DataFrame:
     """Rows a consumer group reads: from its committed offset, or — with no
     committed offset — from the ``earliest`` retained offset or from the
     ``latest`` end (nothing old is read).
 
-    ``committed``: (partition, committed). The per-partition ends are a
+    ``committed``: (topic, partition, committed). The per-partition ends are a
     partial aggregation (one row per partition); joined back on partition."""
     by = list(by)
     ends = log.groupBy(*by).agg(
@@ -67,7 +66,7 @@ def log_start_policy(log: DataFrame, committed: DataFrame, policy: str = "latest
     # one row per topic-partition on the small side
     starts = (ends.join(committed.select(*by, "committed"), by, "left")
               .select(*by, F.coalesce("committed", default).alias("start_offset")))
-    return (log.join(F.broadcast(starts), by, "inner")
+    return (log.join(starts, by, "inner")
             .filter(F.col("offset") >= F.col("start_offset")))
 
 

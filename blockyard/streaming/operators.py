@@ -92,10 +92,10 @@ def with_event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> D
 
 
 def dedup_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered records: same (partition, offset) within the
+    """Drop redelivered records: same (topic, partition, offset) within the
     watermark delay."""
     return (with_event_time(log).withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["partition", "offset"]))
+            .dropDuplicatesWithinWatermark(["topic", "partition", "offset"]))
 
 
 def lag_ticks_stream(log: DataFrame, tick_s: int, delay: str = "1 day") -> DataFrame:
@@ -110,7 +110,7 @@ def lag_with_commits(batch: DataFrame, commits: DataFrame) -> DataFrame:
     """``foreachBatch`` step: join the tick ends to the committed offsets
     (one row per partition)."""
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
-    return (batch.join(F.broadcast(commits.select("partition", "committed")), "partition", "left")
+    return (batch.join(commits.select("partition", "committed"), "partition", "left")
             .select("partition", F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick",
                     c.alias("committed"), F.when(c >= 0, F.col("end_in_tick") - c).alias("lag")))
 
@@ -271,7 +271,3 @@ def reserve_stream(messages: DataFrame) -> DataFrame:
     micro-batch a key's messages are decided in one task, in order."""
     return messages.groupBy("color").applyInPandasWithState(
         _reserve_fold, RESERVE_OUT, RESERVE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def ms(ts: str = "ts") -> F.Column:
-    return epoch_ms(ts)

@@ -120,7 +120,7 @@ def test_tracker_matches_fold(spark):
     log = spark.createDataFrame(rows, "seq long, ts string, topic string, value string") \
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = {r.order_id: dict(step=r.step, failed=r.failed, item=r.item_type)
-           for r in T.order_tracker(T.dashboard_events(log), chunk_width=17).collect()}
+           for r in T.order_tracker(T.dashboard_events(log)).collect()}
     assert got == want
 
 

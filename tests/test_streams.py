@@ -36,7 +36,9 @@ def test_tracker_stream_resumes_from_checkpoint(spark):
 
 
 def test_dedup_stream_drops_cross_batch_redeliveries(spark):
-    v1 = V.event_log(spark, SF_SMALL).select("seq", "ts", "partition", "offset")
+    v1 = V.event_log(spark, SF_SMALL).select("seq", "ts", F.lit("a").alias("topic"), "partition", "offset")
+    # another topic has the same partitions and offsets
+    v1 = v1.union(v1.select((F.col("seq") + 10**6).alias("seq"), "ts", F.lit("b"), "partition", "offset"))
     path = fresh_path(spark, "dups")
     write_ordered_log(v1, path, "seq", 2)
     # redeliver the first file's rows again, in a later file
@@ -48,7 +50,7 @@ def test_dedup_stream_drops_cross_batch_redeliveries(spark):
     q.awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == v1.count()
-    assert got.select("partition", "offset").distinct().count() == v1.count()
+    assert got.select("topic", "partition", "offset").distinct().count() == v1.count()
 
 
 def test_reserve_stream_fetch_and_restore(spark):
