@@ -34,7 +34,7 @@ from blockyard.llm.common import materialize, new_folder
 
 LENGTH, GRAM = 50, 24
 #: Bytes of a block, of a piece of it that is hashed at a time, and of text per bucket of anchors and of sites.
-BLOCK, PIECE, PER_ANCHORS, PER_SITES = 32 << 20, 1 << 20, 16 << 20, 4 << 20
+BLOCK, PIECE, PER_ANCHORS, PER_SITES = 16 << 20, 1 << 20, 16 << 20, 4 << 20
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,9 +125,9 @@ def _pieces(block: pa.Table, skip: set) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.concatenate(held), np.cumsum([len(x) for x in held]), np.array(rows), np.array(places)
 
 
-def _read(folder: str, block: int) -> pa.Table:
+def _read(folder: str, block: int, columns: list[str] | None = None) -> pa.Table:
     fs, base = pafs.FileSystem.from_uri(folder)
-    return pq.read_table(f"{base}/block-{block}.parquet", filesystem=fs)
+    return pq.read_table(f"{base}/block-{block}.parquet", filesystem=fs, columns=columns)
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def _send_sites(folder: str, anchor_buckets: int, buckets: int):
             for r in batch.to_pylist():
                 doc_of = None
                 for data, first, last, anchor, h, name, row, _ in _candidates(folder, r["block"], r["copies"], r["wanted"], anchor_buckets):
-                    doc_of = _read(folder, r["block"])["doc"].to_numpy() if doc_of is None else doc_of
+                    doc_of = _read(folder, r["block"], ["doc"])["doc"].to_numpy() if doc_of is None else doc_of
                     doc = doc_of[row]
                     order = np.lexsort((doc, name, h))  # distinct sites of the piece, each with its earliest document
                     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (name[order][1:] != name[order][:-1])]
