@@ -15,13 +15,18 @@ from blockyard.session import materialize
 from blockyard.streaming import operators as SO
 from blockyard.streaming.runtime import drain, fresh_path, read_log_stream, write_ordered_log
 
-N_FILES = 4
+#: Micro-batches that a fixture log is read in.
+BATCHES = 4
 
 
-def _stream_of(spark, df, name: str, order_col: str = "seq", max_files: int = 1):
+def _files_per_batch(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)
+
+
+def _stream_of(spark, df, name: str, order_col: str = "seq"):
     path = fresh_path(spark, name)
-    write_ordered_log(df, path, order_col, N_FILES)
-    return read_log_stream(spark, path, df.schema, max_files)
+    write_ordered_log(df, path, order_col)
+    return read_log_stream(spark, path, df.schema, _files_per_batch(spark))
 
 
 def _log_stream(spark, sf):
@@ -47,10 +52,16 @@ def q_commit_per_batch(spark, sf):
     return out.select("seq", "partition", "offset")
 
 
+POLL_RECORDS = 2000
+
+
 @query("poll_size_limit")
 def q_poll_size_limit(spark, sf):
-    """Rows per micro-batch with at most one file per trigger (rows check)."""
-    out = drain(_log_stream(spark, sf), spark, "poll",
+    """Rows per micro-batch: files of at most POLL_RECORDS rows, one per
+    trigger, bound the records of a poll (rows check)."""
+    log, path = V.event_log(spark, sf), fresh_path(spark, "polls")
+    write_ordered_log(log, path, max_records=POLL_RECORDS)
+    out = drain(read_log_stream(spark, path, log.schema), spark, "poll",
                 transform=lambda b, i: b.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(i)))
     return out.select("batch", "rows")
 
@@ -61,17 +72,20 @@ TICK_S = 86400
 @query("lag_stream", f"""
 SELECT t.partition, epoch_ms(t.tick_ms) AS tick_start, t.end_in_tick,
        CAST(coalesce(c.committed, -1) AS BIGINT) AS committed,
-       CASE WHEN coalesce(c.committed, -1) >= 0 THEN t.end_in_tick - c.committed END AS lag
+       CASE WHEN coalesce(c.committed, -1) >= 0 THEN t.end_in_tick - c.committed END AS lag,
+       CAST(CASE WHEN s.log_start > c.committed AND c.committed >= 0 THEN s.log_start - c.committed ELSE 0 END AS BIGINT) AS lost
 FROM (SELECT partition, (epoch_us(ts) // 1000 // {TICK_S * 1000}) * {TICK_S * 1000} AS tick_ms,
              max("offset") + 1 AS end_in_tick FROM event_log GROUP BY ALL) t
-LEFT JOIN commits c ON t.partition = c.partition""", ("event_log", "commits"))
+LEFT JOIN commits c ON t.partition = c.partition
+LEFT JOIN log_start s ON t.partition = s.partition""", ("event_log", "commits", "log_start"))
 def q_lag_stream(spark, sf):
+    by = ["partition"]  # the fixture log numbers offsets over all topics
     commits = materialize(V.commits(spark, sf), "commits")
-    out = drain(SO.lag_ticks_stream(_log_stream(spark, sf), TICK_S), spark, "lag", "update",
-                transform=lambda b, i: SO.lag_with_commits(b, commits))
-    latest = F.max_by(F.struct("end_in_tick", "committed", "lag"), F.col("batch_id"))
-    return (out.groupBy("partition", "tick_start").agg(latest.alias("l"))
-            .select("partition", "tick_start", "l.end_in_tick", "l.committed", "l.lag"))
+    starts = materialize(V.log_start(spark, sf), "log-start")
+    out = drain(SO.lag_ticks_stream(_log_stream(spark, sf), TICK_S, by=by), spark, "lag", "update",
+                transform=lambda b, i: SO.lag_with_commits(b, commits, starts, by))
+    latest = F.max_by(F.struct("end_in_tick", "committed", "lag", "lost"), F.col("batch_id"))
+    return out.groupBy(*by, "tick_start").agg(latest.alias("l")).select(*by, "tick_start", "l.*")
 
 
 def _race_inputs(s):
@@ -99,10 +113,9 @@ SELECT o.event_id, o.order_id, o.correlation_id
 FROM outcomes o JOIN waiting w ON o.order_id = w.order_id AND o.correlation_id = w.correlation_id
 WHERE o.ts >= w.start_ts AND o.event_id NOT IN (SELECT event_id FROM matched)""", ("waiting", "outcomes"))
 def q_late_outcomes(spark, sf):
-    _, outs = _race_inputs(_log_stream(spark, sf))
-    waiting = materialize(V.waiting(spark, sf), "waiting")
-    out = drain(SO.late_outcomes_stream(outs, waiting, RACE_S), spark, "late")
-    return out.filter(F.col("status") == "late").select("event_id", "order_id", "correlation_id")
+    starts, outs = _race_inputs(_log_stream(spark, sf))
+    joined = drain(SO.late_outcomes_stream(starts, outs), spark, "late")
+    return SO.late_rows(joined, RACE_S)
 
 
 @query("reserve_stream", ALLOC_SQL + """
@@ -145,8 +158,8 @@ def q_reserve_stream(spark, sf):
     path = fresh_path(spark, "stock-log")
     init = free.unionByName(held).unionByName(logged).unionByName(holders).select(*cols)
     write_ordered_log(init, path, "seq", 1)
-    write_ordered_log(reqs.select(*cols), path, "seq", N_FILES)
-    s = read_log_stream(spark, path, init.schema, 1)
+    write_ordered_log(reqs.select(*cols), path)
+    s = read_log_stream(spark, path, init.schema, _files_per_batch(spark))
     out = drain(SO.reserve_stream(s), spark, "reserve")
     return out.select("seq", "order_id", "color", "count", "status", "message")
 

@@ -1,15 +1,15 @@
 """Streaming forms of the operators (Structured Streaming).
 
-Stateless parts (decoding, step detection, item extraction) stay JVM-side
-built-ins; only the per-key state machines run as small Python folds in
-``applyInPandasWithState``, whose state Spark keeps in the checkpointed
-state store (per key, so it spreads over executors and survives restarts).
+Everything but ``reserve_stream`` is built-in aggregations, joins and
+deduplication, whose state Spark keeps in the checkpointed state store (per
+key, so it spreads over executors and survives restarts). ``reserve_stream``
+is a small Python fold in ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,70 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockyard import constants as K
-from blockyard.functions import epoch_ms, event_step, item_type_from_text, rgb_classify
-from blockyard.operators.tracker import dashboard_events
+from blockyard.functions import rgb_classify
+from blockyard.operators.broker import PARTITION
+from blockyard.operators.tracker import dashboard_events, order_tracker
 
 # --- tracker_stream ----------------------------------------------------------
 
-TRACKER_STATE = ("step int, failed boolean, item_type string, t0 long, t1 long, t2 long, t3 long, "
-                 "last_ts long, n_events long")
-TRACKER_OUT = "order_id string, " + TRACKER_STATE
-
-
-def _us(ts: str) -> F.Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            F.col(ts).cast("timestamp_ntz"))
-
-
-def _tracker_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        step, failed, item, t0, t1, t2, t3, last, n = state.get
-        times = [t0, t1, t2, t3]
-    else:
-        step = None
-    rows = pd.concat(list(pdfs)).sort_values("seq")
-    for r in rows.itertuples(index=False):
-        if step is None:
-            step, failed, item, times, n = 0, False, None, [int(r.ts_us), None, None, None], 0
-        if not pd.isna(r.step_d):
-            d = int(r.step_d)
-            if d >= step:
-                if d > step and times[d] is None:
-                    times[d] = int(r.step_time_us)
-                step, failed = d, bool(r.failed_d)
-        if isinstance(r.item, str):
-            item = r.item
-        last = int(r.ts_us)
-        n += 1
-    state.update((step, failed, item, *times, last, n))
-    yield pd.DataFrame([{"order_id": key[0], "step": step, "failed": failed, "item_type": item,
-                         "t0": times[0], "t1": times[1], "t2": times[2], "t3": times[3],
-                         "last_ts": last, "n_events": n}])
-
-
 def tracker_stream(log: DataFrame) -> DataFrame:
-    """Live order tracker: one updated row per order and micro-batch
-    (update mode). Events of a key are folded in ``seq`` order."""
-    e = dashboard_events(log).filter(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
-    det = event_step("message", "is_error", "info_title")
-    ms = F.col("timestamp_ms")
-    step_time = F.when(ms.isNotNull() & (ms != 0), ms * 1000).otherwise(_us("ts"))
-    e = e.select("order_id", "seq", _us("ts").alias("ts_us"), det["step"].alias("step_d"),
-                 det["failed"].alias("failed_d"), item_type_from_text("message", "info_text").alias("item"),
-                 step_time.alias("step_time_us"))
-    return e.groupBy("order_id").applyInPandasWithState(
-        _tracker_fold, TRACKER_OUT, TRACKER_STATE, "update", GroupStateTimeout.NoTimeout)
+    """Live order tracker: one updated row per order and micro-batch (update
+    mode). The batch tracker is one aggregation of order-free facts, so it
+    runs unchanged as a streaming aggregation with fixed-width state."""
+    return order_tracker(dashboard_events(log))
 
 
 def tracker_rows(updates: DataFrame) -> DataFrame:
-    """Latest update per order (``n_events`` only grows) with timestamps."""
-    last = F.max_by(F.struct(*[c for c in updates.columns if c not in ("order_id", "batch_id")]), F.col("n_events"))
-    d = updates.groupBy("order_id").agg(last.alias("s")).select("order_id", "s.*")
-
-    def ts(c):
-        return F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
-    return d.select("order_id", "step", "failed", "item_type", ts("t0").alias("t0"), ts("t1").alias("t1"),
-                    ts("t2").alias("t2"), ts("t3").alias("t3"), ts("last_ts").alias("last_ts"), "n_events")
+    """Latest update per order (``n_events`` only grows)."""
+    cols = [c for c in updates.columns if c not in ("order_id", "batch_id")]
+    last = F.max_by(F.struct(*cols), F.col("n_events"))
+    return updates.groupBy("order_id").agg(last.alias("s")).select("order_id", "s.*")
 
 
 # --- dedup / commit / poll / lag ---------------------------------------------
@@ -98,21 +52,26 @@ def dedup_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
             .dropDuplicatesWithinWatermark(["topic", "partition", "offset"]))
 
 
-def lag_ticks_stream(log: DataFrame, tick_s: int, delay: str = "1 day") -> DataFrame:
-    """Log end per partition and tick (tumbling window of max offset);
+def lag_ticks_stream(log: DataFrame, tick_s: int, delay: str = "1 day", by: Sequence[str] = PARTITION) -> DataFrame:
+    """Log end per topic partition and tick (tumbling window of max offset);
     update mode re-emits a tick while it changes."""
     return (with_event_time(log).withWatermark("event_time", delay)
-            .groupBy("partition", F.window("event_time", f"{tick_s} seconds").alias("w"))
+            .groupBy(*by, F.window("event_time", f"{tick_s} seconds").alias("w"))
             .agg((F.max("offset") + 1).alias("end_in_tick")))
 
 
-def lag_with_commits(batch: DataFrame, commits: DataFrame) -> DataFrame:
-    """``foreachBatch`` step: join the tick ends to the committed offsets
-    (one row per partition)."""
+def lag_with_commits(batch: DataFrame, commits: DataFrame, log_start: DataFrame, by: Sequence[str] = PARTITION) -> DataFrame:
+    """``foreachBatch`` step: join the tick ends to the committed offsets and
+    the log start (one row per partition each). ``lost`` counts the offsets
+    that retention removed before the consumer committed them."""
+    by = list(by)
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
-    return (batch.join(commits.select("partition", "committed"), "partition", "left")
-            .select("partition", F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick",
-                    c.alias("committed"), F.when(c >= 0, F.col("end_in_tick") - c).alias("lag")))
+    known = commits.select(*by, "committed").join(log_start.select(*by, "log_start"), by, "full")
+    return (batch.join(known, by, "left")
+            .select(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick",
+                    c.alias("committed"), F.when(c >= 0, F.col("end_in_tick") - c).alias("lag"),
+                    F.when((F.col("log_start") > c) & (c >= 0), F.col("log_start") - c).otherwise(F.lit(0)).cast("long")
+                    .alias("lost")))
 
 
 def sensor_gate_stream(readings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,38 +116,32 @@ def race_winners(joined: DataFrame, timeout_s: int) -> DataFrame:
                     .alias("decided_ts"))
 
 
-LATE_OUT = "event_id long, order_id string, correlation_id string, ts_us long, status string"
-
-
-def _late_fold(timeout_us: int):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decided = state.get[0] if state.exists else False
-        rows = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.ts_us < r.start_us:
-                status = "early"
-            elif not decided and r.ts_us < r.start_us + timeout_us:
-                decided, status = True, "matched"
-            else:
-                status = "late"
-            out.append((int(r.event_id), key[0], key[1], int(r.ts_us), status))
-        state.update((decided,))
-        yield pd.DataFrame(out, columns=["event_id", "order_id", "correlation_id", "ts_us", "status"])
-    return fold
-
-
-def late_outcomes_stream(outcomes: DataFrame, waiting: DataFrame, timeout_s: int) -> DataFrame:
-    """Outcome messages tagged matched / late / early per waiting order: an
-    order stops waiting at its first in-window outcome or its deadline;
-    anything after is late (dropped by the process, counted here).
-    Stream-static join to the waiting orders, then a keyed fold whose state
-    is one flag per order."""
-    o = outcomes.join(waiting.select("order_id", "correlation_id", _us("start_ts").alias("start_us")),
-                      ["order_id", "correlation_id"], "inner")
-    o = o.select("order_id", "correlation_id", "event_id", _us("ts").alias("ts_us"), "start_us")
-    return o.groupBy("order_id", "correlation_id").applyInPandasWithState(
-        _late_fold(timeout_s * 1_000_000), LATE_OUT, "decided boolean", "append", GroupStateTimeout.NoTimeout)
+def late_outcomes_stream(starts: DataFrame, outcomes: DataFrame, delay: str = "1 day",
+                         horizon_s: int | None = None) -> DataFrame:
+    """Outcomes of orders that started before them: stream-stream inner join
+    (append mode), so orders that begin while the stream runs count too.
+    ``late_rows`` decides which of them came too late. Waiting orders stay in
+    the state store for ``horizon_s`` seconds of event time, past which their
+    outcomes are no longer reported; without it they stay for good."""
+    w = with_event_time(starts, "start_ts", "start_time").withWatermark("start_time", delay).alias("w")
+    o = with_event_time(outcomes, "ts", "out_time").withWatermark("out_time", delay).alias("o")
+    cond = "w.order_id = o.order_id AND w.correlation_id = o.correlation_id AND o.out_time >= w.start_time"
+    if horizon_s is not None:
+        cond += f" AND o.out_time < w.start_time + INTERVAL {horizon_s} SECONDS"
+    return w.join(o, F.expr(cond), "inner").select(*[F.col(f"w.{c}").alias(c) for c in ("order_id", "correlation_id", "start_ts")],
+                                                   F.col("o.event_id").alias("event_id"), F.col("o.ts").alias("ts"))
+
+
+def late_rows(joined: DataFrame, timeout_s: int) -> DataFrame:
+    """Late outcomes from the drained join: an order stops waiting at its
+    first outcome within ``timeout_s`` of its first start, or then; every
+    other outcome is late (dropped by the process, counted here)."""
+    key = ["order_id", "correlation_id"]
+    e = joined.groupBy(*key, "event_id").agg(F.min("start_ts").alias("start_ts"), F.min("ts").alias("ts"))
+    in_time = F.col("ts") < F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_ts"))
+    matched = e.filter(in_time).groupBy(*key).agg(F.min(F.struct("ts", "event_id")).getField("event_id").alias("_matched"))
+    return (e.join(matched, key, "left").filter(F.col("_matched").isNull() | (F.col("event_id") != F.col("_matched")))
+            .select("event_id", *key))
 
 
 # --- reserve_stream -------------------------------------------------------------

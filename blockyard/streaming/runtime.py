@@ -21,20 +21,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def write_ordered_log(df: DataFrame, path: str, order_col: str = "seq", n_files: int = 4) -> DataFrame:
-    """Write ``df`` as ``n_files`` appends in ``order_col`` ranges, one job
-    each, so file modification times follow arrival order (the file source
-    reads oldest first). Returns the batch schema holder."""
-    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return df
-    step = (hi - lo) // n_files + 1
-    for i in range(n_files):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = df.filter((F.col(order_col) >= a) & (F.col(order_col) < b))
-        part.coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
+def write_ordered_log(df: DataFrame, path: str, order_col: str = "seq", n_files: int | None = None,
+                      max_records: int = 0) -> DataFrame:
+    """Append ``df`` as files of ``order_col`` ranges (as many as there are
+    shuffle partitions by default, at most ``max_records`` rows each), written
+    in parallel by one job. Their modification times are then set in range
+    order, after those of earlier appends, because the file source reads oldest
+    first; so no stream may read the folder meanwhile, and it must be on a file
+    system that keeps such times. Returns the batch schema holder."""
+    spark = df.sparkSession
+    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def parts() -> dict:
+        found = fs.listStatus(folder) if fs.exists(folder) else []
+        return {f.getPath().getName(): f for f in found if f.getPath().getName().startswith("part-")}
+
+    earlier = parts()
+    (df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col)
+     .write.mode("append").option("maxRecordsPerFile", max_records).parquet(path))
+    new = sorted((name, f) for name, f in parts().items() if name not in earlier)
+    last = max((f.getModificationTime() for f in earlier.values()), default=0)
+    # whole seconds: some file systems keep no fractions
+    begin = max(last, min((f.getModificationTime() for _, f in new), default=0)) // 1000 + 1
+    for i, (_, f) in enumerate(new):
+        fs.setTimes(f.getPath(), (begin + i) * 1000, -1)
     return df
 
 

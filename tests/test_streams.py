@@ -80,3 +80,47 @@ def test_reserve_stream_fetch_and_restore(spark):
     assert got[(5, "RED")] == (200, 2)            # a restores: cells come back
     assert got[(6, "RED")] == (200, 2)            # now b fits
     assert got[(7, "RED")] == (200, 1)            # a holds nothing now; one cell left fits
+
+
+def test_ordered_log_files_follow_their_ranges(spark):
+    """One parallel job per append; modification times rise with the order,
+    over appends too, and no file has more records than asked for."""
+    import os
+    path = fresh_path(spark, "ranges")
+    for lo in (0, 1000):
+        write_ordered_log(spark.range(lo, lo + 1000).withColumnRenamed("id", "seq"), path, n_files=4, max_records=100)
+    folder = path.removeprefix("file:")
+    files = sorted((os.path.getmtime(f"{folder}/{f}"), f) for f in os.listdir(folder) if f.startswith("part-"))
+    ends = [spark.read.parquet(f"{path}/{f}").agg(F.min("seq"), F.max("seq"), F.count("seq")).first() for _, f in files]
+    assert len({t for t, _ in files}) == len(files) >= 20
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert max(e[2] for e in ends) <= 100 and sum(e[2] for e in ends) == 2000
+
+
+def test_late_outcomes_of_orders_started_while_streaming(spark):
+    """Second outcomes, outcomes past the deadline and outcomes of an order
+    that starts in a later batch are told apart; earlier ones are not joined."""
+    rows = [("s", 0, "a", 0), ("o", 1, "a", 60), ("o", 2, "a", 120), ("o", 3, "b", 130), ("s", 4, "b", 200),
+            ("o", 5, "b", 200 + 3600), ("s", 6, "c", 4000), ("o", 7, "c", 4001), ("o", 8, "c", 4001)]
+    log = spark.createDataFrame(rows, "what string, seq long, order_id string, t long").select(
+        "what", "seq", "order_id", F.lit("k").alias("correlation_id"), F.timestamp_seconds(F.col("t") + 1_700_000_000).cast("timestamp_ntz").alias("ts"))
+    path, out, ckpt = (fresh_path(spark, n) for n in ("race", "out", "ckpt"))
+    write_ordered_log(log.filter("seq < 4"), path, n_files=1)
+    write_ordered_log(log.filter("seq >= 4"), path, n_files=1)
+    s = read_log_stream(spark, path, log.schema, 1)
+    starts = s.filter("what = 's'").select("order_id", "correlation_id", F.col("ts").alias("start_ts"))
+    outs = s.filter("what = 'o'").select(F.col("seq").alias("event_id"), "order_id", "correlation_id", "ts")
+    q = (SO.late_outcomes_stream(starts, outs).writeStream.option("checkpointLocation", ckpt)
+         .foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.order_id, r.event_id) for r in SO.late_rows(spark.read.parquet(out), 3600).collect()}
+    assert got == {("a", 2), ("b", 5), ("c", 8)}
+
+
+def test_lag_stream_counts_lost_offsets(spark):
+    batch = spark.sql("""SELECT 't' AS topic, p AS partition, named_struct('start', timestamp'2024-01-01', 'end', timestamp'2024-01-02') AS w,
+                         100L AS end_in_tick FROM VALUES (0), (1), (2) v(p)""")
+    commits = spark.sql("SELECT 't' AS topic, p AS partition, c AS committed FROM VALUES (0, 40L), (1, 90L) v(p, c)")
+    start = spark.sql("SELECT 't' AS topic, p AS partition, 50L AS log_start FROM VALUES (0), (1), (2) v(p)")
+    got = {r.partition: (r.committed, r.lag, r.lost) for r in SO.lag_with_commits(batch, commits, start).collect()}
+    assert got == {0: (40, 60, 10), 1: (90, 10, 0), 2: (-1, None, 0)}
