@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockyard.functions import assembly_plan
-from blockyard.operators.sequencing import chunk_of, row_number, running_many
+from blockyard.operators.sequencing import chunk_of, running_many
 
 SEQ_CHUNK = 1 << 20
 
@@ -28,40 +28,57 @@ def state_change_only(df: DataFrame, by: Sequence[str], order: str, state: Seque
     return d.filter(F.col("_prev_rank").isNull() | ~same).drop("_prev_rank", *[f"_prev_{s}" for s in state])
 
 
+AXES = ("x", "y", "z", "r")
+
+
+def _absolute() -> F.Column:
+    return F.col("kind").isin("MovementCommand", "HomeCommand")
+
+
+def _target(axis: str) -> F.Column:
+    """Where an absolute command puts the axis (null = 0, home = 0)."""
+    return F.when(F.col("kind") == "MovementCommand", F.coalesce(F.col(axis), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def _delta(axis: str) -> F.Column:
+    return F.when(F.col("kind") == "RelativeMovementCommand", F.coalesce(F.col(axis), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
     """Position after each command: an absolute move sets x, y, z, r; a
     relative move adds (null = 0); ``HomeCommand`` resets to 0; suction is
-    the last set value.
+    the last set value, false before any.
 
-    p(i) = A(s) + S(i) - S(s), where s = last absolute/home row at or before
-    i, A its coordinates and S the running sum of relative deltas. Both the
-    sums and the carry-forward of (A - S) are chunked running aggregates."""
+    Absolute commands cut a robot's log into segments. A position is the
+    running sum, within its segment only, of the target that began it and the
+    deltas since, so rounding errors do not grow with the log. Segment numbers
+    and sums are chunked running aggregates."""
     ch = chunk_of("seq", chunk_width)
-    k = F.col("kind")
-    absolute = k.isin("MovementCommand", "HomeCommand")
-    rel = k == "RelativeMovementCommand"
-    axes = ["x", "y", "z", "r"]
-    sums = [(F.when(rel, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.lit(0.0)), f"_s{a}", "sum")
-            for a in axes]
-    d = running_many(commands, ["robot"], ["seq"], sums, ch, stage=True)
-    def anchor(a):
-        at = F.when(k == "HomeCommand", F.lit(0.0)).otherwise(F.coalesce(F.col(a), F.lit(0.0)))
-        return F.when(absolute, at - F.col(f"_s{a}"))
-
-    # one "last" per axis: plain double columns, fixed-width aggregation buffers
-    d = running_many(d, ["robot"], ["seq"], [(anchor(a), f"_anc{a}", "last") for a in axes]
-                     + [(F.col("suck"), "suction", "last")], ch, stage=True)
-    pos = [(F.coalesce(F.col(f"_anc{a}"), F.lit(0.0)) + F.col(f"_s{a}")).alias(f"p{a}") for a in axes]
-    return d.select("robot", "seq", "kind", *pos, "suction")
-
-
-def final_position(traj: DataFrame) -> DataFrame:
-    """Last position per robot (partial aggregation with max_by)."""
+    begins = F.when(_absolute(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    d = running_many(commands, ["robot"], ["seq"], [(begins, "_segment", "sum"), (F.col("suck"), "suction", "last")],
+                     ch, stage=True)
+    steps = [(F.when(_absolute(), _target(a)).otherwise(_delta(a)), f"p{a}", "sum") for a in AXES]
+    d = running_many(d, ["robot", "_segment"], ["seq"], steps, ch, stage=True)
+    return d.select("robot", "seq", "kind", *[f"p{a}" for a in AXES],
+                    F.coalesce("suction", F.lit(False)).alias("suction"))
+
+
+def final_position(commands: DataFrame) -> DataFrame:
+    """Last position per robot, as ``trajectory`` gives it: the last absolute
+    command and the sum of the deltas after it. Two partial aggregations."""
+    at = F.when(_absolute(), F.col("seq"))
     # one max_by per column: fixed-width buffers keep it a hash aggregation
-    seq = F.col("seq")
-    return traj.groupBy("robot").agg(
-        F.max("seq").alias("n_commands"),
-        *[F.max_by(c, seq).alias(c) for c in ("px", "py", "pz", "pr", "suction")])
+    last = commands.groupBy("robot").agg(
+        F.max("seq").alias("n_commands"), F.max(at).alias("_at"),
+        *[F.max_by(_target(a), at).alias(f"_{a}") for a in AXES],
+        F.max_by("suck", F.when(F.col("suck").isNotNull(), F.col("seq"))).alias("suction"))
+    moves = commands.filter(F.col("kind") == "RelativeMovementCommand").select("robot", "seq", "kind", *AXES)
+    since = (moves.join(last.select("robot", "_at"), "robot").filter(F.col("_at").isNull() | (F.col("seq") > F.col("_at")))
+             .groupBy("robot").agg(*[F.sum(_delta(a)).alias(f"_d{a}") for a in AXES]))
+    zero = F.lit(0.0)
+    return last.join(since, "robot", "left").select(
+        "robot", "n_commands", *[(F.coalesce(f"_{a}", zero) + F.coalesce(f"_d{a}", zero)).alias(f"p{a}") for a in AXES],
+        F.coalesce("suction", F.lit(False)).alias("suction"))
 
 
 def assembly_zip(positions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -73,18 +90,19 @@ def assembly_zip(positions: DataFrame, orders: DataFrame) -> DataFrame:
     return positions.join(plan, ["order_id", "pos"], "inner")
 
 
-def retry_attempts(attempts: DataFrame, by: Sequence[str], order: Sequence[str], max_tries: int = 3,
-                   chunk: F.Column | None = None) -> DataFrame:
+def retry_attempts(attempts: DataFrame, by: Sequence[str], order: Sequence[str], max_tries: int = 3) -> DataFrame:
     """Number the tries of each (order, activity); keep tries up to the first
     success or the last allowed try. ``retries_left``, ``final`` and
-    ``outcome`` (success / retry / error) per kept try."""
-    d = row_number(attempts, list(by), list(order), "attempt", chunk)
-    first_ok = d.filter("success").groupBy(*by).agg(F.min("attempt").alias("_ok"))
-    d = d.join(first_ok, list(by), "left")
-    stop = F.least(F.coalesce(F.col("_ok"), F.lit(max_tries)), F.lit(max_tries))
-    d = d.filter(F.col("attempt") <= stop)
+    ``outcome`` (success / retry / error) per kept try.
+
+    Only the first ``max_tries`` rows of a key matter, and Spark keeps no more
+    per task before it shuffles (a window group limit), so a hot key stays small."""
+    key = Window.partitionBy(*by)
+    d = attempts.withColumn("attempt", F.row_number().over(key.orderBy(*order))).filter(F.col("attempt") <= max_tries)
+    d = d.withColumn("_ok", F.min(F.when(F.col("success"), F.col("attempt"))).over(key))
+    d = d.filter(F.col("_ok").isNull() | (F.col("attempt") <= F.col("_ok")))
     final = F.col("success") | (F.col("attempt") == max_tries)
     outcome = F.when(F.col("success"), "success").when(F.col("attempt") == max_tries, "error").otherwise("retry")
     return d.select(*by, *[c for c in order if c not in by], F.col("attempt").cast("long").alias("attempt"),
                     (F.lit(max_tries) - F.col("attempt")).cast("long").alias("retries_left"),
-                    final.alias("final"), outcome.alias("outcome"), "success").drop("_ok")
+                    final.alias("final"), outcome.alias("outcome"), "success")

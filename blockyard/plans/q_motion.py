@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockyard.operators import motion as M
-from blockyard.operators.sequencing import chunk_of
 from blockyard.plans import views as V
 from blockyard.plans.registry import query
 
@@ -31,8 +30,8 @@ traj AS (
            OVER (PARTITION BY robot, sg ORDER BY seq)
          + sum(CASE WHEN kind = 'RelativeMovementCommand' THEN coalesce(r, 0.0) ELSE 0.0 END)
            OVER (PARTITION BY robot, sg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pr,
-         last_value(suck IGNORE NULLS) OVER (PARTITION BY robot ORDER BY seq
-                                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suction
+         coalesce(last_value(suck IGNORE NULLS) OVER (PARTITION BY robot ORDER BY seq
+                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS suction
   FROM seg)"""
 
 
@@ -46,7 +45,7 @@ SELECT robot, max(seq) AS n_commands, arg_max(px, seq) AS px, arg_max(py, seq) A
        arg_max(pr, seq) AS pr, arg_max(suction, seq) AS suction
 FROM traj GROUP BY robot""", ("commands",))
 def q_final_position(spark, sf):
-    return M.final_position(M.trajectory(V.commands(spark, sf)))
+    return M.final_position(V.commands(spark, sf))
 
 
 @query("state_change_only", """
@@ -73,6 +72,4 @@ SELECT order_key, activity, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_s
        CASE WHEN success THEN 'success' WHEN attempt = 3 THEN 'error' ELSE 'retry' END AS outcome, success
 FROM b WHERE attempt <= least(coalesce(ok, 3), 3)""", ("attempts",))
 def q_retry(spark, sf):
-    a = V.attempts(spark, sf)
-    days = F.unix_date(F.col("l_shipdate").cast("date"))
-    return M.retry_attempts(a, ["order_key", "activity"], RETRY_ORDER, 3, chunk_of(days, 1 << 12))
+    return M.retry_attempts(V.attempts(spark, sf), ["order_key", "activity"], RETRY_ORDER, 3)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockyard import session
 from blockyard.operators import broker as B
+from blockyard.operators import motion
 from blockyard.operators import stock as S
 from blockyard.operators import tracker as T
 from blockyard.plans import views as V
@@ -96,3 +97,27 @@ def test_discard_deletes_what_was_staged(spark):
     with pytest.raises(Exception):
         spark.read.parquet(*files).count()
     assert F is not None
+
+
+def test_trajectory_rounds_within_a_segment(spark):
+    """An absolute move after 20,000 deltas ends exactly where it says; suction starts false."""
+    n = 20_000
+    log = spark.range(1, n + 1).select(F.lit(1).alias("robot"), F.col("id").alias("seq"), F.lit("RelativeMovementCommand").alias("kind"),
+                                       *[F.lit(0.1).alias(a) for a in "xyzr"], F.lit(None).cast("boolean").alias("suck"))
+    move = spark.sql(f"SELECT 1 AS robot, {n + 1}L AS seq, 'MovementCommand' AS kind, 12.3D AS x, 0D AS y, 0D AS z, 0D AS r, "
+                     f"CAST(NULL AS BOOLEAN) AS suck")
+    commands = log.union(move)
+    end = motion.trajectory(commands, chunk_width=1000).orderBy(F.desc("seq")).first()
+    assert (end.px, end.suction) == (12.3, False)
+    last = motion.final_position(commands).first()
+    assert (last.n_commands, last.px, last.suction) == (n + 1, 12.3, False)
+    assert motion.final_position(log).first().px == pytest.approx(2000.0)
+
+
+def test_retry_attempts_shuffles_once(spark):
+    rows = [(1, i, i == 1) for i in range(5)] + [(2, i, False) for i in range(5)]
+    d = motion.retry_attempts(spark.createDataFrame(rows, "k int, t int, success boolean"), ["k"], ["t"])
+    assert sorted((r.k, r.attempt, r.outcome) for r in d.collect()) == [
+        (1, 1, "retry"), (1, 2, "success"), (2, 1, "retry"), (2, 2, "retry"), (2, 3, "error")]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
