@@ -211,18 +211,14 @@ def fetch(requests: DataFrame, cells: DataFrame) -> DataFrame:
     cells it holds (they enter the fetch log, status 200, one row per
     cell); a request finding nothing gets one 404 row."""
     r = _first_of_key(requests.select("seq", "order_id"), "order_id", "seq", "_first")
-    held = cells.filter(F.col("filled") & F.col("order_id").isNotNull()).select("order_id", "x", "y", "color")
-    holders = held.groupBy("order_id").agg(F.lit(True).alias("_holds"))
-    r = r.join(holders, "order_id", "left")
-    found = F.col("_first") & F.coalesce(F.col("_holds"), F.lit(False))
-    hit = r.filter(found).join(held, "order_id", "inner").select(
-        "seq", "order_id", F.lit(200).alias("status"), "x", "y", "color",
-        F.lit(None).cast("string").alias("message"))
-    miss = r.filter(~found).select(
-        "seq", "order_id", F.lit(404).alias("status"), F.lit(None).cast("long").alias("x"),
-        F.lit(None).cast("long").alias("y"), F.lit(None).cast("string").alias("color"),
-        F.concat(F.lit("No reserved blocks found for order '"), F.col("order_id"), F.lit("'")).alias("message"))
-    return hit.unionByName(miss)
+    held = cells.filter(F.col("filled") & F.col("order_id").isNotNull()).select(
+        F.col("order_id").alias("_holder"), "x", "y", "color")
+    # one join answers both: later requests of an order match nothing
+    d = r.join(held, F.col("_first") & (F.col("order_id") == F.col("_holder")), "left")
+    miss = F.col("_holder").isNull()
+    return d.select(
+        "seq", "order_id", F.when(miss, 404).otherwise(200).alias("status"), "x", "y", "color",
+        F.when(miss, F.concat(F.lit("No reserved blocks found for order '"), F.col("order_id"), F.lit("'"))).alias("message"))
 
 
 def restore_order(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
