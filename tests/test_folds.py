@@ -136,7 +136,7 @@ def test_trajectory_matches_simulation(spark):
             cmds.append((robot, seq, kind, *vals, suck))
     want = {}
     for robot in range(3):
-        pos, suction = [0.0] * 4, None
+        pos, suction = [0.0] * 4, False  # the cup is off at first
         for r in sorted(c for c in cmds if c[0] == robot):
             kind = r[2]
             if kind == "MovementCommand":
