@@ -66,21 +66,21 @@ def source_targets(sizes: DataFrame, schedules: Sequence, budget: float, most: f
 
 
 def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
-                schedules: Sequence = SCHEDULES, budget: float = 1.5, most: float = 2.0, rounds: int = 3) -> DataFrame:
+                schedules: Sequence = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """Decides how often and when each row is read in training; returns df's columns plus `size` (words), source_size,
     target (both of the row's source), taken (words) and positions (array of training times, one per reading).
 
     Each source is read in passes over a fixed pseudo-random order of its rows: the whole passes that fit its target,
-    then a last partial pass that stops at the row whose middle passes the target. `rounds` corrections then switch one
-    row each, of all the source's rows the one that brings the words taken nearest to the target, which matters
-    where a source is small or a row is large. A reading that starts after a share u of its source's target is
-    placed where the integrated weight schedule reaches u.
+    then a last partial pass that tries every row in that order and takes it if it fits what is left of the target.
+    While switching one row, of all the source's rows, brings the words taken nearer to the target, the best such row
+    is switched, which matters where a source is small or a row is large. A reading that starts after a share u of its
+    source's target is placed where the integrated weight schedule reaches u.
 
     Null or empty texts have size 0 and are read without effect; null is a source of its own, last; rows that are equal
-    in key and text are read alike; a source or table without words gets target 0; columns of df named like a result
-    are replaced. A source may hold any share of the rows: sums are partial aggregations, and running totals go by
-    chunks of the order. Texts are not shuffled: the decisions are made on a narrow table, and reach the rows as one
-    cut in the order and a few switched rows per source."""
+    in key, text and source are read alike; a source or table without words gets target 0; columns of df named like a
+    result are replaced. A source may hold any share of the rows: sums are partial aggregations, and running totals go
+    by chunks of the order. Texts are not shuffled: the decisions are made on a narrow table, and reach the rows as a
+    few stretches of the order and a few switched rows per source."""
     made = ["size", "source_size", "target", "taken", "positions"]
     keep = [c for c in df.columns if c not in made]
     # the order of a pass: by hash, then by key and content, so reruns agree
@@ -89,13 +89,14 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
         .withColumn("_t", F.xxhash64(F.col("_row")[text])).withColumn("_g", null_safe(F.col("_row")[source])) \
         .withColumn("_h", F.xxhash64(F.col("_row")[key], F.col("_t"))) \
         .withColumn("_id", F.struct(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col("_row")[key].alias("k"), F.col("_t").alias("t")))
-    slim = materialize(base.select("_g", F.col("_row")[source].alias("source"), "_id", "_h", "size"), "mix")
-    rows = slim.count()
-    state = _decide(slim, rows, schedules, budget, most, rounds)
+    slim = base.select("_g", F.col("_row")[source].alias("source"), "_id", "_h", "size")
+    units = materialize(slim.groupBy(*slim.columns).agg((F.count("*") * F.col("size")).alias("_w")), "mix")
+    rows = units.count()
+    state = _decide(units, rows, schedules, budget, most)
 
     bits = chunk_bits(rows)
     chunk = F.shiftrightunsigned(F.col("_h"), 64 - bits)
-    starts = materialize(chunk_starts(slim.withColumn("_chunk", chunk), ["_g"], "size"), "mix-chunks")
+    starts = materialize(chunk_starts(units.withColumn("_chunk", chunk), ["_g"], "_w"), "mix-chunks")
     at = base.withColumn("_chunk", chunk).join(starts, ["_g", "_chunk"]).join(state, "_g")
     # words before the row in a pass: those of earlier chunks, and the hash's share of its own
     inner = F.shiftrightunsigned(F.shiftleft("_h", bits), 11) / F.lit(float(1 << 53))
@@ -116,33 +117,53 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
 
 def _chosen() -> Column:
     """Whether a row is in the last, partial pass of its source."""
-    return F.coalesce(F.col("_id") <= F.col("cut"), F.lit(False)) != F.array_contains("switched", F.col("_id"))
+    taken = F.exists("stretches", lambda s: (F.col("size") <= s["room"]) & (F.col("_id") <= s["upto"])
+                     & F.coalesce(F.col("_id") > s["after"], F.lit(True)))
+    return taken != F.array_contains("switched", F.col("_id"))
 
 
-def _decide(slim: DataFrame, rows: int, schedules, budget: float, most: float, rounds: int) -> DataFrame:
-    """Per source: `whole` passes, `rest` (words asked of the partial pass), `cut` (its last row) and `switched` rows."""
-    targets = source_targets(slim, schedules, budget, most)
+def _decide(units: DataFrame, rows: int, schedules, budget: float, most: float) -> DataFrame:
+    """Per source: `whole` passes, `rest` (words asked of the partial pass), and what the partial pass takes, `stretches`
+    (of the order: its rows of at most `room` words) and `switched` rows. `units`: the distinct rows, `_w` the words of
+    all copies."""
+    targets = source_targets(units.select("_g", "source", F.col("_w").alias("size")), schedules, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    kind = units.schema["_id"].dataType.simpleString()
     state = materialize(targets.withColumn("whole", whole.cast("int"))
-                        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-                        .drop("source", "weight"), "mix-state")
-    middle = F.col("_before") + F.col("size") / 2
-    cuts = running_totals(slim, ["_g"], "_h", ["_id"], "size", rows).join(state.select("_g", "rest"), "_g") \
-        .where((F.col("rest") > 0) & (middle <= F.col("rest"))).groupBy("_g").agg(F.max("_id").alias("cut"))
-    kind = slim.schema["_id"].dataType.simpleString()
-    state = materialize(state.join(cuts, "_g", "left").withColumn("switched", F.expr(f"cast(array() as array<{kind}>)")), "mix-state")
-    for _ in range(rounds):
-        now = slim.join(state.select("_g", "rest", "cut", "switched"), "_g").withColumn("in", _chosen())
-        got = now.groupBy("_g").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("_got"))
-        gaps = materialize(state.join(got, "_g").withColumn("gap", F.col("rest") - F.col("_got")).drop("_got"), "mix-gaps")
-        after = F.abs(F.col("gap") - F.when(F.col("in"), -F.col("size")).otherwise(F.col("size")))
-        best = slim.join(gaps.select("_g", "rest", "cut", "switched", "gap"), "_g").withColumn("in", _chosen()) \
-            .where((F.col("rest") > 0) & (F.col("size") > 0) & (after < F.abs(F.col("gap")))) \
-            .groupBy("_g").agg(F.min(F.struct(after.alias("d"), F.col("_id").alias("i")))["i"].alias("_pick"))
-        state = materialize(gaps.join(best, "_g", "left").withColumn(
-            "switched", F.when(F.col("_pick").isNull(), F.col("switched"))
-            .otherwise(F.array_union("switched", F.array("_pick")))).drop("_pick", "gap"), "mix-state")
-    return state
+                        .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6))
+                        .withColumn("gap", F.col("rest")).withColumn("after", F.expr(f"cast(null as {kind})"))
+                        .withColumn("stretches", F.expr(f"cast(array() as array<struct<room:double,after:{kind},upto:{kind}>>)"))
+                        .withColumn("switched", F.expr(f"cast(array() as array<{kind}>)")).drop("source", "weight"), "mix-state")
+    # what is left shrinks, so a row that did not fit never will: each stretch starts after the row that ended the last
+    while True:
+        fits = units.join(state.select("_g", "gap", "after"), "_g") \
+            .where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.coalesce(F.col("_id") > F.col("after"), F.lit(True)))
+        over = F.col("_before") + F.col("_w") > F.col("gap")
+        step = running_totals(fits.drop("after", "source"), ["_g"], "_h", ["_id"], "_w", rows).groupBy("_g").agg(
+            F.max(F.when(~over, F.col("_id"))).alias("upto"), F.sum(F.when(~over, F.col("_w")).otherwise(0)).alias("got"),
+            F.min(F.when(over, F.col("_id"))).alias("stop"))
+        more = F.array(F.struct(F.col("gap").alias("room"), F.col("after"), F.col("upto")))
+        state = materialize(state.join(step, "_g", "left").withColumn(
+            "stretches", F.when(F.col("upto").isNull(), F.col("stretches")).otherwise(F.concat("stretches", more)))
+            .withColumn("gap", F.round(F.col("gap") - F.coalesce("got", F.lit(0)), 6))
+            .withColumn("after", F.coalesce("stop", "upto", "after")).drop("upto", "got"), "mix-state")
+        done = state.where("stop is not null").isEmpty()
+        state = state.drop("stop")
+        if done:
+            break
+    while True:
+        left = F.round(F.col("gap") - F.when(_chosen(), -F.col("_w")).otherwise(F.col("_w")), 6)
+        best = units.join(state.select("_g", "gap", "rest", "stretches", "switched"), "_g").withColumn("left", left) \
+            .where((F.col("rest") > 0) & (F.col("size") > 0) & (F.abs("left") < F.abs("gap"))) \
+            .groupBy("_g").agg(F.min(F.struct(F.abs("left").alias("d"), F.col("_id").alias("i"), F.col("left"))).alias("_pick"))
+        best = materialize(best, "mix-switch")
+        if best.isEmpty():
+            return state.drop("gap", "after")
+        toggled = F.when(F.array_contains("switched", F.col("_pick")["i"]), F.array_except("switched", F.array(F.col("_pick")["i"]))) \
+            .otherwise(F.array_union("switched", F.array(F.col("_pick")["i"])))
+        state = materialize(state.join(best, "_g", "left").withColumn(
+            "switched", F.when(F.col("_pick").isNull(), F.col("switched")).otherwise(toggled))
+            .withColumn("gap", F.coalesce(F.col("_pick")["left"], F.col("gap"))).drop("_pick"), "mix-state")
 
 
 def in_training_order(plan: DataFrame, tie: str = "doc_id") -> DataFrame:

@@ -134,6 +134,13 @@ def test_mixing(spark, messy, nothing):
     assert mixing_plan(messy).count() == len(MESSY) and mixing_plan(nothing).count() == 0
 
 
+def test_mixing_fills_beside_a_long_document(spark):
+    from blockyard.llm.mixing import mixing_plan
+    rows = [(i, " ".join([f"w{i}"] * 10), "en", "s") for i in range(1000)] + [(10_001, "x " * 20_000, "en", "s")]  # 35th in the order
+    plan = mixing_plan(documents(spark, rows), budget=1 / 6).collect()
+    assert plan[0]["target"] == pytest.approx(5000) and sum(p["taken"] for p in plan) == 5000
+
+
 def test_toxicity(spark, messy, nothing):
     from blockyard.llm.toxicity import Options, drop_toxic, held_out, toxicity
     r = np.random.default_rng(3)
