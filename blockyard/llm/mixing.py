@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockyard.llm.common import chunk_bits, chunk_starts, null_safe, running_totals, words
+from blockyard.llm.common import null_safe, running_totals, words
 from blockyard.session import materialize
 
 #: Weight schedules over training time 0 to 1 as (time, weight) knots, linear in between. Their integrals are the
@@ -65,6 +65,9 @@ def source_targets(sizes: DataFrame, schedules: Sequence, budget: float, most: f
         .drop("_cap", "_ask", "_level")
 
 
+MADE = ["size", "source_size", "target", "taken", "positions"]
+
+
 def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
                 schedules: Sequence = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """Decides how often and when each row is read in training; returns df's columns plus `size` (words), source_size,
@@ -74,15 +77,53 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
     then a last partial pass that tries every row in that order and takes it if it fits what is left of the target.
     While switching one row, of all the source's rows, brings the words taken nearer to the target, the best such row
     is switched, which matters where a source is small or a row is large. A reading that starts after a share u of its
-    source's target is placed where the integrated weight schedule reaches u.
+    source's target is placed where the integrated weight schedule reaches u; the words before it are counted exactly,
+    in the partial pass over the rows that this pass takes.
 
     Null or empty texts have size 0 and are read without effect; null is a source of its own, last; rows that are equal
-    in key, text and source are read alike; a source or table without words gets target 0; columns of df named like a
-    result are replaced. A source may hold any share of the rows: sums are partial aggregations, and running totals go
-    by chunks of the order. Texts are not shuffled: the decisions are made on a narrow table, and reach the rows as a
-    few stretches of the order and a few switched rows per source."""
-    made = ["size", "source_size", "target", "taken", "positions"]
-    keep = [c for c in df.columns if c not in made]
+    in key, text and source are read alike, at the place of the first; a source or table without words gets target 0;
+    columns of df named like a result are replaced. A source may hold any share of the rows: sums are partial
+    aggregations, and running totals go by chunks of the order. All is decided on a narrow table without texts, which
+    is joined to the rows (mixed_rows sorts them without that join)."""
+    keep = [c for c in df.columns if c not in MADE]
+    base, units, _ = _planned(df, keep, text, source, key, schedules, budget, most)
+    return base.select("_row", "_g", "_id").join(units.select("_g", "_id", *MADE), ["_g", "_id"]) \
+        .select(*[F.col("_row")[c].alias(c) for c in keep], *MADE)
+
+
+def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
+               schedules: Sequence = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The readings of mixing_plan in training order: df's columns and `position`, range-sorted by position and key.
+
+    Texts are shuffled once. The places of a source's readings rise along the order of each of its passes, so where the
+    ranges of the sort begin in that order is a small table, by which a row finds its range; there it meets the
+    exact place of its reading, which comes from the narrow table."""
+    keep = [c for c in df.columns if c != "position"]
+    base, units, state = _planned(df, keep, text, source, key, schedules, budget, most)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = units.select("_g", "_id", F.posexplode("positions").alias("_pass", "position"))
+    steps = F.array(*[F.lit(k / ranges) for k in range(1, ranges)] or [F.lit(0.5)])
+    bounds = places.agg(F.percentile_approx("position", steps).alias("bounds"))
+    places = materialize(places.crossJoin(bounds).withColumn("_range", F.size(F.filter("bounds", lambda b: b < F.col("position"))))
+                         .drop("bounds"), "mix-places")
+    begins = places.groupBy("_g", "_pass", "_range").agg(F.min("_id").alias("first")) \
+        .groupBy("_g", "_pass").agg(F.collect_list(F.struct("_range", "first")).alias("begins")) \
+        .groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_pass", "begins"))).alias("begins"))
+    state = materialize(state.join(begins, "_g"), "mix-ranges")  # sources without a reading are left out
+    rows = base.join(state, "_g").withColumn("_copies", F.col("whole") + _chosen().cast("int")).where("_copies > 0") \
+        .select("_g", "_id", "_row", "begins", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_pass"))
+    begun = F.filter(F.element_at("begins", F.col("_pass")), lambda x: x["first"] <= F.col("_id"))
+    rows = rows.withColumn("_range", F.array_max(F.transform(begun, lambda x: x["_range"])))
+    names = ["_range", "_g", "_id", "_pass"]
+    both = rows.select(*names, F.lit(None).cast("double").alias("position"), "_row") \
+        .unionByName(places.select(*names, "position"), allowMissingColumns=True)
+    met = both.repartitionByRange(ranges, "_range").withColumn("position", F.max("position").over(Window.partitionBy(*names)))
+    return met.where("_row is not null").sortWithinPartitions("position", F.col("_row")[key]) \
+        .select(*[F.col("_row")[c].alias(c) for c in keep], "position")
+
+
+def _planned(df: DataFrame, keep: Sequence[str], text: str, source: str, key: str, schedules, budget, most):
+    """(rows of df with `size` and their names, the distinct rows with the results, per-source state)."""
     # the order of a pass: by hash, then by key and content, so reruns agree
     base = df.select(F.struct(*[df[c] for c in keep]).alias("_row")) \
         .withColumn("size", F.size(words(F.col("_row")[text])).cast("long")) \
@@ -94,25 +135,21 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
     rows = units.count()
     state = _decide(units, rows, schedules, budget, most)
 
-    bits = chunk_bits(rows)
-    chunk = F.shiftrightunsigned(F.col("_h"), 64 - bits)
-    starts = materialize(chunk_starts(units.withColumn("_chunk", chunk), ["_g"], "_w"), "mix-chunks")
-    at = base.withColumn("_chunk", chunk).join(starts, ["_g", "_chunk"]).join(state, "_g")
-    # words before the row in a pass: those of earlier chunks, and the hash's share of its own
-    inner = F.shiftrightunsigned(F.shiftleft("_h", bits), 11) / F.lit(float(1 << 53))
-    at = at.withColumn("_before", F.col("_s0") + inner * F.col("_s"))
-    size, total, target, rest = (F.col(c) for c in ("size", "source_size", "target", "rest"))
-    copies = F.col("whole") + F.when(_chosen(), F.lit(1)).otherwise(F.lit(0))
-    inside = F.when(F.col("_before") < rest, F.col("_before")).otherwise(F.pmod(F.col("_before"), rest))
+    # words before a row: in a whole pass, and in the partial pass (of the rows that it takes)
+    at = units.drop("source").join(state, "_g").withColumn("_in", _chosen()).drop("stretches", "switched")
+    at = running_totals(at, ["_g"], "_h", ["_id"], "_w", rows).drop("_rank").withColumnRenamed("_before", "_all")
+    at = at.withColumn("_taken", F.when(F.col("_in"), F.col("_w")).otherwise(0))
+    at = running_totals(at, ["_g"], "_h", ["_id"], "_taken", rows)
+    copies = F.col("whole") + F.col("_in").cast("int")
 
     def place(j):
-        begun = j * total + F.when(j < F.col("whole"), F.col("_before")).otherwise(inside)
-        share = F.when(target > 0, F.least(begun / target, F.lit(1.0))).otherwise(F.lit(0.0))
+        begun = j * F.col("source_size") + F.when(j < F.col("whole"), F.col("_all")).otherwise(F.col("_before"))
+        share = F.when(F.col("target") > 0, F.least(begun / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
         return time_of(share, F.col("turn"), schedules)
 
     readings = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return at.withColumn("taken", (copies * size).cast("long")).withColumn("positions", F.transform(readings, place)) \
-        .select(*[F.col("_row")[c].alias(c) for c in keep], *made)
+    at = at.withColumn("taken", (copies * F.col("size")).cast("long")).withColumn("positions", F.transform(readings, place))
+    return base, materialize(at.select("_g", "_id", *MADE), "mix-plan"), state
 
 
 def _chosen() -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blockyard.llm.common import read_table
 from blockyard.llm.decontaminate import drop_contaminated
-from blockyard.llm.mixing import in_training_order, mixing_plan
+from blockyard.llm.mixing import mixed_rows
 from blockyard.llm.sharding import assign_shards
 from blockyard.llm.simhash import keep_first
 from blockyard.llm.toxicity import drop_toxic
@@ -43,8 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per reading of a document, range-sorted by its place in training; documents read twice come twice."""
     prepare(spark)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("document")
-    plan = mixing_plan(docs.select("doc_id", "text", "source", row))
-    return in_training_order(plan.select("doc_id", "document", "positions")).select("document.*")
+    return mixed_rows(docs.select("doc_id", "text", "source", row)).select("document.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,31 @@ def test_mixing_fills_beside_a_long_document(spark):
     assert plan[0]["target"] == pytest.approx(5000) and sum(p["taken"] for p in plan) == 5000
 
 
+def test_mixing_places_readings_exactly(spark, nothing):
+    from blockyard.llm.mixing import mixed_rows, mixing_plan
+    r = np.random.default_rng(8)
+    sizes = [int(x) for x in r.integers(0, 30, 400)]
+    sizes[50] = 3000
+    rows = [(i, f"w{i} " * n, "en", "ab"[i % 3 > 0]) for i, n in enumerate(sizes)] + [(None, "y", None, None)]
+    docs = documents(spark, rows)
+    names = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).bitwiseXOR(F.lit(-(1 << 63))).alias("u")).collect()
+    order = {n["doc_id"]: k for k, n in enumerate(sorted(names, key=lambda n: n["u"]))}
+    plan = {p["doc_id"]: p for p in mixing_plan(docs).collect()}
+    for source, ends in (("a", (4.0, 2.0)), ("b", (1.0, 1.0))):
+        mine = sorted((p for p in plan.values() if p["source"] == source), key=lambda p: order[p["doc_id"]])
+        area, read = lambda t: ends[0] * t + (ends[1] - ends[0]) * t * t / 2, 0
+        for j in range(max(len(p["positions"]) for p in mine)):
+            for p in mine:
+                if len(p["positions"]) > j:
+                    assert area(p["positions"][j]) / area(1) == pytest.approx(min(1, read / p["target"]), abs=1e-9)
+                    read += p["size"]
+    want = sorted((t, -1 if i is None else i) for i, p in plan.items() for t in p["positions"])
+    got = mixed_rows(docs).collect()
+    assert [(x["position"], -1 if x["doc_id"] is None else x["doc_id"]) for x in got] == want
+    assert all(x["text"] == plan[x["doc_id"]]["text"] for x in got) and got[0].asDict().keys() == {*docs.columns}
+    assert mixed_rows(nothing).count() == 0
+
+
 def test_toxicity(spark, messy, nothing):
     from blockyard.llm.toxicity import Options, drop_toxic, held_out, toxicity
     r = np.random.default_rng(3)
