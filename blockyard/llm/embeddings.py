@@ -17,6 +17,8 @@ from blockyard.llm.common import components, materialize
 FIT_ROWS, PIECE, PER_BUCKET = 10_000, 1024, 128
 #: Modelled share of pairs at the threshold that meet in some table (more similar pairs meet more often).
 RECALL = 0.95
+#: (Key bits, tables, radius) where all vectors meet.
+ONE_BUCKET = (0, 1, 0)
 
 
 def usable(v: Column) -> Column:
@@ -68,10 +70,11 @@ def _near(keys: np.ndarray, b: int, radius: int) -> np.ndarray:
     return keys[:, None] ^ np.array(flips, np.int64)[None, :] if flips else np.zeros((len(keys), 0), np.int64)
 
 
-def _compare(b: int, m: int, radius: int, cosine: float, dim: int):
+def _compare(plans: dict[int, tuple[int, int, int]], cosine: float):
     """Kernel of one bucket (or pair of pieces of it): links that no earlier table has, weighted by copies, and a forest
     of links, as rows (node, links, other)."""
-    def met_before(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
+    def met_before(x: np.ndarray, y: np.ndarray, table: int, dim: int) -> np.ndarray:
+        b, _, radius = plans.get(dim, ONE_BUCKET)
         out = np.zeros((len(x), len(y)), bool)
         for t in range(table):
             part = np.uint64((1 << b) - 1)
@@ -83,6 +86,7 @@ def _compare(b: int, m: int, radius: int, cosine: float, dim: int):
         t = t.combine_chunks().sort_by("node")
         node, code = t["node"].to_numpy(), t["code"].to_numpy().view(np.uint64)
         copies, own, part = t["n"].to_numpy(), t["own"].to_numpy(zero_copy_only=False), t["part"].to_numpy()
+        dim = t["dim"][0].as_py()
         x = _unit(t["embedding"].combine_chunks().values.to_numpy(zero_copy_only=False), dim)
         table, across = t["table"][0].as_py(), t["lo"][0].as_py() != t["hi"][0].as_py()
         n = len(x)
@@ -101,7 +105,7 @@ def _compare(b: int, m: int, radius: int, cosine: float, dim: int):
             linked[s:e] = hit
             rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
             if len(rows):
-                fresh = hit[np.ix_(rows, cols)] & ~met_before(code[s:e][rows], code[cols], table)
+                fresh = hit[np.ix_(rows, cols)] & ~met_before(code[s:e][rows], code[cols], table, dim)
                 links[s + rows] += fresh @ copies[cols]
         other = np.arange(n)
         waiting = linked.any(axis=1)
@@ -126,63 +130,64 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """One row per row of df: its key (as `vec_id`), n_links (other rows with a cosine of at least `cosine`, copies
     counted), component_id (the smallest key reachable over links), kept (key = component_id).
 
-    Codes: the signs of the vectors under a rotation learned from the first `fit_rows` distinct vectors in a
-    pseudo-random order. Tables: the code is cut into keys; vectors meet where a key is equal or within a small radius,
-    and a pair is counted in the first table in which it meets. Every meeting is compared by the cosine of the original
-    vectors in double precision, so no link is wrong; a link is missed if the pair meets nowhere (see RECALL). Equal
-    vectors are one node, with its number of copies. Buckets above PIECE vectors are dealt out as pairs of pieces, and
-    each piece gives at most one row per vector, never its pairs.
-
-    A vector that is null, empty, zero, or has null or non-finite components has no links and is its own component, as
-    has one whose length is not the most frequent among the usable ones. Repeated rows link like other copies. A null
-    key names a component only if it has no other key. An empty table gives no rows."""
+    Vectors are compared with those of their own length, each length by itself. Lengths of at most PIECE distinct vectors
+    are compared whole. Otherwise, codes: the signs of the vectors under a rotation learned from the first `fit_rows`
+    distinct vectors in a pseudo-random order. Tables: the code is cut into keys; vectors meet where a key is equal or
+    within a small radius, and a pair is counted in the first table in which it meets. Every meeting is compared by the
+    cosine of the original vectors in double precision, so no link is wrong; a link is missed if the pair meets nowhere
+    (see RECALL). Equal vectors are one node, with its
+    number of copies. Buckets above PIECE vectors are dealt out as pairs of pieces, and each piece gives at most one row
+    per vector, never its pairs.
+
+    A vector that is null, empty, zero, or has null or non-finite components has no links and is its own component.
+    Repeated rows link like other copies. A null key names a component only if it has no other key. An empty table gives
+    no rows."""
     base = df.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"))
-    fine = base.where(usable(F.col("embedding")))
-    lengths = fine.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = lengths[0]["d"] if lengths else 1
     # a vector's name: two independent hashes could only agree for different vectors by a chance of 2**-64
-    named = base.withColumn("node", F.when(usable(F.col("embedding")) & (F.size("embedding") == dim), F.xxhash64("embedding")))
+    named = base.withColumn("node", F.when(usable(F.col("embedding")), F.xxhash64("embedding")))
     nodes = materialize(named.where("node is not null").groupBy("node", "embedding").agg(
-        F.min("vec_id").alias("least"), F.count("*").alias("n")), "itq-nodes")
-    rows = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(fit_rows).select("embedding").toArrow()
-    if rows:
-        flat = sample["embedding"].combine_chunks().values.to_numpy(zero_copy_only=False)
-        mean, rotation = learn_rotation(_unit(flat, dim))
-    else:
-        mean, rotation = np.zeros(dim), np.eye(dim)
-    bits = rotation.shape[1]
-    b, m, radius = plan_tables(rows, bits, cosine)
+        F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "itq-nodes")
+    fits, plans = {}, {}
+    for dim, rows in nodes.groupBy("dim").count().where(F.col("count") > PIECE).orderBy("dim").collect():
+        sample = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(fit_rows).select("embedding").toArrow()
+        x = _unit(sample["embedding"].combine_chunks().values.to_numpy(zero_copy_only=False), dim)
+        fits[dim] = learn_rotation(x)
+        plans[dim] = plan_tables(rows, fits[dim][1].shape[1], cosine)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                v = batch.column(1)
-                start, end = v.offsets[0].as_py(), v.offsets[len(v)].as_py()
-                x = _unit(v.values.to_numpy(zero_copy_only=False)[start:end], dim)
-                code = ((x - mean) @ rotation > 0).astype(np.uint64) @ weights
-                for t in range(m):
-                    own = ((code >> np.uint64(b * t)) & np.uint64((1 << b) - 1)).astype(np.int64)
-                    near = _near(own, b, radius)
-                    which = np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), near.shape[1])])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(which)), pa.array(code.view(np.int64)[which]), pa.array(np.full(len(which), t, np.int32)),
-                         pa.array(np.concatenate([own, near.ravel()])), pa.array(np.arange(len(which)) < len(own))],
-                        ["node", "code", "table", "bucket", "own"])
-
-    met = materialize(nodes.select("node", "embedding").mapInArrow(
-        tables, "node bigint, code bigint, table int, bucket bigint, own boolean"), "itq-tables")
-    full = materialize(met.groupBy("table", "bucket").agg(F.count("*").alias("c")).where("c > 1"), "itq-buckets")
+                dims = batch.column(2).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    b, m, radius = plans.get(dim, ONE_BUCKET)
+                    code = np.zeros(part.num_rows, np.uint64)
+                    if dim in fits:
+                        mean, rotation = fits[dim]
+                        x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False), dim)
+                        code = ((x - mean) @ rotation > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(rotation.shape[1], dtype=np.uint64))
+                    for t in range(m):
+                        own = ((code >> np.uint64(b * t)) & np.uint64((1 << b) - 1)).astype(np.int64)
+                        near = _near(own, b, radius)
+                        which = np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), near.shape[1])])
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0).take(pa.array(which)), pa.array(code.view(np.int64)[which]), pa.array(np.full(len(which), dim, np.int32)),
+                             pa.array(np.full(len(which), t, np.int32)), pa.array(np.concatenate([own, near.ravel()])),
+                             pa.array(np.arange(len(which)) < len(own))],
+                            ["node", "code", "dim", "table", "bucket", "own"])
+
+    met = materialize(nodes.select("node", "embedding", "dim").mapInArrow(
+        tables, "node bigint, code bigint, dim int, table int, bucket bigint, own boolean"), "itq-tables")
+    full = materialize(met.groupBy("dim", "table", "bucket").agg(F.count("*").alias("c")).where("c > 1"), "itq-buckets")
     pieces = F.ceil(F.col("c") / PIECE).cast("int")
-    dealt = met.join(full, ["table", "bucket"]).withColumn("s", pieces) \
+    dealt = met.join(full, ["dim", "table", "bucket"]).withColumn("s", pieces) \
         .withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("s")).cast("int")) \
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))) \
-        .select("node", "code", "table", "bucket", "own", "part", F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"))
+        .select("node", "code", "dim", "table", "bucket", "own", "part", F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"))
     dealt = dealt.join(nodes.select("node", "embedding", "n"), "node")
-    found = materialize(dealt.groupBy("table", "bucket", "lo", "hi").applyInArrow(
-        _compare(b, m, radius, cosine, dim), "node bigint, links bigint, other bigint"), "itq-links")
+    found = materialize(dealt.groupBy("dim", "table", "bucket", "lo", "hi").applyInArrow(
+        _compare(plans, cosine), "node bigint, links bigint, other bigint"), "itq-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     graph = components(found.where("node <> other"), "node", "other").withColumnRenamed("node", "gnode")

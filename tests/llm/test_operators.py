@@ -272,6 +272,16 @@ def test_embeddings(spark):
     assert plan_tables(51_282, 64, 0.95)[2] == 0 and plan_tables(10**9, 64, 0.95)[2] > 0
 
 
+def test_embeddings_of_two_lengths(spark):
+    from blockyard.llm.embeddings import near_vectors
+    r = np.random.default_rng(6)
+    vectors = [v.tolist() for v in np.concatenate([r.normal(size=(1100, 8))])] + [v.tolist() for v in r.normal(size=(20, 12))]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(2000 + i, vectors[1100 + i]) for i in range(20)]
+    got = {g["vec_id"]: g for g in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), cosine=0.99).collect()}
+    for i in range(20):
+        assert got[1100 + i]["n_links"] == got[2000 + i]["n_links"] == 1 and got[2000 + i]["component_id"] == 1100 + i
+
+
 def test_decontamination(spark, messy, nothing):
     from blockyard.llm.decontaminate import contamination, drop_contaminated
     items = [("i1", PASSAGE), ("i2", "Äpfel été X"), ("i3", None), ("i4", "..."), ("i10", "x"), (None, PASSAGE + " zz"), ("i1", PASSAGE)]
