@@ -17,8 +17,8 @@ from blockyard.llm.common import components, materialize
 FIT_ROWS, PIECE, PER_BUCKET = 10_000, 1024, 128
 #: Modelled share of pairs at the threshold that meet in some table (more similar pairs meet more often).
 RECALL = 0.95
-#: (Key bits, tables, radius) where all vectors meet.
-ONE_BUCKET = (0, 1, 0)
+#: Work of one meeting row in comparisons, for the choice of keys; (key bits, tables, radius) where all vectors meet.
+ROW_WORK, ONE_BUCKET = 200, (0, 1, 0)
 
 
 def usable(v: Column) -> Column:
@@ -49,18 +49,50 @@ def learn_rotation(x: np.ndarray, rounds: int = 50, seed: int = 3) -> tuple[np.n
     return mean, top @ r
 
 
-def plan_tables(rows: int, bits: int, cosine: float) -> tuple[int, int, int]:
-    """(bits of a table's key, tables, radius within a key). Keys grow with the logarithm of the rows, so that buckets
-    do not grow; the radius is the smallest with which pairs at the threshold, whose bits differ independently by their
-    angle, meet with probability RECALL."""
-    b = max(2, min(bits, math.ceil(math.log2(max(2, rows / PER_BUCKET)))))
-    m = max(1, bits // b)
+def sample_pairs(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray, cosine: float, pairs: int = 4000, seed: int = 4) -> list[np.ndarray]:
+    """Which bits differ (pair x bit) in pairs at the threshold: pairs made from sampled unit vectors x by a step of that
+    angle, along the difference of two others and in any direction, and those that x has between the threshold and
+    half-way to equal, if there are 100. Centring widens angles where the vectors share a large mean, so they
+    are measured on the codes."""
+    r = np.random.default_rng(seed)
+    code = lambda v: (v - mean) @ rotation > 0
+    a, c, d = (x[r.integers(0, len(x), pairs)] for _ in range(3))
+    out = []
+    for step in (c - d, r.normal(size=a.shape)):
+        step = step - (step * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(step, axis=1, keepdims=True)
+        ok = size[:, 0] > 1e-9
+        y = cosine * a[ok] + math.sqrt(max(0.0, 1 - cosine * cosine)) * step[ok] / size[ok]
+        out.append(code(a[ok]) != code(y))
+    found = []
+    for s in range(0, len(x), 512):
+        near = x[s:s + 512] @ x.T
+        i, j = np.nonzero((near >= cosine) & (near < (1 + cosine) / 2))
+        keep = r.permutation(np.flatnonzero(i + s < j))[:pairs // 8]
+        found.append(np.stack([i[keep] + s, j[keep]], axis=1))
+    i, j = np.concatenate(found).T
+    bits = code(x)
+    return [g for g in [*out, bits[i] != bits[j]] if len(g) >= 100]
+
+
+def plan_tables(rows: int, bits: int, cosine: float, sampled: list[np.ndarray] = ()) -> tuple[int, int, int]:
+    """(bits of a table's key, tables, radius within a key). Keys grow with the logarithm of the rows at most, so that
+    buckets need not grow; the radius is the smallest with which pairs at the threshold meet with probability RECALL, if
+    their bits differ independently by their angle and in each of the `sampled` groups of pairs. Of the lengths of a key,
+    the one with the least work."""
+    longest = max(2, min(bits, math.ceil(math.log2(max(2, rows / PER_BUCKET)))))
     same = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    for radius in range(b + 1):
-        p = sum(math.comb(b, k) * same ** (b - k) * (1 - same) ** k for k in range(radius + 1))
-        if 1 - (1 - p) ** m >= RECALL:
-            break
-    return b, m, radius
+    plans = []
+    for b in range(min(longest, bits), 0, -1):
+        m = bits // b
+        least = [g[:, :b * m].reshape(-1, m, b).sum(axis=2).min(axis=1) for g in sampled]
+        for radius in range(b + 1):
+            p = sum(math.comb(b, k) * same ** (b - k) * (1 - same) ** k for k in range(radius + 1))
+            if 1 - (1 - p) ** m >= RECALL and all((x <= radius).mean() >= RECALL for x in least):
+                break
+        work = m * sum(math.comb(b, k) for k in range(radius + 1)) * (ROW_WORK + rows / 2 ** b)
+        plans.append((work, b, m, radius))
+    return min(plans)[1:]
 
 
 def _near(keys: np.ndarray, b: int, radius: int) -> np.ndarray:
@@ -135,7 +167,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     distinct vectors in a pseudo-random order. Tables: the code is cut into keys; vectors meet where a key is equal or
     within a small radius, and a pair is counted in the first table in which it meets. Every meeting is compared by the
     cosine of the original vectors in double precision, so no link is wrong; a link is missed if the pair meets nowhere
-    (see RECALL). Equal vectors are one node, with its
+    (see RECALL; keys and radius are planned by how such pairs meet in the sample). Equal vectors are one node, with its
     number of copies. Buckets above PIECE vectors are dealt out as pairs of pieces, and each piece gives at most one row
     per vector, never its pairs.
 
@@ -152,7 +184,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         sample = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(fit_rows).select("embedding").toArrow()
         x = _unit(sample["embedding"].combine_chunks().values.to_numpy(zero_copy_only=False), dim)
         fits[dim] = learn_rotation(x)
-        plans[dim] = plan_tables(rows, fits[dim][1].shape[1], cosine)
+        plans[dim] = plan_tables(rows, fits[dim][1].shape[1], cosine, sample_pairs(x, *fits[dim], cosine))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -282,6 +282,23 @@ def test_embeddings_of_two_lengths(spark):
         assert got[1100 + i]["n_links"] == got[2000 + i]["n_links"] == 1 and got[2000 + i]["component_id"] == 1100 + i
 
 
+@pytest.mark.parametrize("common", [0.0, 0.8, 0.9])
+def test_recall_with_a_common_mean(common):
+    from blockyard.llm.embeddings import _unit, learn_rotation, plan_tables, sample_pairs
+    r = np.random.default_rng(7)
+    dim, n = 64, 4000
+    axis = np.eye(dim)[0]
+    draw = lambda k: _unit((np.sqrt(common) * axis + np.sqrt((1 - common) / dim) * r.normal(size=(k, dim))).ravel(), dim)
+    x = draw(n)
+    mean, rotation = learn_rotation(x)
+    b, m, radius = plan_tables(51_282, rotation.shape[1], 0.95, sample_pairs(x, mean, rotation, 0.95))
+    a, step = draw(n), r.normal(size=(n, dim))
+    step -= (step * a).sum(axis=1, keepdims=True) * a
+    y = 0.95 * a + np.sqrt(1 - 0.95 ** 2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    differ = ((a - mean) @ rotation > 0) != ((y - mean) @ rotation > 0)
+    assert (differ[:, :b * m].reshape(n, m, b).sum(axis=2).min(axis=1) <= radius).mean() >= 0.93
+
+
 def test_decontamination(spark, messy, nothing):
     from blockyard.llm.decontaminate import contamination, drop_contaminated
     items = [("i1", PASSAGE), ("i2", "Äpfel été X"), ("i3", None), ("i4", "..."), ("i10", "x"), (None, PASSAGE + " zz"), ("i1", PASSAGE)]
