@@ -5,7 +5,7 @@ import pytest
 
 from blockyard.plans.catalog import REGISTRY
 from blockyard.plans.check import check
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 NAMES = sorted(REGISTRY)
 

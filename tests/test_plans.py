@@ -5,7 +5,7 @@ import pytest
 
 from blockyard.plans.catalog import REGISTRY
 from blockyard.plans.plan_report import STREAMS, summarise
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 BATCH = sorted(n for n in REGISTRY if n not in STREAMS)
 

@@ -20,7 +20,7 @@ def test_checkpoint_dir_contract(spark):
 
 
 def test_table_reads_whole_table(spark):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     import duckdb
     n = duckdb.sql(f"SELECT count(*) FROM '{SF_SMALL}/lineitem.parquet'").fetchall()[0][0]
     assert S.table(spark, SF_SMALL, "lineitem").count() == n

@@ -8,7 +8,7 @@ from blockyard.operators import tracker as T
 from blockyard.plans import views as V
 from blockyard.streaming import operators as SO
 from blockyard.streaming.runtime import fresh_path, per_batch_sink, read_log_stream, write_ordered_log
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _run(stream, out, ckpt):
