@@ -1,29 +1,6 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _h bigint, score double, size int, shard int, position string"
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from blockyard.session import build_session
-    return build_session(4, shuffle_partitions=4, app="llm-tests")
-
-
-def documents(spark, rows):
-    """A documents table with extra columns whose names clash with results."""
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 1, 0.5, 3, 9, "x") for i, t, lang, s in rows], DOCS)
-
-
-LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(60_000))
-PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly box with daft zebras"
-MESSY = [(5, "", "en", "a"), (3, None, None, None), (None, "no key at all here", "en", "b"), (7, PASSAGE, "de", "a"), (8, PASSAGE, "de", "b"),
-         (8, PASSAGE, "de", "b"), (9, PASSAGE.upper().replace(" ", "\t"), None, "c"), (10, " \t\n ", "fr", "c"), (11, "Äpfel ÉTÉ x", "de", None),
-         (12, LONG, "en", "a"), (13, "b " + LONG, "en", "a"), (14, "x", "en", "z"), (2, "x", "en", "z")]
+from samples import MESSY, documents
 
 
 @pytest.fixture(scope="session")

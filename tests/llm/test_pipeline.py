@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import MESSY
+from samples import MESSY
 
 SF = "/root/testdata/sf0.001"
 
