@@ -151,3 +151,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockyard.llm.substrings import repeated_spans
     found = repeated_spans(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.quality import quality
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
