@@ -157,3 +157,69 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockyard.llm.quality import quality
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.common import words
+    from blockyard.llm.periodic import longest, periodic_runs
+    docs = read_table(spark, sf_dir, "documents")
+    # the contract plants a period in one document of ten
+    h = F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8"))
+
+    def planted(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = F.when(n > 0, g % F.greatest(n, F.lit(1)))
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        pick = F.transform(w, lambda _, i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.array_join(pick, " ")
+    text = F.when(h % 10 == 0, F.transform(F.array(words(docs["text"])), planted)[0]).otherwise(docs["text"])
+    found = periodic_runs(docs.select("doc_id", text.alias("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    found = found.select("key", "n_words", F.size("runs").cast("long").alias("n_runs"), longest(F.col("runs")).alias("best"),
+                         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_runs", F.col("best")["start"].alias("start"),
+                        F.col("best")["length"].alias("length"), F.col("best")["period"].alias("period"),
+                        F.floor(1000 * F.col("best")["length"] / F.col("best")["period"]).alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockyard.llm.conversations import numbered_turns, prefix_trie, rebuilt_turns
+    c = F.col("conv_id")
+    opening = F.crc32(F.encode(c.cast("string"), "UTF-8")) % 6
+    return prefix_trie(*rebuilt_turns(numbered_turns(read_table(spark, sf_dir, "conversations")), c - c % 100, opening, 5))
+
+
+# crc32 bit by bit: each character is followed by eight shifts (-1)
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''),
+  lambda ch: list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+ORACLES["op11_prefix_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT conv_id, list(t ORDER BY i) AS turns FROM own GROUP BY conv_id),
+opened AS (SELECT *, {_CRC32.format("conv_id::VARCHAR")} % 6 AS h FROM whole),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS s
+  FROM opened a LEFT JOIN whole b ON b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes AS (SELECT conv_id, s, d, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * length(n.p[n.d].t) ELSE 0 END AS saved,
+    up.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN kids k USING (p, d) LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]),
+above AS (SELECT p[1:a] AS p, a AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM full_nodes JOIN above USING (p, d)
+"""
