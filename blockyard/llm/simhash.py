@@ -181,7 +181,13 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """df's rows of which one per component stays: the one with the smallest key (all rows of that key, if repeated)."""
+    """df's rows of which one per component stays: the one with the smallest key (all rows of that key, if repeated).
+
+    Null, empty and wordless texts form one component. A row with a null key stays only if its component has no other
+    key. Rows whose key is repeated with texts of several components stay together, if one of them is the first of its
+    component. Other columns, whatever their names, are passed through; an empty table gives no rows. The keys that go
+    are few against those that stay, so these are what the rows are joined with."""
     found = simhash_components(df, key, text, width, radius)
-    kept = materialize(found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_key")).distinct(), "simhash-kept")
-    return df.join(kept, df[key].eqNullSafe(kept["_key"]), "left_semi")
+    gone = found.groupBy("key").agg(F.max(F.col("key").eqNullSafe(F.col("component_id"))).alias("_first")).where("not _first")
+    gone = materialize(gone.select(F.col("key").alias("_key")), "simhash-gone")
+    return df.join(gone, df[key].eqNullSafe(gone["_key"]), "left_anti")
