@@ -103,9 +103,9 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = units.select("_g", "_id", F.posexplode("positions").alias("_pass", "position"))
     steps = F.array(*[F.lit(k / ranges) for k in range(1, ranges)] or [F.lit(0.5)])
-    bounds = places.agg(F.percentile_approx("position", steps).alias("bounds"))
-    places = materialize(places.crossJoin(bounds).withColumn("_range", F.size(F.filter("bounds", lambda b: b < F.col("position"))))
-                         .drop("bounds"), "mix-places")
+    bounds = places.agg(F.percentile_approx("position", steps)).scalar()  # one row, a value in the plan
+    places = materialize(places.withColumn("_bounds", bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("position"))))
+                         .drop("_bounds"), "mix-places")
     begins = places.groupBy("_g", "_pass", "_range").agg(F.min("_id").alias("first")) \
         .groupBy("_g", "_pass").agg(F.collect_list(F.struct("_range", "first")).alias("begins")) \
         .groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_pass", "begins"))).alias("begins"))
@@ -117,7 +117,7 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     names = ["_range", "_g", "_id", "_pass"]
     both = rows.select(*names, F.lit(None).cast("double").alias("position"), "_row") \
         .unionByName(places.select(*names, "position"), allowMissingColumns=True)
-    met = both.repartitionByRange(ranges, "_range").withColumn("position", F.max("position").over(Window.partitionBy(*names)))
+    met = both.repartitionById(ranges, F.col("_range").cast("int")).withColumn("position", F.max("position").over(Window.partitionBy(*names)))
     return met.where("_row is not null").sortWithinPartitions("position", F.col("_row")[key]) \
         .select(*[F.col("_row")[c].alias(c) for c in keep], "position")
 
