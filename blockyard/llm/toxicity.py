@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,20 +213,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, options: Option
     y = got["toxic"].to_numpy().astype(np.float32)
     if len(set(y)) < 2:
         return None
+    ids = got["ids"].combine_chunks()
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    del got
     net = Network(o)
-    net.train([np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in got["ids"].combine_chunks()], y)
+    net.train([flat[a:b] for a, b in zip(ends, ends[1:])], y)
     # the sample is denser in one label than all learning rows are: scores are set back to these rows' share
     share, sampled = counts[1] / (counts[0] + counts[1]), float(y.mean())
     net.shift = float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
     return net.compiled()
 
 
-def scores(docs: DataFrame, model: dict | None, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *also, score): each whole text's score, 0 to 1. Without a model every score is 0."""
+def scores(docs: DataFrame, model: dict | Broadcast | None, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *also, score): each whole text's score, 0 to 1. Without a model every score is 0. A model that is broadcast
+    already is left to the caller to destroy."""
     keep = [F.col(key).alias("key"), *[F.col(c) for c in also]]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x filters
+    # of fixed size: buckets x filters
+    sent = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(*keep, word_ids(F.col(text)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,7 @@ def scores(docs: DataFrame, model: dict | None, key: str, text: str, also: tuple
 
 def language_thresholds(scored: DataFrame, labels: DataFrame, key: str, default: float, bins: int = 200) -> DataFrame:
     """(lang key `_l`, threshold): per language the score from which on most calibration rows are decided rightly;
-    between equally good scores the middle one, and `default` for a language without both labels. All calibration
+    of equally good scores the middle of their longest stretch, and `default` for a language without both labels. All calibration
     rows count, as a histogram of `bins` scores per language."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(key)) & calibration(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
     rows = scored.join(known, scored["key"] == known[key]).select(
@@ -255,8 +261,12 @@ def language_thresholds(scored: DataFrame, labels: DataFrame, key: str, default:
         - F.coalesce(F.sum(F.col("n") - F.col("bad")).over(below), F.lit(0))
     cost = full.withColumn("wrong", wrong).withColumn("_bad", F.sum("bad").over(everything)) \
         .withColumn("_n", F.sum("n").over(everything)).withColumn("_least", F.min("wrong").over(everything))
-    return cost.where(F.col("wrong") == F.col("_least")).groupBy("_l").agg(
-        F.when((F.max("_bad") > 0) & (F.max("_bad") < F.max("_n")), F.avg("bin") / bins).otherwise(F.lit(default)).alias("threshold"))
+    # neighbouring best bins form a run; the longest run counts, of equal ones the first
+    best = cost.where(F.col("wrong") == F.col("_least")).withColumn("_run", F.col("bin") - F.row_number().over(Window.partitionBy("_l").orderBy("bin")))
+    runs = best.groupBy("_l", "_run").agg(F.count("*").alias("n"), F.min("bin").alias("bin"), F.avg("bin").alias("middle"),
+                                          F.max((F.col("_bad") > 0) & (F.col("_bad") < F.col("_n"))).alias("known"))
+    first = runs.groupBy("_l").agg(F.max(F.struct("n", (-F.col("bin")).alias("b"), "middle", "known")).alias("r"))
+    return first.select("_l", F.when(F.col("r")["known"], F.col("r")["middle"] / bins).otherwise(F.lit(default)).alias("threshold"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -269,8 +279,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     labels all scores are 0. Null languages are one language. An empty table gives no rows. Labels, language, source and
     key never enter a score; the language only chooses a threshold."""
     model = fit(docs, labels, key, text, options)
+    model = docs.sparkSession.sparkContext.broadcast(model) if model else None
     scored = materialize(scores(docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.col(lang).alias("lang")),
                                 model, "_k", "_text", ("lang",)), "toxicity-scores")
+    if model:
+        model.destroy()
     limits = materialize(language_thresholds(scored, labels, key, at), "toxicity-thresholds")
     return scored.withColumn("_lang", null_safe(F.col("lang"))).join(limits, F.col("_lang") == F.col("_l"), "left").select(
         F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
