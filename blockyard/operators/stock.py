@@ -1,5 +1,5 @@
-"""Stock grid: availability, all-or-nothing reservation, fetch, restore,
-and cell-ledger replay.
+"""Stock grid: availability, all-or-nothing reservation, fetch and restore.
+(Mixed logs: :mod:`stock_log`; replay of cell ledgers: :mod:`ledger`.)
 
 Cell table: ``x, y, color, filled, reserved, order_id`` (one row per cell).
 Requests: ``seq, order_id, count, color_raw`` in arrival order ``seq``.
@@ -7,10 +7,7 @@ Requests: ``seq, order_id, count, color_raw`` in arrival order ``seq``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockyard import constants as K
@@ -22,6 +19,8 @@ CELL_CHUNK = 1 << 16
 
 # --- fixed values: inventory response texts --------------------------------
 VALID_COLOURS_TEXT = "['RED', 'GREEN', 'BLUE', 'YELLOW']"
+# answer to a request without a count or an order (the body fails validation)
+INVALID_TEXT = "Input should be a valid integer"
 
 
 def _first_of_key(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
@@ -90,72 +89,97 @@ def _free_ranked(cells: DataFrame) -> DataFrame:
     return row_number(free, ["color"], ["x", "y"], "rank", chunk_of("x", CELL_CHUNK))
 
 
+def _by_colour(values: dict) -> Column:
+    """The value of the row's colour; null for a colour without one."""
+    out = F.lit(None).cast("long")
+    for colour, v in values.items():
+        if v is not None:
+            out = F.when(F.col("color") == colour, F.lit(int(v)).cast("long")).otherwise(out)
+    return out
+
+
 def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                 chunk_width: int = SEQ_CHUNK) -> DataFrame:
-    """Decide every request: ``seq, order_id, color, count, status, kind,
-    avail`` where kind in (bad_colour, duplicate, granted, insufficient,
-    second_colour)."""
+    """Decide every request as if they came one by one in ``seq`` order:
+    ``seq, order_id, color, color_raw, count, kind, avail, _used_before``,
+    kind one of invalid (no count or order), bad_colour, duplicate, granted,
+    insufficient."""
     r = requests.select("seq", "order_id", "count", "color_raw",
                         F.upper(F.col("color_raw")).alias("color"))
-    valid = F.coalesce(F.col("color").isin(*K.ORDER_COLOURS), F.lit(False))
+    invalid = F.col("count").isNull() | F.col("order_id").isNull()
+    known = F.coalesce(F.col("color").isin(*K.ORDER_COLOURS), F.lit(False))
     holders = (cells.filter(F.col("order_id").isNotNull()).select("order_id")
                .unionByName(fetch_log.select("order_id")).distinct()
                .withColumn("_held", F.lit(True)))
-    r = r.join(holders, "order_id", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
-    ok = r.filter(valid)
-    # An order's colour is that of its first request; requests for another
-    # colour are turned down, so that colours are allocated independently.
-    code = F.array_position(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), F.col("color"))
-    own = ok.groupBy("order_id").agg(F.min_by(code, F.col("seq")).alias("_own"))
-    ok = ok.join(own, "order_id")
-    other = ok.filter(~F.col("_held") & (code != F.col("_own"))).drop("_own")
-    ok = ok.filter(F.col("_held") | (code == F.col("_own"))).drop("_own")
-    # Free cells per colour: one row per colour (bounded by the colour enum).
-    free = (available_cells(cells).groupBy("color").agg(F.count(F.lit(1)).alias("free")))
-    ok = ok.join(free, "color", "left").withColumn("free", F.coalesce("free", F.lit(0)))
+    ok = (r.filter(~invalid & known).join(holders, "order_id", "left")
+          .withColumn("_held", F.coalesce("_held", F.lit(False))))
     # Iterative plan: cut the lineage of each round (a table written to the
     # shared checkpoint folder) so plans stay small and a lost executor only
     # recomputes one round.
     ok = materialize(ok, "reserve-requests")
     chunk = chunk_of("seq", chunk_width)
-
-    # Rounds of "grant the prefix that fits". A request competes until its
-    # order is granted; within a round only the earliest remaining request of
-    # an order counts (a later one in the granted prefix is a duplicate).
-    # After each round the remainder is below the first refused count, so
-    # the largest competing count drops every round: rounds <= max count.
-    max_count = ok.agg(F.max("count")).first()[0] or 0
-    granted = None
-    cur = ok.filter(~F.col("_held")).select("seq", "order_id", "color", "count",
-                                            F.col("free").cast("long").alias("_rem"))
-    for _ in range(int(max_count)):
-        if cur.isEmpty():  # later rounds are usually small or empty
-            break
-        firsts = cur.groupBy("order_id").agg(F.min("seq").alias("_f"))
+    # one row per colour (bounded by the colour enum)
+    free = dict.fromkeys(K.ORDER_COLOURS, 0) | {
+        x["color"]: x["n"] for x in available_cells(cells).filter(F.col("color").isin(*K.ORDER_COLOURS))
+        .groupBy("color").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    # Rounds of "grant the prefix that fits". An order competes until it is
+    # granted; within a round its earliest remaining request is taken to be
+    # granted and its later ones to be duplicates. Per colour this holds up to
+    # the first request that does not fit, and there for sure up to V, the
+    # first misfit of all colours. Beyond V, a later request of an order whose
+    # earliest one is for another colour and not before V is undecided, so its
+    # colour stops there for this round. What stays behind a stop competes
+    # again if its count still fits. Each round refuses a request at V, so the
+    # largest competing count of a colour drops: rounds <= colours x largest
+    # count (the largest count alone where no order changes its colour).
+    rem, granted = dict(free), []
+    code = F.array_position(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), F.col("color"))
+    cur = ok.filter(~F.col("_held") & (F.col("count") > 0)).select("seq", "order_id", "color", "count")
+    while True:
+        firsts = cur.groupBy("order_id").agg(F.min("seq").alias("_f"), F.min_by(code, F.col("seq")).alias("_fc"))
         c = cur.join(firsts, "order_id", "inner")
-        eff = F.when(F.col("seq") == F.col("_f"), F.col("count")).otherwise(F.lit(0)).cast("long")
+        first = F.col("seq") == F.col("_f")
+        eff = F.when(first, F.col("count")).otherwise(F.lit(0)).cast("long")
         cs = running(c, ["color"], ["seq"], eff, "_cs", "sum", chunk)
-        cs = materialize(cs.withColumn("_over", F.col("_cs") > F.col("_rem")), "reserve-round")
-        stats = cs.groupBy("color").agg(
-            F.min(F.when(F.col("_over"), F.col("seq"))).alias("_k"),
-            F.coalesce(F.max(F.when(~F.col("_over"), F.col("_cs"))), F.lit(0)).alias("_used"))
-        cs = cs.join(stats, "color", "inner")
-        in_prefix = F.col("_k").isNull() | (F.col("seq") < F.col("_k"))
-        g = cs.filter(in_prefix & (F.col("seq") == F.col("_f"))).select("seq", "order_id")
-        granted = g if granted is None else granted.unionByName(g)
-        cur = (cs.filter((F.col("seq") > F.col("_k")) & (F.col("count") <= F.col("_rem") - F.col("_used")))
-               .join(g.select("order_id"), "order_id", "left_anti")
-               .select("seq", "order_id", "color", "count", (F.col("_rem") - F.col("_used")).alias("_rem")))
-    if granted is None:
-        granted = ok.limit(0).select("seq", "order_id")
-    granted = granted.select("seq").withColumn("_granted", F.lit(True))
-
-    d = ok.join(granted, "seq", "left").withColumn("_granted", F.coalesce("_granted", F.lit(False)))
+        cs = materialize(cs.select("seq", "order_id", "color", "count", "_f", "_cs", first.alias("_first"),
+                                   (F.col("_cs") > _by_colour(rem)).alias("_over"),
+                                   (~first & (code != F.col("_fc"))).alias("_cross")), "reserve-round")
+        stats = {x["color"]: x for x in cs.groupBy("color").agg(
+            F.min(F.when(F.col("_over"), F.col("seq"))).alias("misfit"), F.max("_cross").alias("cross"),
+            F.max(F.when(~F.col("_over"), F.col("_cs"))).alias("used")).collect()}
+        misfit = {k: x["misfit"] for k, x in stats.items()}
+        stop, used = dict(misfit), {k: x["used"] for k, x in stats.items()}
+        upto = min((m for m in misfit.values() if m is not None), default=None)
+        if upto is not None and any(x["cross"] for x in stats.values()):
+            open_ = cs.filter(F.col("_cross") & (F.col("_f") >= upto)).groupBy("color").agg(F.min("seq").alias("seq")).collect()
+            for x in open_:
+                stop[x["color"]] = x["seq"] if stop[x["color"]] is None else min(stop[x["color"]], x["seq"])
+            used = {x["color"]: x["used"] for x in cs.filter(F.col("seq") < _by_colour(stop) if any(stop.values()) else F.lit(True))
+                    .groupBy("color").agg(F.max("_cs").alias("used")).collect()} | {
+                        k: u for k, u in used.items() if stop[k] is None}
+        behind = F.coalesce(F.col("seq") >= _by_colour(stop), F.lit(False))
+        won = cs.filter(F.col("_first") & ~behind).select("seq", "order_id")
+        granted.append(won.select("seq"))
+        rem = {k: v - (used.get(k) or 0) for k, v in rem.items()}
+        if upto is None:
+            break
+        cur = materialize(cs.filter(behind & ~F.coalesce(F.col("seq") == _by_colour(misfit), F.lit(False))
+                                    & (F.col("count") <= _by_colour(rem)))
+                          .join(won.select("order_id"), "order_id", "left_anti")
+                          .select("seq", "order_id", "color", "count"), "reserve-left")
+        if cur.isEmpty():
+            break
+    won = granted[0]
+    for g in granted[1:]:
+        won = won.unionByName(g)
+    d = ok.join(won.withColumn("_granted", F.lit(True)), "seq", "left").withColumn(
+        "_granted", F.coalesce("_granted", F.lit(False)))
     gcount = F.when(F.col("_granted"), F.col("count")).otherwise(F.lit(0)).cast("long")
     # inputs here are the written request table and the small round tables,
     # so this last pass needs no lineage cut of its own
     d = running(d, ["color"], ["seq"], gcount, "_used_before", "sum", chunk, inclusive=False)
-    d = d.withColumn("avail", F.col("free") - F.coalesce("_used_before", F.lit(0)))
+    d = d.withColumn("avail", _by_colour(free) - F.coalesce("_used_before", F.lit(0)))
     # A request is a duplicate once an earlier request of its order was
     # granted (the order then holds cells).
     order_granted = d.filter("_granted").groupBy("order_id").agg(F.min("seq").alias("_gseq"))
@@ -163,49 +187,53 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
     kind = (F.when(F.col("_held"), F.lit("duplicate"))
             .when(F.col("_granted"), F.lit("granted"))
             .when(F.col("_gseq").isNotNull() & (F.col("_gseq") < F.col("seq")), F.lit("duplicate"))
+            .when(F.col("count") <= 0, F.lit("granted"))  # nothing asked for, nothing held
             .otherwise(F.lit("insufficient")))
-    d = d.select("seq", "order_id", "color", "color_raw", "count", kind.alias("kind"), "avail",
-                 "_used_before")
-    bad = (r.filter(~valid).select("seq", "order_id", "color", "color_raw", "count",
-                                   F.lit("bad_colour").alias("kind"),
-                                   F.lit(None).cast("long").alias("avail"),
-                                   F.lit(None).cast("long").alias("_used_before")))
-    other = other.select("seq", "order_id", "color", "color_raw", "count", F.lit("second_colour").alias("kind"),
-                         F.lit(None).cast("long").alias("avail"), F.lit(None).cast("long").alias("_used_before"))
-    return d.unionByName(bad).unionByName(other)
+    cols = ["seq", "order_id", "color", "color_raw", "count"]
+    d = d.select(*cols, kind.alias("kind"), "avail", "_used_before")
+    none = [F.lit(None).cast("long").alias(c) for c in ("avail", "_used_before")]
+    bad = r.filter(invalid | ~known).select(
+        *cols, F.when(invalid, F.lit("invalid")).otherwise(F.lit("bad_colour")).alias("kind"), *none)
+    return d.unionByName(bad)
 
 
-def reserve_results(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """One result per request: 200, 400 or 409 with the service's text."""
-    a = _allocation(requests, cells, fetch_log)
+def _reserve_replies(a: DataFrame) -> DataFrame:
     k = F.col("kind")
-    status = F.when(k == "granted", 200).when(k == "bad_colour", 400).otherwise(409)
+    status = F.when(k == "granted", 200).when(k == "bad_colour", 400).when(k == "invalid", 422).otherwise(409)
     msg = (F.when(k == "granted", F.lit(None).cast("string"))
-           .when(k == "bad_colour", F.concat(F.lit("Unknown color: "), F.col("color_raw"),
+           .when(k == "invalid", F.lit(INVALID_TEXT))
+           .when(k == "bad_colour", F.concat(F.lit("Unknown color: "), F.coalesce("color_raw", F.lit("")),
                                              F.lit(". Valid colors: " + VALID_COLOURS_TEXT)))
            .when(k == "duplicate", F.concat(F.lit("Order '"), F.col("order_id"),
                                             F.lit("' already has reserved blocks")))
-           .when(k == "second_colour", F.concat(F.lit("Order '"), F.col("order_id"),
-                                                F.lit("' already asked for another color")))
            .otherwise(F.concat(F.lit("Not enough "), F.col("color"), F.lit(" blocks. Requested: "),
                                F.col("count").cast("string"), F.lit(", available: "),
                                F.col("avail").cast("string"))))
     return a.select("seq", "order_id", "color", "count", status.alias("status"), msg.alias("message"))
 
 
-def reserve(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """Cells granted to each request: the first free cells of its colour
-    in row-major order, ``[used_before + 1, used_before + count]``. Each
-    granted request expands to at most ``count`` (<= 3) rank rows, joined
-    to the ranked free cells on (color, rank) - an equi-join."""
-    a = _allocation(requests, cells, fetch_log).filter(F.col("kind") == "granted")
+def _placed(a: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells of the granted requests of an allocation. Each expands to its
+    ``count`` (<= 3) rank rows, joined to the ranked free cells on
+    (color, rank) - an equi-join."""
     lo = F.coalesce(F.col("_used_before"), F.lit(0)) + 1
-    want = a.select("seq", "order_id", "color",
-                    F.explode(F.sequence(lo, lo + F.col("count") - 1)).alias("rank"))
+    want = a.filter((F.col("kind") == "granted") & (F.col("count") > 0)).select(
+        "seq", "order_id", "color", F.explode(F.sequence(lo, lo + F.col("count") - 1)).alias("rank"))
     return want.join(_free_ranked(cells), ["color", "rank"], "inner").select(
         "seq", "order_id", "x", "y", "color")
 
 
+def reserve_results(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
+    """One result per request: 200, 400, 409 or 422 with the service's text."""
+    return _reserve_replies(_allocation(requests, cells, fetch_log))
+
+
+def reserve(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame) -> DataFrame:
+    """Cells granted to each request: the first free cells of its colour
+    in row-major order, ``[used_before + 1, used_before + count]``."""
+    return _placed(_allocation(requests, cells, fetch_log), cells)
+
+
 def fetch(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """Fetch requests per order: the first request of an order empties the
     cells it holds (they enter the fetch log, status 200, one row per
@@ -247,169 +275,3 @@ def restore_all(cells: DataFrame) -> DataFrame:
     colour = F.element_at(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), (F.col("y") % 4 + 1).cast("int"))
     return cells.select("x", "y", colour.alias("color"), F.lit(True).alias("filled"),
                         F.lit(False).alias("reserved"), F.lit(None).cast("string").alias("order_id"))
-
-
-# --- ledger replay ---------------------------------------------------------
-#
-# Per cell the ledger is a state machine over three kinds of state:
-#   F      filled and free (no holder, no fetch-log entry)
-#   H(o)   filled and held by order o
-#   X(o)   emptied by a fetch of order o (in the fetch log)
-# reserve(o): F -> H(o);  fetch(o): H(o) -> X(o);  restore(o): H(o) | X(o) -> F;
-# anything else leaves the state unchanged.
-#
-# Transition functions compose associatively, so a cell's actions are cut into
-# chunks of seq, each chunk is summarised as a transition table (start state ->
-# end state for F and for H(o), X(o) of every order o acting in the chunk; any
-# other state is unchanged), and the tables are composed in a tree of bounded
-# fan-in. A hot cell is spread over many chunks; no group grows with the data.
-
-SUMMARY = "cell long, idx long, s_kind string, s_order string, e_kind string, e_order string"
-LEDGER_CHUNK = 1 << 20
-LEDGER_FANIN = 256
-
-
-def _summarise(cell: int, idx: int, acts: list, ords: list) -> list[tuple]:
-    """Transition table of one chunk (actions in seq order): a backward pass
-    with "next fetch/restore of this order" pointers, O(rows)."""
-    n = len(acts)
-    free_end = [None] * (n + 1)
-    free_end[n] = ("F", None)
-    next_fr: dict = {}        # order -> (pos, action) of the nearest fetch/restore after p
-    next_r: dict = {}         # order -> pos of the nearest restore after p
-    restore_after: dict = {}  # fetch pos -> pos of the next restore of that order (or None)
-
-    def from_fetched(o, q):   # X(o) just after fetch position q
-        r = restore_after.get(q)
-        return ("X", o) if r is None else free_end[r + 1]
-
-    def from_held(o, nfr):    # H(o) given the nearest fetch/restore of o
-        if nfr is None:
-            return ("H", o)
-        q, a = nfr
-        return from_fetched(o, q) if a == "fetch" else free_end[q + 1]
-
-    for p in range(n - 1, -1, -1):
-        a, o = acts[p], ords[p]
-        free_end[p] = from_held(o, next_fr.get(o)) if a == "reserve" else free_end[p + 1]
-        if a == "fetch":
-            restore_after[p] = next_r.get(o)
-            next_fr[o] = (p, a)
-        elif a == "restore":
-            next_fr[o] = (p, a)
-            next_r[o] = p
-    rows = [(cell, idx, "F", None, *free_end[0])]
-    for o in {x for x in ords if x is not None}:
-        rows.append((cell, idx, "H", o, *from_held(o, next_fr.get(o))))
-        r = next_r.get(o)
-        rows.append((cell, idx, "X", o, *(("X", o) if r is None else free_end[r + 1])))
-    return rows
-
-
-def _compose(cell: int, idx: int, tables: list[dict]) -> list[tuple]:
-    """One table for a run of consecutive tables (applied in order)."""
-    orders = {o for tb in tables for (_, o) in tb if o is not None}
-    rows = []
-    for st in [("F", None)] + [(k, o) for o in orders for k in ("H", "X")]:
-        cur = st
-        for tb in tables:
-            cur = tb.get(cur, cur)
-        rows.append((cell, idx, st[0], st[1], cur[0], cur[1]))
-    return rows
-
-
-_SUMMARY_COLS = ["cell", "idx", "s_kind", "s_order", "e_kind", "e_order"]
-
-
-def _none(v):
-    return None if v is None or (isinstance(v, float) and v != v) else v
-
-
-def _grouped(batches: Iterator[pd.DataFrame], key_cols: list[str], cols: list[str]):
-    """Walk rows sorted by ``key_cols`` across Arrow batches and yield
-    ``(key, {col: values})`` per group; only one group is buffered."""
-    cur, buf = None, None
-    for pdf in batches:
-        keys = list(zip(*[pdf[k].tolist() for k in key_cols]))
-        vals = [pdf[c].tolist() for c in cols]
-        for i, key in enumerate(keys):
-            if key != cur:
-                if cur is not None:
-                    yield cur, buf
-                cur, buf = key, {c: [] for c in cols}
-            for c, v in zip(cols, vals):
-                buf[c].append(v[i])
-    if cur is not None:
-        yield cur, buf
-
-
-def _summarise_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out: list[tuple] = []
-    for (cell, idx), g in _grouped(batches, ["cell", "idx"], ["action", "order_id"]):
-        out += _summarise(int(cell), int(idx), g["action"], [_none(o) for o in g["order_id"]])
-        if len(out) >= 8192:
-            yield pd.DataFrame(out, columns=_SUMMARY_COLS)
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=_SUMMARY_COLS)
-
-
-def _compose_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out: list[tuple] = []
-    cols = ["idx", "s_kind", "s_order", "e_kind", "e_order"]
-    for (cell, grp), g in _grouped(batches, ["cell", "_grp"], cols):
-        tables: list[dict] = []
-        last = None
-        for i, sk, so, ek, eo in zip(*[g[c] for c in cols]):
-            if i != last:
-                tables.append({})
-                last = i
-            tables[-1][(sk, _none(so))] = (ek, _none(eo))
-        out += _compose(int(cell), int(grp), tables)
-        if len(out) >= 8192:
-            yield pd.DataFrame(out, columns=_SUMMARY_COLS)
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=_SUMMARY_COLS)
-
-
-def ledger_replay(ledger: DataFrame, chunk_width: int = LEDGER_CHUNK) -> DataFrame:
-    """Cell state from an action log ``(seq, cell, x, y, color, action,
-    order_id)``; ``action = 'restore_all'`` rows (cell null) reset the grid.
-
-    Only actions after the last ``restore_all`` matter (a global max as a
-    scalar subquery). Then: chunk summaries per ``(cell, seq div width)``
-    (a streamed pass over rows Spark partitions and sorts; one chunk buffered
-    at a time), a tree of compositions with bounded fan-in, and the final
-    state of each cell applied to F.
-    Cells without live actions keep the default state."""
-    spark = ledger.sparkSession
-    # the cut is a scalar subquery: computed once, inlined as a value (no join)
-    cut = (ledger.filter(F.col("action") == "restore_all")
-           .agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cut")).scalar())
-    acts = ledger.filter(F.col("action") != "restore_all")
-    cells = acts.select("cell", "x", "y", "color").distinct()
-    live = acts.filter(F.col("seq") > cut).select(
-        "cell", F.floor(F.col("seq") / chunk_width).cast("long").alias("idx"), "seq", "action", "order_id")
-    # Spark hash-partitions by (cell, chunk) and sorts; the summary step walks
-    # the sorted rows chunk by chunk (one chunk buffered at a time).
-    summ = (live.repartition("cell", "idx").sortWithinPartitions("cell", "idx", "seq")
-            .mapInPandas(_summarise_sorted, SUMMARY))
-    summ = materialize(summ, "ledger-summaries")
-    span = summ.agg(F.max("idx")).first()[0]
-    level_span = int(span or 0)
-    while level_span > 0:
-        grp = summ.withColumn("_grp", F.floor(F.col("idx") / LEDGER_FANIN).cast("long"))
-        summ = (grp.repartition("cell", "_grp").sortWithinPartitions("cell", "_grp", "idx")
-                .mapInPandas(_compose_sorted, SUMMARY))
-        summ = materialize(summ, "ledger-level")
-        level_span //= LEDGER_FANIN
-    final = summ.filter(F.col("s_kind") == "F").select("cell", "e_kind", "e_order")
-    k, o = F.col("e_kind"), F.col("e_order")
-    out = cells.join(final, "cell", "left")
-    return out.select(
-        "cell", "x", "y", "color",
-        F.coalesce(k != "X", F.lit(True)).alias("filled"),
-        F.coalesce(k == "H", F.lit(False)).alias("reserved"),
-        F.when(k == "H", o).alias("order_id"),
-        F.when(k == "X", o).alias("logged_by"))

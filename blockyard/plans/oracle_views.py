@@ -71,17 +71,23 @@ WITH base AS (
               ELSE CASE o_orderkey % 4 WHEN 0 THEN 'Chair' WHEN 1 THEN ' table ' WHEN 2 THEN 'SHELF' ELSE 'closet' END
          END AS item_raw,
          CASE WHEN o_orderkey % 89 = 0 THEN 'purple'
-              ELSE CASE (o_orderkey // 4) % 4 WHEN 0 THEN 'Red' WHEN 1 THEN 'green' WHEN 2 THEN 'BLUE' ELSE 'Yellow' END
-         END AS color_raw,
+              ELSE ['Red', 'green', 'BLUE', 'Yellow'][(o_orderkey // 4) % 4 + 1] END AS color_raw,
+         CASE WHEN o_orderkey % 89 = 0 THEN 'purple'
+              ELSE ['Red', 'green', 'BLUE', 'Yellow'][(o_orderkey // 4 + (o_orderkey % 25 = 3)::INT) % 4 + 1] END AS second_raw,
          CASE o_orderkey % 7 WHEN 5 THEN 409 WHEN 6 THEN 503 ELSE 200 END AS status
   FROM orders),
 r AS (SELECT 2 * k AS seq, false AS is_repeat, order_id, item_raw, color_raw, status FROM base UNION ALL
-      SELECT 2 * k + 1, true, order_id, item_raw, color_raw, status FROM base WHERE k % 10 = 0),
+      SELECT 2 * k + 1, true, order_id, item_raw, second_raw, status FROM base WHERE k % 10 = 0 OR k % 25 = 3),
 n AS (SELECT *, CASE WHEN item_raw IN ('CHAIR','TABLE','SHELF','CLOSET') THEN item_raw
                      WHEN upper(trim(item_raw)) IN ('CHAIR','TABLE','SHELF','CLOSET') THEN upper(trim(item_raw))
                 END AS item FROM r)
 SELECT *, CASE item WHEN 'CHAIR' THEN 1 WHEN 'TABLE' THEN 2 WHEN 'SHELF' THEN 2 WHEN 'CLOSET' THEN 3 END AS count
 FROM n"""),
+    "stock_log": (["requests"], """
+SELECT seq * 1000 AS seq, 'reserve' AS kind, order_id, count, color_raw FROM requests
+UNION ALL SELECT o_orderkey * 2000 + 50500, 'fetch', CAST(o_orderkey AS VARCHAR), NULL, NULL FROM orders WHERE o_orderkey % 6 = 1
+UNION ALL SELECT (o_orderkey % 3 + 1) * 2000000 + 1 + o_orderkey, 'restore', CAST(o_orderkey AS VARCHAR), NULL, NULL
+FROM orders WHERE o_orderkey < 300 AND o_orderkey % 10 IN (5, 7)"""),
     "probes": ([], """
 SELECT event_id AS id, CAST(user_id % 10 AS INTEGER) AS sensor, ts AS t
 FROM events WHERE event_type = 'click'"""),
@@ -117,6 +123,15 @@ SELECT l_suppkey AS robot,
        CASE WHEN l_linenumber % 4 <> 3 THEN CAST(0.0 AS DOUBLE) END AS r,
        CASE WHEN l_linenumber % 4 = 3 THEN l_returnflag = 'R' END AS suck
 FROM lineitem"""),
+    "robot_commands": (["commands"], """
+SELECT robot, seq,
+       CASE k WHEN 1 THEN 'MovementSpeedCommand' WHEN 2 THEN 'MoveConveyorCommand' WHEN 3 THEN 'RunConveyorCommand' ELSE kind END AS kind,
+       CASE WHEN o THEN NULL ELSE x END AS x, CASE WHEN o THEN NULL ELSE y END AS y, CASE WHEN o THEN NULL ELSE z END AS z,
+       CASE WHEN o THEN NULL ELSE r END AS r, suck, CASE WHEN o THEN x + 30 END AS speed,
+       CASE WHEN k = 1 AND z > 3 THEN z * 10 END AS acceleration, CASE WHEN k = 2 THEN z * 2 END AS distance,
+       CASE WHEN k IN (2, 3) THEN CASE WHEN x > 0 THEN 'FORWARD' ELSE 'BACKWARD' END END AS direction
+FROM (SELECT *, coalesce(k IN (1, 2, 3), false) AS o
+      FROM (SELECT *, CASE WHEN kind = 'RelativeMovementCommand' THEN CAST(x + z AS INTEGER) % 7 END AS k FROM commands))"""),
     "colour_readings": ([], """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        l_partkey * 31 % 1000 AS r, l_suppkey * 97 % 1000 AS g, l_orderkey * 13 % 1000 AS b,
@@ -131,7 +146,7 @@ SELECT l_orderkey AS order_key,
        CASE l_linenumber % 3 WHEN 0 THEN 'reserve' WHEN 1 THEN 'reset after timeout' ELSE 'reset after error' END AS activity,
        CASE l_linenumber % 3 WHEN 0 THEN 'Activity_reserveInventory' WHEN 1 THEN 'Activity_0uhz0y6'
                              ELSE 'Activity_0ezfqp2' END AS activity_id,
-       l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'R' AS success
+       l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'R' AS success, l_partkey % 3 <> 0 AS technical
 FROM lineitem"""),
     "ledger0": ([], """
 SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS seq,

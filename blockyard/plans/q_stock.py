@@ -4,35 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from blockyard import constants as K
 from blockyard.operators import stock as S
+from blockyard.operators.ledger import ledger_replay
 from blockyard.plans import views as V
 from blockyard.plans.registry import query
 
 
-def _requests(spark, sf):
-    """Requests the order side sends: valid item (count known)."""
-    return V.requests(spark, sf).filter(F.col("count").isNotNull())
+COLOUR_CODE = "CASE upper(color_raw) WHEN 'RED' THEN 1 WHEN 'GREEN' THEN 2 WHEN 'BLUE' THEN 3 WHEN 'YELLOW' THEN 4 ELSE 0 END"
+FREE_SQL = "[" + ", ".join(
+    f"(SELECT count(*) FROM cells WHERE filled AND NOT reserved AND color = '{c}')" for c in K.ORDER_COLOURS) + "]"
 
-
-ALLOC_SQL = """
-, rq AS (SELECT seq, order_id, count, color_raw, upper(color_raw) AS color FROM requests WHERE count IS NOT NULL),
+# one request at a time: `free` blocks per colour, `got` the orders that were granted
+ALLOC_SQL = f"""
+, rq AS (SELECT seq, order_id, count, color_raw, upper(color_raw) AS color, {COLOUR_CODE} AS c FROM requests),
 holders AS (SELECT order_id FROM cells WHERE order_id IS NOT NULL UNION SELECT order_id FROM fetch_log),
-ok AS (SELECT rq.*, h.order_id IS NOT NULL AS held,
-              rq.seq = min(rq.seq) OVER (PARTITION BY rq.order_id) AS first
-       FROM rq LEFT JOIN holders h ON rq.order_id = h.order_id
-       WHERE rq.color IN ('RED', 'GREEN', 'BLUE', 'YELLOW')),
-free AS (SELECT color, count(*) AS f FROM cells WHERE filled AND NOT reserved GROUP BY color),
-elig AS (SELECT seq, color, count, row_number() OVER (PARTITION BY color ORDER BY seq) AS k
-         FROM ok WHERE first AND NOT held),
-alloc(color, k, seq, granted, rem) AS (
-  SELECT e.color, e.k, e.seq, e.count <= coalesce(f.f, 0),
-         CASE WHEN e.count <= coalesce(f.f, 0) THEN coalesce(f.f, 0) - e.count ELSE coalesce(f.f, 0) END
-  FROM elig e LEFT JOIN free f ON e.color = f.color WHERE e.k = 1
+ok AS (SELECT rq.*, h.order_id IS NOT NULL AS held FROM rq LEFT JOIN holders h ON rq.order_id = h.order_id
+       WHERE c > 0 AND count IS NOT NULL),
+elig AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS k, seq, CAST(order_id AS BIGINT) AS o, count, c FROM ok WHERE NOT held),
+sim(k, seq, granted, free, got) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, {FREE_SQL}, CAST([] AS BIGINT[])
   UNION ALL
-  SELECT e.color, e.k, e.seq, e.count <= a.rem, CASE WHEN e.count <= a.rem THEN a.rem - e.count ELSE a.rem END
-  FROM alloc a JOIN elig e ON e.color = a.color AND e.k = a.k + 1),
+  SELECT k, seq, fits, CASE WHEN fits THEN list_transform(free, lambda x, i: CASE WHEN i = c THEN x - count ELSE x END) ELSE free END,
+         CASE WHEN fits THEN list_append(got, o) ELSE got END
+  FROM (SELECT e.*, s.free, s.got, e.count <= s.free[e.c] AND NOT list_contains(s.got, e.o) AS fits
+        FROM sim s JOIN elig e ON e.k = s.k + 1)),
+free AS (SELECT color, count(*) AS f FROM cells WHERE filled AND NOT reserved GROUP BY color),
 dec AS (SELECT ok.*, coalesce(a.granted, false) AS granted, coalesce(f.f, 0) AS free
-        FROM ok LEFT JOIN alloc a ON ok.seq = a.seq LEFT JOIN free f ON ok.color = f.color),
+        FROM ok LEFT JOIN sim a ON ok.seq = a.seq LEFT JOIN free f ON ok.color = f.color),
 d2 AS (SELECT *, free - coalesce(sum(CASE WHEN granted THEN count ELSE 0 END) OVER (PARTITION BY color ORDER BY seq
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS avail,
               min(CASE WHEN granted THEN seq END) OVER (PARTITION BY order_id) AS gseq
@@ -52,10 +51,12 @@ FROM kinds
 UNION ALL
 SELECT seq, order_id, color, count, 400,
        'Unknown color: ' || color_raw || '. Valid colors: [''RED'', ''GREEN'', ''BLUE'', ''YELLOW'']'
-FROM rq WHERE color NOT IN ('RED', 'GREEN', 'BLUE', 'YELLOW')""", ("requests", "cells", "fetch_log"),
-       recursive=True)
+FROM rq WHERE c = 0 AND count IS NOT NULL
+UNION ALL
+SELECT seq, order_id, color, count, 422, 'Input should be a valid integer' FROM rq WHERE count IS NULL""",
+       ("requests", "cells", "fetch_log"), recursive=True)
 def q_reserve_results(spark, sf):
-    return S.reserve_results(_requests(spark, sf), V.cells(spark, sf), V.fetch_log(spark, sf))
+    return S.reserve_results(V.requests(spark, sf), V.cells(spark, sf), V.fetch_log(spark, sf))
 
 
 @query("reserve", ALLOC_SQL + """
@@ -67,7 +68,7 @@ SELECT g.seq, g.order_id, fr.x, fr.y, fr.color
 FROM g JOIN fr ON g.color = fr.color AND fr.rank > g.ub AND fr.rank <= g.ub + g.count""",
        ("requests", "cells", "fetch_log"), recursive=True)
 def q_reserve(spark, sf):
-    return S.reserve(_requests(spark, sf), V.cells(spark, sf), V.fetch_log(spark, sf))
+    return S.reserve(V.requests(spark, sf), V.cells(spark, sf), V.fetch_log(spark, sf))
 
 
 @query("stock_by_colour", """
@@ -155,7 +156,7 @@ SELECT a.cell, a.x, a.y, a.color, coalesce(f.filled, true) AS filled, f.holder I
        f.holder AS order_id, f.logged AS logged_by
 FROM allc a LEFT JOIN fin2 f ON a.cell = f.cell""", ("ledger",), recursive=True)
 def q_ledger_replay(spark, sf):
-    return S.ledger_replay(V.ledger(spark, sf))
+    return ledger_replay(V.ledger(spark, sf))
 
 
 @query("stock_grid_source", """

@@ -138,14 +138,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 reservation requests from orders, with repeats and HTTP status."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    # one scan: every 10th order arrives again; seq = 2 * key + repeat, so no two requests share a seq
-    again = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    # one scan: every 10th order arrives again, and one in 25 asks for another colour;
+    # seq = 2 * key + repeat, so no two requests share a seq
+    other = k % 25 == 3
+    again = F.explode(F.when((k % 10 == 0) | other, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     o = o.select("o_orderkey", again.alias("_again"))
     r = o.select(
         (k * 2 + F.col("_again")).alias("seq"), (F.col("_again") == 1).alias("is_repeat"), k.cast("string").alias("order_id"),
         F.when(k % 97 == 0, F.lit("sofa")).otherwise(_case(k % 4, list(enumerate(RAW_ITEMS)))).alias("item_raw"),
         F.when(k % 89 == 0, F.lit("purple"))
-         .otherwise(_case(F.expr("(o_orderkey div 4) % 4"), list(enumerate(RAW_COLOURS)))).alias("color_raw"),
+         .otherwise(_case((F.expr("o_orderkey div 4") + F.when(other, F.col("_again")).otherwise(0)) % 4,
+                          list(enumerate(RAW_COLOURS)))).alias("color_raw"),
         _case(k % 7, [(5, 409), (6, 503)], 200).alias("status"))
     item = enum_normalise("item_raw", K.ITEM_TYPES)
     return r.withColumn("item", item).withColumn("count", block_count("item"))
@@ -227,6 +230,22 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 3, F.col("l_returnflag") == "R").alias("suck"))
 
 
+def robot_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V13: V7, in which some moves are speed and conveyor commands instead
+    (by the whole part of x and z); ``speed, acceleration, distance,
+    direction`` as these need them."""
+    c = commands(spark, sf_dir)
+    k = F.when(F.col("kind") == "RelativeMovementCommand", (F.col("x") + F.col("z")).cast("int") % 7)
+    kind = (F.when(k == 1, "MovementSpeedCommand").when(k == 2, "MoveConveyorCommand").when(k == 3, "RunConveyorCommand")
+            .otherwise(F.col("kind")))
+    other = F.coalesce(k.isin(1, 2, 3), F.lit(False))
+    return c.select(
+        "robot", "seq", kind.alias("kind"), *[F.when(~other, F.col(a)).alias(a) for a in "xyzr"], "suck",
+        F.when(other, F.col("x") + 30).alias("speed"), F.when((k == 1) & (F.col("z") > 3), F.col("z") * 10).alias("acceleration"),
+        F.when(k == 2, F.col("z") * 2).alias("distance"),
+        F.when(k.isin(2, 3), F.when(F.col("x") > 0, "FORWARD").otherwise("BACKWARD")).alias("direction"))
+
+
 def colour_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8 colour readings: raw and byte channels plus the expected colour."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -257,7 +276,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(n, [(i, a) for i, (a, _) in enumerate(ACTIVITIES)]).alias("activity"),
         _case(n, [(i, a) for i, (_, a) in enumerate(ACTIVITIES)]).alias("activity_id"),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        (F.col("l_returnflag") != "R").alias("success"))
+        (F.col("l_returnflag") != "R").alias("success"), (F.col("l_partkey") % 3 != 0).alias("technical"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,3 +298,20 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("y"), F.lit(None).cast("string").alias("color"),
         F.lit("restore_all").alias("action"), F.lit(None).cast("string").alias("order_id"))
     return acts.unionByName(reset)
+
+
+#: Requests between whose places the restores of V12 come, in groups.
+RESTORE_AFTER = 2000
+
+
+def stock_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12 mixed stock requests: V4 with wider seq, a fetch some requests
+    after one order in six, and restores of low orders (which hold cells from
+    the start, or get some early) in three groups."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    r = requests(spark, sf_dir).select((F.col("seq") * 1000).alias("seq"), F.lit("reserve").alias("kind"), "order_id", "count", "color_raw")
+    f = o.filter(k % 6 == 1).select((k * 2000 + 50_500).alias("seq"), F.lit("fetch").alias("kind"), k.cast("string").alias("order_id"))
+    b = o.filter((k < 300) & (k % 10).isin(5, 7)).select(
+        ((k % 3 + 1) * (RESTORE_AFTER * 1000) + 1 + k).alias("seq"), F.lit("restore").alias("kind"), k.cast("string").alias("order_id"))
+    return r.unionByName(f.unionByName(b), allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockyard import constants as K
 from blockyard.operators import motion as M
+from blockyard.operators import ledger as G
 from blockyard.operators import stock as S
 from blockyard.operators import tracker as T
 
@@ -175,6 +176,6 @@ def test_ledger_matches_fold(spark):
     df = spark.createDataFrame(acts, "seq long, cell long, x long, y long, color string, action string, "
                                      "order_id string")
     got = {r.cell: dict(filled=r.filled, holder=r.order_id, logged=r.logged_by)
-           for r in S.ledger_replay(df, chunk_width=3).collect()}
+           for r in G.ledger_replay(df, chunk_width=3).collect()}
     for cell, st in want.items():
         assert got[cell] == st, cell
