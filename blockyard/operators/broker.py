@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blockyard.functions import epoch_ms, safe_epoch
 from blockyard.operators.sequencing import chunk_of, running_many
+from blockyard.session import materialize
 
 SEQ_CHUNK = 1 << 20
 #: What identifies a partition of a log; a log of one topic may go by "partition" alone.
@@ -30,23 +31,34 @@ def latency_series(log: DataFrame, arrival_ms: F.Column, skip: bool = True) -> D
     return d.withColumn("latency", arrival_ms - F.col("produced_ms"))
 
 
-def _nearest_rank(p: float) -> F.Column:
-    # percentile_disc = sorted[ceil(p*n) - 1]: exact, Spark keeps a
-    # value->count map per group (memory = distinct values, not rows).
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency)")
+VALUE_CHUNK = 1 << 12
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def latency_summary(series: DataFrame, by: Sequence[str] = ("topic",), approx: bool = False) -> DataFrame:
-    """count, min, p50, p95, p99, max, avg per group. ``approx=True`` uses
-    ``approx_percentile`` (bounded memory for unbounded value ranges)."""
-    def pct(p):
-        if approx:
-            return F.percentile_approx("latency", p, 10000)
-        return _nearest_rank(p).cast("long")
-    return series.groupBy(*by).agg(
-        F.count("latency").alias("n"), F.min("latency").alias("min"),
-        pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"),
-        F.max("latency").alias("max"), F.avg("latency").alias("avg")).filter(F.col("n") > 0)
+    """count, min, p50, p95, p99 (nearest rank), max, avg per group; messages
+    without a latency do not count.
+
+    Exact by counting: messages per (group, latency) are a partial
+    aggregation, whose counts run on over chunks of VALUE_CHUNK latencies; a
+    percentile is the least latency whose running count reaches its rank. No
+    buffer or task holds the values of a group. ``approx=True`` builds one
+    mergeable KLL sketch per group instead, of fixed size."""
+    by, n, v = list(by), F.col("n"), F.col("latency")
+    known = series.filter(v.isNotNull()) if approx else series.groupBy(*by, "latency").agg(F.count("latency").alias("n"))
+    if approx:
+        g = known.groupBy(*by).agg(F.count("latency").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
+                                   F.avg(v).alias("avg"), F.kll_sketch_agg_bigint(v.cast("long")).alias("_kll"))
+        quantiles = [F.kll_sketch_get_quantile_bigint("_kll", F.lit(p)).alias(name) for name, p in PERCENTILES.items()]
+        return g.select(*by, "n", "min", *quantiles, "max", "avg")
+    counts = materialize(known.filter(n > 0).withColumn("latency", v.cast("long")), "latency-counts")
+    totals = counts.groupBy(*by).agg(F.sum(n).alias("_all"))
+    upto = running_many(counts, by, ["latency"], [(n, "_upto", "sum")], chunk_of("latency", VALUE_CHUNK))
+    ranked = upto.join(totals, by)
+    at = [F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_all"))), v)).alias(name)
+          for name, p in PERCENTILES.items()]
+    return ranked.groupBy(*by).agg(F.sum(n).alias("n"), F.min(v).alias("min"), *at, F.max(v).alias("max"),
+                                   (F.sum(v * n) / F.sum(n)).alias("avg"))
 
 
 def throughput(series: DataFrame, by: Sequence[str] = ("topic",), time_ms: str = "produced_ms") -> DataFrame:
@@ -106,25 +118,42 @@ def partition_lag(log: DataFrame, commits: DataFrame, log_start: DataFrame | Non
         F.when((F.col("log_start") > c) & (c >= 0), F.col("log_start") - c).otherwise(F.lit(0)).cast("long").alias("lost"))
 
 
-def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
-    """Lag per partition at each poll tick (tumbling window of ``tick_s``)
-    and its growth since the previous tick. The log end is a running max
-    over ticks and the previous lag a running "last" - both chunked, so a
-    topic partition with a long history is not one task."""
-    by = list(by)
+def tick_ends(log: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
+    """Log end per partition and tick with messages: ``tick_start, end_in_tick``."""
     ticks = (log.groupBy(*by, F.window(F.col("ts").cast("timestamp"), f"{tick_s} seconds").alias("w"))
              .agg((F.max("offset") + 1).alias("end_in_tick")))
-    d = ticks.select(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
-    d = d.withColumn("tick_no", F.floor(epoch_ms("tick_start") / (tick_s * 1000)).cast("long"))
-    d = d.join(commits.select(*by, "committed"), by, "left")
+    return ticks.select(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick")
+
+
+def every_tick(ends: DataFrame, commits: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
+    """``by, tick_start, tick_no, log_end, committed, lag`` for every partition
+    (of the log or committed) at every tick between the first and the last of
+    all: a monitor that polls reports idle partitions too. ``ends``: one row
+    per partition and tick with messages; the end runs on where there are none,
+    from 0. The spine has one row per partition and tick; the running maximum
+    is chunked, so a long history is not one task."""
+    by, width = list(by), F.lit(tick_s * 1000)
+    number = F.floor(epoch_ms("tick_start") / width).cast("long")
+    # one row per partition and tick: staging it is cheap and keeps the passes below from re-expanding the log plan
+    ends = materialize(ends.withColumn("tick_no", number), "tick-ends")
+    span = ends.agg(F.min("tick_no").alias("lo"), F.max("tick_no").alias("hi"))
+    parts = ends.select(*by).unionByName(commits.select(*by)).distinct()
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    spine = parts.withColumn("tick_no", F.explode(F.when(lo.isNotNull(), F.sequence(lo, hi))))
+    d = spine.join(ends.select(*by, "tick_no", "end_in_tick"), [*by, "tick_no"], "left").join(commits.select(*by, "committed"), by, "left")
+    d = running_many(d, by, ["tick_no"], [(F.col("end_in_tick"), "_end", "max")], chunk_of("tick_no", 1 << 16), stage=True)
     c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
-    ch = chunk_of("tick_no", 1 << 16)
-    # the tick table has (partitions x ticks) rows: staging it is cheap and
-    # keeps the two running passes from re-expanding the log plan
-    d = running_many(d, by, ["tick_no"], [(F.col("end_in_tick"), "log_end", "max")], ch, stage=True)
-    lag = F.when(c >= 0, F.col("log_end") - c)
-    d = d.select(*by, "tick_start", "tick_no", "log_end", c.alias("committed"), lag.alias("lag"))
-    d = running_many(d, by, ["tick_no"], [(F.col("lag"), "_prev_lag", "prev")], ch, stage=True)
+    d = d.withColumn("log_end", F.coalesce("_end", F.lit(0)).cast("long"))
+    return d.select(*by, F.timestamp_millis(F.col("tick_no") * width).cast("timestamp_ntz").alias("tick_start"), "tick_no", "log_end",
+                    c.alias("committed"), F.when(c >= 0, F.col("log_end") - c).alias("lag"))
+
+
+def lag_growth(log: DataFrame, commits: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
+    """Lag of every partition at each poll tick and its growth since the
+    previous tick (a running "previous", chunked)."""
+    by = list(by)
+    d = every_tick(tick_ends(log, tick_s, by), commits, tick_s, by)
+    d = running_many(d, by, ["tick_no"], [(F.col("lag"), "_prev_lag", "prev")], chunk_of("tick_no", 1 << 16), stage=True)
     return d.select(*by, "tick_start", "log_end", "committed", "lag",
                     (F.col("lag") - F.col("_prev_lag")).alias("growth"))
 

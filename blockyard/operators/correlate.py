@@ -65,9 +65,14 @@ def uncorrelated_events(outcomes: DataFrame, matched: DataFrame) -> DataFrame:
 
 def order_race(waiting: DataFrame, outcomes: DataFrame, timeout_s: int) -> DataFrame:
     """Per waiting order the earliest of complete / error / timeout wins.
-    ``winner`` in (complete, error, timeout); ``decided_ts`` its time."""
-    j = _in_window(waiting, outcomes, timeout_s, "left")
-    g = _first_outcome(j)
+    ``winner`` in (complete, error, timeout); ``decided_ts`` its time.
+
+    Outcomes are first reduced to one row per order (an inner join, which AQE
+    can split at a hot order, then a partial aggregation); the outer join has
+    one row on either side."""
+    first = correlate_outcomes(waiting, outcomes, timeout_s)
+    w = waiting.select(*KEYS, "start_ts").distinct()
+    g = w.join(first, [*KEYS, "start_ts"], "left")
     return g.select(
         *KEYS, "start_ts",
         F.coalesce(F.col("kind"), F.lit("timeout")).alias("winner"),

@@ -44,23 +44,44 @@ def _delta(axis: str) -> F.Column:
     return F.when(F.col("kind") == "RelativeMovementCommand", F.coalesce(F.col(axis), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+# --- fixed values: a robot's state before any command ----------------------
+SPEED_AT_FIRST = 50.0
+ACCELERATION_AT_FIRST = 100.0
+#: State columns: the kinds of command that set them, the command's field, the value before any.
+STATES = {
+    "speed": (["MovementSpeedCommand"], "speed", SPEED_AT_FIRST),
+    "acceleration": (["MovementSpeedCommand"], "acceleration", ACCELERATION_AT_FIRST),
+    "conveyor_speed": (["MoveConveyorCommand", "RunConveyorCommand"], "speed", 0.0),
+    "conveyor_distance": (["MoveConveyorCommand"], "distance", 0.0),
+    "conveyor_direction": (["MoveConveyorCommand", "RunConveyorCommand"], "direction", None),
+}
+FIELDS = {"suck": "boolean", "speed": "double", "acceleration": "double", "distance": "double", "direction": "string"}
+
+
 def trajectory(commands: DataFrame, chunk_width: int = SEQ_CHUNK) -> DataFrame:
-    """Position after each command: an absolute move sets x, y, z, r; a
-    relative move adds (null = 0); ``HomeCommand`` resets to 0; suction is
-    the last set value, false before any.
+    """Position and state after each command: an absolute move sets x, y, z,
+    r; a relative move adds (null = 0); ``HomeCommand`` resets to 0; suction,
+    speed, acceleration and the conveyor's speed, distance and direction are
+    the last set values (an acceleration that is not given stays). Commands
+    may lack the columns of FIELDS.
 
     Absolute commands cut a robot's log into segments. A position is the
     running sum, within its segment only, of the target that began it and the
-    deltas since, so rounding errors do not grow with the log. Segment numbers
-    and sums are chunked running aggregates."""
+    deltas since, so rounding errors do not grow with the log. Segment numbers,
+    last states and sums are chunked running aggregates: one pass for the
+    former, one for the sums."""
     ch = chunk_of("seq", chunk_width)
+    given = commands.select("robot", "seq", "kind", *AXES, *[
+        (F.col(f) if f in commands.columns else F.lit(None)).cast(t).alias(f) for f, t in FIELDS.items()])
     begins = F.when(_absolute(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    d = running_many(commands, ["robot"], ["seq"], [(begins, "_segment", "sum"), (F.col("suck"), "suction", "last")],
+    last = [(F.when(F.col("kind").isin(*kinds), F.col(f)), f"_{s}", "last") for s, (kinds, f, _) in STATES.items()]
+    d = running_many(given, ["robot"], ["seq"], [(begins, "_segment", "sum"), (F.col("suck"), "_suction", "last"), *last],
                      ch, stage=True)
     steps = [(F.when(_absolute(), _target(a)).otherwise(_delta(a)), f"p{a}", "sum") for a in AXES]
-    d = running_many(d, ["robot", "_segment"], ["seq"], steps, ch, stage=True)
-    return d.select("robot", "seq", "kind", *[f"p{a}" for a in AXES],
-                    F.coalesce("suction", F.lit(False)).alias("suction"))
+    d = running_many(d.drop(*FIELDS), ["robot", "_segment"], ["seq"], steps, ch, stage=True)
+    return d.select("robot", "seq", "kind", *[f"p{a}" for a in AXES], F.coalesce("_suction", F.lit(False)).alias("suction"),
+                    *[(F.col(f"_{s}") if first is None else F.coalesce(f"_{s}", F.lit(first))).alias(s)
+                      for s, (_, _, first) in STATES.items()])
 
 
 def final_position(commands: DataFrame) -> DataFrame:
@@ -90,19 +111,27 @@ def assembly_zip(positions: DataFrame, orders: DataFrame) -> DataFrame:
     return positions.join(plan, ["order_id", "pos"], "inner")
 
 
-def retry_attempts(attempts: DataFrame, by: Sequence[str], order: Sequence[str], max_tries: int = 3) -> DataFrame:
+def retry_attempts(attempts: DataFrame, by: Sequence[str], order: Sequence[str], max_tries: int = 3,
+                   technical: str | None = None) -> DataFrame:
     """Number the tries of each (order, activity); keep tries up to the first
-    success or the last allowed try. ``retries_left``, ``final`` and
-    ``outcome`` (success / retry / error) per kept try.
+    success, the first business refusal or the last allowed try.
+    ``retries_left``, ``final`` and ``outcome`` (success / refused / retry /
+    error) per kept try. ``technical``: boolean column; a failure that is not
+    technical is a refusal, which ends at once (without the column, or where
+    it is null, all failures are technical).
 
     Only the first ``max_tries`` rows of a key matter, and Spark keeps no more
     per task before it shuffles (a window group limit), so a hot key stays small."""
     key = Window.partitionBy(*by)
-    d = attempts.withColumn("attempt", F.row_number().over(key.orderBy(*order))).filter(F.col("attempt") <= max_tries)
-    d = d.withColumn("_ok", F.min(F.when(F.col("success"), F.col("attempt"))).over(key))
-    d = d.filter(F.col("_ok").isNull() | (F.col("attempt") <= F.col("_ok")))
-    final = F.col("success") | (F.col("attempt") == max_tries)
-    outcome = F.when(F.col("success"), "success").when(F.col("attempt") == max_tries, "error").otherwise("retry")
+    refused = ~F.col("success") & ~F.coalesce(F.col(technical), F.lit(True)) if technical else F.lit(False)
+    d = attempts.withColumn("_refused", refused)
+    d = d.withColumn("attempt", F.row_number().over(key.orderBy(*order))).filter(F.col("attempt") <= max_tries)
+    ends = F.col("success") | F.col("_refused")
+    d = d.withColumn("_end", F.min(F.when(ends, F.col("attempt"))).over(key))
+    d = d.filter(F.col("_end").isNull() | (F.col("attempt") <= F.col("_end")))
+    final = ends | (F.col("attempt") == max_tries)
+    outcome = (F.when(F.col("success"), "success").when(F.col("_refused"), "refused")
+               .when(F.col("attempt") == max_tries, "error").otherwise("retry"))
     return d.select(*by, *[c for c in order if c not in by], F.col("attempt").cast("long").alias("attempt"),
                     (F.lit(max_tries) - F.col("attempt")).cast("long").alias("retries_left"),
                     final.alias("final"), outcome.alias("outcome"), "success")

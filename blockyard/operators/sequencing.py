@@ -163,17 +163,3 @@ def last_spec(rank: Column, value: Column, out: str, inclusive: bool = True) ->
     (rows ranked by the first order column; ``rank`` is kept for callers
     and must be that column)."""
     return (value, out, "last", inclusive)
-
-
-def unpack_last(df: DataFrame, *outs: str) -> DataFrame:
-    """Kept for callers: ``last`` outputs are plain columns already."""
-    return df
-
-
-def last_value(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-               rank: Column, value: Column, out: str, chunk: Column | None = None,
-               inclusive: bool = True) -> DataFrame:
-    """Running "last non-null" of ``value``: the value of the latest row
-    where it is not null. Same chunked plan as the other running
-    aggregates."""
-    return running_many(df, by, order, [last_spec(rank, value, out, inclusive)], chunk)

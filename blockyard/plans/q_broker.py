@@ -9,6 +9,7 @@ from blockyard.functions import epoch_ms
 from blockyard.operators import broker as B
 from blockyard.plans import views as V
 from blockyard.plans.registry import query
+from blockyard.session import materialize
 from blockyard.sources.topic_log import log_start_policy, seek_from_offset
 
 TARGET_TOPICS = [K.INFO_TOPIC, K.ERROR_TOPIC, K.COMPLETE_TOPIC, K.MANUFACTURE_TOPIC]
@@ -87,18 +88,24 @@ def q_partition_lag(spark, sf):
     return B.partition_lag(V.event_log(spark, sf), V.commits(spark, sf), V.log_start(spark, sf), by=["partition"])
 
 
-@query("lag_growth", f"""
-, t AS (SELECT partition, epoch_ms((epoch_us(ts) // 1000 // {TICK_S * 1000}) * {TICK_S * 1000}) AS tick_start,
-               max("offset") + 1 AS end_in_tick
+# every partition at every tick: `ends` carried forward over a generated spine
+TICKS_SQL = f"""
+, t AS (SELECT partition, epoch_us(ts) // 1000 // {TICK_S * 1000} AS tick, max("offset") + 1 AS end_in_tick
         FROM event_log GROUP BY ALL),
-t2 AS (SELECT t.partition, tick_start,
-              max(end_in_tick) OVER (PARTITION BY t.partition ORDER BY tick_start
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS log_end,
+spine AS (SELECT partition, unnest(generate_series(lo, hi)) AS tick
+          FROM (SELECT partition FROM t UNION SELECT partition FROM commits), (SELECT min(tick) AS lo, max(tick) AS hi FROM t)),
+t2 AS (SELECT s.partition, epoch_ms(s.tick * {TICK_S * 1000}) AS tick_start, s.tick,
+              CAST(coalesce(max(end_in_tick) OVER (PARTITION BY s.partition ORDER BY s.tick
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS log_end,
               CAST(coalesce(c.committed, -1) AS BIGINT) AS committed
-       FROM t LEFT JOIN commits c ON t.partition = c.partition),
+       FROM spine s LEFT JOIN t ON s.partition = t.partition AND s.tick = t.tick LEFT JOIN commits c ON s.partition = c.partition),
 t3 AS (SELECT *, CASE WHEN committed >= 0 THEN log_end - committed END AS lag FROM t2)
-SELECT *, lag - lag(lag) OVER (PARTITION BY partition ORDER BY tick_start) AS growth FROM t3""",
-       ("event_log", "commits"))
+"""
+
+
+@query("lag_growth", TICKS_SQL + """
+SELECT partition, tick_start, log_end, committed, lag, lag - lag(lag) OVER (PARTITION BY partition ORDER BY tick) AS growth
+FROM t3""", ("event_log", "commits"))
 def q_lag_growth(spark, sf):
     return B.lag_growth(V.event_log(spark, sf), V.commits(spark, sf), TICK_S, by=["partition"])
 
@@ -124,7 +131,8 @@ st AS (SELECT ends.partition, coalesce(c.committed, ends.e) AS start_offset
 SELECT l.seq, l.partition, l."offset" FROM event_log l JOIN st ON l.partition = st.partition
 WHERE l."offset" >= st.start_offset""", ("event_log", "commits"))
 def q_log_start_policy(spark, sf):
-    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "earliest", by=("partition",))
+    log = materialize(V.event_log(spark, sf), "log")  # numbered once
+    d = log_start_policy(log, V.commits(spark, sf), "earliest", by=("partition",))
     return d.select("seq", "partition", "offset")
 
 
@@ -135,7 +143,8 @@ st AS (SELECT ends.partition, coalesce(c.committed, ends.l) AS start_offset
 SELECT l.seq, l.partition, l."offset" FROM event_log l JOIN st ON l.partition = st.partition
 WHERE l."offset" >= st.start_offset""", ("event_log", "commits"))
 def q_log_start_policy_latest(spark, sf):
-    d = log_start_policy(V.event_log(spark, sf), V.commits(spark, sf), "latest", by=("partition",))
+    log = materialize(V.event_log(spark, sf), "log")
+    d = log_start_policy(log, V.commits(spark, sf), "latest", by=("partition",))
     return d.select("seq", "partition", "offset")
 
 

@@ -7,19 +7,22 @@ checkpoint location, then read it back with the source under test.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockyard.functions import epoch_ms, nonblank_text_field
-from blockyard.operators.sequencing import chunk_of, last_spec, running_many, unpack_last
+from blockyard.operators.sequencing import chunk_of, last_spec, running_many
 from blockyard.plans import views as V
 from blockyard.plans.registry import query
 from blockyard.session import scratch_path
-from blockyard.sinks.publish import (fan_out, publish_complete, publish_manufacture,
+from blockyard.sinks.publish import (FanOut, publish_complete, publish_manufacture,
                                      publish_notifications)
 from blockyard.sources.robot import robot_command_source, robot_flow_source, write_robot_flows
 from blockyard.sources.sensor import sensor_csv_source, sensor_topic_source, write_sensor_csv
+from blockyard.streaming.runtime import read_log_stream, write_ordered_log
 
 
 def _fresh(spark, name: str) -> str:
@@ -74,7 +77,6 @@ def q_robot_flow(spark, sf):
     d = running_many(c, ["robot"], ["seq"],
                      [(F.when(absolute, F.lit(1)).otherwise(F.lit(0)).cast("long"), "n_abs", "sum"),
                       last_spec(F.col("seq"), F.col("suck"), "state")], chunk_of("seq", 1 << 20))
-    d = unpack_last(d, "state")
     rows = d.filter(absolute).select("robot", (F.col("n_abs") - 1).alias("row"), "x", "y", "z", "r",
                                      F.col("state").alias("suck"))
     path = _fresh(spark, "robot-flows")
@@ -145,23 +147,23 @@ def q_publish_complete(spark, sf):
 SELECT 'audit' AS sink, seq, topic FROM event_log UNION ALL SELECT 'dashboard', seq, topic FROM event_log""",
        ("event_log",))
 def q_fan_out(spark, sf):
-    batch = V.event_log(spark, sf, offsets=False).select("seq", "topic")
+    """The log streams to three sinks, one of which is closed and is dropped at its first batch."""
+    log, path = V.event_log(spark, sf, offsets=False).select("seq", "topic"), _fresh(spark, "fan-out-log")
+    write_ordered_log(log, path)
     base = _fresh(spark, "fan-out")
 
     def to(name):
-        return lambda df: df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return lambda df, i: df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={i}")
 
-    def broken(df):
+    def broken(df, i):
         raise RuntimeError("subscriber closed")
 
-    sinks = {"audit": to("audit"), "closed": broken, "dashboard": to("dashboard")}
-    status = fan_out(batch, sinks)
-    ok = [name for name, good, _ in status if good]
-    parts = [spark.read.parquet(f"{base}/{n}").select(F.lit(n).alias("sink"), "seq", "topic") for n in ok]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    body = FanOut(spark, {"audit": to("audit"), "closed": broken, "dashboard": to("dashboard")}, f"{base}/state")
+    read_log_stream(spark, path, log.schema, 2).writeStream.option("checkpointLocation", f"{base}/ckpt") \
+        .foreachBatch(body).trigger(availableNow=True).start().awaitTermination()
+    kept = [n for n in body.sinks if n not in body.dropped()]
+    out = [spark.read.parquet(f"{base}/{n}").select(F.lit(n).alias("sink"), "seq", "topic") for n in kept]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query("publish_notifications_factory", f"""

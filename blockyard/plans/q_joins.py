@@ -55,6 +55,16 @@ def q_assembly_timeout(spark, sf):
     return C.assembly_timeout(V.waiting(spark, sf), V.outcomes(spark, sf), ASSEMBLY_S)
 
 
+@query("duplicate_waiting", """
+SELECT order_id, correlation_id, count(*) AS n FROM event_log WHERE event_type = 'signup'
+GROUP BY order_id, correlation_id HAVING count(*) > 1""", ("event_log",))
+def q_duplicate_waiting(spark, sf):
+    """Keys under which more than one order waits (every start of an order, not only its first): correlating to them is
+    ambiguous."""
+    log = V.event_log(spark, sf, offsets=False)
+    return C.duplicate_waiting(log.filter(F.col("event_type") == "signup").select("order_id", "correlation_id"))
+
+
 @query("duplicate_reservations", """
 SELECT seq, order_id FROM requests
 WHERE item IS NOT NULL AND order_id IN (SELECT order_id FROM cells WHERE order_id IS NOT NULL

@@ -35,9 +35,25 @@ traj AS (
   FROM seg)"""
 
 
-@query("trajectory", TRAJ_SQL + "\nSELECT * FROM traj", ("commands",))
+def _last(kinds: str, field: str, first: str) -> str:
+    return f"""coalesce(last_value(CASE WHEN kind IN ({kinds}) THEN {field} END IGNORE NULLS)
+      OVER (PARTITION BY robot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {first})"""
+
+
+STATES_SQL = f"""
+, states AS (SELECT robot, seq,
+  {_last("'MovementSpeedCommand'", "speed", "50.0::DOUBLE")} AS speed,
+  {_last("'MovementSpeedCommand'", "acceleration", "100.0::DOUBLE")} AS acceleration,
+  {_last("'MoveConveyorCommand', 'RunConveyorCommand'", "speed", "0.0::DOUBLE")} AS conveyor_speed,
+  {_last("'MoveConveyorCommand'", "distance", "0.0::DOUBLE")} AS conveyor_distance,
+  {_last("'MoveConveyorCommand', 'RunConveyorCommand'", "direction", "NULL")} AS conveyor_direction
+FROM robot_commands)
+SELECT * FROM traj JOIN states USING (robot, seq)"""
+
+
+@query("trajectory", TRAJ_SQL.replace("FROM commands)", "FROM robot_commands)") + STATES_SQL, ("robot_commands",))
 def q_trajectory(spark, sf):
-    return M.trajectory(V.commands(spark, sf))
+    return M.trajectory(V.robot_commands(spark, sf))
 
 
 @query("final_position", TRAJ_SQL + """
@@ -66,10 +82,11 @@ RETRY_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppk
 , a AS (SELECT *, CAST(row_number() OVER (PARTITION BY order_key, activity
                         ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS attempt
         FROM attempts),
-b AS (SELECT *, min(attempt) FILTER (WHERE success) OVER (PARTITION BY order_key, activity) AS ok FROM a)
+b AS (SELECT *, min(attempt) FILTER (WHERE success OR NOT technical) OVER (PARTITION BY order_key, activity) AS ok FROM a)
 SELECT order_key, activity, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, attempt,
-       3 - attempt AS retries_left, success OR attempt = 3 AS final,
-       CASE WHEN success THEN 'success' WHEN attempt = 3 THEN 'error' ELSE 'retry' END AS outcome, success
+       3 - attempt AS retries_left, success OR NOT technical OR attempt = 3 AS final,
+       CASE WHEN success THEN 'success' WHEN NOT technical THEN 'refused' WHEN attempt = 3 THEN 'error' ELSE 'retry' END AS outcome,
+       success
 FROM b WHERE attempt <= least(coalesce(ok, 3), 3)""", ("attempts",))
 def q_retry(spark, sf):
-    return M.retry_attempts(V.attempts(spark, sf), ["order_key", "activity"], RETRY_ORDER, 3)
+    return M.retry_attempts(V.attempts(spark, sf), ["order_key", "activity"], RETRY_ORDER, 3, "technical")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockyard.session import discard, materialize
@@ -86,22 +86,50 @@ def write_messages(df: DataFrame, path: str | None = None, kafka_bootstrap: str
         out.write.mode("append").partitionBy("topic").parquet(path)
 
 
-def fan_out_batches(sinks: dict[str, Callable[[DataFrame], None]], on_status=None):
-    """``foreachBatch`` body for a stream: every micro-batch goes to all
-    remaining sinks; a sink that fails is dropped for later batches and
-    reported through ``on_status(batch_id, status)``."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        status = fan_out(batch, sinks, batch_id)
-        if on_status is not None:
-            on_status(batch_id, status)
-    return body
+class FanOut:
+    """``foreachBatch`` body: every micro-batch goes to all sinks (called with
+    the batch and its number); a sink that fails is dropped for good.
 
+    What was done is recorded under ``state``, in the shared folder: a file per
+    sink and batch that was written, and one per dropped sink. A restarted
+    stream reads them, so a replayed batch goes only to the sinks that do not
+    have it, and a dropped sink stays dropped. A sink that is interrupted
+    between its write and the record gets the batch again, under the same
+    number."""
 
-def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], batch_id: int | None = None
-            ) -> list[tuple[str, bool, str | None]]:
+    def __init__(self, spark: SparkSession, sinks: dict[str, Callable[[DataFrame, int], None]], state: str):
+        self.spark, self.sinks, self.state = spark, dict(sinks), state.rstrip("/")
+
+    def _file(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{path}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _known(self, path: str) -> bool:
+        fs, p = self._file(path)
+        return fs.exists(p)
+
+    def _record(self, path: str, text: str = "") -> None:
+        fs, p = self._file(path)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def dropped(self) -> list[str]:
+        return [n for n in self.sinks if self._known(f"dropped/{n}")]
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        gone = set(self.dropped())
+        open_ = {n: w for n, w in self.sinks.items() if n not in gone and not self._known(f"done/{n}/{batch_id}")}
+        numbered = {n: (lambda df, w=w: w(df, batch_id)) for n, w in open_.items()}
+        for name, good, error in fan_out(batch, numbered):
+            self._record(f"done/{name}/{batch_id}" if good else f"dropped/{name}", error or "")
+
+
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> list[tuple[str, bool, str | None]]:
     """Send one (micro-)batch to every sink; a failing sink is reported and
-    dropped, the rest still receive the batch. Use as the body of a
-    ``foreachBatch``. The batch is written once to the shared checkpoint
+    dropped, the rest still receive the batch. The batch is written once to the shared checkpoint
     folder for the several writes, and deleted after them."""
     status = []
     df = materialize(df, "fan-out")
