@@ -6,14 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockyard import constants as K
+from blockyard.operators.stock_log import stock_of
 from blockyard.plans import views as V
-from blockyard.plans.q_joins import MATCH_SQL, RACE_S
-from blockyard.plans.q_stock import ALLOC_SQL
+from blockyard.plans.q_broker import TICK_S, TICKS_SQL
+from blockyard.plans.q_joins import MATCH_SQL, RACE_S, TOLERANCE_S
+from blockyard.plans.q_stock import COLOUR_CODE, FREE_SQL
 from blockyard.plans.q_tracker import TRACKER_SQL
 from blockyard.plans.registry import query
-from blockyard.session import materialize
+from blockyard.session import materialize, table
+from blockyard.sources.topic_stream import read_topic_stream, write_topic_log
 from blockyard.streaming import operators as SO
-from blockyard.streaming.runtime import drain, fresh_path, read_log_stream, write_ordered_log
+from blockyard.streaming.race import late_rows, order_races, race_rows, rocks_state
+from blockyard.streaming.runtime import drain, drain_polls, fresh_path, read_log_stream, write_ordered_log
+from blockyard.streaming.stock import StockTable, reserve_stream
 
 #: Micro-batches that a fixture log is read in.
 BATCHES = 4
@@ -46,46 +51,45 @@ def q_dedup_stream(spark, sf):
     return out.select("partition", "offset", "seq")
 
 
-@query("commit_per_batch", """SELECT seq, partition, "offset" FROM event_log""", ("event_log",))
-def q_commit_per_batch(spark, sf):
-    out = drain(_log_stream(spark, sf), spark, "commit")
-    return out.select("seq", "partition", "offset")
+#: Records of a poll; the fixture log is one topic of four partitions.
+POLL_RECORDS = 2000
+PER_PARTITION = POLL_RECORDS // 4
 
 
-POLL_RECORDS = 2000
+def _polls(spark, sf):
+    log, path = V.event_log(spark, sf).withColumn("topic", F.lit("log")), fresh_path(spark, "topic-log")
+    write_topic_log(log, path)
+    return read_topic_stream(spark, path, ["log"], log.schema, "earliest", POLL_RECORDS)
+
+
+@query("commit_per_batch", f"""
+SELECT seq, partition, "offset", CAST(CASE WHEN "offset" // {PER_PARTITION} = 1 THEN 2 ELSE 1 END AS BIGINT) AS deliveries
+FROM event_log""", ("event_log",))
+def q_commit_per_batch(spark, sf):
+    """The stream fails after batch 1 is written and before it is committed: it is delivered again, and the result is
+    exact."""
+    rows, tries = drain_polls(_polls(spark, sf), spark, "commit", crash_in=1)
+    times = tries.groupBy("batch_id").agg(F.count(F.lit(1)).alias("deliveries"))
+    return rows.join(times, "batch_id").select("seq", "partition", "offset", "deliveries")
 
 
-@query("poll_size_limit")
+@query("poll_size_limit", f"""
+SELECT CAST("offset" // {PER_PARTITION} AS INTEGER) AS batch, count(*) AS rows FROM event_log GROUP BY 1""", ("event_log",))
 def q_poll_size_limit(spark, sf):
-    """Rows per micro-batch: files of at most POLL_RECORDS rows, one per
-    trigger, bound the records of a poll (rows check)."""
-    log, path = V.event_log(spark, sf), fresh_path(spark, "polls")
-    write_ordered_log(log, path, max_records=POLL_RECORDS)
-    out = drain(read_log_stream(spark, path, log.schema), spark, "poll",
-                transform=lambda b, i: b.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(i)))
-    return out.select("batch", "rows")
-
-
-TICK_S = 86400
-
-
-@query("lag_stream", f"""
-SELECT t.partition, epoch_ms(t.tick_ms) AS tick_start, t.end_in_tick,
-       CAST(coalesce(c.committed, -1) AS BIGINT) AS committed,
-       CASE WHEN coalesce(c.committed, -1) >= 0 THEN t.end_in_tick - c.committed END AS lag,
-       CAST(CASE WHEN s.log_start > c.committed AND c.committed >= 0 THEN s.log_start - c.committed ELSE 0 END AS BIGINT) AS lost
-FROM (SELECT partition, (epoch_us(ts) // 1000 // {TICK_S * 1000}) * {TICK_S * 1000} AS tick_ms,
-             max("offset") + 1 AS end_in_tick FROM event_log GROUP BY ALL) t
-LEFT JOIN commits c ON t.partition = c.partition
-LEFT JOIN log_start s ON t.partition = s.partition""", ("event_log", "commits", "log_start"))
+    """Rows per micro-batch of at most POLL_RECORDS records."""
+    rows, _ = drain_polls(_polls(spark, sf), spark, "poll",
+                          transform=lambda b, i: b.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(i)))
+    return rows.select("batch", "rows")
+
+
+@query("lag_stream", TICKS_SQL + """
+SELECT t.partition, t.tick_start, t.log_end, t.committed, t.lag,
+       CAST(CASE WHEN s.log_start > t.committed AND t.committed >= 0 THEN s.log_start - t.committed ELSE 0 END AS BIGINT) AS lost
+FROM t3 t LEFT JOIN log_start s ON t.partition = s.partition""", ("event_log", "commits", "log_start"))
 def q_lag_stream(spark, sf):
     by = ["partition"]  # the fixture log numbers offsets over all topics
-    commits = materialize(V.commits(spark, sf), "commits")
-    starts = materialize(V.log_start(spark, sf), "log-start")
-    out = drain(SO.lag_ticks_stream(_log_stream(spark, sf), TICK_S, by=by), spark, "lag", "update",
-                transform=lambda b, i: SO.lag_with_commits(b, commits, starts, by))
-    latest = F.max_by(F.struct("end_in_tick", "committed", "lag", "lost"), F.col("batch_id"))
-    return out.groupBy(*by, "tick_start").agg(latest.alias("l")).select(*by, "tick_start", "l.*")
+    ends = drain(SO.lag_ticks_stream(_log_stream(spark, sf), TICK_S, by=by), spark, "lag", "update")
+    return SO.lag_at_ticks(ends, V.commits(spark, sf), V.log_start(spark, sf), TICK_S, by)
 
 
 def _race_inputs(s):
@@ -99,83 +103,141 @@ def _race_inputs(s):
     return starts, outs
 
 
-@query("order_timeout_stream")
-def q_order_timeout_stream(spark, sf):
-    """Decided orders from the stream-stream race (rows check: orders whose
-    deadline is past the final watermark are still pending)."""
+def _races(spark, sf):
     starts, outs = _race_inputs(_log_stream(spark, sf))
-    joined = drain(SO.order_timeout_stream(starts, outs, RACE_S), spark, "race")
-    return SO.race_winners(joined, RACE_S)
+    with rocks_state(spark):
+        return drain(order_races(starts, outs, RACE_S, "1 hour"), spark, "race")
+
+
+# orders whose deadline the last watermark has passed (an hour behind the last event of either stream)
+DECIDED_SQL = MATCH_SQL.format(h=6) + f"""
+, decided AS (SELECT * FROM waiting WHERE (epoch_us(start_ts) + {RACE_S}000000) // 1000 <= (
+    SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM event_log WHERE event_type IN ('signup', 'purchase', 'error')))"""
 
 
-@query("late_outcomes", MATCH_SQL.format(h=6) + """
+@query("order_timeout_stream", DECIDED_SQL + """
+SELECT w.order_id, w.correlation_id, w.start_ts, coalesce(m.kind, 'timeout') AS winner, m.event_id,
+       coalesce(m.ts, w.start_ts + INTERVAL 6 HOUR) AS decided_ts
+FROM decided w LEFT JOIN matched m ON w.order_id = m.order_id AND w.correlation_id = m.correlation_id""",
+       ("event_log", "waiting", "outcomes"))
+def q_order_timeout_stream(spark, sf):
+    return race_rows(_races(spark, sf))
+
+
+@query("late_outcomes", DECIDED_SQL + """
 SELECT o.event_id, o.order_id, o.correlation_id
-FROM outcomes o JOIN waiting w ON o.order_id = w.order_id AND o.correlation_id = w.correlation_id
-WHERE o.ts >= w.start_ts AND o.event_id NOT IN (SELECT event_id FROM matched)""", ("waiting", "outcomes"))
+FROM outcomes o JOIN decided w ON o.order_id = w.order_id AND o.correlation_id = w.correlation_id
+WHERE o.ts >= w.start_ts AND o.event_id NOT IN (SELECT event_id FROM matched)""", ("event_log", "waiting", "outcomes"))
 def q_late_outcomes(spark, sf):
-    starts, outs = _race_inputs(_log_stream(spark, sf))
-    joined = drain(SO.late_outcomes_stream(starts, outs), spark, "late")
-    return SO.late_rows(joined, RACE_S)
-
-
-@query("reserve_stream", ALLOC_SQL + """
-SELECT seq, order_id, color, count,
-       CASE kind WHEN 'granted' THEN 200 ELSE 409 END AS status,
-       CASE kind WHEN 'granted' THEN NULL
-                 WHEN 'duplicate' THEN 'Order ''' || order_id || ''' already has reserved blocks'
-                 ELSE 'Not enough ' || color || ' blocks. Requested: ' || CAST(count AS VARCHAR) || ', available: '
-                      || CAST(avail AS VARCHAR) END AS message
-FROM kinds
-UNION ALL
-SELECT seq, order_id, color, count, 400,
-       'Unknown color: ' || color_raw || '. Valid colors: [''RED'', ''GREEN'', ''BLUE'', ''YELLOW'']'
-FROM rq WHERE color NOT IN ('RED', 'GREEN', 'BLUE', 'YELLOW')""", ("requests", "cells", "fetch_log"),
-       recursive=True)
+    return late_rows(_races(spark, sf))
+
+
+def _per_colour(table: str) -> str:
+    return "[" + ", ".join(f"count(*) FILTER (color = '{c}')" for c in K.ORDER_COLOURS) + f"] AS n FROM {table}"
+
+
+# one request at a time: `free` blocks per colour; `g` what granted orders hold (f: fetched); `gone` orders whose first
+# holdings were restored, `got` those whose first holdings were fetched
+MIXED_SQL = f"""
+, h AS (SELECT order_id, {_per_colour("cells")} WHERE order_id IS NOT NULL GROUP BY order_id),
+l AS (SELECT order_id, {_per_colour("fetch_log")} GROUP BY order_id),
+steps AS (SELECT row_number() OVER (ORDER BY seq) AS k, s.seq, s.kind, s.order_id, s.count, s.color_raw, CAST(s.order_id AS BIGINT) AS o,
+                 {COLOUR_CODE} AS c, coalesce(h.n, [0, 0, 0, 0]) AS h0, coalesce(l.n, [0, 0, 0, 0]) AS l0
+          FROM stock_log s LEFT JOIN h ON s.order_id = h.order_id LEFT JOIN l ON s.order_id = l.order_id),
+sim(k, n, ok, dup, avail, free, g, gone, got) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, false, CAST(0 AS BIGINT), {FREE_SQL},
+         CAST([] AS STRUCT(o BIGINT, c INTEGER, n BIGINT, f BOOLEAN)[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT k, CAST(n AS BIGINT), ok, dup, CASE WHEN c > 0 THEN free[c] END,
+    CASE WHEN ok AND kind = 'reserve' THEN list_transform(free, lambda x, i: CASE WHEN i = c THEN x - count ELSE x END)
+         WHEN ok AND kind = 'restore' THEN list_transform(free, lambda x, i: x + (CASE WHEN init THEN h0[i] + l0[i] ELSE 0 END)
+              + CAST(coalesce(list_sum(list_transform(mine, lambda y: CASE WHEN y.c = i THEN y.n ELSE 0 END)), 0) AS BIGINT))
+         ELSE free END,
+    CASE WHEN ok AND kind = 'reserve' THEN list_append(g, {{'o': o, 'c': c, 'n': CAST(count AS BIGINT), 'f': false}})
+         WHEN ok AND kind = 'fetch' THEN list_transform(g, lambda y: {{'o': y.o, 'c': y.c, 'n': y.n, 'f': y.f OR y.o = o}})
+         WHEN ok AND kind = 'restore' THEN list_filter(g, lambda y: y.o <> o) ELSE g END,
+    CASE WHEN ok AND kind = 'restore' THEN list_append(gone, o) ELSE gone END,
+    CASE WHEN ok AND kind = 'fetch' THEN list_append(got, o) ELSE got END
+  FROM (
+    SELECT *, coalesce(CASE kind WHEN 'reserve' THEN c > 0 AND NOT dup AND count <= free[c] ELSE n > 0 END, false) AS ok
+    FROM (
+      SELECT *, len(mine) > 0 OR (init AND list_sum(h0) + list_sum(l0) > 0) AS dup,
+        CASE kind WHEN 'fetch' THEN (CASE WHEN init AND NOT list_contains(got, o) THEN list_sum(h0) ELSE 0 END)
+                    + coalesce(list_sum(list_transform(mine, lambda y: CASE WHEN y.f THEN 0 ELSE y.n END)), 0)
+                  WHEN 'restore' THEN (CASE WHEN init THEN list_sum(h0) + list_sum(l0) ELSE 0 END)
+                    + coalesce(list_sum(list_transform(mine, lambda y: y.n)), 0)
+                  ELSE count END AS n
+      FROM (SELECT e.*, s.free, s.g, s.gone, s.got, NOT list_contains(s.gone, e.o) AS init,
+                   list_filter(s.g, lambda y: y.o = e.o) AS mine
+            FROM sim s JOIN steps e ON e.k = s.k + 1))))
+SELECT e.seq, e.kind, e.order_id, CASE WHEN kind = 'reserve' THEN upper(color_raw) END AS color, s.n AS count,
+  CASE WHEN kind = 'reserve' THEN CASE WHEN count IS NULL THEN 422 WHEN c = 0 THEN 400 WHEN ok THEN 200 ELSE 409 END
+       WHEN ok THEN 200 ELSE 404 END AS status,
+  CASE WHEN kind = 'reserve' THEN CASE
+         WHEN count IS NULL THEN 'Input should be a valid integer'
+         WHEN c = 0 THEN 'Unknown color: ' || color_raw || '. Valid colors: [''RED'', ''GREEN'', ''BLUE'', ''YELLOW'']'
+         WHEN ok THEN NULL
+         WHEN dup THEN 'Order ''' || e.order_id || ''' already has reserved blocks'
+         ELSE 'Not enough ' || upper(color_raw) || ' blocks. Requested: ' || CAST(count AS VARCHAR) || ', available: '
+              || CAST(avail AS VARCHAR) END
+       WHEN kind = 'fetch' THEN CASE WHEN NOT ok THEN 'No reserved blocks found for order ''' || e.order_id || '''' END
+       WHEN ok THEN 'Restored ' || CAST(s.n AS VARCHAR) || ' block(s) for order ''' || e.order_id || ''''
+       ELSE 'No blocks found for order ''' || e.order_id || '''' END AS message
+FROM steps e JOIN sim s ON e.k = s.k"""
+
+
+@query("reserve_stream", MIXED_SQL, ("requests", "cells", "fetch_log", "stock_log"), recursive=True)
 def q_reserve_stream(spark, sf):
-    cells, flog = V.cells(spark, sf), V.fetch_log(spark, sf)
-    cols = ["kind", "seq", "order_id", "color", "color_raw", "count", "x", "y"]
-    free = cells.filter(F.col("filled") & ~F.col("reserved")).select(
-        F.lit("cell").alias("kind"), (F.lit(-(1 << 40)) + F.col("x") * 4 + F.col("y")).alias("seq"),
-        F.lit(None).cast("string").alias("order_id"), "color", F.lit(None).cast("string").alias("color_raw"),
-        F.lit(None).cast("int").alias("count"), "x", "y")
-    holders = (cells.filter(F.col("order_id").isNotNull()).select("order_id")
-               .unionByName(flog.select("order_id")).distinct()
-               .select(F.lit("holder").alias("kind"), F.lit(-(1 << 41)).cast("long").alias("seq"), "order_id",
-                       F.explode(F.array(*[F.lit(c) for c in K.ORDER_COLOURS])).alias("color"),
-                       F.lit(None).cast("string").alias("color_raw"), F.lit(None).cast("int").alias("count"),
-                       F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y")))
-    def placed(df, kind):
-        return df.select(F.lit(kind).alias("kind"), (F.lit(-(1 << 40)) + F.col("x") * 4 + F.col("y")).alias("seq"),
-                         "order_id", "color", F.lit(None).cast("string").alias("color_raw"),
-                         F.lit(None).cast("int").alias("count"), "x", "y")
-
-    held = placed(cells.filter(F.col("filled") & F.col("order_id").isNotNull()), "held")
-    logged = placed(flog, "logged")
-    reqs = V.requests(spark, sf).filter(F.col("count").isNotNull()).select(
-        F.lit("reserve").alias("kind"), "seq", "order_id", F.upper("color_raw").alias("color"), "color_raw",
-        F.col("count").cast("int").alias("count"), F.lit(None).cast("long").alias("x"),
-        F.lit(None).cast("long").alias("y"))
-    path = fresh_path(spark, "stock-log")
-    init = free.unionByName(held).unionByName(logged).unionByName(holders).select(*cols)
-    write_ordered_log(init, path, "seq", 1)
-    write_ordered_log(reqs.select(*cols), path)
-    s = read_log_stream(spark, path, init.schema, _files_per_batch(spark))
-    out = drain(SO.reserve_stream(s), spark, "reserve")
-    return out.select("seq", "order_id", "color", "count", "status", "message")
-
-
-@query("sensor_gate_stream", """
+    log, path = V.stock_log(spark, sf), fresh_path(spark, "stock-log")
+    write_ordered_log(log, path)
+    table = StockTable(spark, fresh_path(spark, "stock")).load(stock_of(V.cells(spark, sf), V.fetch_log(spark, sf)))
+    replies = fresh_path(spark, "replies")
+    stream = read_log_stream(spark, path, log.schema, _files_per_batch(spark))
+    reserve_stream(stream, table, replies, fresh_path(spark, "stock-ckpt")).awaitTermination()
+    return spark.read.parquet(replies).select("seq", "kind", "order_id", "color", "count", "status", "message")
+
+
+@query("colour_gate_stream", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, expected, measured FROM (
   SELECT *, CASE WHEN r8 > g8 AND g8 > b8 THEN 'YELLOW' WHEN r8 > g8 AND r8 > b8 THEN 'RED'
                  WHEN g8 > r8 AND g8 > b8 THEN 'GREEN' WHEN b8 > r8 AND b8 > g8 THEN 'BLUE'
                  ELSE 'UNKNOWN' END AS measured FROM colour_readings)
 WHERE measured <> expected""", ("colour_readings",))
-def q_sensor_gate_stream(spark, sf):
+def q_colour_gate_stream(spark, sf):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     c = V.colour_readings(spark, sf)
     s = _stream_of(spark, c.select(*keys, "r8", "g8", "b8"), "colour", "l_orderkey")
     # a lookup table: one row per key (the fixture repeats one L4 key at the
     # smallest scale; its expected colour is the same)
     expected = materialize(c.select(*keys, "expected").distinct(), "expected")
-    out = drain(SO.sensor_gate_stream(s, expected, keys), spark, "gate")
+    out = drain(SO.colour_gate_stream(s, expected, keys), spark, "gate")
     return out.select(*keys, "expected", "measured")
+
+
+# probes of the last day may be undecided yet
+GATE_SQL = f"""
+, p AS (SELECT id, sensor, t, id * 31 % 256 AS r8, id * 97 % 256 AS g8, id * 13 % 256 AS b8,
+               ['RED', 'GREEN', 'BLUE', 'YELLOW'][id % 4 + 1] AS expected FROM probes),
+rd AS (SELECT id AS reading_id, sensor, ts AS reading_ts,
+              TRY_CAST(json_extract_string(payload, '$.distance') AS DOUBLE) AS distance FROM readings),
+j AS (SELECT p.*, r.reading_id, r.reading_ts, r.distance,
+             coalesce(r.reading_ts <= p.t + INTERVAL {TOLERANCE_S} SECOND, false) AS ok
+      FROM p ASOF LEFT JOIN rd r ON p.sensor = r.sensor AND r.reading_ts > p.t)
+SELECT id, sensor, t, CASE WHEN ok THEN reading_id END AS reading_id, CASE WHEN ok THEN distance END AS distance,
+  CASE WHEN NOT ok THEN 'timeout' WHEN coalesce(distance > 25, true) THEN 'no_block'
+       WHEN (CASE WHEN r8 > g8 AND g8 > b8 THEN 'YELLOW' WHEN r8 > g8 AND r8 > b8 THEN 'RED'
+                  WHEN g8 > r8 AND g8 > b8 THEN 'GREEN' WHEN b8 > r8 AND b8 > g8 THEN 'BLUE' ELSE 'UNKNOWN' END) <> expected
+         THEN 'wrong_colour' ELSE 'ok' END AS gate
+FROM j WHERE t < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+
+
+@query("sensor_gate_stream", GATE_SQL, ("probes", "readings"))
+def q_sensor_gate_stream(spark, sf):
+    k = F.col("id")
+    probes = V.probes(spark, sf).select(
+        "id", "sensor", "t", (k * 31 % 256).alias("r8"), (k * 97 % 256).alias("g8"), (k * 13 % 256).alias("b8"),
+        F.element_at(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), (k % 4 + 1).cast("int")).alias("expected"))
+    out = drain(SO.sensor_gate_stream(_stream_of(spark, probes, "probes", "id"), _stream_of(spark, V.readings(spark, sf), "readings", "id"),
+                                      TOLERANCE_S), spark, "gate")
+    last = table(spark, sf, "events").agg(F.max("ts")).scalar()
+    return out.filter(F.col("t") < last - F.expr("INTERVAL 1 DAY")).select("id", "sensor", "t", "reading_id", "distance", "gate")

@@ -1,24 +1,21 @@
 """Streaming forms of the operators (Structured Streaming).
 
-Everything but ``reserve_stream`` is built-in aggregations, joins and
-deduplication, whose state Spark keeps in the checkpointed state store (per
-key, so it spreads over executors and survives restarts). ``reserve_stream``
-is a small Python fold in ``applyInPandasWithState``.
+Built-in aggregations, joins and deduplication, whose state Spark keeps in the
+checkpointed state store (per key, so it spreads over executors and survives
+restarts). Stock requests are in :mod:`stock`, races with a timer in
+:mod:`race`.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockyard import constants as K
 from blockyard.functions import rgb_classify
-from blockyard.operators.broker import PARTITION
+from blockyard.operators.broker import PARTITION, every_tick
 from blockyard.operators.tracker import dashboard_events, order_tracker
 
 # --- tracker_stream ----------------------------------------------------------
@@ -60,167 +57,48 @@ def lag_ticks_stream(log: DataFrame, tick_s: int, delay: str = "1 day", by: Sequ
             .agg((F.max("offset") + 1).alias("end_in_tick")))
 
 
-def lag_with_commits(batch: DataFrame, commits: DataFrame, log_start: DataFrame, by: Sequence[str] = PARTITION) -> DataFrame:
-    """``foreachBatch`` step: join the tick ends to the committed offsets and
-    the log start (one row per partition each). ``lost`` counts the offsets
-    that retention removed before the consumer committed them."""
-    by = list(by)
-    c = F.coalesce(F.col("committed"), F.lit(-1)).cast("long")
-    known = commits.select(*by, "committed").join(log_start.select(*by, "log_start"), by, "full")
-    return (batch.join(known, by, "left")
-            .select(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "end_in_tick",
-                    c.alias("committed"), F.when(c >= 0, F.col("end_in_tick") - c).alias("lag"),
-                    F.when((F.col("log_start") > c) & (c >= 0), F.col("log_start") - c).otherwise(F.lit(0)).cast("long")
-                    .alias("lost")))
+def lag_at_ticks(ends: DataFrame, commits: DataFrame, log_start: DataFrame, tick_s: int, by: Sequence[str] = PARTITION) -> DataFrame:
+    """The report of a drained lag stream: every partition at every tick, with
+    the offsets ``lost`` to retention before the consumer committed them.
+    ``ends``: the stream's updates, ``w``, ``end_in_tick`` and ``batch_id``."""
+    by, c = list(by), F.col("committed")
+    last = ends.groupBy(*by, F.col("w.start").cast("timestamp_ntz").alias("tick_start")).agg(F.max("end_in_tick").alias("end_in_tick"))
+    d = every_tick(last, commits, tick_s, by).drop("tick_no").join(log_start.select(*by, "log_start"), by, "left")
+    return d.withColumn("lost", F.when((F.col("log_start") > c) & (c >= 0), F.col("log_start") - c).otherwise(F.lit(0)).cast("long")) \
+        .drop("log_start")
 
 
-def sensor_gate_stream(readings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+def colour_gate_stream(readings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Colour check on live readings: classify each reading (stateless) and
     join to the static expected-colour table; keep mismatches."""
     m = readings.withColumn("measured", rgb_classify("r8", "g8", "b8"))
     return m.join(expected, keys, "inner").filter(F.col("measured") != F.col("expected"))
 
 
-def distance_gate_stream(readings: DataFrame, limit: float = K.PICKUP_DISTANCE_LIMIT) -> DataFrame:
-    """Pickup check on live distance messages (stateless)."""
-    d = readings.withColumn("distance", F.get_json_object("payload", "$.distance").try_cast("double"))
-    return d.filter(F.col("distance") > limit)
-
-
-# --- order_timeout_stream / late_outcomes -------------------------------------
-
-def order_timeout_stream(starts: DataFrame, outcomes: DataFrame, timeout_s: int, delay: str = "1 day") -> DataFrame:
-    """Race with a timer: stream-stream left outer interval join. An order
-    with no outcome in ``[start, start + timeout)`` is emitted with a null
-    right side once the watermark passes its deadline (never on processing
-    time)."""
-    w = (with_event_time(starts, "start_ts", "start_time").withWatermark("start_time", delay)
-         .dropDuplicatesWithinWatermark(["order_id", "correlation_id"]).alias("w"))
-    o = with_event_time(outcomes, "ts", "out_time").withWatermark("out_time", delay).alias("o")
-    cond = F.expr(f"""w.order_id = o.order_id AND w.correlation_id = o.correlation_id
-                      AND o.out_time >= w.start_time AND o.out_time < w.start_time + INTERVAL {timeout_s} SECONDS""")
-    j = w.join(o, cond, "leftOuter")
-    return j.select(F.col("w.order_id").alias("order_id"), F.col("w.correlation_id").alias("correlation_id"),
-                    F.col("w.start_ts").alias("start_ts"), F.col("o.event_id").alias("event_id"),
-                    F.col("o.kind").alias("kind"), F.col("o.ts").alias("ts"))
-
-
-def race_winners(joined: DataFrame, timeout_s: int) -> DataFrame:
-    """Earliest outcome per order from the drained join, else timeout."""
-    first = F.min_by(F.struct("event_id", "kind", "ts"), F.col("ts"))
-    g = joined.groupBy("order_id", "correlation_id", "start_ts").agg(first.alias("o"))
-    return g.select("order_id", "correlation_id", "start_ts",
-                    F.coalesce(F.col("o.kind"), F.lit("timeout")).alias("winner"),
-                    F.col("o.event_id").alias("event_id"),
-                    F.coalesce(F.col("o.ts"), F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_ts")))
-                    .alias("decided_ts"))
-
-
-def late_outcomes_stream(starts: DataFrame, outcomes: DataFrame, delay: str = "1 day",
-                         horizon_s: int | None = None) -> DataFrame:
-    """Outcomes of orders that started before them: stream-stream inner join
-    (append mode), so orders that begin while the stream runs count too.
-    ``late_rows`` decides which of them came too late. Waiting orders stay in
-    the state store for ``horizon_s`` seconds of event time, past which their
-    outcomes are no longer reported; without it they stay for good."""
-    w = with_event_time(starts, "start_ts", "start_time").withWatermark("start_time", delay).alias("w")
-    o = with_event_time(outcomes, "ts", "out_time").withWatermark("out_time", delay).alias("o")
-    cond = "w.order_id = o.order_id AND w.correlation_id = o.correlation_id AND o.out_time >= w.start_time"
-    if horizon_s is not None:
-        cond += f" AND o.out_time < w.start_time + INTERVAL {horizon_s} SECONDS"
-    return w.join(o, F.expr(cond), "inner").select(*[F.col(f"w.{c}").alias(c) for c in ("order_id", "correlation_id", "start_ts")],
-                                                   F.col("o.event_id").alias("event_id"), F.col("o.ts").alias("ts"))
-
-
-def late_rows(joined: DataFrame, timeout_s: int) -> DataFrame:
-    """Late outcomes from the drained join: an order stops waiting at its
-    first outcome within ``timeout_s`` of its first start, or then; every
-    other outcome is late (dropped by the process, counted here)."""
-    key = ["order_id", "correlation_id"]
-    e = joined.groupBy(*key, "event_id").agg(F.min("start_ts").alias("start_ts"), F.min("ts").alias("ts"))
-    in_time = F.col("ts") < F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_ts"))
-    matched = e.filter(in_time).groupBy(*key).agg(F.min(F.struct("ts", "event_id")).getField("event_id").alias("_matched"))
-    return (e.join(matched, key, "left").filter(F.col("_matched").isNull() | (F.col("event_id") != F.col("_matched")))
-            .select("event_id", *key))
-
-
-# --- reserve_stream -------------------------------------------------------------
-
-RESERVE_OUT = "seq long, order_id string, color string, count int, status int, message string"
-RESERVE_STATE = "free string, held string, fetched string, holders string"
-VALID_COLOURS_TEXT = "['RED', 'GREEN', 'BLUE', 'YELLOW']"
-
-
-def _reserve_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stock of one colour as state: free cells (row-major), cells held per
-    order, cells fetched per order (the fetch log), and the orders that hold
-    or logged blocks anywhere (for the duplicate check)."""
-    colour = key[0]
-    if state.exists:
-        free_s, held_s, fetched_s, holders_s = state.get
-        free = [tuple(c) for c in json.loads(free_s)]
-        held = {o: [tuple(c) for c in cs] for o, cs in json.loads(held_s).items()}
-        fetched = {o: [tuple(c) for c in cs] for o, cs in json.loads(fetched_s).items()}
-        holders = set(json.loads(holders_s))
-    else:
-        free, held, fetched, holders = [], {}, {}, set()
-    rows = pd.concat(list(pdfs)).sort_values("seq")
-    out = []
-    for r in rows.itertuples(index=False):
-        kind, oid = r.kind, r.order_id
-        if kind == "cell":                  # initial free cell
-            free.append((int(r.x), int(r.y)))
-        elif kind == "held":                # initial cell held by an order
-            held.setdefault(oid, []).append((int(r.x), int(r.y)))
-        elif kind == "logged":              # initial fetch-log entry
-            fetched.setdefault(oid, []).append((int(r.x), int(r.y)))
-        elif kind == "holder":              # order holding blocks of any colour
-            holders.add(oid)
-        elif kind == "reserve":
-            cnt = int(r.count)
-            if colour not in K.ORDER_COLOURS:
-                out.append((int(r.seq), oid, colour, cnt, 400,
-                            f"Unknown color: {r.color_raw}. Valid colors: {VALID_COLOURS_TEXT}"))
-            elif oid in holders or oid in held or oid in fetched:
-                out.append((int(r.seq), oid, colour, cnt, 409, f"Order '{oid}' already has reserved blocks"))
-            else:
-                free.sort()
-                if len(free) < cnt:
-                    out.append((int(r.seq), oid, colour, cnt, 409,
-                                f"Not enough {colour} blocks. Requested: {cnt}, available: {len(free)}"))
-                else:
-                    held[oid], free = free[:cnt], free[cnt:]
-                    holders.add(oid)
-                    out.append((int(r.seq), oid, colour, cnt, 200, None))
-        elif kind == "fetch":               # this colour's part of the answer
-            cells = held.pop(oid, [])
-            if cells:
-                fetched.setdefault(oid, []).extend(cells)
-            out.append((int(r.seq), oid, colour, len(cells), 200 if cells else 404, None))
-        elif kind == "restore":
-            cells = held.pop(oid, []) + fetched.pop(oid, [])
-            free.extend(cells)
-            holders.discard(oid)
-            out.append((int(r.seq), oid, colour, len(cells), 200 if cells else 404, None))
-    free.sort()
-    state.update((json.dumps(free), json.dumps(held), json.dumps(fetched), json.dumps(sorted(holders))))
-    yield pd.DataFrame(out, columns=["seq", "order_id", "color", "count", "status", "message"])
-
-
-def reserve_stream(messages: DataFrame) -> DataFrame:
-    """Stock kept as state per colour key. Messages ``kind, seq, order_id,
-    color, color_raw, count, x, y``:
-
-    * ``cell`` / ``held`` / ``logged`` load the initial grid, the cells held
-      per order and the fetch log; ``holder`` marks an order that holds
-      blocks (sent to every colour key: the duplicate check covers the
-      whole grid);
-    * ``reserve`` is decided all-or-nothing in ``seq`` order;
-    * ``fetch`` / ``restore`` (sent to every colour key) answer with this
-      colour's part - one row per key with the number of cells moved; the
-      order's answer is 404 only when no key had cells.
-
-    State per key is bounded by the physical grid of that colour; within a
-    micro-batch a key's messages are decided in one task, in order."""
-    return messages.groupBy("color").applyInPandasWithState(
-        _reserve_fold, RESERVE_OUT, RESERVE_STATE, "append", GroupStateTimeout.NoTimeout)
+def sensor_gate_stream(probes: DataFrame, readings: DataFrame, tolerance_s: int = K.SENSOR_WAIT_SECONDS,
+                       limit: float = K.PICKUP_DISTANCE_LIMIT, delay: str = "1 hour") -> DataFrame:
+    """What the gate decides for each probe ``(id, sensor, t, r8, g8, b8,
+    expected)`` on live distance messages ``(id, sensor, ts, payload)``, once
+    per probe: ``timeout`` if its sensor sends nothing within ``tolerance_s``
+    after it, else from the next message ``no_block`` (farther than ``limit``,
+    or no number) or, by the colour channels, ``wrong_colour`` or ``ok``.
+
+    A forward as-of join in built-in operators: an outer interval join keeps
+    the messages of the tolerance only, and an aggregation per probe takes the
+    first. Both hold state for the tolerance and the delay, and emit when the
+    watermark passes, so messages may come in any order within the delay."""
+    p = with_event_time(probes, "t", "probe_time").withWatermark("probe_time", delay).alias("p")
+    r = with_event_time(readings, "ts", "read_time").withColumn("distance", F.get_json_object("payload", "$.distance").try_cast("double")) \
+        .withWatermark("read_time", delay).alias("r")
+    j = p.join(r, F.expr(f"""p.sensor = r.sensor AND r.read_time > p.probe_time
+                             AND r.read_time <= p.probe_time + INTERVAL {tolerance_s} SECONDS"""), "leftOuter")
+    channels = ["r8", "g8", "b8", "expected"]
+    d = j.select(F.col("p.id").alias("id"), F.col("p.sensor").alias("sensor"), "probe_time", *[F.col(f"p.{c}").alias(c) for c in channels],
+                 F.col("r.id").alias("reading"), "read_time", "distance")
+    g = d.groupBy("probe_time", "id", "sensor", *channels).agg(
+        F.min_by("reading", "read_time").alias("reading_id"), F.min_by("distance", "read_time").alias("distance"))
+    measured = rgb_classify("r8", "g8", "b8")
+    gate = (F.when(F.col("reading_id").isNull(), "timeout")
+            .when(F.coalesce(F.col("distance") > limit, F.lit(True)), "no_block")
+            .when(measured != F.col("expected"), "wrong_colour").otherwise("ok"))
+    return g.select("id", "sensor", F.col("probe_time").cast("timestamp_ntz").alias("t"), "reading_id", "distance", gate.alias("gate"))

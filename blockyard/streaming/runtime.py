@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,38 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, output_mode: str =
     if transform is not None:
         raise RuntimeError(f"stream {name} had no batch, so its transformed columns are unknown")
     return spark.createDataFrame([], stream.schema.add("batch_id", "int"))
+
+
+def drain_polls(stream: DataFrame, spark: SparkSession, name: str,
+                transform: Callable[[DataFrame, int], DataFrame] | None = None, crash_in: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run ``stream`` poll by poll until nothing is left (micro-batches of the
+    default trigger; ``availableNow`` would take one poll only). Returns what
+    the batches wrote (with ``batch_id``) and one row per delivery of a batch.
+
+    ``crash_in``: the query fails once in that batch, after its output is
+    written and before it is committed, and is started again."""
+    out, ckpt, tries = (fresh_path(spark, f"{name}-{n}") for n in ("out", "ckpt", "tries"))
+    sink, crashed = per_batch_sink(out, transform), []
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(tries)
+        if batch_id == crash_in and not crashed:
+            crashed.append(batch_id)
+            raise RuntimeError("stopped before the commit")
+
+    while True:
+        q = stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(body).start()
+        try:
+            q.processAllAvailable()
+            break
+        except StreamingQueryException:
+            if not crashed or crashed[-1] is None:
+                raise
+            crashed.append(None)  # once
+        finally:
+            q.stop()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tries)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], stream.schema.add("batch_id", "int")), spark.createDataFrame([], "batch_id int")
+    return spark.read.parquet(out), spark.read.parquet(tries)

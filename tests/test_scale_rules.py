@@ -37,7 +37,7 @@ def test_ten_column_grid(spark):
     assert [r["pos"] for r in got] == list(range(1, 301))
 
 
-def test_second_colour_is_turned_down(spark):
+def test_second_colour_after_a_refusal(spark):
     cells = spark.createDataFrame([(0, 0, "BLUE", True, False, None), (0, 1, "RED", True, False, None)],
                                   "x long, y long, color string, filled boolean, reserved boolean, order_id string")
     log = spark.createDataFrame([], "order_id string, x long, y long, color string")
@@ -45,8 +45,8 @@ def test_second_colour_is_turned_down(spark):
                                  "seq long, order_id string, count int, color_raw string")
     got = {r["seq"]: (r["status"], r["message"]) for r in S.reserve_results(reqs, cells, log).collect()}
     assert got[1][0] == 409 and "Not enough" in got[1][1]
-    assert got[2] == (409, "Order 'o' already asked for another color") and got[4][0] == 409
-    assert got[3][0] == 200
+    assert got[2] == (200, None)  # the service has no rule on colours
+    assert got[3] == (409, "Not enough BLUE blocks. Requested: 1, available: 0") and got[4][0] == 200
 
 
 def test_flow_file_with_line_breaks(spark, tmp_path):
@@ -114,10 +114,58 @@ def test_trajectory_rounds_within_a_segment(spark):
     assert motion.final_position(log).first().px == pytest.approx(2000.0)
 
 
+def test_trajectory_states(spark):
+    rows = [(1, "MovementSpeedCommand", None, 20.0, 5.0, None, None), (2, "RunConveyorCommand", None, 3.0, None, None, "FORWARD"),
+            (3, "MoveConveyorCommand", None, 4.0, None, 7.0, "BACKWARD"), (4, "MovementSpeedCommand", None, 30.0, None, None, None),
+            (5, "MovementCommand", 1.0, None, None, None, None), (6, "RunConveyorCommand", None, 0.0, None, None, "STOP")]
+    df = spark.createDataFrame(rows, "seq long, kind string, x double, speed double, acceleration double, distance double, direction string") \
+        .select(F.lit(1).alias("robot"), "*", *[F.lit(None).cast("double").alias(a) for a in "yzr"])
+    got = motion.trajectory(df, chunk_width=2).orderBy("seq").collect()
+    assert [(r.speed, r.acceleration, r.conveyor_speed, r.conveyor_distance, r.conveyor_direction, r.px, r.suction) for r in got] == [
+        (20.0, 5.0, 0.0, 0.0, None, 0.0, False), (20.0, 5.0, 3.0, 0.0, "FORWARD", 0.0, False), (20.0, 5.0, 4.0, 7.0, "BACKWARD", 0.0, False),
+        (30.0, 5.0, 4.0, 7.0, "BACKWARD", 0.0, False), (30.0, 5.0, 4.0, 7.0, "BACKWARD", 1.0, False), (30.0, 5.0, 0.0, 7.0, "STOP", 1.0, False)]
+    first = motion.trajectory(df.select("robot", "seq", "kind", *"xyzr").filter("seq = 5"), chunk_width=2).first()
+    assert (first.speed, first.acceleration, first.conveyor_speed) == (50.0, 100.0, 0.0)
+
+
+def test_latency_summary_counts(spark):
+    import math
+    import random
+    rng = random.Random(2)
+    rows = [(t, rng.choice([-5, 0, 3, 10**7, int(rng.lognormvariate(8, 3))])) for t in "aab" for _ in range(700)] + [("c", None), ("d", 9)]
+    df = spark.createDataFrame(rows, "topic string, latency long")
+    exact = {r["topic"]: r for r in B.latency_summary(df).collect()}
+    near = {r["topic"]: r for r in B.latency_summary(df, approx=True).collect()}
+    assert set(exact) == set(near) == {"a", "b", "d"}
+    for t, r in exact.items():
+        v = sorted(x for s, x in rows if s == t)
+        want = [v[max(1, math.ceil(p * len(v))) - 1] for p in (0.5, 0.95, 0.99)]
+        assert [r["n"], r["min"], r["p50"], r["p95"], r["p99"], r["max"]] == [len(v), v[0], *want, v[-1]]
+        assert r["avg"] == pytest.approx(sum(v) / len(v)) and near[t]["n"] == len(v)
+        assert abs(v.index(near[t]["p50"]) - len(v) / 2) < 0.35 * len(v) + 1
+    plan = B.latency_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_idle_partitions_have_a_lag_at_every_tick(spark):
+    log = spark.sql("SELECT p AS partition, o AS offset, timestamp_seconds(t * 10) AS ts FROM VALUES (0, 0L, 1), (0, 1L, 1), (0, 2L, 4), (1, 0L, 2) v(p, o, t)")
+    commits = spark.sql("SELECT p AS partition, c AS committed FROM VALUES (0, 1L), (2, 0L) v(p, c)")
+    got = {(r.partition, r.tick_start.second): (r.log_end, r.lag, r.growth) for r in B.lag_growth(log, commits, 10, ["partition"]).collect()}
+    assert got == {(0, 10): (2, 1, None), (0, 20): (2, 1, 0), (0, 30): (2, 1, 0), (0, 40): (3, 2, 1),
+                   (1, 10): (0, None, None), (1, 20): (1, None, None), (1, 30): (1, None, None), (1, 40): (1, None, None),
+                   (2, 10): (0, 0, None), (2, 20): (0, 0, 0), (2, 30): (0, 0, 0), (2, 40): (0, 0, 0)}
+    assert B.lag_growth(log.filter("false"), commits, 10, ["partition"]).count() == 0
+
+
 def test_retry_attempts_shuffles_once(spark):
     rows = [(1, i, i == 1) for i in range(5)] + [(2, i, False) for i in range(5)]
     d = motion.retry_attempts(spark.createDataFrame(rows, "k int, t int, success boolean"), ["k"], ["t"])
     assert sorted((r.k, r.attempt, r.outcome) for r in d.collect()) == [
         (1, 1, "retry"), (1, 2, "success"), (2, 1, "retry"), (2, 2, "retry"), (2, 3, "error")]
+    kinds = spark.createDataFrame([(1, 1, False, True), (1, 2, False, False), (1, 3, True, None), (2, 1, False, None), (2, 2, True, None)],
+                                  "k int, t int, success boolean, technical boolean")
+    got = motion.retry_attempts(kinds, ["k"], ["t"], technical="technical").collect()
+    assert sorted((r.k, r.attempt, r.final, r.outcome) for r in got) == [
+        (1, 1, False, "retry"), (1, 2, True, "refused"), (2, 1, False, "retry"), (2, 2, True, "success")]
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1

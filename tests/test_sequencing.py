@@ -4,7 +4,7 @@ many chunks (tiny widths) and one key holds most rows."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from blockyard.operators.sequencing import chunk_of, last_value, row_number, running, running_many
+from blockyard.operators.sequencing import chunk_of, row_number, running, running_many
 
 
 def _data(spark):
@@ -23,7 +23,7 @@ def test_running_matches_window(spark):
     a = running(a, ["k"], ["o"], F.col("v"), "cs", "sum", ch)
     a = running(a, ["k"], ["o"], F.col("v"), "ex", "sum", ch, inclusive=False)
     a = running_many(a, ["k"], ["o"], [(F.col("v"), "mx", "max"), (F.col("v"), "mn", "min", False)], ch)
-    a = last_value(a, ["k"], ["o"], F.col("o"), F.col("v"), "lv", ch)
+    a = running_many(a, ["k"], ["o"], [(F.col("v"), "lv", "last")], ch)
     w = Window.partitionBy("k").orderBy("o")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockyard.sources.robot import robot_command_source
@@ -53,19 +54,27 @@ def test_partition_by_key_places_rows(spark):
     assert sorted(r.v for r in rejected.collect()) == [97, 98, 99]
 
 
-def test_fan_out_drops_failing_sink(spark):
-    from blockyard.sinks.publish import fan_out_batches
-    seen, statuses = {}, []
+def test_fan_out_remembers(spark):
+    """A failed sink is dropped, also after a restart; a replayed batch goes only to sinks that do not have it."""
+    from blockyard.sinks.publish import FanOut
+    from blockyard.streaming.runtime import fresh_path
+    seen, state = {}, fresh_path(spark, "fan-out-state")
 
     def ok(name):
-        return lambda df: seen.setdefault(name, []).append(df.count())
+        return lambda df, i: seen.setdefault(name, []).append((i, df.count()))
 
-    def broken(df):
+    def broken(df, i):
         raise RuntimeError("closed")
 
-    sinks = {"a": ok("a"), "bad": broken, "b": ok("b")}
-    body = fan_out_batches(sinks, lambda i, st: statuses.append((i, st)))
+    def interrupted(df, i):
+        raise KeyboardInterrupt
+
+    body = FanOut(spark, {"a": ok("a"), "bad": broken, "b": ok("b")}, state)
     body(spark.range(5), 0)
+    assert body.dropped() == ["bad"]
+    with pytest.raises(KeyboardInterrupt):  # the driver goes while batch 1 is written
+        FanOut(spark, {"a": ok("a"), "b": interrupted}, state)(spark.range(3), 1)
+    body = FanOut(spark, {"a": ok("a"), "bad": ok("bad"), "b": ok("b")}, state)
     body(spark.range(3), 1)
-    assert seen == {"a": [5, 3], "b": [5, 3]}
-    assert [s[1] for s in statuses[0][1]] == [True, False, True] and "bad" not in sinks
+    body(spark.range(2), 2)
+    assert seen == {"a": [(0, 5), (1, 3), (2, 2)], "b": [(0, 5), (1, 3), (2, 2)]} and body.dropped() == ["bad"]

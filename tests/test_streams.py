@@ -2,14 +2,23 @@
 the rest, restart with the same checkpoint, and compare with the batch
 twin."""
 
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
+from blockyard.operators import stock_log as L
 from blockyard.operators import tracker as T
 from blockyard.plans import views as V
+from blockyard.sources.topic_stream import read_topic_stream, write_topic_log
 from blockyard.streaming import operators as SO
+from blockyard.streaming.race import late_rows, order_races, race_rows, rocks_state
+from blockyard.streaming.stock import StockTable, reserve_stream
 from blockyard.streaming.runtime import fresh_path, per_batch_sink, read_log_stream, write_ordered_log
 from paths import SF_SMALL
 
+EPOCH = datetime(1970, 1, 1)
+
 
 def _run(stream, out, ckpt):
     q = (stream.writeStream.outputMode("update").option("checkpointLocation", ckpt)
@@ -56,30 +65,22 @@ def test_dedup_stream_drops_cross_batch_redeliveries(spark):
 def test_reserve_stream_fetch_and_restore(spark):
     """Reserve, fetch and restore mixed in one stream: restored cells are
     free again and the order may reserve again."""
-    cols = "kind string, seq long, order_id string, color string, color_raw string, count int, x long, y long"
-    msgs = [("cell", -9, None, "RED", None, None, 0, 0), ("cell", -8, None, "RED", None, None, 1, 0),
-            ("cell", -7, None, "RED", None, None, 2, 0)]
-    for c in ("RED", "GREEN", "BLUE", "YELLOW"):
-        msgs += [("fetch", 3, "a", c, None, None, None, None), ("restore", 5, "a", c, None, None, None, None)]
-    msgs += [("reserve", 1, "a", "RED", "Red", 2, None, None), ("reserve", 2, "b", "RED", "red", 2, None, None),
-             ("reserve", 4, "b", "RED", "RED", 2, None, None), ("reserve", 6, "b", "RED", "RED", 2, None, None),
-             ("reserve", 7, "a", "RED", "RED", 1, None, None)]
-    df = spark.createDataFrame(msgs, cols)
-    path = fresh_path(spark, "stock")
+    stock = spark.createDataFrame([(x, 0, "RED", True, None, None) for x in range(3)], L.STOCK)
+    rows = [(1, "reserve", "a", 2, "Red"), (2, "reserve", "b", 2, "red"), (3, "fetch", "a", None, None), (4, "reserve", "b", 2, "RED"),
+            (5, "restore", "a", None, None), (6, "reserve", "b", 2, "RED"), (7, "reserve", "a", 1, "RED")]
+    df = spark.createDataFrame(rows, "seq long, kind string, order_id string, count int, color_raw string")
+    path, replies, ckpt = (fresh_path(spark, n) for n in ("stock", "replies", "ckpt"))
     write_ordered_log(df, path, "seq", 1)
-    out, ckpt = fresh_path(spark, "out"), fresh_path(spark, "ckpt")
-    q = (SO.reserve_stream(read_log_stream(spark, path, df.schema, 1)).writeStream
-         .option("checkpointLocation", ckpt).foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {(r.seq, r.color): (r.status, r["count"]) for r in spark.read.parquet(out).collect()}
-    assert got[(1, "RED")] == (200, 2)            # a takes (0,0), (1,0)
-    assert got[(2, "RED")][0] == 409              # only one left
-    assert got[(3, "RED")] == (200, 2)            # a fetches its two cells
-    assert got[(3, "GREEN")] == (404, 0)          # nothing of a's in green
-    assert got[(4, "RED")][0] == 409              # still one free
-    assert got[(5, "RED")] == (200, 2)            # a restores: cells come back
-    assert got[(6, "RED")] == (200, 2)            # now b fits
-    assert got[(7, "RED")] == (200, 1)            # a holds nothing now; one cell left fits
+    table = StockTable(spark, fresh_path(spark, "table")).load(stock)
+    reserve_stream(read_log_stream(spark, path, df.schema, 1), table, replies, ckpt).awaitTermination()
+    got = {r.seq: (r.status, r["count"]) for r in spark.read.parquet(replies).collect()}
+    assert got[1] == (200, 2)            # a takes (0,0), (1,0)
+    assert got[2][0] == 409              # only one left
+    assert got[3] == (200, 2)            # a fetches its two cells
+    assert got[4][0] == 409              # still one free
+    assert got[5] == (200, 2)            # a restores: cells come back
+    assert got[6] == (200, 2)            # now b fits
+    assert got[7] == (200, 1)            # a holds nothing now; one cell left fits
 
 
 def test_ordered_log_files_follow_their_ranges(spark):
@@ -97,30 +98,103 @@ def test_ordered_log_files_follow_their_ranges(spark):
     assert max(e[2] for e in ends) <= 100 and sum(e[2] for e in ends) == 2000
 
 
-def test_late_outcomes_of_orders_started_while_streaming(spark):
-    """Second outcomes, outcomes past the deadline and outcomes of an order
-    that starts in a later batch are told apart; earlier ones are not joined."""
-    rows = [("s", 0, "a", 0), ("o", 1, "a", 60), ("o", 2, "a", 120), ("o", 3, "b", 130), ("s", 4, "b", 200),
-            ("o", 5, "b", 200 + 3600), ("s", 6, "c", 4000), ("o", 7, "c", 4001), ("o", 8, "c", 4001)]
-    log = spark.createDataFrame(rows, "what string, seq long, order_id string, t long").select(
-        "what", "seq", "order_id", F.lit("k").alias("correlation_id"), F.timestamp_seconds(F.col("t") + 1_700_000_000).cast("timestamp_ntz").alias("ts"))
+def _race(spark, batches, timeout_s=3600, delay="10 minutes"):
+    """Decided and late rows of races whose rows (what, event, order, second) come batch by batch."""
     path, out, ckpt = (fresh_path(spark, n) for n in ("race", "out", "ckpt"))
-    write_ordered_log(log.filter("seq < 4"), path, n_files=1)
-    write_ordered_log(log.filter("seq >= 4"), path, n_files=1)
-    s = read_log_stream(spark, path, log.schema, 1)
+    schema = "what string, event_id long, order_id string, t long"
+    for i, rows in enumerate(batches):
+        write_ordered_log(spark.createDataFrame([(*r, i) for r in rows], schema + ", seq long"), path, n_files=1)
+    s = read_log_stream(spark, path, schema, 1).select(
+        "what", "event_id", "order_id", F.lit("k").alias("correlation_id"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"))
     starts = s.filter("what = 's'").select("order_id", "correlation_id", F.col("ts").alias("start_ts"))
-    outs = s.filter("what = 'o'").select(F.col("seq").alias("event_id"), "order_id", "correlation_id", "ts")
-    q = (SO.late_outcomes_stream(starts, outs).writeStream.option("checkpointLocation", ckpt)
-         .foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start())
+    outs = s.filter("what <> 's'").select("event_id", "order_id", "correlation_id", F.col("what").alias("kind"), "ts")
+    with rocks_state(spark):
+        q = (order_races(starts, outs, timeout_s, delay).writeStream.option("checkpointLocation", ckpt)
+             .foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = {(r.order_id, r.event_id) for r in SO.late_rows(spark.read.parquet(out), 3600).collect()}
-    assert got == {("a", 2), ("b", 5), ("c", 8)}
-
-
-def test_lag_stream_counts_lost_offsets(spark):
-    batch = spark.sql("""SELECT 't' AS topic, p AS partition, named_struct('start', timestamp'2024-01-01', 'end', timestamp'2024-01-02') AS w,
-                         100L AS end_in_tick FROM VALUES (0), (1), (2) v(p)""")
+    found = spark.read.parquet(out)
+    decided = {r.order_id: (r.winner, r.event_id, int((r.decided_ts - EPOCH).total_seconds())) for r in race_rows(found).collect()}
+    return decided, {(r.order_id, r.event_id) for r in late_rows(found).collect()}
+
+
+def test_races_are_decided_by_timers(spark):
+    """Second outcomes, outcomes past the deadline and outcomes of an order that starts in a later batch; a start that
+    comes after a later one; an order without an outcome; orders whose deadline the watermark has not passed."""
+    decided, late = _race(spark, [
+        [("s", -1, "a", 0), ("complete", 1, "a", 60), ("error", 2, "a", 120), ("error", 3, "b", 130), ("s", -1, "d", 300)],
+        [("s", -1, "b", 200), ("complete", 5, "b", 200 + 3600), ("s", -1, "d", 100), ("complete", 9, "d", 150), ("complete", 10, "d", 350)],
+        [("s", -1, "c", 4000), ("error", 7, "c", 4001), ("complete", 8, "c", 4001), ("s", -1, "e", 4100)],
+        [("complete", 11, "a", 9000), ("s", -1, "f", 9000)]])
+    assert decided == {"a": ("complete", 1, 60), "b": ("timeout", None, 3800), "c": ("error", 7, 4001), "d": ("complete", 9, 150),
+                       "e": ("timeout", None, 7700)}
+    assert late == {("a", 2), ("a", 11), ("b", 5), ("c", 8), ("d", 10)}
+
+
+def test_gate_in_a_stream(spark):
+    """Timeout, no block, wrong colour and ok; messages out of order; a message at the probe's time does not count."""
+    probes = [(1, 0, 100, 9, 1, 0, "RED"), (2, 0, 200, 9, 1, 0, "BLUE"), (3, 1, 100, 9, 1, 0, "RED"), (4, 1, 300, 9, 1, 0, "RED"), (5, 0, 9000, 9, 1, 0, "RED")]
+    reads = [(11, 0, 100, '{"distance": 1}'), (13, 0, 120, '{"distance": 99}'), (12, 0, 110, '{"distance": 25.0}'), (14, 0, 230, '{"distance": 3}'),
+             (15, 1, 131, '{"distance": 3}'), (16, 1, 301, '{"distance": 25.5}'), (17, 1, 9000, "x")]
+    p = spark.createDataFrame(probes, "id long, sensor int, s long, r8 long, g8 long, b8 long, expected string").withColumn("t", F.timestamp_seconds("s"))
+    r = spark.createDataFrame(reads, "id long, sensor int, s long, payload string").withColumn("ts", F.timestamp_seconds("s"))
+    pp, rp, out, ckpt = (fresh_path(spark, n) for n in ("probes", "reads", "out", "ckpt"))
+    write_ordered_log(p, pp, "s", 2)
+    write_ordered_log(r, rp, "id", 2)
+    g = SO.sensor_gate_stream(read_log_stream(spark, pp, p.schema, 1), read_log_stream(spark, rp, r.schema, 1), 30, delay="10 minutes")
+    g.writeStream.option("checkpointLocation", ckpt).foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start().awaitTermination()
+    got = {x.id: (x.reading_id, x.gate) for x in spark.read.parquet(out).collect()}
+    assert got == {1: (12, "ok"), 2: (14, "wrong_colour"), 3: (None, "timeout"), 4: (16, "no_block")}
+
+
+def test_lag_at_ticks_counts_lost_offsets(spark):
+    ends = spark.sql("""SELECT 't' AS topic, p AS partition, named_struct('start', timestamp'2024-01-01', 'end', timestamp'2024-01-02') AS w,
+                        e AS end_in_tick, 0 AS batch_id FROM VALUES (0, 90L), (0, 100L), (1, 100L), (2, 100L) v(p, e)""")
     commits = spark.sql("SELECT 't' AS topic, p AS partition, c AS committed FROM VALUES (0, 40L), (1, 90L) v(p, c)")
     start = spark.sql("SELECT 't' AS topic, p AS partition, 50L AS log_start FROM VALUES (0), (1), (2) v(p)")
-    got = {r.partition: (r.committed, r.lag, r.lost) for r in SO.lag_with_commits(batch, commits, start).collect()}
+    got = {r.partition: (r.committed, r.lag, r.lost) for r in SO.lag_at_ticks(ends, commits, start, 86400).collect()}
     assert got == {0: (40, 60, 10), 1: (90, 10, 0), 2: (-1, None, 0)}
+
+
+def test_topic_stream_polls_and_restarts(spark):
+    """Polls are bounded, starts follow the policy, a restart goes on at the last planned poll, and new files and
+    partitions are found."""
+    schema = "topic string, partition int, offset long, value string"
+    path = fresh_path(spark, "topic-log")
+
+    def records(topic, p, lo, hi):
+        return [(topic, p, o, f"{topic}{p}-{o}") for o in range(lo, hi)]
+    first = records("a", 0, 0, 25) + records("a", 1, 10, 14) + records("b.x", 0, 0, 7) + records("other", 0, 0, 9)
+    write_topic_log(spark.createDataFrame(first, schema), path, 3)
+    out, ckpt = fresh_path(spark, "out"), fresh_path(spark, "ckpt")
+
+    def run(out, ckpt, crash=None, **start):
+        def body(df, i):
+            per_batch_sink(out)(df, i)
+            if i == crash:
+                raise RuntimeError("gone")
+        q = read_topic_stream(spark, path, ["a", "b.x"], schema, **start).writeStream.option("checkpointLocation", ckpt).foreachBatch(body).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    def got(out):
+        return sorted((r.topic, r.partition, r.offset, r.value) for r in spark.read.parquet(out).collect())
+    with pytest.raises(Exception):
+        run(out, ckpt, crash=1, starting="earliest", max_records=12)  # four of each partition a poll
+    run(out, ckpt, starting="earliest", max_records=12)
+    assert got(out) == sorted(r for r in first if r[0] != "other")
+    sizes = {r.batch_id: r["count"] for r in spark.read.parquet(out).groupBy("batch_id").count().collect()}
+    assert sizes == {0: 12, 1: 7, 2: 4, 3: 4, 4: 4, 5: 4, 6: 1}
+    more = records("a", 0, 25, 30) + records("a", 7, 3, 5)
+    write_topic_log(spark.createDataFrame(more, schema), path, 1)
+    run(out, ckpt, starting="earliest", max_records=12)
+    assert got(out) == sorted([r for r in first if r[0] != "other"] + more)
+    late, given = fresh_path(spark, "late"), fresh_path(spark, "given")
+    run(given, fresh_path(spark, "ckpt"), starting={"a": {0: 28, 1: 12}, "b.x": {0: 99}})
+    assert got(given) == sorted(records("a", 0, 28, 30) + records("a", 1, 12, 14) + records("a", 7, 3, 5))
+    keep = fresh_path(spark, "ckpt")
+    run(late, keep, starting="latest")
+    write_topic_log(spark.createDataFrame(records("a", 1, 14, 16), schema), path, 1)
+    run(late, keep, starting="latest")
+    assert got(late) == records("a", 1, 14, 16)
