@@ -14,6 +14,9 @@ TABLES = (
 ).split()
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "blockyard") -> SparkSession:
     """Local session used by tests and bench. On a cluster, the session comes
@@ -39,11 +42,15 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on: UTC session clock (stream watermarks
-    and epoch conversions) and a checkpoint folder. The checkpoint folder set
+    and epoch conversions), Arrow batches of fewer rows than by default (rows
+    hold whole texts, and a task holds a batch several times) and a checkpoint
+    folder. The checkpoint folder set
     by the cluster (``spark.checkpoint.dir``) is always kept; a local temp
     folder is only chosen by a local master that has none (tests)."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     checkpoint_dir(spark)
     ship_package(spark)
     return spark

@@ -123,13 +123,15 @@ class FanOut:
         gone = set(self.dropped())
         open_ = {n: w for n, w in self.sinks.items() if n not in gone and not self._known(f"done/{n}/{batch_id}")}
         numbered = {n: (lambda df, w=w: w(df, batch_id)) for n, w in open_.items()}
-        for name, good, error in fan_out(batch, numbered):
-            self._record(f"done/{name}/{batch_id}" if good else f"dropped/{name}", error or "")
+        fan_out(batch, numbered, lambda name, good, error: self._record(
+            f"done/{name}/{batch_id}" if good else f"dropped/{name}", error or ""))
 
 
-def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> list[tuple[str, bool, str | None]]:
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]],
+            report: Callable[[str, bool, str | None], None] = lambda *_: None) -> list[tuple[str, bool, str | None]]:
     """Send one (micro-)batch to every sink; a failing sink is reported and
-    dropped, the rest still receive the batch. The batch is written once to the shared checkpoint
+    dropped, the rest still receive the batch; ``report`` hears of each as
+    soon as it is done. The batch is written once to the shared checkpoint
     folder for the several writes, and deleted after them."""
     status = []
     df = materialize(df, "fan-out")
@@ -141,6 +143,7 @@ def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> lis
             except Exception as e:  # noqa: BLE001 - a subscriber failure must not stop the others
                 status.append((name, False, str(e)))
                 sinks.pop(name, None)
+            report(*status[-1])
     finally:
         discard(df)
     return status

@@ -17,7 +17,7 @@ from blockyard.streaming.stock import StockTable, reserve_stream
 from blockyard.streaming.runtime import fresh_path, per_batch_sink, read_log_stream, write_ordered_log
 from paths import SF_SMALL
 
-EPOCH = datetime(1970, 1, 1)
+EPOCH = datetime(1970, 1, 2)
 
 
 def _run(stream, out, ckpt):
@@ -105,7 +105,7 @@ def _race(spark, batches, timeout_s=3600, delay="10 minutes"):
     for i, rows in enumerate(batches):
         write_ordered_log(spark.createDataFrame([(*r, i) for r in rows], schema + ", seq long"), path, n_files=1)
     s = read_log_stream(spark, path, schema, 1).select(
-        "what", "event_id", "order_id", F.lit("k").alias("correlation_id"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"))
+        "what", "event_id", "order_id", F.lit("k").alias("correlation_id"), F.timestamp_seconds(F.col("t") + 86400).cast("timestamp_ntz").alias("ts"))
     starts = s.filter("what = 's'").select("order_id", "correlation_id", F.col("ts").alias("start_ts"))
     outs = s.filter("what <> 's'").select("event_id", "order_id", "correlation_id", F.col("what").alias("kind"), "ts")
     with rocks_state(spark):
@@ -132,7 +132,7 @@ def test_races_are_decided_by_timers(spark):
 
 def test_gate_in_a_stream(spark):
     """Timeout, no block, wrong colour and ok; messages out of order; a message at the probe's time does not count."""
-    probes = [(1, 0, 100, 9, 1, 0, "RED"), (2, 0, 200, 9, 1, 0, "BLUE"), (3, 1, 100, 9, 1, 0, "RED"), (4, 1, 300, 9, 1, 0, "RED"), (5, 0, 9000, 9, 1, 0, "RED")]
+    probes = [(1, 0, 100, 9, 0, 1, "RED"), (2, 0, 200, 9, 0, 1, "BLUE"), (3, 1, 100, 9, 0, 1, "RED"), (4, 1, 300, 9, 0, 1, "RED"), (5, 0, 9000, 9, 0, 1, "RED")]
     reads = [(11, 0, 100, '{"distance": 1}'), (13, 0, 120, '{"distance": 99}'), (12, 0, 110, '{"distance": 25.0}'), (14, 0, 230, '{"distance": 3}'),
              (15, 1, 131, '{"distance": 3}'), (16, 1, 301, '{"distance": 25.5}'), (17, 1, 9000, "x")]
     p = spark.createDataFrame(probes, "id long, sensor int, s long, r8 long, g8 long, b8 long, expected string").withColumn("t", F.timestamp_seconds("s"))
