@@ -12,12 +12,11 @@ import numpy as np
 #: Parts of a text that a byte-level tokenizer encodes independently: white space before a run of other characters
 #: always begins a new piece, whatever follows, so a cut before it changes nothing.
 PART = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Other white space, where such a cut could split a run of white space: these texts are encoded in one go.
+#: Other white space, where such a cut could split a run of white space: these texts are encoded block by block.
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: Remembered parts, before a worker forgets them and starts anew; characters encoded before results are laid down.
-MEMORY, BLOCK = 300_000, 1 << 20
-#: Parts that can be encoded as one text and told apart afterwards.
-JOINABLE = re.compile(r"[ \n]+[^ \n]+")
+#: Remembered parts (about 230 bytes each), before a worker forgets them and starts anew; characters of a block.
+MEMORY, BLOCK = 1_000_000, 1 << 20
+#: Parts that are encoded as one text and told apart afterwards.
 JOINED = 1000
 
 
@@ -48,7 +47,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encodes parts and remembers them. Most begin with white space and end without: they are joined to longer
         texts, in which each again begins a piece, and their tokens are told apart by their places."""
-        alone = [p for p in new if not JOINABLE.fullmatch(p) or "<|" in p]
+        alone = [p for p in new if p[0] not in " \n" or p[-1] in " \n" or "<|" in p]
         if alone:
             skip = set(alone)
             new = [p for p in new if p not in skip]
@@ -72,31 +71,33 @@ class Encoder:
         self.known.update(zip(parts, range(n, n + len(parts))))
 
     def _blocks(self, text: str) -> Iterator[str]:
+        """Pieces of about BLOCK characters, cut before a space or line break that follows what is no white space."""
         at = 0
         while at < len(text):
             end = at + BLOCK
-            while end < len(text) and not (text[end] in " \n" and text[end - 1] not in " \n"):
+            while end < len(text) and not (text[end] in " \n" and not text[end - 1].isspace() and not OTHER_SPACE.match(text[end - 1])):
                 end += 1
             yield text[at:end]
             at = end
 
     def encode(self, text: str):
         """ids (uint32); with spans also each token's first character and the character after its last (int64)."""
-        if OTHER_SPACE.search(text):
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            if not self.spans:
-                return ids
-            o = np.array(e.offsets, np.int64).reshape(-1, 2)
-            return ids, o[:, 0], o[:, 1]
-        out, base = [], 0
+        out, base, known = [], 0, not OTHER_SPACE.search(text)
         for block in self._blocks(text):
-            out.append(self._block(block, base))
+            out.append(self._block(block, base) if known else self._whole(block, base))
             base += len(block)
         if not self.spans:
             return np.concatenate(out) if out else np.zeros(0, np.uint32)
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def _whole(self, block: str, base: int):
+        e = self.tokenizer.encode(block, add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        if not self.spans:
+            return ids
+        places = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2) + base
+        return ids, places[:, 0], places[:, 1]
+
     def _block(self, block: str, base: int):
         parts = PART.findall(block)
         if len(self.known) > MEMORY:

@@ -111,15 +111,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     first, repeated keys next to each other), and returns the manifest: (file, part, documents, frames, ids), parts in that
     order. The folder is a new one in the shared checkpoint location by default; an empty table writes no file.
 
-    The texts are range-partitioned by key, so a file holds a run of keys. A task writes under a hidden name and
+    The texts are range-partitioned by key and a hash of the text, so a file holds a run of keys and the rows of a key that
+    very many rows share spread over files; rows of one key are in the order of hash and text. A task writes under a hidden name and
     renames at its end, so a lost or repeated task leaves whole files or none."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
-    order = ["key", "text"]
+    order = ["key", "_hash", "text"]
     slim = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     files = max(1, -(-slim.select("key").count() // rows_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = slim.repartitionByRange(files, F.col("key").asc_nulls_first()) \
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    slim = slim.withColumn("_hash", F.xxhash64("text"))
+    parts = slim.repartitionByRange(files, F.col("key").asc_nulls_first(), "_hash") \
+        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).drop("_hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
