@@ -17,7 +17,7 @@ from blockyard.llm.common import components, materialize
 FIT_ROWS, PIECE, PER_BUCKET = 10_000, 1024, 128
 #: Modelled share of pairs at the threshold that meet in some table (more similar pairs meet more often).
 RECALL = 0.95
-#: Work of one meeting row in comparisons, for the choice of keys; (key bits, tables, radius) where all vectors meet.
+#: Work of one meeting row in comparisons, for the choice of keys; (key bits, tables, radius) of a length with one vector.
 ROW_WORK, ONE_BUCKET = 200, (0, 1, 0)
 
 
@@ -162,8 +162,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """One row per row of df: its key (as `vec_id`), n_links (other rows with a cosine of at least `cosine`, copies
     counted), component_id (the smallest key reachable over links), kept (key = component_id).
 
-    Vectors are compared with those of their own length, each length by itself. Lengths of at most PIECE distinct vectors
-    are compared whole. Otherwise, codes: the signs of the vectors under a rotation learned from the first `fit_rows`
+    Vectors are compared with those of their own length, each length by itself and in one way at every size. Codes: the signs of the vectors under a rotation learned from the first `fit_rows`
     distinct vectors in a pseudo-random order. Tables: the code is cut into keys; vectors meet where a key is equal or
     within a small radius, and a pair is counted in the first table in which it meets. Every meeting is compared by the
     cosine of the original vectors in double precision, so no link is wrong; a link is missed if the pair meets nowhere
@@ -180,7 +179,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     nodes = materialize(named.where("node is not null").groupBy("node", "embedding").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "itq-nodes")
     fits, plans = {}, {}
-    for dim, rows in nodes.groupBy("dim").count().where(F.col("count") > PIECE).orderBy("dim").collect():
+    for dim, rows in nodes.groupBy("dim").count().where("count > 1").orderBy("dim").collect():
         sample = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(fit_rows).select("embedding").toArrow()
         x = _unit(sample["embedding"].combine_chunks().values.to_numpy(zero_copy_only=False), dim)
         fits[dim] = learn_rotation(x)

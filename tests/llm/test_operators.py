@@ -411,3 +411,67 @@ def test_slots(spark, messy, nothing):
         slots = sorted(r["slot"] for r in out if r["shard"] == s)
         assert slots == list(range(len(slots)))
     assert number_slots(assign_shards(nothing, "doc_id", 4), "doc_id").count() == 0
+
+
+def test_encoder_cuts_long_texts(monkeypatch):
+    """Texts with any white space, in blocks of a few characters, equal one call of the library."""
+    from blockyard.llm import bpe
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    r = np.random.default_rng(4)
+    library, encoder = Tokenizer.from_file(BPE), bpe.Encoder(BPE, spans=True)
+    for _ in range(300):
+        text = "".join(r.choice(list("ab '.1é日") + [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", "\u2003", " \t", "\u3000 "], 40))
+        want = library.encode(text, add_special_tokens=False)
+        ids, begin, stop = encoder.encode(text)
+        assert ids.tolist() == want.ids and list(zip(begin.tolist(), stop.tolist())) == want.offsets, repr(text)
+
+
+def test_sections_against_all_tokens(spark, messy):
+    """Tokens per line of every text, each token given to the line that holds most of it (the first of equal ones)."""
+    from blockyard.llm.token_counts import section_tokens
+    library = Tokenizer.from_file(BPE)
+    rows = messy.union(documents(spark, [(60, "one\ntwo  \n\n three\n", "en", "a"), (61, "é\n日本\n😀 x\n\n\n\ny", "en", "a")]))
+    got = {}
+    for x in section_tokens(rows, BPE).collect():
+        got.setdefault((x["doc_id"], x["section"]), []).append((x["start"], x["end"], x["n_tokens"]))
+    want = {}
+    for r in rows.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        lines = text.splitlines(keepends=True) if not set(text) & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else text.split("\n")
+        ends = np.cumsum([len(x) for x in lines]).tolist() or [0]
+        counts = [0] * len(ends)
+        for a, b in library.encode(text, add_special_tokens=False).offsets:
+            share = [min(b, e) - max(a, s) for s, e in zip([0, *ends], ends)]
+            counts[int(np.argmax(share))] += 1
+        for i, (s, e) in enumerate(zip([0, *ends], ends)):
+            want.setdefault((r["doc_id"], i), []).append((s, e, float(counts[i])))
+    assert got == want
+
+
+def test_vectors_against_brute_force_through_the_tables(spark):
+    """3,000 vectors with a hot cluster and pairs planted around the threshold: no link is wrong, and nine in ten of all
+    links, and of those just above the threshold, are found."""
+    from blockyard.llm.embeddings import near_vectors
+    r = np.random.default_rng(11)
+    dim = 48
+
+    def beside(a, cosine):
+        step = r.normal(size=a.shape)
+        step -= (step * a).sum(axis=1, keepdims=True) * a / (a * a).sum(axis=1, keepdims=True)
+        step /= np.linalg.norm(step, axis=1, keepdims=True)
+        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        return cosine[:, None] * a + np.sqrt(1 - cosine[:, None] ** 2) * step
+    for mean in (0.0, 3.0):  # with a large common mean, too
+        x = r.normal(size=(1800, dim)) + mean * np.eye(dim)[0] * 3
+        pairs = beside(x[:600], r.uniform(0.94, 0.97, 600))
+        hot = beside(np.repeat(x[700:701], 600, axis=0), r.uniform(0.96, 0.999, 600))
+        v = np.concatenate([x, pairs, hot])
+        rows = [(i, w.tolist()) for i, w in enumerate(v)]
+        got = {g["vec_id"]: g["n_links"] for g in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = u @ u.T >= 0.95
+        np.fill_diagonal(near, False)
+        want = near.sum(axis=1)
+        found = np.array([got[i] for i in range(len(v))])
+        assert (found <= want).all()
+        assert found.sum() >= 0.9 * want.sum() and found[1800:2400].sum() >= 0.9 * want[1800:2400].sum()
