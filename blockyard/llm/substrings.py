@@ -8,11 +8,10 @@ is the window's anchor, so equal windows have equal anchors wherever they occur,
 1. texts are laid down in blocks; equal whole texts are found by two hashes, and only the first of them goes on;
 2. each block sends the hashes of its anchors; those that occur in more than one document come back;
 3. each block sends its distinct sites at these anchors, with their earliest document;
-4. the windows of all sites at an anchor are put in suffix order, and runs of neighbours with a common prefix of
-   LENGTH bytes get the earliest document of the run: a window's previous or next smaller position in suffix order has a
-   common prefix of LENGTH bytes with it if and only if its run holds an earlier document, so that is where its longest
-   previous factor reaches LENGTH;
-5. each block removes the windows whose run holds a document before their own.
+4. the windows of all sites at an anchor are put in suffix order; from the common prefixes of neighbours and the previous
+   and next smaller positions comes the longest previous factor of each window, cut at LENGTH, and its source, which is
+   followed to the earliest document that has the window;
+5. each block removes the windows that a document before their own has.
 
 Traffic is by block and distinct site, not by occurrence, so a passage in a third of all documents costs each block one
 row. Nothing but these rows moves: texts are written once and read block by block."""
@@ -269,22 +268,59 @@ def _send_sites(folder: str, anchor_buckets: int, buckets: int):
     return run
 
 
-def first_documents(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The earliest document of each suffix's run of suffixes that share its first `length` bytes.
-
-    Suffixes (their first bytes as big-endian words) are sorted; the common prefix with the neighbour is compared up to
-    `length`; between breaks the run's smallest document is what previous and next smaller positions lead to."""
+def suffix_order(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `starts` in order of their first `length` bytes, then of document, and the common prefix of each
+    with the one before it (0 for the first), both up to `length`."""
     words = -(-length // 8)
     rows = np.zeros((len(starts), words * 8), np.uint8)
     rows[:, :length] = text[starts[:, None] + np.arange(length)]
     keys = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    breaks = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
-    least = np.minimum.reduceat(doc[order], breaks)
-    out = np.empty(len(starts), np.int64)
-    out[order] = np.repeat(least, np.diff(np.r_[breaks, len(starts)]))
-    return out
+    order = np.lexsort((doc, *keys.T[::-1]))
+    rows = rows[order, :length]
+    differ = rows[1:] != rows[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    return order, np.r_[0, common].astype(np.int64)
+
+
+def _smaller(doc: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """For each place of the suffix order the nearest place before it with a smaller document, as long as all common
+    prefixes on the way reach `length`; -1 where there is none. Found by pointer jumping: a place whose candidate is not
+    smaller takes over the candidate's own answer so far, so steps grow from round to round."""
+    at = np.arange(len(doc)) - 1
+    at[common < length] = -1
+    left = np.flatnonzero(at >= 0)
+    while len(left):
+        left = left[doc[at[left]] >= doc[left]]
+        at[left] = at[at[left]]
+        left = left[at[left] >= 0]
+    return at
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(lpf, source) of each suffix: its longest common prefix with a suffix of a smaller document, cut at `length`, if it
+    reaches `length`, else 0; and the place of such a suffix, or -1. The previous and the next smaller place in suffix
+    order have the longest common prefixes with it."""
+    order, common = suffix_order(text, starts, doc, length)
+    back = _smaller(doc[order], common, length)
+    n = len(order)
+    ahead = _smaller(doc[order][::-1], np.r_[0, common[1:][::-1]], length)[::-1]
+    ahead = np.where(ahead >= 0, n - 1 - ahead, -1)
+    near = np.where(back >= 0, back, ahead)
+    source = np.empty(n, np.int64)
+    source[order] = np.where(near >= 0, order[near], -1)
+    return np.where(source >= 0, length, 0), source
+
+
+def first_documents(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The earliest document with each suffix's first `length` bytes: its own if it has no previous factor of that length,
+    else that of its source, whose source is followed in turn (by doubling)."""
+    _, source = longest_previous_factors(text, starts, doc, length)
+    at = np.where(source >= 0, source, np.arange(len(source)))
+    while True:
+        far = at[at]
+        if np.array_equal(far, at):
+            return doc[at]
+        at = far
 
 
 def _earliest(most: int = 200_000):

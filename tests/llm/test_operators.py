@@ -475,3 +475,25 @@ def test_vectors_against_brute_force_through_the_tables(spark):
         found = np.array([got[i] for i in range(len(v))])
         assert (found <= want).all()
         assert found.sum() >= 0.9 * want.sum() and found[1800:2400].sum() >= 0.9 * want[1800:2400].sum()
+
+
+@pytest.mark.parametrize("length", [1, 3, 8, 9, 16, 50])
+def test_longest_previous_factors(length):
+    """Suffix order, common prefixes, sources and earliest documents against all pairs."""
+    from blockyard.llm.substrings import first_documents, longest_previous_factors, suffix_order
+    r = np.random.default_rng(length)
+    for letters in (1, 2, 3):
+        text = r.integers(97, 97 + letters, 600).astype(np.uint8)
+        text[300:400] = text[100:200]
+        starts, doc = r.integers(0, 600 - length, 200), r.integers(0, 30, 200)
+        w = [bytes(text[s:s + length]) for s in starts]
+        order, common = suffix_order(text, starts, doc, length)
+        assert [(w[i], doc[i]) for i in order] == sorted(zip(w, doc))
+        for a, b, k in zip(order, order[1:], common[1:]):
+            assert w[a][:k] == w[b][:k] and (k == length or w[a][k] != w[b][k])
+        earliest = [min(d for d, x in zip(doc, w) if x == y) for y in w]
+        lpf, source = longest_previous_factors(text, starts, doc, length)
+        for i in range(200):
+            assert (lpf[i] == length) == (earliest[i] < doc[i]) == (source[i] >= 0)
+            assert source[i] < 0 or (w[source[i]] == w[i] and doc[source[i]] < doc[i])
+        assert first_documents(text, starts, doc, length).tolist() == earliest
