@@ -497,3 +497,22 @@ def test_longest_previous_factors(length):
             assert (lpf[i] == length) == (earliest[i] < doc[i]) == (source[i] >= 0)
             assert source[i] < 0 or (w[source[i]] == w[i] and doc[source[i]] < doc[i])
         assert first_documents(text, starts, doc, length).tolist() == earliest
+
+
+def test_mixing_takes_some_of_equal_rows(spark):
+    """1,000 copies of a row of 10 words beside 50 others: as many as fit are taken, in the plan and in the order."""
+    from blockyard.llm.mixing import mixed_rows, mixing_plan
+    rows = [(1, "w " * 10, "en", "s")] * 1000 + [(100 + i, f"x{i} " * 11, "en", "s") for i in range(50)]
+    docs = documents(spark, rows).repartition(7)
+    plan = mixing_plan(docs).collect()
+    assert len(plan) == len(rows)
+    target, size = plan[0]["target"], plan[0]["source_size"]
+    assert size == 10_550 and target == 1.5 * size
+    taken = sum(p["taken"] for p in plan)
+    assert abs(taken - target) <= 10 and all(p["taken"] in (p["size"], 2 * p["size"]) and len(p["positions"]) == p["taken"] // p["size"] for p in plan)
+    again = mixing_plan(documents(spark, rows).repartition(3)).collect()
+    assert sorted((p["doc_id"], p["taken"], p["positions"]) for p in again) == sorted((p["doc_id"], p["taken"], p["positions"]) for p in plan)
+    out = mixed_rows(docs).collect()
+    assert len(out) == sum(len(p["positions"]) for p in plan)
+    assert sorted((r["doc_id"], r["position"]) for r in out if r["doc_id"] > 1) == sorted((p["doc_id"], x) for p in plan if p["doc_id"] > 1 for x in p["positions"])
+    assert sum(r["doc_id"] == 1 for r in out) == sum(len(p["positions"]) for p in plan if p["doc_id"] == 1)
