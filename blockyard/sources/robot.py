@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockyard.operators.motion import state_change_only
+from blockyard.operators.sequencing import row_number
+from blockyard.session import materialize
 
 # --- fixed values: command kinds and their defaults ------------------------
 COMMAND_KINDS = ["MovementCommand", "RelativeMovementCommand", "RunConveyorCommand", "MoveConveyorCommand",
@@ -18,29 +20,45 @@ COMMAND_FIELDS = ("x DOUBLE, y DOUBLE, z DOUBLE, r DOUBLE, mode STRING, directio
                   "distance DOUBLE, suck BOOLEAN, state STRING, acceleration DOUBLE")
 
 
-def _item(xml: Column, tag: str) -> Column:
-    v = F.regexp_extract(xml, f"<{tag}>([^<]*)</{tag}>", 1)
-    return F.when(F.trim(v) != "", F.trim(v))
+# --- fixed values: items of a flow row that are read -------------------------
+ROW_ITEMS = {"x": "item_2", "y": "item_3", "z": "item_4", "r": "item_5", "suck_state": "item_12"}
 
 
 def robot_flow_source(spark: SparkSession, path: str) -> DataFrame:
     """Load XML flow files (one per robot folder ``robot=<id>``, or plain
     files named after the robot; line breaks are allowed anywhere): keep the
     elements named ``row<digits>`` in document order, a move per row, and a
-    suction command when ``item_12`` is first given or changes.
+    suction command when ``item_12`` is first given or changes. Elements may
+    have attributes, comments, character references and CDATA sections; rows
+    do not nest, and a comment hides at most one of them.
+
+    Files are read in records that end at a row's end tag, so a file of any
+    length is many records and may be split over tasks; the row of a record is
+    parsed by ``from_xml``, and rows are numbered by chunks of the file.
 
     Output ``robot, row, sub, kind, x, y, z, r, suck`` with ``(row, sub)``
     the command order (sub 0 = move, 1 = suction)."""
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.option("lineSep", "</row").text(path)
     if "robot" not in files.columns:  # a plain file or folder: the robot is the file's name
         files = files.withColumn("robot", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
-    rows = files.select("robot", F.posexplode(
-        F.regexp_extract_all("value", F.lit(r"(?s)<(row\d+)>(.*?)</\1>"), F.lit(0))).alias("row", "xml"))
-    x = F.col("xml")
-    rows = rows.select(
-        "robot", F.col("row").cast("long").alias("row"),
-        *[_item(x, f"item_{i}").cast("double").alias(a) for i, a in zip(range(2, 6), "xyzr")],
-        (_item(x, "item_12").cast("double").cast("int") != 0).alias("suck_state"))
+    # a comment goes, also if it ends in the next record or has begun in the last one
+    text = F.regexp_replace("value", r"(?s)\A((?!<!--).)*?-->|<!--.*?(-->|\z)", "")
+    body = F.regexp_extract(text, r"(?s)<row\d+(\s[^>]*)?>((?!.*<row\d+[\s>]).*)\z", 2)
+    has = text.rlike(r"<row\d+(\s[^>]*[^/>])?>")
+    found = files.select("robot", F.input_file_name().alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_at"), has.alias("_has"),
+                         F.concat(F.lit("<row>"), body, F.lit("</row>")).alias("xml")).filter("_has")
+    schema = ", ".join(f"{i} STRING" for i in ROW_ITEMS.values())
+    found = found.select("robot", "_file", "_block", "_at", F.from_xml("xml", schema).alias("v"))
+    # a file's blocks are in order, and so are the records of a block
+    found = row_number(materialize(found, "flow-rows"), ["robot", "_file"], ["_block", "_at"], "_n", F.col("_block"))
+
+    def item(name):
+        v = F.trim(F.col("v")[ROW_ITEMS[name]])
+        return F.when(v != "", v).cast("double")
+
+    rows = found.select("robot", (F.col("_n") - 1).cast("long").alias("row"), *[item(a).alias(a) for a in "xyzr"],
+                        (item("suck_state").cast("int") != 0).alias("suck_state"))
     moves = rows.select("robot", "row", F.lit(0).alias("sub"), F.lit("MovementCommand").alias("kind"),
                         "x", "y", "z", "r", F.lit(None).cast("boolean").alias("suck"))
     states = rows.filter(F.col("suck_state").isNotNull()).select("robot", "row", "suck_state")

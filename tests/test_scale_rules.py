@@ -66,6 +66,38 @@ def test_flow_file_with_line_breaks(spark, tmp_path):
     assert sorted((r["row"], r["suck"]) for r in got if r["kind"] == "SuctionCupCommand") == [(0, False), (6, True)]
 
 
+def test_flow_file_with_all_of_xml(spark, tmp_path):
+    """Attributes, comments (one hides a row), character references, CDATA, white space in tags, empty and missing items."""
+    (tmp_path / "arm.xml").write_text("""<?xml version="1.0"?>
+<root author="x &gt; y"><!-- <row9> is no row -->
+  <row_StudioVersion>2</row_StudioVersion>
+  <row0 id="1"><item_2 unit="mm">1.5</item_2><item_3><![CDATA[2.5]]></item_3><!-- z --><item_4>&#51;.5</item_4><item_5/><item_12>1.0</item_12></row0 >
+  <!-- <row1><item_2>99</item_2></row1> -->
+  <row2
+     a='b'>
+    <item_1>a &lt;row7&gt; &amp; <![CDATA[b]]></item_1><item_2> -4 </item_2><item_12>0</item_12></row2>
+  <row3><item_2>7<!-- 8 --></item_2></row3><row4></row4>
+</root>
+""")
+    got = robot_flow_source(spark, f"{tmp_path}/arm.xml").collect()
+    moves = sorted((r.row, r.x, r.y, r.z, r.r) for r in got if r.sub == 0)
+    assert moves == [(0, 1.5, 2.5, 3.5, None), (1, -4.0, None, None, None), (2, 7.0, None, None, None), (3, None, None, None, None)]
+    assert sorted((r.row, r.suck) for r in got if r.sub == 1) == [(0, True), (1, False)] and {r.robot for r in got} == {"arm"}
+
+
+def test_flow_file_in_splits(spark, tmp_path):
+    rows = "".join(f"<row{i}><item_2>{i}</item_2><item_12>{i // 50 % 2}</item_12></row{i}>\n" for i in range(500))
+    (tmp_path / "arm.xml").write_text(f"<root>\n{rows}</root>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = robot_flow_source(spark, f"{tmp_path}/arm.xml").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.row, r.x) for r in got if r.sub == 0) == [(i, float(i)) for i in range(500)]
+    assert sorted((r.row, r.suck) for r in got if r.sub == 1) == [(50 * k, k % 2 == 1) for k in range(10)]
+
+
 def test_logs_of_several_topics(spark):
     log = spark.createDataFrame([("a", 0, 0), ("a", 0, 1), ("b", 0, 0), ("b", 0, 1), ("b", 0, 1)], "topic string, partition int, offset long")
     assert [(r["topic"], r["n"]) for r in B.redeliveries(log).collect()] == [("b", 2)]
