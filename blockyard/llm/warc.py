@@ -239,7 +239,8 @@ def records(f, packed: bool, wanted=lambda row: True, payload: bool = True) -> I
                 length = struct.unpack("<I", start[16:20])[0]
             f.seek(at)
         data = _Inflater(f, packed)
-        lines = data.head().decode("utf-8", "replace").split("\r\n")
+        top = data.head()
+        lines = top.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -262,7 +263,7 @@ def records(f, packed: bool, wanted=lambda row: True, payload: bool = True) -> I
                     raise ValueError(f"the payload of the record at {at} does not have its digest")
             yield row
         if not packed:
-            at += len("\r\n".join(lines).encode("utf-8", "surrogateescape")) + 4 + block + 4
+            at += len(top) + 4 + block + 4
         elif length:
             at += length
         else:  # a member without its length: inflate to its end

@@ -238,6 +238,8 @@ def test_warc(spark, tmp_path):
     for data, packed in ((one * 3, False), (gzip.compress(one) * 3, True), (_member(one) * 3, True)):
         assert [r["payload"] for r in records(Archive(data), packed)] == [b"abc"] * 3
         assert [r["payload"] for r in records(Archive(data), packed, payload=False)] == [None] * 3
+    odd = one.replace(b"urn:page:1", b"urn:page:\xff\xfe", 1)  # bytes that are no UTF-8
+    assert [r["payload"] for r in records(Archive(odd * 3), False)] == [b"abc"] * 3
     with pytest.raises(ValueError, match="digest"):
         list(records(Archive(one.replace(b"abc\r\n", b"abd\r\n")), False))
 
