@@ -114,7 +114,9 @@ def _occurrences(base: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that are not contaminated."""
+    """The rows of docs that are not contaminated. All rows of a key go if one of them is contaminated; rows with a null key
+    are one key; null and empty texts have no words and stay. Columns are passed through, whatever their names; without
+    items all rows stay; an empty table gives no rows."""
     found = contamination(docs, items, doc_key=key, **options)
     bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "decon-bad")
     return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")

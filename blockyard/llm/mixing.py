@@ -100,7 +100,9 @@ def mixing_plan(df: DataFrame, text: str = "text", source: str = "source", key:
 
 def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
                schedules: Sequence = SCHEDULES, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The readings of mixing_plan in training order: df's columns and `position`, range-sorted by position and key.
+    """The readings of mixing_plan in training order: df's columns and `position`, range-sorted by position and key. Nulls,
+    empty texts, repeated rows and clashing names are as there; rows that are not read are left out; an empty table gives
+    no rows.
 
     Texts are shuffled once. The places of a source's readings rise along the order of each of its passes, so where the
     ranges of the sort begin in that order is a small table, by which a row finds its range; there it meets the

@@ -62,7 +62,11 @@ def assign_shards(df: DataFrame, key: str, shards: int, column: str = "shard") -
 
 def number_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Adds the row's place in its shard: 0, 1, ... without gaps, in a fixed pseudo-random order of the keys (repeated
-    keys next to each other). Shards are numbered in chunks, so a shard needs no task of its own."""
+    keys next to each other). Shards are numbered in chunks, so a shard needs no task of its own.
+
+    Rows with a null key or shard are numbered like others (null is a shard of its own); rows of one key are ordered by
+    their other columns, which must be of types that Spark can order (no maps), and equal rows in any way, which gives
+    the same result; an existing column named `slot` is replaced; an empty table stays empty."""
     keep = [c for c in df.columns if c != slot]
     rest = [c for c in keep if c not in (key, shard)]
     packed = df.select(F.col(shard).alias("_shard"), F.col(key).alias("_key"), F.struct(*[df[c] for c in rest]).alias("_row"),

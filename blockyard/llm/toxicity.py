@@ -292,7 +292,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose score stays below their language's threshold."""
+    """The rows of docs whose score stays below their language's threshold. All rows of a key go if one of them does; rows
+    with a null key are one key; null and empty texts are scored as padding and may stay. Columns are passed through,
+    whatever their names; an empty table gives no rows."""
     bad = toxicity(docs, labels, key, **options).where("rejected").select(F.col("doc_id").alias("_bad")).distinct()
     bad = materialize(bad, "toxicity-bad")
     return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
