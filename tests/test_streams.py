@@ -14,7 +14,7 @@ from blockyard.sources.topic_stream import read_topic_stream, write_topic_log
 from blockyard.streaming import operators as SO
 from blockyard.streaming.race import late_rows, order_races, race_rows, rocks_state
 from blockyard.streaming.stock import StockTable, reserve_stream
-from blockyard.streaming.runtime import fresh_path, per_batch_sink, read_log_stream, write_ordered_log
+from blockyard.streaming.runtime import drain_polls, fresh_path, per_batch_sink, read_log_stream, write_ordered_log
 from paths import SF_SMALL
 
 EPOCH = datetime(1970, 1, 2)
@@ -198,3 +198,19 @@ def test_topic_stream_polls_and_restarts(spark):
     write_topic_log(spark.createDataFrame(records("a", 1, 14, 16), schema), path, 1)
     run(late, keep, starting="latest")
     assert got(late) == records("a", 1, 14, 16)
+
+
+def test_many_polls_in_a_micro_batch(spark):
+    """A micro-batch carries many polls, each still bounded, delivered and committed by itself: after a failure in poll 7
+    that poll comes again, and no other."""
+    schema = "topic string, partition int, offset long, value string"
+    rows = [("a", p, o, f"{p}-{o}") for p, n in enumerate((230, 50, 0, 101)) for o in range(3, 3 + n)]
+    path = fresh_path(spark, "topic-log")
+    write_topic_log(spark.createDataFrame(rows, schema), path, 5)
+    stream = read_topic_stream(spark, path, ["a"], schema + ", poll long", "earliest", 30, 9)
+    batches = []
+    got, tries = drain_polls(stream, spark, "many", transform=lambda b: batches.append(1) or b, crash_in=7)
+    assert sorted((r.partition, r.offset, r.value, r.batch_id) for r in got.collect()) \
+        == sorted((p, o, v, (o - 3) // 10) for _, p, o, v in rows)
+    assert {r.batch_id: r["count"] for r in tries.groupBy("batch_id").count().collect()} == {i: 2 if i == 7 else 1 for i in range(23)}
+    assert len(batches) == 4  # polls 0 to 7, 7 to 8, 9 to 17, 18 to 22
