@@ -8,7 +8,7 @@ restarts). Stock requests are in :mod:`stock`, races with a timer in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,22 +83,55 @@ def sensor_gate_stream(probes: DataFrame, readings: DataFrame, tolerance_s: int
     after it, else from the next message ``no_block`` (farther than ``limit``,
     or no number) or, by the colour channels, ``wrong_colour`` or ``ok``.
 
-    A forward as-of join in built-in operators: an outer interval join keeps
-    the messages of the tolerance only, and an aggregation per probe takes the
-    first. Both hold state for the tolerance and the delay, and emit when the
-    watermark passes, so messages may come in any order within the delay."""
-    p = with_event_time(probes, "t", "probe_time").withWatermark("probe_time", delay).alias("p")
-    r = with_event_time(readings, "ts", "read_time").withColumn("distance", F.get_json_object("payload", "$.distance").try_cast("double")) \
-        .withWatermark("read_time", delay).alias("r")
-    j = p.join(r, F.expr(f"""p.sensor = r.sensor AND r.read_time > p.probe_time
-                             AND r.read_time <= p.probe_time + INTERVAL {tolerance_s} SECONDS"""), "leftOuter")
+    Probes and messages meet per sensor in sliding windows of twice the
+    tolerance: in the window in whose first half a probe lies are all messages
+    that can answer it. A streaming aggregation gathers a window's rows, for
+    the tolerance and the delay, and emits them when the watermark passes its
+    end, so messages may come in any order within the delay; each probe then
+    takes the next message by search in the sorted times. A message is in two
+    windows, so the work grows with the rows, not with the probes times the
+    messages within the tolerance. Of messages of one time the smallest id
+    counts; rows without a time have no answer."""
     channels = ["r8", "g8", "b8", "expected"]
-    d = j.select(F.col("p.id").alias("id"), F.col("p.sensor").alias("sensor"), "probe_time", *[F.col(f"p.{c}").alias(c) for c in channels],
-                 F.col("r.id").alias("reading"), "read_time", "distance")
-    g = d.groupBy("probe_time", "id", "sensor", *channels).agg(
-        F.min_by("reading", "read_time").alias("reading_id"), F.min_by("distance", "read_time").alias("distance"))
+    p = with_event_time(probes, "t", "event_time").withWatermark("event_time", delay)
+    r = with_event_time(readings, "ts", "event_time").withWatermark("event_time", delay)
+    us, made = F.unix_micros("event_time").alias("us"), F.get_json_object("payload", "$.distance").try_cast("double")
+    probe = p.select("event_time", "sensor", F.struct(us, "id", *channels).alias("probe"))
+    read = r.select("event_time", "sensor", F.struct(us, F.col("id").alias("reading_id"), made.alias("distance")).alias("reading"))
+    rows = probe.unionByName(read, allowMissingColumns=True).filter(F.col("event_time").isNotNull())
+    w = F.window("event_time", f"{2 * tolerance_s} seconds", f"{tolerance_s} seconds")
+    first_half = F.col("event_time") < F.col("w.start") + F.expr(f"INTERVAL {tolerance_s} SECONDS")
+    g = rows.withColumn("w", w).filter(F.col("reading").isNotNull() | first_half).groupBy("w", "sensor").agg(
+        F.collect_set("probe").alias("probes"), F.collect_set("reading").alias("readings")) \
+        .filter(F.size("probes") > 0).select("sensor", "probes", F.when(F.col("sensor").isNotNull(), F.array_sort("readings")).alias("readings"))
+    kinds = g.schema["probes"].dataType.elementType.simpleString()[len("struct<"):-1]
+    reading_id = g.schema["readings"].dataType.elementType["reading_id"].dataType.simpleString()
+    d = g.mapInArrow(_next_readings(tolerance_s * 1_000_000),
+                     f"sensor {g.schema['sensor'].dataType.simpleString()}, probe struct<{kinds}>, reading_id {reading_id}, distance double")
+    d = d.select("sensor", "probe.*", "reading_id", "distance", F.timestamp_micros("probe.us").cast("timestamp_ntz").alias("t"))
     measured = rgb_classify("r8", "g8", "b8")
     gate = (F.when(F.col("reading_id").isNull(), "timeout")
             .when(F.coalesce(F.col("distance") > limit, F.lit(True)), "no_block")
             .when(measured != F.col("expected"), "wrong_colour").otherwise("ok"))
-    return g.select("id", "sensor", F.col("probe_time").cast("timestamp_ntz").alias("t"), "reading_id", "distance", gate.alias("gate"))
+    return d.select("id", "sensor", "t", "reading_id", "distance", gate.alias("gate"))
+
+
+def _next_readings(tolerance_us: int):
+    """Arrow batches of windows (``sensor``, ``probes``, ``readings`` by time) -> one row per probe."""
+    def next_readings(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sensor, probes, readings = (batch.column(c)[i] for c in range(3))
+                asked, read = probes.values, readings.values
+                t = np.asarray(asked.field("us"))
+                times = np.asarray(read.field("us")) if read is not None else np.zeros(0, np.int64)
+                at = np.searchsorted(times, t, side="right")
+                found = np.append(times, 0)[at] <= t + tolerance_us
+                at = pa.array(at, mask=(at == len(times)) | ~found)
+                answer = [read.field(c).take(at) if read is not None else pa.nulls(len(t), batch.schema.field("readings").type.value_type.field(c).type)
+                          for c in ("reading_id", "distance")]
+                yield pa.RecordBatch.from_arrays([pa.array([sensor.as_py()] * len(t), sensor.type), asked, *answer],
+                                                 ["sensor", "probe", "reading_id", "distance"])
+    return next_readings

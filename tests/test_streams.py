@@ -214,3 +214,23 @@ def test_many_polls_in_a_micro_batch(spark):
         == sorted((p, o, v, (o - 3) // 10) for _, p, o, v in rows)
     assert {r.batch_id: r["count"] for r in tries.groupBy("batch_id").count().collect()} == {i: 2 if i == 7 else 1 for i in range(23)}
     assert len(batches) == 4  # polls 0 to 7, 7 to 8, 9 to 17, 18 to 22
+
+
+def test_gate_meets_probes_and_messages_in_windows(spark):
+    """A dense sensor: no join by sensor alone, whose pairs grow with the square of the rows. Probes of a null sensor time
+    out, repeated probes come once, messages across a window's edge count, up to the tolerance."""
+    probes = [(i, i % 2, 100 + i, 9, 0, 1, "RED") for i in range(400)] + [(7, 1, 107, 9, 0, 1, "RED"), (900, None, 150, 9, 0, 1, "RED"), (999, 0, 5000, 9, 0, 1, "RED")]
+    reads = [(10000 + i, i % 2, 100 + 7 * i, '{"distance": 3}') for i in range(60)] + [(20000, None, 151, '{"distance": 3}'), (20001, 0, 5000, "x")]
+    p = spark.createDataFrame(probes, "id long, sensor int, s long, r8 long, g8 long, b8 long, expected string").withColumn("t", F.timestamp_seconds("s"))
+    r = spark.createDataFrame(reads, "id long, sensor int, s long, payload string").withColumn("ts", F.timestamp_seconds("s"))
+    pp, rp, out = (fresh_path(spark, n) for n in ("probes", "reads", "out"))
+    write_ordered_log(p, pp, "s", 1)
+    write_ordered_log(r, rp, "id", 1)
+    g = SO.sensor_gate_stream(read_log_stream(spark, pp, p.schema, 1), read_log_stream(spark, rp, r.schema, 1), 9, delay="10 minutes")
+    assert "Join" not in g._jdf.queryExecution().analyzed().toString()
+    g.writeStream.option("checkpointLocation", fresh_path(spark, "ckpt")).foreachBatch(per_batch_sink(out)).trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for i, sensor, s, *_ in set(probes[:-1]):
+        later = sorted((t, e) for e, x, t, _ in reads if x == sensor and x is not None and s < t <= s + 9)
+        want.append((i, later[0][1] if later else None))
+    assert sorted(((x.id, x.reading_id) for x in spark.read.parquet(out).collect()), key=str) == sorted(want, key=str)
