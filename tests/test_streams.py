@@ -234,3 +234,20 @@ def test_gate_meets_probes_and_messages_in_windows(spark):
         later = sorted((t, e) for e, x, t, _ in reads if x == sensor and x is not None and s < t <= s + 9)
         want.append((i, later[0][1] if later else None))
     assert sorted(((x.id, x.reading_id) for x in spark.read.parquet(out).collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_bucket_of_races_is_one_call(spark):
+    """Orders share a bucket's state and timer: 5,000 orders in one step, against a plain reading of each."""
+    import pandas as pd
+    from blockyard.streaming.race import BUCKETS, OPEN, OrderRace
+    rows = [(f"o{i}", "k", *r) for i in range(5000) for r in (
+        ("start", i * 1_000_000, -1, 0), ("error", i * 1_000_000 + i % 9 * 1_000_000, 10 * i, 2), ("complete", i * 1_000_000 + 3_000_000, 10 * i + 1, 2))]
+    found, left, wake = OrderRace(6, 60)._decide(pd.DataFrame(rows, columns=OPEN), 4_000_000)
+    want = {(f"o{i}", "decided", "error" if i % 9 <= 3 else "complete") for i in range(3995)}
+    want |= {(f"o{i}", "late", None) for i in range(3995)}
+    assert {(r.order_id, r.result, r.winner) for r in found.itertuples()} == want and len(found) == len(want)
+    assert len(left) == 3995 + 3 * 1005 and wake == 66_000
+    s = spark.readStream.format("rate").load().select(F.lit("o").alias("order_id"), F.lit("k").alias("correlation_id"), F.col("timestamp").alias("ts"),
+                                                       F.lit("error").alias("kind"), F.col("value").alias("event_id"))
+    plan = order_races(s.withColumnRenamed("ts", "start_ts"), s, 6)._jdf.queryExecution().analyzed().toString()
+    assert BUCKETS > 1 and "bucket" in plan
