@@ -129,13 +129,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         fs, base = pafs.FileSystem.from_uri(folder)
         out, coder = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                if out is None:
-                    fs.create_dir(base, recursive=True)
-                    hidden = f"{base}/_{part}-{TaskContext.get().taskAttemptId()}"
-                    stream = fs.open_output_stream(hidden, compression=None)
-                    out, coder = FileWriter(stream), encoder(tokenizer)
-                out.add(batch.column(0)[i].as_py(), np.append(coder.encode(batch.column(1)[i].as_py()), np.uint32(end)))
+            if out is None and batch.num_rows:
+                fs.create_dir(base, recursive=True)
+                hidden = f"{base}/_{part}-{TaskContext.get().taskAttemptId()}"
+                stream = fs.open_output_stream(hidden, compression=None)
+                out, coder = FileWriter(stream), encoder(tokenizer)
+            if batch.num_rows:
+                texts = (text.as_py() for text in batch.column(1))
+                for k, ids in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
+                    out.add(k, np.append(ids, np.uint32(end)))
         if out is not None:
             out.close()
             stream.close()

@@ -46,6 +46,23 @@ def test_encoder_equals_library(text):
     assert Encoder(BPE).encode(text).tolist() == want.ids
 
 
+def test_encoder_learns_for_many_texts_at_once():
+    from blockyard.llm.bpe import Encoder
+    library, encoder, calls = Tokenizer.from_file(BPE), Encoder(BPE), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    texts = [f"Wort{i} neu{i}é.\nund{i}\n\nmehr  {i} \n\n{i % 7}" for i in range(500)] + ["", " ", "\n", "\n\n", " \n\nx", "a\n\n<|endoftext|>b", "a\n\n\nb "]
+    got = list(encoder.encode_all(texts))
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
+    assert [g.tolist() for g in encoder.encode_all(texts)] == [g.tolist() for g in got] and len(calls) == 1
+
+
 def _fingerprint(text):
     w = WORDS.findall((text or "").translate(LOWER))
     s = [" ".join(w[k:k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
