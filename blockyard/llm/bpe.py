@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -180,13 +180,11 @@ class Encoder:
         """Each part's number, where its tokens begin, and how many they are."""
         if len(self.known) > MEMORY:
             self._forget()
-        which = list(map(self.known.get, keys))
-        if None in which:
-            new = [i for i, w in enumerate(which) if w is None]
+        which = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(which < 0).tolist()
+        if new:
             self._learn(list(dict.fromkeys([keys[i] for i in new])))
-            for i in new:
-                which[i] = self.known[keys[i]]
-        which = np.array(which, np.int64)
+            which[new] = [self.known[keys[i]] for i in new]
         first = self.at[which]
         return which, first, self.at[which + 1] - first
 
