@@ -113,15 +113,28 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
                .withColumn("_held", F.lit(True)))
     ok = (r.filter(~invalid & known).join(holders, "order_id", "left")
           .withColumn("_held", F.coalesce("_held", F.lit(False))))
-    # Iterative plan: cut the lineage of each round (a table written to the
-    # shared checkpoint folder) so plans stay small and a lost executor only
-    # recomputes one round.
-    ok = materialize(ok, "reserve-requests")
     chunk = chunk_of("seq", chunk_width)
     # one row per colour (bounded by the colour enum)
     free = dict.fromkeys(K.ORDER_COLOURS, 0) | {
         x["color"]: x["n"] for x in available_cells(cells).filter(F.col("color").isin(*K.ORDER_COLOURS))
         .groupBy("color").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cols = ["seq", "order_id", "color", "color_raw", "count"]
+    none = [F.lit(None).cast("long").alias(c) for c in ("avail", "_used_before")]
+    bad = r.filter(invalid | ~known).select(
+        *cols, F.when(invalid, F.lit("invalid")).otherwise(F.lit("bad_colour")).alias("kind"), *none)
+    # What asks for more than is free at the start never fits, so it does not
+    # compete; it is refused, or a duplicate, at the end.
+    competes = ~F.col("_held") & (F.col("count") > 0) & (F.col("count") <= _by_colour(free))
+    if any(free.values()):
+        # Iterative plan: cut the lineage of each round (a table written to the
+        # shared checkpoint folder) so plans stay small and a lost executor only
+        # recomputes one round.
+        ok = materialize(ok, "reserve-requests")
+    if not any(free.values()) or ok.filter(competes).isEmpty():  # nothing is granted: no rounds, no running counts
+        kind = (F.when(F.col("_held"), F.lit("duplicate")).when(F.col("count") <= 0, F.lit("granted"))
+                .otherwise(F.lit("insufficient")))
+        d = ok.select(*cols, kind.alias("kind"), _by_colour(free).alias("avail"), F.lit(0).cast("long").alias("_used_before"))
+        return d.unionByName(bad)
 
     # Rounds of "grant the prefix that fits". An order competes until it is
     # granted; within a round its earliest remaining request is taken to be
@@ -135,7 +148,7 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
     # count (the largest count alone where no order changes its colour).
     rem, granted = dict(free), []
     code = F.array_position(F.array(*[F.lit(c) for c in K.ORDER_COLOURS]), F.col("color"))
-    cur = ok.filter(~F.col("_held") & (F.col("count") > 0)).select("seq", "order_id", "color", "count")
+    cur = ok.filter(competes).select("seq", "order_id", "color", "count")
     while True:
         firsts = cur.groupBy("order_id").agg(F.min("seq").alias("_f"), F.min_by(code, F.col("seq")).alias("_fc"))
         c = cur.join(firsts, "order_id", "inner")
@@ -189,12 +202,7 @@ def _allocation(requests: DataFrame, cells: DataFrame, fetch_log: DataFrame,
             .when(F.col("_gseq").isNotNull() & (F.col("_gseq") < F.col("seq")), F.lit("duplicate"))
             .when(F.col("count") <= 0, F.lit("granted"))  # nothing asked for, nothing held
             .otherwise(F.lit("insufficient")))
-    cols = ["seq", "order_id", "color", "color_raw", "count"]
-    d = d.select(*cols, kind.alias("kind"), "avail", "_used_before")
-    none = [F.lit(None).cast("long").alias(c) for c in ("avail", "_used_before")]
-    bad = r.filter(invalid | ~known).select(
-        *cols, F.when(invalid, F.lit("invalid")).otherwise(F.lit("bad_colour")).alias("kind"), *none)
-    return d.unionByName(bad)
+    return d.select(*cols, kind.alias("kind"), "avail", "_used_before").unionByName(bad)
 
 
 def _reserve_replies(a: DataFrame) -> DataFrame:

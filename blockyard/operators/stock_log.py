@@ -64,7 +64,9 @@ def _epoch(stock: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
     placed = materialize(_placed(a, cells).select("x", "y", F.col("order_id").alias("_won")), "stock-placed")
 
     # per order: cells held and since when, cells logged, first restore and the fetch that empties the cells
-    reset = requests.filter(whole).agg(F.min("seq").alias("s")).first()["s"]
+    named = F.col("order_id").isNotNull()
+    reset, restoring, fetching = requests.agg(
+        F.min(F.when(whole, F.col("seq"))), F.max((kind == "restore") & named), F.max((kind == "fetch") & named)).first()
     end = F.lit(reset).cast("long") if reset is not None else F.lit((1 << 63) - 1)
     before = requests.filter(F.col("seq") < end)
     held = cells.filter("reserved").select("order_id", F.lit(-(1 << 63)).alias("since"), F.lit(1).alias("held"), F.lit(0).alias("logged"))
@@ -72,12 +74,20 @@ def _epoch(stock: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
     logged = log.select("order_id", F.lit(None).cast("long").alias("since"), F.lit(0).alias("held"), F.lit(1).alias("logged"))
     facts = held.unionByName(won).unionByName(logged).groupBy("order_id").agg(
         F.min("since").alias("since"), F.sum("held").alias("held"), F.sum("logged").alias("logged"))
-    restores = before.filter((kind == "restore") & F.col("order_id").isNotNull()).groupBy("order_id").agg(F.min("seq").alias("restored"))
-    facts = materialize(facts.join(restores, "order_id", "left"), "stock-facts")
-    empties = before.filter(kind == "fetch").join(facts, "order_id") \
-        .filter((F.col("held") > 0) & (F.col("seq") > F.col("since")) & (F.col("seq") < F.coalesce("restored", end))) \
-        .groupBy("order_id").agg(F.min("seq").alias("fetched"))
-    facts = materialize(facts.join(empties, "order_id", "left"), "stock-facts")
+    never = F.lit(None).cast("long")
+    if restoring:
+        restores = before.filter((kind == "restore") & named).groupBy("order_id").agg(F.min("seq").alias("restored"))
+        facts = facts.join(restores, "order_id", "left")
+    else:
+        facts = facts.withColumn("restored", never)
+    facts = materialize(facts, "stock-facts")
+    if fetching:
+        empties = before.filter(kind == "fetch").join(facts, "order_id") \
+            .filter((F.col("held") > 0) & (F.col("seq") > F.col("since")) & (F.col("seq") < F.coalesce("restored", end))) \
+            .groupBy("order_id").agg(F.min("seq").alias("fetched"))
+        facts = materialize(facts.join(empties, "order_id", "left"), "stock-facts")
+    else:
+        facts = facts.withColumn("fetched", never)
 
     asked = requests.filter(kind != "reserve").filter(~whole).join(facts, "order_id", "left")
     quoted = F.concat(F.lit("'"), F.col("order_id"), F.lit("'"))
@@ -120,12 +130,20 @@ def apply_stock_log(stock: DataFrame, requests: DataFrame, chunk_width: int = SE
     an unknown colour 400; what does not fit, or an order that already holds or
     has fetched cells, 409; nothing to fetch or restore 404. An order that was
     refused may ask again, for any colour. ``seq`` must be unique. Without
-    requests there are no replies and the stock stays."""
+    requests there are no replies and the stock stays. ``requests`` is read
+    once; the last epoch's replies and stock are left to the caller to write."""
     cols = ["seq", "kind", "order_id", "count", "color_raw"]
-    dealt = materialize(with_epochs(requests.select(*cols), chunk_width), "stock-requests")
-    last = dealt.agg(F.max("epoch")).first()[0]
+    # dealt by seq, since a few log files would be read by as few tasks again and again
+    dealt = materialize(requests.select(*cols).repartition("seq"), "stock-requests")
+    rows, restoring = dealt.agg(F.count(F.lit(1)), F.max(F.col("kind").startswith("restore"))).first()
+    epochs = min(rows, 1)
+    if restoring:
+        dealt = materialize(with_epochs(dealt, chunk_width), "stock-requests")
+        epochs = int(dealt.agg(F.max("epoch")).first()[0]) + 1
     replies = dealt.sparkSession.createDataFrame([], REPLY)
-    for epoch in range(0 if last is None else int(last) + 1):
-        part, stock = _epoch(stock, dealt.filter(F.col("epoch") == epoch).select(*cols))
-        replies, stock = replies.unionByName(materialize(part, "stock-replies")), materialize(stock, "stock")
+    for epoch in range(epochs):
+        part, stock = _epoch(stock, (dealt.filter(F.col("epoch") == epoch) if restoring else dealt).select(*cols))
+        if epoch + 1 < epochs:
+            part, stock = materialize(part, "stock-replies"), materialize(stock, "stock")
+        replies = replies.unionByName(part)
     return replies, stock

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from blockyard.operators.sequencing import DEFAULT_WIDTH
 from blockyard.operators.stock_log import apply_stock_log
-from blockyard.session import materialize
 
 
 class StockTable:
@@ -55,8 +54,7 @@ def reserve_stream(requests: DataFrame, table: StockTable, replies: str, checkpo
     color_raw``; ``seq`` rises from one micro-batch to the next) against
     ``table``; replies go to ``replies``/batch_id=<n>. Returns the query."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        got = materialize(batch, "stock-batch")  # the source is read once
-        answers, after = apply_stock_log(table.read(batch_id), got, chunk_width)
+        answers, after = apply_stock_log(table.read(batch_id), batch, chunk_width)
         answers.write.mode("overwrite").parquet(f"{replies}/batch_id={batch_id}")
         table.write(batch_id + 1, after)
         if batch_id:

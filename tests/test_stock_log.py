@@ -106,6 +106,35 @@ def test_changed_colours(spark):
     assert _replies(replies) == want and _cells(after) == grid
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_empty_stock(spark, seed):
+    """Little or nothing is free: held, fetched, unknown and zero requests are told apart without rounds."""
+    rng = random.Random(seed)
+    stock = [(k // 4, k % 4, K.ORDER_COLOURS[k % 4], k % 3 > 0, f"h{k % 6}" if k % 3 else None, None if k % 3 else f"h{k % 5}") for k in range(24)]
+    if seed == 6:
+        stock[4] = (1, 0, K.ORDER_COLOURS[0], True, None, None)  # one free cell, of which every request asks too many
+    log = [(s, k, o, (3 if n else n) if seed == 6 else n, c) for s, k, o, n, c in _log(rng, 60, 0.0)] + [(999, "reserve", "z", 0, "red")]
+    replies, after = L.apply_stock_log(spark.createDataFrame(stock, L.STOCK), spark.createDataFrame(log, REQUESTS), chunk_width=64)
+    want, grid = _fold(stock, log)
+    assert _replies(replies) == want and _cells(after) == grid
+
+
+def test_refused_requests_are_not_passed_on(spark, monkeypatch):
+    """Without free cells and restores there are no rounds, epochs or running counts over the requests."""
+    from blockyard.operators import stock as S
+    stock = spark.createDataFrame([(0, 0, "RED", True, "h", None)], L.STOCK)
+    log = spark.createDataFrame([(1, "reserve", "a", 1, "red"), (2, "reserve", "h", 1, "red"), (3, "fetch", "h", None, None)], REQUESTS)
+
+    def passes(*a, **k):
+        raise AssertionError("a pass over all requests")
+
+    monkeypatch.setattr(S, "running", passes)
+    monkeypatch.setattr(L, "running_many", passes)
+    replies, after = L.apply_stock_log(stock, log)
+    assert {k: v[0] for k, v in _replies(replies).items()} == {1: 409, 2: 409, 3: 200}
+    assert _cells(after) == [(0, 0, "RED", False, None, "h")]
+
+
 def test_empty_log(spark):
     stock = spark.createDataFrame([(0, 0, "RED", True, None, None)], L.STOCK)
     replies, after = L.apply_stock_log(stock, spark.createDataFrame([], REQUESTS))
