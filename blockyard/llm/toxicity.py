@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockyard.llm.common import null_safe
-from blockyard.session import materialize
+from blockyard.session import discard, materialize
 
 #: Words of the classifier: runs of letters and digits of the lower-cased text. Each is hashed twice, whole and by its
 #: first letters, and the two embeddings are added, so that unseen endings of a known stem share its embedding.
@@ -133,10 +134,19 @@ class Network:
     def _dense(self) -> dict[str, np.ndarray]:
         return {"v": self.v, "c": np.array([self.c], np.float32)} | {f"w{k}": w for k, w in self.w.items()} | {f"b{k}": b for k, b in self.b.items()}
 
+    def weights(self) -> dict:
+        """What a score depends on, and what is sent to the tasks."""
+        return {"emb": self.emb, "w": self.w, "b": self.b, "v": self.v, "c": self.c + self.shift}
+
     def compiled(self) -> dict:
-        """For scoring: each embedding times each filter row, so that a filter is a sum of table rows."""
-        return {"tables": {k: [(self.emb @ self.w[k][j]).astype(np.float32) for j in range(k)] for k in self.o.widths},
-                "b": self.b, "v": self.v, "c": self.c + self.shift}
+        return compiled(self.weights())
+
+
+def compiled(weights: dict) -> dict:
+    """For scoring: each embedding times each filter row, so that a filter is a sum of table rows. The tables are several
+    times as large as the weights, so each task makes its own."""
+    return {"tables": {k: [(weights["emb"] @ w[j]).astype(np.float32) for j in range(k)] for k, w in weights["w"].items()},
+            "b": weights["b"], "v": weights["v"], "c": weights["c"]}
 
 
 def _score(model: dict, flat: np.ndarray, ends: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
@@ -193,10 +203,28 @@ def _pool(model: dict, a, b, real, starts, sizes, k) -> np.ndarray:
     return np.maximum.reduceat(z, bounds, axis=0)[::2] + model["b"][k]
 
 
+def _trained(got: pa.Table, share: float, options: Options) -> dict | None:
+    """Weights learned from (_key, toxic, ids); None if the rows do not have both labels. share: of label 1 among all
+    learning rows."""
+    got = got.sort_by([("_key", "ascending"), ("toxic", "ascending")])
+    y = got["toxic"].to_numpy().astype(np.float32)
+    if len(set(y)) < 2:
+        return None
+    ids = got["ids"].combine_chunks()
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    del got
+    net = Network(options)
+    net.train([flat[a:b] for a, b in zip(ends, ends[1:])], y)
+    # the sample is denser in one label than all learning rows are: scores are set back to these rows' share
+    sampled = float(y.mean())
+    net.shift = float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
+    return net.weights()
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, options: Options) -> dict | None:
-    """A model from at most rows_per_label learning rows of each label, the first in a pseudo-random order of the keys;
-    None if the rows do not have both labels. The rows that are learned from are bounded by the options, so they are
-    joined and collected whatever the tables' size."""
+    """The weights of a model from at most rows_per_label learning rows of each label, the first in a pseudo-random order
+    of the keys; None if the rows do not have both labels. The rows that are learned from are bounded by the options, so
+    one task trains on them whatever the tables' size; the driver gets the weights alone, which are of fixed size."""
     o = options
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)) & ~calibration(F.col(key))) \
         .groupBy(key).agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64(key))
@@ -209,36 +237,37 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, options: Option
     given = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
     rows = given.join(some, F.col("_k") == F.col("_key")).select("_key", "toxic", word_ids(F.col("_text")).alias("ids")) \
         .where(F.size("ids") <= 2 * o.words_per_row)
-    got = rows.toArrow().sort_by([("_key", "ascending"), ("toxic", "ascending")])
-    y = got["toxic"].to_numpy().astype(np.float32)
-    if len(set(y)) < 2:
-        return None
-    ids = got["ids"].combine_chunks()
-    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    del got
-    net = Network(o)
-    net.train([flat[a:b] for a, b in zip(ends, ends[1:])], y)
-    # the sample is denser in one label than all learning rows are: scores are set back to these rows' share
-    share, sampled = counts[1] / (counts[0] + counts[1]), float(y.mean())
-    net.shift = float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
-    return net.compiled()
+    rows = materialize(rows, "toxicity-learn")
+    share = counts[1] / (counts[0] + counts[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        found = _trained(pa.Table.from_batches(held), share, o) if held else None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found, 5)], pa.binary())], ["weights"])
+
+    got = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
+    discard(rows)
+    return pickle.loads(got[0]["weights"]) if got else None
 
 
 def scores(docs: DataFrame, model: dict | Broadcast | None, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *also, score): each whole text's score, 0 to 1. Without a model every score is 0. A model that is broadcast
-    already is left to the caller to destroy."""
+    """(key, *also, score): each whole text's score, 0 to 1, by the weights that fit() returns. Without a model every score
+    is 0. A model that is broadcast already is left to the caller to destroy."""
     keep = [F.col(key).alias("key"), *[F.col(c) for c in also]]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    # of fixed size: buckets x filters
+    # of fixed size: buckets x dimensions
     sent = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(*keep, word_ids(F.col(text)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = None
         for b in batches:
             ids = b.column(b.num_columns - 1)
             flat = ids.values.to_numpy(zero_copy_only=False)
-            got = _score(sent.value, flat, ids.offsets.to_numpy()) if len(ids) else np.array([])
+            ready = ready or compiled(sent.value)
+            got = _score(ready, flat, ids.offsets.to_numpy()) if len(ids) else np.array([])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])

@@ -44,3 +44,24 @@ def test_thresholds_make_the_fewest_errors(spark, seed):
         wrong = [sum((b >= cut) != bool(y) for b, y in mine) for cut in range(201)]
         cut = int(np.ceil(at * 200 - 1e-9))
         assert wrong[cut] == min(wrong), (lang, at)
+
+
+def test_a_task_trains_and_the_driver_gets_the_weights_alone(spark, monkeypatch):
+    o = T.Options(steps=30)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join([f"w{int(x)}" for x in r.integers(0, 50, 12)] + ["vile"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    learned = docs.where(~T.held_out(F.col("doc_id")) & ~T.calibration(F.col("doc_id"))).orderBy("doc_id").select("doc_id", T.word_ids(F.col("text")).alias("ids")).collect()
+    y = np.array([x["doc_id"] % 3 == 0 for x in learned], np.float32)
+    want = T.Network(o)
+    want.train([np.array(x["ids"], np.int32) for x in learned], y)  # the sample is all learning rows, so no shift
+
+    def refuse(*_):
+        raise AssertionError("trained in the driver")
+    monkeypatch.setattr(T.Network, "train", refuse)
+    got = T.fit(docs, labels, "doc_id", "text", o)
+    assert {k for k in got} == {"emb", "w", "b", "v", "c"}
+    assert np.allclose(got["emb"], want.emb, atol=1e-5) and np.allclose(got["v"], want.v, atol=1e-5) and abs(got["c"] - want.c) < 1e-5
+    assert all(np.allclose(got["w"][k], want.w[k], atol=1e-5) and np.allclose(got["b"][k], want.b[k], atol=1e-5) for k in o.widths)
+    assert T.fit(docs, labels.where("toxic = 1"), "doc_id", "text", o) is None and T.fit(docs.where("false"), labels, "doc_id", "text", o) is None
